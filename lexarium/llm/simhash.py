@@ -24,7 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.llm import common
@@ -141,6 +141,10 @@ def flips(mask: int, t: int) -> list[int]:
     return [x - (1 << BITS) if x >> (BITS - 1) else x for x in out]
 
 
+def _changed(own: Column, by: list[int]) -> Column:
+    return F.transform(F.array(*[F.lit(x).cast("long") for x in by]), lambda x: own.bitwiseXOR(x))
+
+
 def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
@@ -176,8 +180,7 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     for k, (mask, t) in enumerate(chosen):
         own = F.col("fp").bitwiseAND(F.lit(signed(mask)))
         i = distinct.select(F.lit(k).alias("part"), own.alias("value"), "fp")
-        at = F.array(*[F.lit(x) for x in flips(mask, t)])
-        p = distinct.select(F.lit(k).alias("part"), F.explode(F.transform(at, lambda x, own=own: own.bitwiseXOR(x))).alias("value"), F.col("fp").alias("probe"))
+        p = distinct.select(F.lit(k).alias("part"), F.explode(_changed(own, flips(mask, t))).alias("value"), F.col("fp").alias("probe"))
         index, probes = (i, p) if index is None else (index.unionAll(i), probes.unionAll(p))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("probe"))) <= radius
     sizes = index.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") >= int(HOT_PAIRS**0.5) // 2)
