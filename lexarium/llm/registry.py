@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lexarium.llm import bpe, simhash
+from lexarium.llm import bpe, packing, simhash
 
 
 def queries() -> dict:
-    return {"op3_simhash": simhash.op3_simhash, "op9_bpe": bpe.op9_bpe}
+    return {"op3_simhash": simhash.op3_simhash, "op5_packing": packing.op5_packing, "op9_bpe": bpe.op9_bpe}
 
 
 def oracle_sql() -> dict:
