@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lexarium.llm import bpe, packing, simhash
+from lexarium.llm import bpe, fingerprint, packing, simhash
 
 
 def queries() -> dict:
-    return {"op3_simhash": simhash.op3_simhash, "op5_packing": packing.op5_packing, "op9_bpe": bpe.op9_bpe}
+    return {"op2_fingerprint": fingerprint.op2_fingerprint, "op3_simhash": simhash.op3_simhash, "op5_packing": packing.op5_packing, "op9_bpe": bpe.op9_bpe}
 
 
 def oracle_sql() -> dict:
