@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lexarium.llm import bpe, fingerprint, packing, quality, simhash
+from lexarium.llm import bpe, fingerprint, packing, quality, simhash, toxicity
 
 
 def queries() -> dict:
-    return {"op2_fingerprint": fingerprint.op2_fingerprint, "op3_simhash": simhash.op3_simhash, "op5_packing": packing.op5_packing, "op9_bpe": bpe.op9_bpe, "op10_quality": quality.op10_quality}
+    return {"op1_toxicity": toxicity.op1_toxicity, "op2_fingerprint": fingerprint.op2_fingerprint, "op3_simhash": simhash.op3_simhash, "op5_packing": packing.op5_packing, "op9_bpe": bpe.op9_bpe, "op10_quality": quality.op10_quality}
 
 
 def oracle_sql() -> dict:
