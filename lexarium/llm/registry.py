@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from lexarium.llm import bpe, fingerprint, packing, pii, quality, simhash, toxicity
+from lexarium.llm import bpe, fingerprint, licences, neighbours, packing, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
-    return {"op1_toxicity": toxicity.op1_toxicity, "op2_fingerprint": fingerprint.op2_fingerprint, "op3_simhash": simhash.op3_simhash, "op4_pii": pii.op4_pii, "op5_packing": packing.op5_packing, "op9_bpe": bpe.op9_bpe, "op10_quality": quality.op10_quality}
+    return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_fingerprint": fingerprint.op2_fingerprint,
+        "op3_simhash": simhash.op3_simhash,
+        "op4_pii": pii.op4_pii,
+        "op5_packing": packing.op5_packing,
+        "op7_licences": licences.op7_licences,
+        "op8_neighbours": neighbours.op8_neighbours,
+        "op9_bpe": bpe.op9_bpe,
+        "op10_quality": quality.op10_quality,
+    }
 
 
 def oracle_sql() -> dict:
