@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexarium.llm import bpe, fingerprint, licences, neighbours, packing, pii, quality, simhash, toxicity
+from lexarium.llm import bpe, fingerprint, licences, neighbours, ngrams, packing, pii, quality, simhash, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_simhash": simhash.op3_simhash,
         "op4_pii": pii.op4_pii,
         "op5_packing": packing.op5_packing,
+        "op6_ngrams": ngrams.op6_ngrams,
         "op7_licences": licences.op7_licences,
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_bpe": bpe.op9_bpe,
