@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch; texts are long, and a batch must stay small beside a Python worker's memory.
 BATCH_ROWS = 1000
@@ -54,6 +57,17 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def with_result(df: DataFrame, compute, name: str, kind: str, arrow: pa.DataType) -> DataFrame:
+    """df with a further column: compute(texts) of whole texts, a null one as empty. All columns pass as they are, without a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array(compute([t or "" for t in b.column("text").to_pylist()]), arrow)
+            yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))]))
+
+
 def remainder(of: str, n: int):
     """crc32 of the id as text, mod n; a null id has the remainder of the empty text."""
     return F.crc32(F.coalesce(F.col(of).cast("string"), F.lit(""))) % n

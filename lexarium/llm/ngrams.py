@@ -50,7 +50,7 @@ def hash_of(word: bytes) -> int:
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()  # of bytes: A-Z only, and space and \\t-\\r only
+    return text.encode().lower().split()  # of bytes: A-Z only, and space and \t-\r only
 
 
 # Elias-Fano sequences

@@ -267,6 +267,11 @@ def added_spans(field: Field, text: str, base: list[Span]) -> list[Span]:
     return out
 
 
+def all_spans(field: Field, text: str) -> list[Span]:
+    base = base_spans(text)
+    return base + (added_spans(field, text, base) if "@" in text or DIGIT.search(text) else [])
+
+
 def found(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, base (written base spans), counts of base kinds, spans (all, written)."""
 
@@ -275,7 +280,7 @@ def found(docs: DataFrame, field: Field) -> DataFrame:
             out = []
             for text in b.column("text").to_pylist():
                 base = base_spans(text)
-                spans = base + (added_spans(field, text, base) if "@" in text or DIGIT.search(text) else [])
+                spans = all_spans(field, text)
                 out.append((*(sum(s[1] == k for s in base) for k in range(len(KINDS))), hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64() if k < 4 else pa.string()) for k, c in enumerate(columns))], names)

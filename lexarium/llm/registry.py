@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lexarium.llm import bpe, fingerprint, licences, neighbours, ngrams, packing, pii, quality, simhash, toxicity
 
 
@@ -17,8 +18,9 @@ def queries() -> dict:
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_bpe": bpe.op9_bpe,
         "op10_quality": quality.op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -1,6 +1,7 @@
 """Near duplicates by SimHash, searched with the generalised pigeonhole principle.
 
-A fingerprint of 64 bits is made of each text. Equal fingerprints collapse to one row before anything is compared.
+A fingerprint of 64 bits is made of each text. Equal fingerprints (or, where similarity is verified, equal sets of
+shingles) collapse to one node before anything is compared.
 Two fingerprints within `radius` bits must, for thresholds t_1..t_m with sum(t_i) = radius - m + 1 over a partition of
 the bits, agree within t_i bits in at least one part i. Correlated bits are put in the same part, and a dynamic program
 chooses the thresholds (a part may get -1: it isn't probed) with the fewest estimated candidates. Every fingerprint is
@@ -8,7 +9,8 @@ indexed by the exact value of each part and probes the values within t_i bits; w
 A choice of parts and thresholds changes the cost only, never the links found.
 
 Buckets in which many fingerprints meet are compared in blocks that return a spanning forest, so no group emits all of
-its pairs. Components are found by alternating star contractions on the shared folder.
+its pairs. Where a least similarity is asked for, sketches of the shingle sets (exact for short texts) are compared
+too, before a link counts. Components are found by alternating star contractions on the shared folder.
 
 Defined cases: a null text is an empty one; a text without words has fingerprint 0 and is linked like any other; a text
 with fewer words than a shingle has one shingle; repeated rows and ties share a fingerprint, and the smallest id names
@@ -33,30 +35,43 @@ BITS = 64
 SEED = 42
 #: Fingerprints from which bit correlations and candidate counts are estimated: a cost choice, not a filter.
 SAMPLE = 2048
-#: Index rows times probe rows of a bucket from which it is compared in blocks.
-HOT_PAIRS = 4_000_000
+#: A bucket is compared in blocks from so many index rows on, and so many times those that even dealing would give it.
+HOT_ROWS, HOT_TIMES = 64, 16
+#: Hashes of a similarity sketch.
+KEPT = 256
 BLOCK = 2048
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """Bit i is 1 if it is set in over half of the shingles' hashes, repeats included."""
-    w = (text or "").encode().lower().split()  # of bytes: A-Z only, and space and \\t-\\r only
-    if not w:
-        return 0
-    n = max(1, len(w) - words + 1)
+def shingle_hashes(w: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """XXH64 of each run of that many words, space-joined (of all words, if they are fewer), a part of the text at a time."""
+    n = max(1, len(w) - words + 1) if w else 0
     whole = b" ".join(w)
-    ends = np.cumsum([len(x) + 1 for x in w]) - 1
-    starts = ends - np.array([len(x) for x in w])
+    sizes = np.array([len(x) for x in w], dtype=np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    starts, last = ends - sizes, ends[min(words, len(w)) - 1 :] if n else ends
     hashed = xxhash.xxh64_intdigest
-    total = np.zeros(BITS, dtype=np.int64)
-    last = ends[min(words, len(w)) - 1 :]
     for k in range(0, n, 65536):
-        part = [hashed(whole[a:b], SEED) for a, b in zip(starts[k : min(n, k + 65536)].tolist(), last[k : k + 65536].tolist(), strict=False)]
-        bits = np.array(part, dtype=">u8").view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(bits, axis=1).sum(0, dtype=np.int64)
+        yield np.array([hashed(whole[a:b], SEED) for a, b in zip(starts[k : min(n, k + 65536)].tolist(), last[k : k + 65536].tolist(), strict=False)], dtype=np.uint64)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # of bytes: A-Z only, and space and \t-\r only
+
+
+def majority(parts: Iterator[np.ndarray] | list[np.ndarray]) -> int:
+    """Bit i is 1 if it is set in over half of the hashes; 0 without hashes."""
+    total, n = np.zeros(BITS, dtype=np.int64), 0
+    for h in parts:
+        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(total * 2 > n).view(">u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """Of all shingles of the text, repeats included."""
+    return majority(shingle_hashes(words_of(text), words))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a long) of each row of docs."""
 
@@ -68,6 +83,38 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return common.documents(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+def sketch(w: list[bytes], words: int) -> np.ndarray:
+    """The KEPT least hashes, 32 bits each, of the distinct shingles; all of them if they are fewer."""
+    least = np.zeros(0, dtype=np.uint32)
+    for h in shingle_hashes(w, words):
+        least = np.unique(np.concatenate([least, (h >> np.uint64(32)).astype(np.uint32)]))[:KEPT]
+    return least
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sketches: exact where neither is full, else over the least hashes of both. Empty ones are alike."""
+    union = np.union1d(a, b)
+    if max(len(a), len(b)) == KEPT:
+        union = union[:KEPT]
+    return float(np.isin(union, np.intersect1d(a, b)).mean()) if len(union) else 1.0
+
+
+def sketched(docs: DataFrame, words: int, print_words: int) -> DataFrame:
+    """doc_id, fp of the distinct print_words-word shingles, sketch of the words-word ones, and node, its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, kept, node = [], [], []
+            for t in b.column("text").to_pylist():
+                w = words_of(t)
+                fp.append(majority([np.unique(np.concatenate([*shingle_hashes(w, print_words), np.zeros(0, np.uint64)]))]))
+                kept.append(sketch(w, words).tobytes())
+                node.append(xxhash.xxh64_intdigest(kept[-1], SEED))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(kept, pa.binary())], ["doc_id", "fp", "node", "sketch"])
+
+    return common.documents(docs).mapInArrow(run, "doc_id long, fp long, node long, sketch binary")
+
+
 def parts_of(sample: np.ndarray, m: int) -> list[list[int]]:
     """m groups of bits of even size; each starts at the free bit of the strongest correlations and takes those most correlated with it."""
     bits = np.unpackbits(sample.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(float)  # bit 0: the highest
@@ -149,8 +196,8 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that join what links of up to radius bits between a and b join; fewer than both have rows."""
+def forest(a: pa.Table, b: pa.Table, radius: int, least: float | None) -> list[tuple[int, int]]:
+    """Edges that join what links between a and b join; fewer than both have rows. A link within a tree isn't verified."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -159,55 +206,75 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
+    def side(t: pa.Table) -> tuple:
+        return t.column("fp").to_numpy().view(np.uint64), t.column("node").to_pylist(), [np.frombuffer(x or b"", np.uint32) for x in t.column("sketch").to_pylist()]
+
+    (fa, na, sa), (fb, nb, sb) = side(a), side(b)
     out = []
-    for k in range(0, len(a), 256):
-        i, j = np.nonzero(np.bitwise_count(a[k : k + 256, None] ^ b[None, :]) <= radius)
-        for u, v in zip(a[k + i].tolist(), b[j].tolist(), strict=True):
-            ru, rv = root(u), root(v)
-            if ru != rv:
+    for k in range(0, len(fa), 256):
+        for i, j in np.argwhere(np.bitwise_count(fa[k : k + 256, None] ^ fb[None, :]) <= radius).tolist():
+            ru, rv = root(na[k + i]), root(nb[j])
+            if ru != rv and (least is None or jaccard(sa[k + i], sb[j]) >= least):
                 parent[max(ru, rv)] = min(ru, rv)
-                out.append((u, v))
+                out.append((na[k + i], nb[j]))
     return out
 
 
-def links(distinct: DataFrame, radius: int) -> DataFrame:
-    """fp (long) of distinct fingerprints to edges a > b; the links within radius bits have the same components as these edges."""
-    spark = distinct.sparkSession
-    rows = distinct.count()
-    drawn = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+def links(nodes: DataFrame, radius: int, sketches: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """fp, node of distinct nodes to edges a, b between nodes. Links within radius bits (and, by the sketches of nodes, of the
+    least similarity) have the same components as these edges."""
+    spark = nodes.sparkSession
+    rows = nodes.count()
+    drawn = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
     chosen = plan(np.array([r.fp for r in drawn], dtype=np.int64).view(np.uint64), rows, radius)
     index = probes = None
     for k, (mask, t) in enumerate(chosen):
         own = F.col("fp").bitwiseAND(F.lit(signed(mask)))
-        i = distinct.select(F.lit(k).alias("part"), own.alias("value"), "fp")
-        p = distinct.select(F.lit(k).alias("part"), F.explode(_changed(own, flips(mask, t))).alias("value"), F.col("fp").alias("probe"))
+        i = nodes.select(F.lit(k).alias("part"), own.alias("value"), "fp", "node")
+        p = nodes.select(F.lit(k).alias("part"), F.explode(_changed(own, flips(mask, t))).alias("value"), F.col("fp").alias("probe_fp"), F.col("node").alias("probe"))
         index, probes = (i, p) if index is None else (index.unionAll(i), probes.unionAll(p))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("probe"))) <= radius
-    sizes = index.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") >= int(HOT_PAIRS**0.5) // 2)
-    hot = common.staged(sizes)
-    if hot.isEmpty():
-        return index.join(probes, ["part", "value"]).where((F.col("fp") < F.col("probe")) & near).select(F.col("probe").alias("a"), F.col("fp").alias("b")).distinct()
-    # a hot bucket holds at least 1000 of the distinct fingerprints, so there are at most rows * parts / 1000 of them
-    cool = index.join(hot, ["part", "value"], "left_anti").join(probes, ["part", "value"]).where((F.col("fp") < F.col("probe")) & near).select(F.col("probe").alias("a"), F.col("fp").alias("b")).distinct()
-    return cool.unionAll(_in_blocks(index, probes, hot, radius))
-
+    limit = F.create_map(*[F.lit(x) for k, (mask, _) in enumerate(chosen) for x in (k, float(HOT_ROWS + HOT_TIMES * rows / 2.0 ** mask.bit_count()))])
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("probe_fp"))) <= radius) & (F.col("node") < F.col("probe"))
+    hot = common.staged(index.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") >= limit[F.col("part")]))
+    none = hot.isEmpty()
+    cool = index if none else index.join(hot, ["part", "value"], "left_anti")
+    found = cool.join(probes, ["part", "value"]).where(near).select(F.col("probe").alias("a"), F.col("node").alias("b")).distinct()
+    if sketches is not None:
+        found = _verified(found, sketches, least)
+    return found if none else found.unionAll(_in_blocks(index, probes, hot, radius, sketches, least))
+
+
+def _verified(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column("sa").to_pylist(), b.column("sb").to_pylist()
+            alike = [jaccard(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= least for p, q in zip(x, y, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-def _in_blocks(index: DataFrame, probes: DataFrame, hot: DataFrame, radius: int) -> DataFrame:
-    """The hot buckets' edges. Both sides are dealt to blocks of about BLOCK rows by hash, and every block meets every block in a group of its own."""
-    p = probes.join(hot, ["part", "value"])
-    n_probe = p.groupBy("part", "value").agg(F.count("*").alias("np"))
-    blocks = hot.join(n_probe, ["part", "value"]).select("part", "value", F.ceil(F.col("n") / BLOCK).alias("bi"), F.ceil(F.col("np") / BLOCK).alias("bp"))
-    i = index.join(blocks, ["part", "value"]).withColumn("i", F.pmod(F.xxhash64("fp"), "bi")).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bp") - 1)))
-    q = p.drop("n").join(blocks, ["part", "value"]).withColumn("p", F.pmod(F.xxhash64("probe"), "bp")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bi") - 1)))
-    both = i.select("part", "value", "i", "p", F.lit(0).alias("side"), "fp").unionAll(q.select("part", "value", "i", "p", F.lit(1).alias("side"), F.col("probe").alias("fp")))
+    both = edges.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
-    def run(t: pa.Table) -> pa.Table:
-        side, fp = t.column("side").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
-        e = np.array(forest(fp[side == 0], fp[side == 1], radius), dtype=np.uint64).reshape(-1, 2)
-        e = e[e[:, 0] != e[:, 1]].view(np.int64)
-        return pa.table({"a": e.max(1) if len(e) else e[:, 0], "b": e.min(1) if len(e) else e[:, 1]})
 
-    return both.groupBy("part", "value", "i", "p").applyInArrow(run, "a long, b long")
+def _in_blocks(index: DataFrame, probes: DataFrame, hot: DataFrame, radius: int, sketches: DataFrame | None, least: float | None) -> DataFrame:
+    """The hot buckets' edges. Both sides are dealt to blocks of about BLOCK rows by hash, and every block meets every block in a group of its own."""
+    p = probes.join(hot, ["part", "value"]).select("part", "value", F.col("probe_fp").alias("fp"), F.col("probe").alias("node"))
+    counts = p.groupBy("part", "value").agg(F.count("*").alias("np"))
+    blocks = hot.join(counts, ["part", "value"]).select("part", "value", F.ceil(F.col("n") / BLOCK).alias("bi"), F.ceil(F.col("np") / BLOCK).alias("bp"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    i = index.join(blocks, ["part", "value"]).withColumn("i", F.pmod(F.xxhash64("node"), "bi")).withColumn("p", every("bp"))
+    q = p.join(blocks, ["part", "value"]).withColumn("p", F.pmod(F.xxhash64("node"), "bp")).withColumn("i", every("bi"))
+    cols = ["part", "value", "i", "p", "fp", "node"]
+    if sketches is None:
+        i, q = (x.select(*cols, F.lit(None).cast("binary").alias("sketch")) for x in (i, q))
+    else:
+        i, q = (x.select(*cols).join(sketches, "node").select(*cols, "sketch") for x in (i, q))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        e = np.array(forest(a, b, radius, least), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": e[:, 0], "b": e[:, 1]})
+
+    keys = cols[:4]
+    return i.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(run, "a long, b long").where("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -231,11 +298,26 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     """doc_id, fp, component_id of every row: the smallest doc_id that links of up to radius bits reach."""
     prints = common.staged(fingerprints(docs, words))
     first = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(first.select("fp"), radius))
-    member = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+    roots = components(links(first.select("fp", F.col("fp").alias("node")), radius))
+    named = _named(first.withColumnRenamed("fp", "node"), roots)
+    return prints.join(named.withColumnRenamed("node", "fp"), "fp").select("doc_id", "fp", "component_id")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, print_words: int = 2, radius: int = 8) -> DataFrame:
+    """doc_id, node, component_id of every row: links are of nodes (sets of shingles) of the least Jaccard similarity over
+    words-word shingles, found by fingerprints of the distinct print_words-word shingles within radius bits."""
+    prints = common.staged(sketched(docs, words, print_words))
+    first = common.staged(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(links(first.select("fp", "node"), radius, prints.select("node", "sketch").dropDuplicates(["node"]), least))
+    named = _named(first.groupBy("node").agg(F.min("first_id").alias("first_id")), roots)
+    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id")
+
+
+def _named(first: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, component_id: the least first_id of the nodes of one root."""
+    member = first.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
     least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return member.join(least, "root").select("node", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
