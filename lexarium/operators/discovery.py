@@ -28,7 +28,7 @@ def pairs(tok: DataFrame, least_df: int = 3) -> DataFrame:
         .join(_entropy(kept, "before"), key, "left").join(_entropy(kept, "after"), key, "left")
     )
     zero = F.lit(0.0)
-    return out.select(*key, "tf", "df", F.round(F.col("tf") / F.least("n1", "n2").cast("double"), 6).alias("dominance"), F.round(F.abs(F.least(F.coalesce("h_before", zero), F.coalesce("h_after", zero))), 6).alias("entropy"))
+    return out.select(*key, "tf", "df", F.round(F.col("tf") / F.least("n1", "n2").cast("double"), 12).alias("dominance"), F.round(F.abs(F.least(F.coalesce("h_before", zero), F.coalesce("h_after", zero))), 6).alias("entropy"))
 
 
 def selected(found: DataFrame, entropy: float = 1.0, dominance: float = 0.6, block: tuple[str, ...] = ()) -> DataFrame:

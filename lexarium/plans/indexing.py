@@ -63,7 +63,7 @@ words AS (SELECT term, count(*) AS tf FROM tok GROUP BY term),
 l AS (SELECT first_term, second_term, before AS x, count(*)::DOUBLE AS c FROM grams WHERE before IS NOT NULL GROUP BY ALL),
 r AS (SELECT first_term, second_term, after AS x, count(*)::DOUBLE AS c FROM grams WHERE after IS NOT NULL GROUP BY ALL),
 hl AS (SELECT first_term, second_term, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM l GROUP BY ALL), hr AS (SELECT first_term, second_term, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM r GROUP BY ALL)
-SELECT p.first_term, p.second_term, p.tf, p.df, round(p.tf::DOUBLE / least(a.tf, b.tf), 6) AS dominance, round(abs(least(coalesce(hl.h, 0.0), coalesce(hr.h, 0.0))), 6) AS entropy
+SELECT p.first_term, p.second_term, p.tf, p.df, round(p.tf::DOUBLE / least(a.tf, b.tf), 12) AS dominance, round(abs(least(coalesce(hl.h, 0.0), coalesce(hr.h, 0.0))), 6) AS entropy
 FROM pairs p JOIN words a ON a.term = p.first_term JOIN words b ON b.term = p.second_term LEFT JOIN hl ON hl.first_term = p.first_term AND hl.second_term = p.second_term
 LEFT JOIN hr ON hr.first_term = p.first_term AND hr.second_term = p.second_term"""
 
