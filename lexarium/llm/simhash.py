@@ -278,7 +278,7 @@ def _in_blocks(index: DataFrame, probes: DataFrame, hot: DataFrame, radius: int,
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Edges a, b to (node, root): root is the least node of its component. Alternating large and small stars; each round is staged in the shared folder."""
+    """Edges a, b to (node, root) of the nodes that aren't the least of their component, the root. Alternating large and small stars; each round is staged in the shared folder."""
     e = common.staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     while True:
