@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lexarium.sources import files
 from lexarium.streaming import clicks
 
+
 def test_markdown_tree_and_missing(spark, tmp_path):
     (tmp_path / "c" / "d").mkdir(parents=True)
     (tmp_path / "c" / "d" / "01.md").write_text("# T")
