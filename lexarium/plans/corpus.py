@@ -123,3 +123,22 @@ def scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexarium.sources.files import matching
 
     return matching(_d(spark, sf_dir).select("doc_id", "lang", "n_chars", "source"), "source", "n_chars", ["src1*", "src0"], ["*2"], 100, 5000).select("doc_id", "lang", "n_chars")
+
+
+@query()
+def search_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain text of Markdown by section, with the sections' places in it."""
+    from lexarium.operators.projection import search_documents
+
+    found = search_documents(_markdown(spark, sf_dir).withColumnRenamed("md", "text"))
+    return found.select("doc_id", F.length("body_text").alias("n_chars"), F.posexplode("sections").alias("n", "section")).select("doc_id", "n_chars", "n", "section.start", "section.end", "section.heading", "section.anchor")
+
+
+@query("SELECT doc_id, source AS channel, 'Doc ' || doc_id AS title FROM documents")
+def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of a header made of columns, read back."""
+    from lexarium.operators.projection import front_matter as read
+
+    made = F.concat(F.lit("---\ntitle: \"Doc "), "doc_id", F.lit("\"\nchannel: "), "source", F.lit("\n---\n"), "text")
+    keys = _d(spark, sf_dir).select("doc_id", read(made).alias("m"))
+    return keys.select("doc_id", F.col("m")["channel"].alias("channel"), F.col("m")["title"].alias("title"))
