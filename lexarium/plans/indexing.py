@@ -29,7 +29,7 @@ def doc_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TOK}, {LENGTHS} SELECT n, round(avg_length, 6) AS avg_length FROM stats")
 def collection_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with tokens and their average length."""
-    return index.statistics(index.lengths(_tok(spark, sf_dir))).select("n", F.round("avg_length", 6).alias("avg_length"))
+    return index.statistics(index.text_lengths(table(spark, sf_dir, "documents"))).select("n", F.round("avg_length", 6).alias("avg_length"))
 
 
 @query(f"WITH {TOK} SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tok GROUP BY term, doc_id")

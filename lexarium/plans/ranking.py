@@ -16,9 +16,9 @@ PLAIN = [Unit((("idiot",),)), Unit((("clown",),)), Unit((("apache",),))]
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    tok = index.tokens(table(spark, sf_dir, "documents"))
-    length = index.lengths(tok)
-    return index.postings(tok), length, index.statistics(length)
+    docs = table(spark, sf_dir, "documents")
+    length = index.text_lengths(docs)
+    return index.postings(index.tokens(docs)), length, index.statistics(length)
 
 
 def hits_sql(units: list[Unit]) -> str:
