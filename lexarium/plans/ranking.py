@@ -17,7 +17,7 @@ PLAIN = [Unit((("idiot",),)), Unit((("clown",),)), Unit((("apache",),))]
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    length = index.text_lengths(docs)
+    length = index.text_lengths(docs).persist()  # read for the statistics and for each match
     return index.postings(index.tokens(docs)), length, index.statistics(length)
 
 
