@@ -56,51 +56,49 @@ def words_of(text: str) -> list[bytes]:
 # Elias-Fano sequences
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8)
-_SELECT = np.zeros((256, 8), dtype=np.int64)
+#: Place of the r-th one of a byte, at byte * 8 + r.
+_SELECT = np.zeros(256 * 8, dtype=np.int64)
 for _b in range(256):
-    _SELECT[_b, : _BYTE_BITS[_b].sum()] = np.nonzero(_BYTE_BITS[_b])[0]
-_COUNT = _BYTE_BITS.sum(1).astype(np.int64)
+    _SELECT[_b * 8 : _b * 8 + _BYTE_BITS[_b].sum()] = np.nonzero(_BYTE_BITS[_b])[0]
 
 
 class EliasFano:
-    """A monotone sequence: lower bits in whole bytes, upper parts in unary, and counts of ones before each 512 bits."""
+    """A monotone sequence: lower bits in whole bytes, upper parts in unary, and counts of ones before each 64 bits."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray, ones: np.ndarray, n: int, top: int) -> None:
         self.low, self.high, self.ones, self.n, self.top = low, high, ones, n, top
         self.shift = np.uint64(low.dtype.itemsize * 8 if len(low) or low.dtype != np.uint8 else 8)
-        self.zeros = np.arange(len(ones), dtype=np.int64) * 512 - ones
+        self.zeros = (np.arange(len(ones), dtype=np.int64) * 64 - ones).astype(np.uint32)
 
     @staticmethod
     def build(values: np.ndarray) -> EliasFano:
         values = values.astype(np.uint64)
         n, top = len(values), int(values[-1]) if len(values) else 0
         spare = (top // max(1, n)).bit_length() - 1
-        kind = np.uint8 if spare < 13 else np.uint16 if spare < 26 else np.uint32
+        kind = np.uint8 if spare < 11 else np.uint16 if spare < 26 else np.uint32
         shift = np.uint64(np.dtype(kind).itemsize * 8)
         at = (values >> shift).astype(np.int64) + np.arange(n)
-        blocks = (int(at[-1]) + 2 if n else 1) // 512 + 1
-        bits = np.zeros(blocks * 512, dtype=np.uint8)
+        bits = np.zeros(((int(at[-1]) + 2 if n else 1) // 64 + 1) * 64, dtype=np.uint8)
         bits[at] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
-        ones = np.concatenate([[0], bits.reshape(-1, 512).sum(1, dtype=np.int64).cumsum()])[:-1]
+        ones = np.concatenate([[0], np.bitwise_count(high).cumsum(dtype=np.int64)])[:-1].astype(np.uint32)
         return EliasFano(values.astype(kind), high, ones, n, top)
 
     def _select(self, rank: np.ndarray, zeros: bool) -> np.ndarray:
         before = self.zeros if zeros else self.ones
-        block = np.searchsorted(before, rank, side="right") - 1
-        rank = rank - before[block]
-        rows = np.arange(len(rank))
-        words = np.asarray(self.high).reshape(-1, 8)[block]
+        at = np.searchsorted(before, rank.astype(np.uint32), side="right") - 1
+        rank = rank - before[at]
+        word = self.high[at]
         if zeros:
-            words = ~words
-        upto = np.bitwise_count(words).cumsum(1, dtype=np.int64)
-        w = (upto <= rank[:, None]).sum(1)
-        rank = rank - np.where(w, upto[rows, np.maximum(w, 1) - 1], 0)
-        of_bytes = np.ascontiguousarray(words[rows, w]).view(np.uint8).reshape(-1, 8)
-        upto = _COUNT[of_bytes].cumsum(1)
-        b = (upto <= rank[:, None]).sum(1)
-        rank = rank - np.where(b, upto[rows, np.maximum(b, 1) - 1], 0)
-        return block * 512 + w * 64 + b * 8 + _SELECT[of_bytes[rows, b], rank]
+            word = ~word
+        at *= 64
+        for half in (32, 16, 8):  # narrow down to the byte
+            ones = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
+            on = rank >= ones
+            rank = rank - ones * on
+            at += half * on
+            word = word >> (np.uint64(half) * on)
+        return at + _SELECT[(word & np.uint64(255)).astype(np.int64) * 8 + rank]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         if not len(i):
@@ -195,6 +193,16 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
 
 
+def by_shard(shard: np.ndarray, rows: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that has some of the rows, with them in order."""
+    of = shard[rows].astype(np.uint16 if shards < 65536 else np.int64)  # two bytes are sorted by radix
+    order = np.argsort(of, kind="stable")
+    edges = np.searchsorted(of[order], np.arange(shards + 1)).tolist()
+    for k in range(shards):
+        if edges[k + 1] > edges[k]:
+            yield k, rows[order[edges[k] : edges[k + 1]]]
+
+
 class Vocabulary:
     """Ids and counts of the training words, in files by the upper bits of the hash."""
 
@@ -276,16 +284,11 @@ class Model:
         known = (a >= 0) & (b >= 0)
         key = (np.where(known, a, 0).astype(np.uint64) << np.uint64(32)) | np.where(known, b, 0).astype(np.uint64)
         shard = shard_of(key, self.shards)
-        order = np.argsort(shard, kind="stable")
-        order = order[known[order]]
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for k in range(self.shards):
-            rows = order[edges[k] : edges[k + 1]]
-            if len(rows):
-                x = self.pair(k)
-                found = search_next(x["contexts"], x["pointers"], x["next"], a[rows], b[rows])
-                place[rows] = found
-                code[rows[found >= 0]] = x["code"][found[found >= 0]]
+        for k, rows in by_shard(shard, np.nonzero(known)[0], self.shards):
+            x = self.pair(k)
+            found = search_next(x["contexts"], x["pointers"], x["next"], a[rows], b[rows])
+            place[rows] = found
+            code[rows[found >= 0]] = x["code"][found[found >= 0]]
         return shard, place, code
 
     def log10(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -301,18 +304,12 @@ class Model:
             context = np.concatenate([[-1], place[:-1]])
             context[first] = -1
             context_shard = np.concatenate([[0], shard[:-1]])
-            usable = np.nonzero((context >= 0) & ~first)[0]
-            by = np.argsort(context_shard[usable], kind="stable")
-            usable = usable[by]
-            edges = np.searchsorted(context_shard[usable], np.arange(self.shards + 1))
-            for k in range(self.shards):
-                rows = usable[edges[k] : edges[k + 1]]
-                if len(rows):
-                    x = self.triple(k)
-                    found = np.full(len(rows), -1, dtype=np.int64)
-                    known = ids[rows] >= 0
-                    found[known] = search_next(None, x["pointers"], x["next"], context[rows][known], ids[rows][known])
-                    out[rows] = np.where(found >= 0, -STEP * x["code"][np.maximum(found, 0)] if len(x["code"]) else 0.0, out[rows] - STEP * x["back"][context[rows]])
+            for k, rows in by_shard(context_shard, np.nonzero((context >= 0) & ~first)[0], self.shards):
+                x = self.triple(k)
+                found = np.full(len(rows), -1, dtype=np.int64)
+                known = ids[rows] >= 0
+                found[known] = search_next(None, x["pointers"], x["next"], context[rows][known], ids[rows][known])
+                out[rows] = np.where(found >= 0, -STEP * x["code"][np.maximum(found, 0)] if len(x["code"]) else 0.0, out[rows] - STEP * x["back"][context[rows]])
         out[first] = 0.0
         return out
 
