@@ -220,21 +220,24 @@ def forest(a: pa.Table, b: pa.Table, radius: int, least: float | None) -> list[t
     return out
 
 
-def links(nodes: DataFrame, radius: int, sketches: DataFrame | None = None, least: float | None = None) -> DataFrame:
-    """fp, node of distinct nodes to edges a, b between nodes. Links within radius bits (and, by the sketches of nodes, of the
-    least similarity) have the same components as these edges."""
-    spark = nodes.sparkSession
-    rows = nodes.count()
+def probing(nodes: DataFrame, radius: int) -> list[tuple[int, int]]:
+    """plan() for these nodes, from a sample of their fingerprints and their number."""
     drawn = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    chosen = plan(np.array([r.fp for r in drawn], dtype=np.int64).view(np.uint64), rows, radius)
+    return plan(np.array([r.fp for r in drawn], dtype=np.int64).view(np.uint64), nodes.count(), radius)
+
+
+def links(nodes: DataFrame, chosen: list[tuple[int, int]], radius: int, sketches: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """fp, node, known of distinct nodes to edges a, b between nodes. Links within radius bits (and, by the sketches of nodes, of
+    the least similarity) between nodes not known to be together have the same components as these edges."""
     index = probes = None
     for k, (mask, t) in enumerate(chosen):
         own = F.col("fp").bitwiseAND(F.lit(signed(mask)))
-        i = nodes.select(F.lit(k).alias("part"), own.alias("value"), "fp", "node")
-        p = nodes.select(F.lit(k).alias("part"), F.explode(_changed(own, flips(mask, t))).alias("value"), F.col("fp").alias("probe_fp"), F.col("node").alias("probe"))
+        i = nodes.select(F.lit(k).alias("part"), own.alias("value"), "fp", "node", "known")
+        p = nodes.select(F.lit(k).alias("part"), F.explode(_changed(own, flips(mask, t))).alias("value"), F.col("fp").alias("probe_fp"), F.col("node").alias("probe"), F.col("known").alias("probe_known"))
         index, probes = (i, p) if index is None else (index.unionAll(i), probes.unionAll(p))
+    rows = nodes.count()
     limit = F.create_map(*[F.lit(x) for k, (mask, _) in enumerate(chosen) for x in (k, float(HOT_ROWS + HOT_TIMES * rows / 2.0 ** mask.bit_count()))])
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("probe_fp"))) <= radius) & (F.col("node") < F.col("probe"))
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("probe_fp"))) <= radius) & (F.col("node") < F.col("probe")) & (F.col("known") != F.col("probe_known"))
     hot = common.staged(index.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") >= limit[F.col("part")]))
     none = hot.isEmpty()
     cool = index if none else index.join(hot, ["part", "value"], "left_anti")
@@ -244,6 +247,20 @@ def links(nodes: DataFrame, radius: int, sketches: DataFrame | None = None, leas
     return found if none else found.unionAll(_in_blocks(index, probes, hot, radius, sketches, least))
 
 
+def star_links(nodes: DataFrame, chosen: list[tuple[int, int]], radius: int) -> DataFrame:
+    """Links a, b within radius bits between the rows of each bucket and two rows of it: as many as there are rows, at most. They
+    join most of a dense group before its pairs are compared."""
+    out = None
+    for mask, _ in chosen:
+        rows = nodes.select(F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("value"), "fp", "node")
+        for seed in (0, 1):
+            pivot = rows.groupBy("value").agg(F.min_by(F.struct("fp", "node"), F.xxhash64("node", F.lit(seed))).alias("pivot"))
+            near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot.fp"))) <= radius) & (F.col("node") != F.col("pivot.node"))
+            found = rows.join(pivot, "value").where(near).select(F.greatest("node", F.col("pivot.node")).alias("a"), F.least("node", F.col("pivot.node")).alias("b"))
+            out = found if out is None else out.unionAll(found)
+    return out.distinct()
+
+
 def _verified(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,6 +281,7 @@ def _in_blocks(index: DataFrame, probes: DataFrame, hot: DataFrame, radius: int,
     i = index.join(blocks, ["part", "value"]).withColumn("i", F.pmod(F.xxhash64("node"), "bi")).withColumn("p", every("bp"))
     q = p.join(blocks, ["part", "value"]).withColumn("p", F.pmod(F.xxhash64("node"), "bp")).withColumn("i", every("bi"))
     cols = ["part", "value", "i", "p", "fp", "node"]
+    i = i.drop("known")
     if sketches is None:
         i, q = (x.select(*cols, F.lit(None).cast("binary").alias("sketch")) for x in (i, q))
     else:
@@ -298,17 +316,26 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     """doc_id, fp, component_id of every row: the smallest doc_id that links of up to radius bits reach."""
     prints = common.staged(fingerprints(docs, words))
     first = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(first.select("fp", F.col("fp").alias("node")), radius))
+    nodes = first.select("fp", F.col("fp").alias("node"), F.col("fp").alias("known"))
+    roots = components(links(nodes, probing(nodes, radius), radius))
     named = _named(first.withColumnRenamed("fp", "node"), roots)
     return prints.join(named.withColumnRenamed("node", "fp"), "fp").select("doc_id", "fp", "component_id")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, print_words: int = 2, radius: int = 8) -> DataFrame:
     """doc_id, node, component_id of every row: links are of nodes (sets of shingles) of the least Jaccard similarity over
-    words-word shingles, found by fingerprints of the distinct print_words-word shingles within radius bits."""
+    words-word shingles, found by fingerprints of the distinct print_words-word shingles within radius bits.
+
+    Links to two rows of each bucket come first; then only nodes that these leave apart are compared.
+    """
     prints = common.staged(sketched(docs, words, print_words))
     first = common.staged(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(first.select("fp", "node"), radius, prints.select("node", "sketch").dropDuplicates(["node"]), least))
+    sketches = common.staged(prints.select("node", "sketch").dropDuplicates(["node"]))
+    chosen = probing(first, radius)
+    stars = common.staged(_verified(star_links(first, chosen, radius), sketches, least))
+    together = common.staged(components(stars))
+    nodes = common.staged(first.join(together, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("known")))
+    roots = components(stars.unionAll(links(nodes, chosen, radius, sketches, least)))
     named = _named(first.groupBy("node").agg(F.min("first_id").alias("first_id")), roots)
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id")
 

@@ -59,15 +59,16 @@ def test_pigeonhole_finds_all_links(spark, monkeypatch):
     fps += [x ^ sum(1 << b for b in r.sample(range(64), r.randrange(1, 8))) for x in fps for _ in range(2)]
     fps = list(dict.fromkeys(fps))
     want = {tuple(sorted((i, j))) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 6}
-    nodes = spark.createDataFrame([(simhash.signed(x), k) for k, x in enumerate(fps)], "fp long, node long")
-    assert {(min(e), max(e)) for e in simhash.links(nodes, 6).collect()} == want
+    nodes = spark.createDataFrame([(simhash.signed(x), k, k) for k, x in enumerate(fps)], "fp long, node long, known long")
+    chosen = simhash.probing(nodes, 6)
+    assert {(min(e), max(e)) for e in simhash.links(nodes, chosen, 6).collect()} == want
 
     def parts(edges):
         return {frozenset(g) for g in _groups(edges, len(fps))}
 
     monkeypatch.setattr(simhash, "HOT_ROWS", -10_000)  # every bucket in blocks
     monkeypatch.setattr(simhash, "BLOCK", 64)
-    assert parts([tuple(e) for e in simhash.links(nodes, 6).collect()]) == parts(want)
+    assert parts([tuple(e) for e in simhash.links(nodes, chosen, 6).collect()]) == parts(want)
 
 
 def _groups(edges, n):
