@@ -121,14 +121,24 @@ class EliasFano:
         some = upper > 0
         bit[some] = self._select(upper[some] - 1, True) + 1
         at = bit - upper
-        while len(live):
+        for _ in range(2):  # most buckets have an element or two
             inside = (at < self.n) & ((self.high[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-            live, at, bit, lower = live[inside], at[inside], bit[inside], lower[inside]
+            live, at, bit, lower, upper = live[inside], at[inside], bit[inside], lower[inside], upper[inside]
             own = self.low[at]
             hit = own == lower
             out[live[hit]] = at[hit]
             on = own < lower
-            live, at, bit, lower = live[on], at[on] + 1, bit[on] + 1, lower[on]
+            live, at, bit, lower, upper = live[on], at[on] + 1, bit[on] + 1, lower[on], upper[on]
+        if len(live):  # long ones are halved
+            last = self._select(upper, True) - upper
+            first, end = at, last
+            while (end > first).any():
+                half = (first + end) >> 1
+                on = (first < end) & (self.low[np.minimum(half, self.n - 1)] < lower)
+                end = np.where((first < end) & ~on, half, end)
+                first = np.where(on, half + 1, first)
+            hit = (first < last) & (self.low[np.minimum(first, self.n - 1)] == lower)
+            out[live[hit]] = first[hit]
         return out
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
@@ -176,7 +186,7 @@ def load(folder: str, name: str) -> dict[str, np.ndarray]:
             pyarrow.fs.copy_files(path, f"{local}.part", source_filesystem=fs, destination_filesystem=pyarrow.fs.LocalFileSystem())
             os.replace(f"{local}.part", local)
         path = local
-    raw = np.memmap(path, dtype=np.uint8, mode="r")
+    raw = np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray)
     start = 8 + int(raw[:8].view(np.uint64)[0])
     head = json.loads(bytes(raw[8:start]))
     return {k: raw[start + at : start + at + n * np.dtype(kind).itemsize].view(kind) for k, (kind, at, n) in head.items()}
