@@ -38,8 +38,8 @@ from lexarium.llm import common
 
 LEAST, DISCOUNT, ADDED = 2, 0.9, 0.1
 #: Training tokens to a shard, words to a vocabulary file or a block of contexts, and tokens counted at a time.
-SHARD_TOKENS, BLOCK_WORDS, CHUNK_TOKENS = 8_000_000, 1 << 20, 1_500_000
-CACHE_WORDS = 600_000
+SHARD_TOKENS, BLOCK_WORDS, CHUNK_TOKENS = 8_000_000, 1 << 20, 1_000_000
+CACHE_WORDS = 400_000
 END = b""
 #: An eight-bit step of a stored logarithm, base 10.
 STEP = 1 / 28
