@@ -207,13 +207,15 @@ def forest(a: pa.Table, b: pa.Table, radius: int, least: float | None) -> list[t
         return x
 
     def side(t: pa.Table) -> tuple:
-        return t.column("fp").to_numpy().view(np.uint64), t.column("node").to_pylist(), [np.frombuffer(x or b"", np.uint32) for x in t.column("sketch").to_pylist()]
+        known = t.column("known").to_numpy()
+        return t.column("fp").to_numpy().view(np.uint64), known, known.tolist(), t.column("node").to_pylist(), [np.frombuffer(x or b"", np.uint32) for x in t.column("sketch").to_pylist()]
 
-    (fa, na, sa), (fb, nb, sb) = side(a), side(b)
+    (fa, ka, la, na, sa), (fb, kb, lb, nb, sb) = side(a), side(b)
     out = []
     for k in range(0, len(fa), 256):
-        for i, j in np.argwhere(np.bitwise_count(fa[k : k + 256, None] ^ fb[None, :]) <= radius).tolist():
-            ru, rv = root(na[k + i]), root(nb[j])
+        near = (np.bitwise_count(fa[k : k + 256, None] ^ fb[None, :]) <= radius) & (ka[k : k + 256, None] != kb[None, :])
+        for i, j in np.argwhere(near).tolist():
+            ru, rv = root(la[k + i]), root(lb[j])
             if ru != rv and (least is None or jaccard(sa[k + i], sb[j]) >= least):
                 parent[max(ru, rv)] = min(ru, rv)
                 out.append((na[k + i], nb[j]))
@@ -274,25 +276,25 @@ def _verified(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 
 def _in_blocks(index: DataFrame, probes: DataFrame, hot: DataFrame, radius: int, sketches: DataFrame | None, least: float | None) -> DataFrame:
     """The hot buckets' edges. Both sides are dealt to blocks of about BLOCK rows by hash, and every block meets every block in a group of its own."""
-    p = probes.join(hot, ["part", "value"]).select("part", "value", F.col("probe_fp").alias("fp"), F.col("probe").alias("node"))
+    p = probes.join(hot, ["part", "value"]).select("part", "value", F.col("probe_fp").alias("fp"), F.col("probe").alias("node"), F.col("probe_known").alias("known"))
     counts = p.groupBy("part", "value").agg(F.count("*").alias("np"))
     blocks = hot.join(counts, ["part", "value"]).select("part", "value", F.ceil(F.col("n") / BLOCK).alias("bi"), F.ceil(F.col("np") / BLOCK).alias("bp"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     i = index.join(blocks, ["part", "value"]).withColumn("i", F.pmod(F.xxhash64("node"), "bi")).withColumn("p", every("bp"))
     q = p.join(blocks, ["part", "value"]).withColumn("p", F.pmod(F.xxhash64("node"), "bp")).withColumn("i", every("bi"))
-    cols = ["part", "value", "i", "p", "fp", "node"]
-    i = i.drop("known")
+    cols = ["part", "value", "i", "p", "fp", "node", "known"]
     if sketches is None:
         i, q = (x.select(*cols, F.lit(None).cast("binary").alias("sketch")) for x in (i, q))
     else:
         i, q = (x.select(*cols).join(sketches, "node").select(*cols, "sketch") for x in (i, q))
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        e = np.array(forest(a, b, radius, least), dtype=np.int64).reshape(-1, 2)
+    def run(t: pa.Table) -> pa.Table:
+        of = t.column("side").to_numpy()
+        e = np.array(forest(t.filter(pa.array(of == 0)), t.filter(pa.array(of == 1)), radius, least), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": e[:, 0], "b": e[:, 1]})
 
-    keys = cols[:4]
-    return i.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(run, "a long, b long").where("a <> b")
+    both = i.withColumn("side", F.lit(0)).unionByName(q.withColumn("side", F.lit(1)))
+    return both.groupBy(*cols[:4]).applyInArrow(run, "a long, b long").where("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -100,7 +100,9 @@ def test_allocation_is_the_cheapest():
     assert sum(t) == 2 and sum(costs[k][x + 1] for k, x in enumerate(t)) == best[0]
 
 
-def test_similar_documents(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT_ROWS, -10_000])  # by joins, or every bucket in blocks
+def test_similar_documents(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
     r = random.Random(2)
     words = [f"{a}{b}" for a in "kltmnp" for b in "aeiou"] + [str(k) for k in range(300)]
     base = [[r.choice(words) for _ in range(150)] for _ in range(40)]
