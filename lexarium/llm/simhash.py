@@ -211,12 +211,21 @@ def forest(a: pa.Table, b: pa.Table, radius: int, least: float | None) -> list[t
         return t.column("fp").to_numpy().view(np.uint64), known, known.tolist(), t.column("node").to_pylist(), [np.frombuffer(x or b"", np.uint32) for x in t.column("sketch").to_pylist()]
 
     (fa, ka, la, na, sa), (fb, kb, lb, nb, sb) = side(a), side(b)
+    xa, xb = ([frozenset(x.tolist()) for x in y] if least is not None else [] for y in (sa, sb))
+
+    def alike(i: int, j: int) -> bool:
+        """jaccard() >= least; by counts alone where they decide."""
+        both, n, m = len(xa[i] & xb[j]), len(xa[i]), len(xb[j])
+        if max(n, m) < KEPT:
+            return both >= least * (n + m - both)
+        return both >= least * KEPT and jaccard(sa[i], sb[j]) >= least
+
     out = []
     for k in range(0, len(fa), 256):
         near = (np.bitwise_count(fa[k : k + 256, None] ^ fb[None, :]) <= radius) & (ka[k : k + 256, None] != kb[None, :])
         for i, j in np.argwhere(near).tolist():
             ru, rv = root(la[k + i]), root(lb[j])
-            if ru != rv and (least is None or jaccard(sa[k + i], sb[j]) >= least):
+            if ru != rv and (least is None or alike(k + i, j)):
                 parent[max(ru, rv)] = min(ru, rv)
                 out.append((na[k + i], nb[j]))
     return out
