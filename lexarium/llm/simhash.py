@@ -1,7 +1,6 @@
 """Near duplicates by SimHash, searched with the generalised pigeonhole principle.
 
-A fingerprint of 64 bits is made of each text. Equal fingerprints (or, where similarity is verified, equal sets of
-shingles) collapse to one node before anything is compared.
+A fingerprint of 64 bits is made of each text. Equal fingerprints collapse to one node before anything is compared.
 Two fingerprints within `radius` bits must, for thresholds t_1..t_m with sum(t_i) = radius - m + 1 over a partition of
 the bits, agree within t_i bits in at least one part i. Correlated bits are put in the same part, and a dynamic program
 chooses the thresholds (a part may get -1: it isn't probed) with the fewest estimated candidates. Every fingerprint is
@@ -9,8 +8,11 @@ indexed by the exact value of each part and probes the values within t_i bits; w
 A choice of parts and thresholds changes the cost only, never the links found.
 
 Buckets in which many fingerprints meet are compared in blocks that return a spanning forest, so no group emits all of
-its pairs. Where a least similarity is asked for, sketches of the shingle sets (exact for short texts) are compared
-too, before a link counts. Components are found by alternating star contractions on the shared folder.
+its pairs. Components are found by alternating star contractions on the shared folder.
+
+Where a least similarity is asked for, fingerprints aren't used: equal sets of shingles are one node, and candidates are
+nodes that share a shingle of their prefixes (frequent shingles last), which no pair of that similarity can avoid.
+Sketches of the shingle sets (exact for short texts) are compared before a link counts.
 
 Defined cases: a null text is an empty one; a text without words has fingerprint 0 and is linked like any other; a text
 with fewer words than a shingle has one shingle; repeated rows and ties share a fingerprint, and the smallest id names
@@ -40,6 +42,8 @@ HOT_ROWS, HOT_TIMES = 64, 16
 #: Hashes of a similarity sketch.
 KEPT = 256
 BLOCK = 2048
+#: Documents from which frequent shingles are taken, and how many of these at most: a cost choice, not a filter.
+SAMPLED, LATE = 4096, 100_000
 
 
 def shingle_hashes(w: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -83,12 +87,18 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return common.documents(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def sketch(w: list[bytes], words: int) -> np.ndarray:
-    """The KEPT least hashes, 32 bits each, of the distinct shingles; all of them if they are fewer."""
-    least = np.zeros(0, dtype=np.uint32)
-    for h in shingle_hashes(w, words):
-        least = np.unique(np.concatenate([least, (h >> np.uint64(32)).astype(np.uint32)]))[:KEPT]
-    return least
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles' hashes, in order."""
+    return np.unique(np.concatenate([*shingle_hashes(words_of(text), words), np.zeros(0, np.uint64)]))
+
+
+def node_of(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The KEPT least hashes, 32 bits each; all of them if they are fewer."""
+    return np.unique((shingles >> np.uint64(32)).astype(np.uint32))[:KEPT]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -99,20 +109,84 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(union, np.intersect1d(a, b)).mean()) if len(union) else 1.0
 
 
-def sketched(docs: DataFrame, words: int, print_words: int) -> DataFrame:
-    """doc_id, fp of the distinct print_words-word shingles, sketch of the words-word ones, and node, its hash."""
+def frequent(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles of three sampled documents or more, at most LATE. They only order the others: what isn't here costs time, not links."""
+    step = max(1, docs.count() // SAMPLED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, kept, node = [], [], []
             for t in b.column("text").to_pylist():
-                w = words_of(t)
-                fp.append(majority([np.unique(np.concatenate([*shingle_hashes(w, print_words), np.zeros(0, np.uint64)]))]))
-                kept.append(sketch(w, words).tobytes())
-                node.append(xxhash.xxh64_intdigest(kept[-1], SEED))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(kept, pa.binary())], ["doc_id", "fp", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], ["value"])
+
+    drawn = common.documents(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").distinct()
+    found = drawn.mapInArrow(run, "value long").groupBy("value").agg(F.count("*").alias("n")).where("n >= 3")
+    return np.sort(np.array([r.value for r in found.orderBy(F.col("n").desc(), "value").limit(LATE).select("value").collect()], dtype=np.int64).view(np.uint64))
+
+
+def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """doc_id, node (hash of the shingle set), n (shingles), prefix: the set's first n - ceil(least n) + 1 shingles, frequent ones last.
+
+    Two sets of the least similarity share least * max(n, m) shingles or more, so the first one they share, in any order that
+    all sets follow, lies in both prefixes."""
+    late = frequent(docs, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, n, prefix = [], [], []
+            for t in b.column("text").to_pylist():
+                own = shingle_set(t, words)
+                at = np.isin(own, late)
+                node.append(node_of(own))
+                n.append(len(own))
+                prefix.append(np.concatenate([own[~at], own[at]])[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 if len(own) else 0].view(np.int64))
+            ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists], ["doc_id", "node", "n", "prefix"])
+
+    return common.documents(docs).mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
+
 
-    return common.documents(docs).mapInArrow(run, "doc_id long, fp long, node long, sketch binary")
+def _may_reach(least: float) -> Column:
+    """Of two rows of a bucket: from their places i, j on, enough shingles are left for the least similarity. True of the first
+    shingle that two such sets share."""
+    return F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.ceil((F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-9)
+
+
+def star_links(index: DataFrame, least: float) -> DataFrame:
+    """Candidates a, b of the rows of each bucket and two rows of it: as many as there are rows, at most. They join most of a
+    dense group before its pairs are compared."""
+    out = None
+    for seed in (0, 1):
+        pivot = index.groupBy("value").agg(F.min_by(F.struct("node", "n", "i"), F.xxhash64("node", F.lit(seed))).alias("p"))
+        pivot = pivot.select("value", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.i").alias("j"))
+        found = index.join(pivot, "value").where((F.col("node") != F.col("other")) & _may_reach(least)).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
+        out = found if out is None else out.unionAll(found)
+    return out.distinct()
+
+
+def pair_links(index: DataFrame, least: float) -> DataFrame:
+    """Candidates a, b: all pairs of a bucket that aren't known to be together."""
+    mixed = index.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x <> y").select("value")
+    index = common.staged(index.join(mixed, "value", "left_semi"))
+    other = index.select("value", F.col("node").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("known").alias("other_known"))
+    apart = (F.col("node") > F.col("other")) & (F.col("known") != F.col("other_known"))
+    return index.join(other, "value").where(apart & _may_reach(least)).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def alike(edges: DataFrame, docs: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
+    """The edges a, b of the least similarity. Texts of their nodes are read again (first: node, first_id)."""
+    edges = common.staged(edges)
+    needed = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct().join(first, "node")
+    texts = common.documents(docs).join(needed.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [shingle_set(t, words) for t in b.column("text").to_pylist()]
+            node = np.array([node_of(x) for x in own], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([sketch(x).tobytes() for x in own], pa.binary())], ["node", "sketch"])
+
+    sets = common.staged(texts.mapInArrow(read, "node long, sketch binary").join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    return _verified(edges, sets, least)
 
 
 def parts_of(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -258,20 +332,6 @@ def links(nodes: DataFrame, chosen: list[tuple[int, int]], radius: int, sketches
     return found if none else found.unionAll(_in_blocks(index, probes, hot, radius, sketches, least))
 
 
-def star_links(nodes: DataFrame, chosen: list[tuple[int, int]], radius: int) -> DataFrame:
-    """Links a, b within radius bits between the rows of each bucket and two rows of it: as many as there are rows, at most. They
-    join most of a dense group before its pairs are compared."""
-    out = None
-    for mask, _ in chosen:
-        rows = nodes.select(F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("value"), "fp", "node")
-        for seed in (0, 1):
-            pivot = rows.groupBy("value").agg(F.min_by(F.struct("fp", "node"), F.xxhash64("node", F.lit(seed))).alias("pivot"))
-            near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot.fp"))) <= radius) & (F.col("node") != F.col("pivot.node"))
-            found = rows.join(pivot, "value").where(near).select(F.greatest("node", F.col("pivot.node")).alias("a"), F.least("node", F.col("pivot.node")).alias("b"))
-            out = found if out is None else out.unionAll(found)
-    return out.distinct()
-
-
 def _verified(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -333,21 +393,22 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return prints.join(named.withColumnRenamed("node", "fp"), "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, print_words: int = 2, radius: int = 8) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, node, component_id of every row: links are of nodes (sets of shingles) of the least Jaccard similarity over
-    words-word shingles, found by fingerprints of the distinct print_words-word shingles within radius bits.
+    words-word shingles, found by the shingles that their prefixes share.
 
     Links to two rows of each bucket come first; then only nodes that these leave apart are compared.
     """
-    prints = common.staged(sketched(docs, words, print_words))
-    first = common.staged(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")))
-    sketches = common.staged(prints.select("node", "sketch").dropDuplicates(["node"]))
-    chosen = probing(first, radius)
-    stars = common.staged(_verified(star_links(first, chosen, radius), sketches, least))
+    prints = common.staged(prefixes(docs, words, least))
+    first = common.staged(prints.groupBy("node").agg(F.min("doc_id").alias("first_id")))
+    rows = prints.dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("i", "value"))
+    shared = rows.groupBy("value").agg(F.count("*").alias("rows")).where("rows > 1").select("value")
+    index = common.staged(rows.join(shared, "value", "left_semi"))
+    stars = common.staged(alike(star_links(index, least), docs, first, words, least))
     together = common.staged(components(stars))
-    nodes = common.staged(first.join(together, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("known")))
-    roots = components(stars.unionAll(links(nodes, chosen, radius, sketches, least)))
-    named = _named(first.groupBy("node").agg(F.min("first_id").alias("first_id")), roots)
+    index = index.join(together, "node", "left").select("value", "node", "n", "i", F.coalesce("root", "node").alias("known"))
+    roots = components(stars.unionAll(alike(pair_links(index, least), docs, first, words, least)))
+    named = _named(first, roots)
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id")
 
 

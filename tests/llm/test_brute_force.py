@@ -123,6 +123,32 @@ def test_similar_documents(spark, monkeypatch, hot):
     assert sum(got[i] == got[j] for i, j in want) >= 0.9 * len(want)
 
 
+def _same_groups(spark, texts):
+    """similar_documents against all pairs; the pairs of 0.8 or more that aren't equal."""
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    groups = {x: min(g) for g in _groups(want, len(sets)) for x in g}
+    assert [got[i] for i in range(len(sets))] == [groups[i] for i in range(len(sets))]
+    return [(i, j) for i, j in want if sets[i] != sets[j]]
+
+
+def _replaced(r, w, similarity):
+    """w with one passage replaced, at its end or inside, so that about this similarity is left."""
+    n = round((len(w) - 4) * (1 - similarity) / (1 + similarity))
+    at = r.choice([len(w) - n, r.randrange(len(w) - n)])
+    return [*w[:at], *(f"new{r.randrange(10**6)}" for _ in range(n)), *w[at + n :]]
+
+
+def test_similar_documents_with_replaced_passages(spark):
+    r = random.Random(8)
+    texts = []
+    for _ in range(60):
+        w = [str(r.randrange(900)) for _ in range(r.randrange(60, 240))]
+        texts += [" ".join(w), " ".join(_replaced(r, w, r.uniform(0.72, 0.95)))]
+    assert len(_same_groups(spark, texts)) > 30
+
+
 def test_bpe(spark, docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
