@@ -12,7 +12,7 @@ its pairs. Components are found by alternating star contractions on the shared f
 
 Where a least similarity is asked for, fingerprints aren't used: equal sets of shingles are one node, and candidates are
 nodes that share a shingle of their prefixes (frequent shingles last), which no pair of that similarity can avoid.
-Sketches of the shingle sets (exact for short texts) are compared before a link counts.
+Their whole sets are compared before a link counts.
 
 Defined cases: a null text is an empty one; a text without words has fingerprint 0 and is linked like any other; a text
 with fewer words than a shingle has one shingle; repeated rows and ties share a fingerprint, and the smallest id names
@@ -39,8 +39,6 @@ SEED = 42
 SAMPLE = 2048
 #: A bucket is compared in blocks from so many index rows on, and so many times those that even dealing would give it.
 HOT_ROWS, HOT_TIMES = 64, 16
-#: Hashes of a similarity sketch.
-KEPT = 256
 BLOCK = 2048
 #: Documents from which frequent shingles are taken, and how many of these at most: a cost choice, not a filter.
 SAMPLED, LATE = 4096, 100_000
@@ -96,17 +94,10 @@ def node_of(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The KEPT least hashes, 32 bits each; all of them if they are fewer."""
-    return np.unique((shingles >> np.uint64(32)).astype(np.uint32))[:KEPT]
-
-
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sketches: exact where neither is full, else over the least hashes of both. Empty ones are alike."""
-    union = np.union1d(a, b)
-    if max(len(a), len(b)) == KEPT:
-        union = union[:KEPT]
-    return float(np.isin(union, np.intersect1d(a, b)).mean()) if len(union) else 1.0
+    """Of two sets in order. Empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
 def frequent(docs: DataFrame, words: int) -> np.ndarray:
@@ -174,7 +165,7 @@ def pair_links(index: DataFrame, least: float) -> DataFrame:
 
 
 def alike(edges: DataFrame, docs: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
-    """The edges a, b of the least similarity. Texts of their nodes are read again (first: node, first_id)."""
+    """The edges a, b of the least similarity, by whole shingle sets. Texts of their nodes are read again (first: node, first_id)."""
     edges = common.staged(edges)
     needed = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct().join(first, "node")
     texts = common.documents(docs).join(needed.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -183,10 +174,16 @@ def alike(edges: DataFrame, docs: DataFrame, first: DataFrame, words: int, least
         for b in batches:
             own = [shingle_set(t, words) for t in b.column("text").to_pylist()]
             node = np.array([node_of(x) for x in own], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([sketch(x).tobytes() for x in own], pa.binary())], ["node", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= least for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    sets = common.staged(texts.mapInArrow(read, "node long, sketch binary").join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    return _verified(edges, sets, least)
+    sets = common.staged(texts.mapInArrow(read, "node long, shingles binary").join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def parts_of(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -270,8 +267,8 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def forest(a: pa.Table, b: pa.Table, radius: int, least: float | None) -> list[tuple[int, int]]:
-    """Edges that join what links between a and b join; fewer than both have rows. A link within a tree isn't verified."""
+def forest(a: pa.Table, b: pa.Table, radius: int) -> list[tuple[int, int]]:
+    """Edges that join what links between a and b join; fewer than both have rows."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -282,24 +279,15 @@ def forest(a: pa.Table, b: pa.Table, radius: int, least: float | None) -> list[t
 
     def side(t: pa.Table) -> tuple:
         known = t.column("known").to_numpy()
-        return t.column("fp").to_numpy().view(np.uint64), known, known.tolist(), t.column("node").to_pylist(), [np.frombuffer(x or b"", np.uint32) for x in t.column("sketch").to_pylist()]
-
-    (fa, ka, la, na, sa), (fb, kb, lb, nb, sb) = side(a), side(b)
-    xa, xb = ([frozenset(x.tolist()) for x in y] if least is not None else [] for y in (sa, sb))
-
-    def alike(i: int, j: int) -> bool:
-        """jaccard() >= least; by counts alone where they decide."""
-        both, n, m = len(xa[i] & xb[j]), len(xa[i]), len(xb[j])
-        if max(n, m) < KEPT:
-            return both >= least * (n + m - both)
-        return both >= least * KEPT and jaccard(sa[i], sb[j]) >= least
+        return t.column("fp").to_numpy().view(np.uint64), known, known.tolist(), t.column("node").to_pylist()
 
+    (fa, ka, la, na), (fb, kb, lb, nb) = side(a), side(b)
     out = []
     for k in range(0, len(fa), 256):
         near = (np.bitwise_count(fa[k : k + 256, None] ^ fb[None, :]) <= radius) & (ka[k : k + 256, None] != kb[None, :])
         for i, j in np.argwhere(near).tolist():
             ru, rv = root(la[k + i]), root(lb[j])
-            if ru != rv and (least is None or alike(k + i, j)):
+            if ru != rv:
                 parent[max(ru, rv)] = min(ru, rv)
                 out.append((na[k + i], nb[j]))
     return out
@@ -311,9 +299,9 @@ def probing(nodes: DataFrame, radius: int) -> list[tuple[int, int]]:
     return plan(np.array([r.fp for r in drawn], dtype=np.int64).view(np.uint64), nodes.count(), radius)
 
 
-def links(nodes: DataFrame, chosen: list[tuple[int, int]], radius: int, sketches: DataFrame | None = None, least: float | None = None) -> DataFrame:
-    """fp, node, known of distinct nodes to edges a, b between nodes. Links within radius bits (and, by the sketches of nodes, of
-    the least similarity) between nodes not known to be together have the same components as these edges."""
+def links(nodes: DataFrame, chosen: list[tuple[int, int]], radius: int) -> DataFrame:
+    """fp, node, known of distinct nodes to edges a, b between nodes. Links within radius bits between nodes not known to be
+    together have the same components as these edges."""
     index = probes = None
     for k, (mask, t) in enumerate(chosen):
         own = F.col("fp").bitwiseAND(F.lit(signed(mask)))
@@ -327,23 +315,10 @@ def links(nodes: DataFrame, chosen: list[tuple[int, int]], radius: int, sketches
     none = hot.isEmpty()
     cool = index if none else index.join(hot, ["part", "value"], "left_anti")
     found = cool.join(probes, ["part", "value"]).where(near).select(F.col("probe").alias("a"), F.col("node").alias("b")).distinct()
-    if sketches is not None:
-        found = _verified(found, sketches, least)
-    return found if none else found.unionAll(_in_blocks(index, probes, hot, radius, sketches, least))
-
-
-def _verified(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column("sa").to_pylist(), b.column("sb").to_pylist()
-            alike = [jaccard(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= least for p, q in zip(x, y, strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
-
-    both = edges.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return found if none else found.unionAll(_in_blocks(index, probes, hot, radius))
 
 
-def _in_blocks(index: DataFrame, probes: DataFrame, hot: DataFrame, radius: int, sketches: DataFrame | None, least: float | None) -> DataFrame:
+def _in_blocks(index: DataFrame, probes: DataFrame, hot: DataFrame, radius: int) -> DataFrame:
     """The hot buckets' edges. Both sides are dealt to blocks of about BLOCK rows by hash, and every block meets every block in a group of its own."""
     p = probes.join(hot, ["part", "value"]).select("part", "value", F.col("probe_fp").alias("fp"), F.col("probe").alias("node"), F.col("probe_known").alias("known"))
     counts = p.groupBy("part", "value").agg(F.count("*").alias("np"))
@@ -352,14 +327,11 @@ def _in_blocks(index: DataFrame, probes: DataFrame, hot: DataFrame, radius: int,
     i = index.join(blocks, ["part", "value"]).withColumn("i", F.pmod(F.xxhash64("node"), "bi")).withColumn("p", every("bp"))
     q = p.join(blocks, ["part", "value"]).withColumn("p", F.pmod(F.xxhash64("node"), "bp")).withColumn("i", every("bi"))
     cols = ["part", "value", "i", "p", "fp", "node", "known"]
-    if sketches is None:
-        i, q = (x.select(*cols, F.lit(None).cast("binary").alias("sketch")) for x in (i, q))
-    else:
-        i, q = (x.select(*cols).join(sketches, "node").select(*cols, "sketch") for x in (i, q))
+    i, q = i.select(*cols), q.select(*cols)
 
     def run(t: pa.Table) -> pa.Table:
         of = t.column("side").to_numpy()
-        e = np.array(forest(t.filter(pa.array(of == 0)), t.filter(pa.array(of == 1)), radius, least), dtype=np.int64).reshape(-1, 2)
+        e = np.array(forest(t.filter(pa.array(of == 0)), t.filter(pa.array(of == 1)), radius), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": e[:, 0], "b": e[:, 1]})
 
     both = i.withColumn("side", F.lit(0)).unionByName(q.withColumn("side", F.lit(1)))

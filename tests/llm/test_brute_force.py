@@ -149,6 +149,15 @@ def test_similar_documents_with_replaced_passages(spark):
     assert len(_same_groups(spark, texts)) > 30
 
 
+def test_similar_documents_of_long_texts(spark):
+    r = random.Random(9)
+    texts = []
+    for k in range(80):
+        w = [str(r.randrange(5000)) for _ in range((300, 700, 2000, 5000)[k % 4])]
+        texts += [" ".join(w), " ".join(_replaced(r, w, r.uniform(0.77, 0.83)))]
+    assert len(_same_groups(spark, texts)) > 20
+
+
 def test_bpe(spark, docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
