@@ -7,18 +7,22 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of an Arrow batch; texts are long, and a batch must stay small beside a Python worker's memory.
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: Bits that stand for a set of ids at most (16 MB).
+MARK_BITS = 1 << 27
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """The session with Arrow batches of BATCH_ROWS rows, and a checkpoint folder of its own only where none is set."""
+    """The session with Arrow batches of BATCH_ROWS rows and about BATCH_BYTES bytes, and a checkpoint folder of its own only where none is set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexarium-"))
     return spark
@@ -57,6 +61,41 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def id_marks(hashes: DataFrame) -> np.ndarray | None:
+    """One bit for each hash h (mod the number of bits, 16 a row, MARK_BITS at most): rows without their bit aren't among them.
+    None if so few bits would say little."""
+    n = hashes.count()
+    bits = 1 << max(15, (16 * n - 1).bit_length())
+    if bits > MARK_BITS:
+        return None
+    at = hashes.select(F.pmod("h", F.lit(bits)).alias("h"))
+    parts = at.groupBy(F.bitmap_bucket_number(F.col("h") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("h") + 1)).alias("bits")).collect()  # of 4 KB each
+    out = np.zeros((bits // 32768, 4096), dtype=np.uint8)
+    for r in parts:
+        out[r.k - 1] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out.ravel()
+
+
+def marked(df: DataFrame, h: Column, marks: np.ndarray | None, flag: str | None = None) -> DataFrame:
+    """The rows of df whose hash h has its bit, and some others by accident; all of them if marks is None. With a flag: all rows,
+    and a column of that name that says so."""
+    if marks is None:
+        return df.withColumn(flag, F.lit(True)) if flag else df
+    sent = df.sparkSession.sparkContext.broadcast(marks)
+    bits = len(marks) * 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for b in batches:
+            at = b.column(b.num_columns - 1).to_numpy()
+            has = (own[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            rest = b.select(range(b.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(has)], [*rest.schema.names, flag]) if flag else rest.filter(pa.array(has))
+
+    schema = T.StructType([*df.schema.fields, *([T.StructField(flag, T.BooleanType())] if flag else [])])
+    return df.select("*", F.pmod(h, F.lit(bits)).alias("_at")).mapInArrow(run, schema)
+
+
 def with_result(df: DataFrame, compute, name: str, kind: str, arrow: pa.DataType) -> DataFrame:
     """df with a further column: compute(texts) of whole texts, a null one as empty. All columns pass as they are, without a join."""
 

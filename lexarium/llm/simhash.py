@@ -42,6 +42,10 @@ HOT_ROWS, HOT_TIMES = 64, 16
 BLOCK = 2048
 #: Documents from which frequent shingles are taken, and how many of these at most: a cost choice, not a filter.
 SAMPLED, LATE = 4096, 100_000
+#: Buckets of so many nodes are joined by links to so many of them, in as many turns, before pairs are compared: a cost choice.
+DENSE, PIVOTS, TURNS = 4, 3, 3
+#: Shingles of a group of sets that are compared in one place, 8 bytes each.
+CHUNK = 2_000_000
 
 
 def shingle_hashes(w: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -114,11 +118,16 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(np.array([r.value for r in found.orderBy(F.col("n").desc(), "value").limit(LATE).select("value").collect()], dtype=np.int64).view(np.uint64))
 
 
+def prefix_size(n: Column, least: float) -> Column:
+    return F.when(n > 0, n - F.ceil(n * least - 1e-9) + 1).otherwise(0)
+
+
 def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """doc_id, node (hash of the shingle set), n (shingles), prefix: the set's first n - ceil(least n) + 1 shingles, frequent ones last.
+    """doc_id, text_key (hash of the text), node (hash of the shingle set), n (shingles), prefix, last: the set's first
+    n - ceil(least n) + 1 shingles as ordered numbers, frequent ones last, and the greatest of them.
 
     Two sets of the least similarity share least * max(n, m) shingles or more, so the first one they share, in any order that
-    all sets follow, lies in both prefixes."""
+    all sets follow, lies in both prefixes. Numbers keep 63 bits of a shingle's hash: what meets by accident is compared whole."""
     late = frequent(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,64 +135,124 @@ def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
             node, n, prefix = [], [], []
             for t in b.column("text").to_pylist():
                 own = shingle_set(t, words)
-                at = np.isin(own, late)
+                first = np.where(np.isin(own, late), np.uint64(0), np.uint64(1 << 63))  # the sign of what comes first
+                number = np.sort(((own >> np.uint64(1)) | first).view(np.int64))
                 node.append(node_of(own))
                 n.append(len(own))
-                prefix.append(np.concatenate([own[~at], own[at]])[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 if len(own) else 0].view(np.int64))
+                prefix.append(number[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 if len(own) else 0])
             ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists], ["doc_id", "node", "n", "prefix"])
-
-    return common.documents(docs).mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
-
-
-def _may_reach(least: float) -> Column:
-    """Of two rows of a bucket: from their places i, j on, enough shingles are left for the least similarity. True of the first
-    shingle that two such sets share."""
-    return F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.ceil((F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-9)
+            last = pa.array([int(x[-1]) if len(x) else 0 for x in prefix], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists, last], names)
 
+    names = ["doc_id", "text_key", "node", "n", "prefix", "last"]
+    return common.documents(docs, text_key()).mapInArrow(run, "doc_id long, text_key long, node long, n int, prefix array<long>, last long")
 
-def star_links(index: DataFrame, least: float) -> DataFrame:
-    """Candidates a, b of the rows of each bucket and two rows of it: as many as there are rows, at most. They join most of a
-    dense group before its pairs are compared."""
-    out = None
-    for seed in (0, 1):
-        pivot = index.groupBy("value").agg(F.min_by(F.struct("node", "n", "i"), F.xxhash64("node", F.lit(seed))).alias("p"))
-        pivot = pivot.select("value", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.i").alias("j"))
-        found = index.join(pivot, "value").where((F.col("node") != F.col("other")) & _may_reach(least)).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
-        out = found if out is None else out.unionAll(found)
-    return out.distinct()
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")
 
-def pair_links(index: DataFrame, least: float) -> DataFrame:
-    """Candidates a, b: all pairs of a bucket that aren't known to be together."""
-    mixed = index.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x <> y").select("value")
-    index = common.staged(index.join(mixed, "value", "left_semi"))
-    other = index.select("value", F.col("node").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("known").alias("other_known"))
-    apart = (F.col("node") > F.col("other")) & (F.col("known") != F.col("other_known"))
-    return index.join(other, "value").where(apart & _may_reach(least)).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
+def meeting(prints: DataFrame) -> DataFrame:
+    """value, node, n of the numbers that two nodes' prefixes hold or more: sorted by value in each partition, a row stays if a
+    neighbour has its value. Nothing is gathered, and a frequent value only makes a longer run of rows."""
+    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    rows = nodes.select(F.explode("prefix").alias("value"), "node", "n")
 
-def alike(edges: DataFrame, docs: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
-    """The edges a, b of the least similarity, by whole shingle sets. Texts of their nodes are read again (first: node, first_id)."""
-    edges = common.staged(edges)
-    needed = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct().join(first, "node")
-    texts = common.documents(docs).join(needed.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, None  # the last row so far, and whether the one before has its value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            v = b.column("value").to_numpy()
+            same = v[1:] == v[:-1]
+            stays = np.concatenate([[bool(before)], same]) | np.concatenate([same, [False]])
+            before = bool(stays[-1])
+            held = b.slice(b.num_rows - 1)
+            yield b.slice(0, b.num_rows - 1).filter(pa.array(stays[:-1]))
+        if held is not None and before:
+            yield held
+
+    return rows.repartition("value").sortWithinPartitions("value").mapInArrow(run, "value long, node long, n int")
+
+
+def _fits(least: float) -> Column:
+    """Sets of m and n shingles may reach the least similarity."""
+    return F.least("n", "m") >= F.ceil(F.greatest("n", "m") * least - 1e-9)
+
+
+def star_links(index: DataFrame, least: float, turn: int) -> DataFrame:
+    """Candidates between the rows of each bucket of many nodes and PIVOTS of its nodes: a few times as many as there are rows,
+    at most. They join most of a dense group before its pairs are compared."""
+    mixed = index.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.sum("n").alias("weight"), *[F.min_by(F.struct("node", "n", "known"), F.xxhash64("node", F.lit(turn * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)], F.count("*").alias("rows"))
+    mixed = mixed.where((F.col("x") != F.col("y")) & (F.col("rows") >= DENSE))
+    pivots = mixed.select("value", "weight", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p"))
+    pivots = pivots.select("value", "weight", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.known").alias("other_known"))
+    out = index.join(pivots, "value").where((F.col("known") != F.col("other_known")) & _fits(least))
+    edge = out.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"), F.col("n") + F.col("m"), "value", "weight")
+    return edge.toDF("a", "b", "size", "value", "weight").groupBy("a", "b").agg(F.first("size").alias("size"), F.max(F.struct("weight", "value")).alias("at")).select("a", "b", "size", "at.*")
+
+
+def pair_links(index: DataFrame, first: DataFrame, least: float) -> DataFrame:
+    """Candidates: pairs of a bucket that aren't known to be together and share as many shingles of their prefixes as a pair of
+    the least similarity must. Of two prefixes, the one that ends first has all of its shared shingles in the other; what it
+    may share beyond is its set less its prefix."""
+    buckets = index.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.sum("n").alias("weight")).where("x <> y").select("value", "weight")
+    index = common.staged(index.join(buckets, "value"))
+    band = lambda n: F.floor(F.log(F.greatest(F.col(n), F.lit(1)).cast("double")) / F.lit(-1.000001 * float(np.log(least))))
+    # the larger set of a pair, or of equal ones the greater node, asks in its own band of sizes and in the one below
+    small = index.select("value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("known").alias("b_known"), band("n").alias("band"))
+    large = index.select("value", "weight", F.col("node").alias("a"), "n", F.col("known").alias("a_known"), F.explode(F.array(band("n"), band("n") - 1)).alias("band"))
+    ordered = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") > F.col("b")))
+    met = large.join(small, ["value", "band"]).where(ordered & (F.col("a_known") != F.col("b_known")) & _fits(least))
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"), F.max(F.struct("weight", "value")).alias("at"))
+    need = F.ceil((F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-9)
+    beyond = lambda n: F.col(n) - prefix_size(F.col(n), least)
+    pairs = pairs.where(F.col("shared") + F.greatest(beyond("n"), beyond("m")) >= need)
+    ends = first.select("node", "last")
+    pairs = pairs.join(ends.toDF("a", "a_last"), "a").join(ends.toDF("b", "b_last"), "b")
+    reach = F.when(F.col("a_last") < F.col("b_last"), beyond("n")).when(F.col("a_last") > F.col("b_last"), beyond("m")).otherwise(F.greatest(beyond("n"), beyond("m")))
+    return pairs.where(F.col("shared") + reach >= need).select("a", "b", (F.col("n") + F.col("m")).alias("size"), "at.*")
+
+
+def sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """node, shingles of the nodes needed (node, first_id), from the texts of their first ids, read again."""
+    marks = common.id_marks(needed.select(F.xxhash64("first_id").alias("h")))
+    texts = common.marked(common.documents(docs), F.xxhash64("doc_id"), marks)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [shingle_set(t, words) for t in b.column("text").to_pylist()]
             node = np.array([node_of(x) for x in own], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node), pa.array([x.tobytes() for x in own], pa.binary())], ["first_id", "node", "shingles"])
+
+    sets = texts.mapInArrow(read, "first_id long, node long, shingles binary")
+    return sets.join(needed, (sets.node == needed.node) & sets.first_id.eqNullSafe(needed.first_id), "left_semi").select("node", "shingles")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= least for x, y in zip(b.column("x"), b.column("y"), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    sets = common.staged(texts.mapInArrow(read, "node long, shingles binary").join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+def alike(edges: DataFrame, docs: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
+    """The edges of the least similarity, by whole shingle sets: a, b of edges a, b, size, value, weight.
+
+    Edges that met in one bucket are compared in one group, so that a set is sent once for many edges; groups hold CHUNK
+    shingles or so, and a bucket that holds more is cut in blocks of its nodes, each pair of which is a group."""
+    edges = common.staged(edges)
+    groups = max(1, int((edges.agg(F.sum("size")).first()[0] or 0) // CHUNK))
+    blocks = F.ceil(F.col("weight") / CHUNK)
+    own = lambda node: F.pmod(F.xxhash64(node), blocks)
+    by = ["g", "i", "j"]
+    edges = edges.select("a", "b", F.when(blocks <= 1, F.pmod(F.xxhash64("value"), F.lit(groups))).otherwise(F.col("value")).alias("g"), own("a").alias("i"), own("b").alias("j"))
+    ends = edges.select(*by, F.col("a").alias("node")).unionAll(edges.select(*by, F.col("b").alias("node"))).distinct().toDF("at_g", "at_i", "at_j", "node")
+    needed = common.staged(ends.select("node").distinct().join(first.select("node", "first_id"), "node"))
+    held = ends.join(sets_of(docs, needed, words), "node")
+
+    def compare(e: pa.Table, s: pa.Table) -> pa.Table:
+        sets = dict(zip(s.column("node").to_pylist(), s.column("shingles"), strict=True))
+        near = [jaccard(np.frombuffer(sets[a].as_buffer(), np.uint64), np.frombuffer(sets[b].as_buffer(), np.uint64)) >= least for a, b in zip(e.column("a").to_pylist(), e.column("b").to_pylist(), strict=True)]
+        return e.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return edges.groupBy(*by).cogroup(held.groupBy("at_g", "at_i", "at_j")).applyInArrow(compare, "a long, b long")
 
 
 def parts_of(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -366,29 +435,40 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 
 
 def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id, node, component_id of every row: links are of nodes (sets of shingles) of the least Jaccard similarity over
-    words-word shingles, found by the shingles that their prefixes share.
+    """doc_id, text_key, node, component_id, kept_node of every row: links are of nodes (sets of shingles) of the least Jaccard
+    similarity over words-word shingles, found by the shingles that their prefixes share. kept_node is that of the
+    component's row of the smallest id (of several, the least node).
 
-    Links to two rows of each bucket come first; then only nodes that these leave apart are compared.
+    Links to a few rows of each bucket come first, in TURNS; then only nodes that these leave apart are compared.
     """
     prints = common.staged(prefixes(docs, words, least))
-    first = common.staged(prints.groupBy("node").agg(F.min("doc_id").alias("first_id")))
-    rows = prints.dropDuplicates(["node"]).select("node", "n", F.posexplode("prefix").alias("i", "value"))
-    shared = rows.groupBy("value").agg(F.count("*").alias("rows")).where("rows > 1").select("value")
-    index = common.staged(rows.join(shared, "value", "left_semi"))
-    stars = common.staged(alike(star_links(index, least), docs, first, words, least))
-    together = common.staged(components(stars))
-    index = index.join(together, "node", "left").select("value", "node", "n", "i", F.coalesce("root", "node").alias("known"))
-    roots = components(stars.unionAll(alike(pair_links(index, least), docs, first, words, least)))
+    first = common.staged(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("last").alias("last")))
+    index = common.staged(meeting(prints))
+    links, together = None, None
+    for turn in range(TURNS):
+        known = index.withColumn("known", F.col("node")) if together is None else _known(index, together)
+        edges = common.staged(star_links(known, least, turn))
+        if edges.isEmpty():
+            break
+        found = common.staged(alike(edges, docs, first, words, least))
+        links = found if links is None else links.unionAll(found)
+        together = common.staged(components(links))
+    known = index.withColumn("known", F.col("node")) if together is None else _known(index, together)
+    rest = alike(pair_links(known, first, least), docs, first, words, least)
+    roots = components(rest if links is None else links.unionAll(rest))
     named = _named(first, roots)
-    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id")
+    return prints.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "node", "component_id", "kept_node")
+
+
+def _known(index: DataFrame, together: DataFrame) -> DataFrame:
+    return index.join(together, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("known"))
 
 
 def _named(first: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, component_id: the least first_id of the nodes of one root."""
+    """node, component_id, kept_node: the least first_id of the nodes of one root, and its node."""
     member = first.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
-    least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return member.join(least, "root").select("node", "component_id")
+    least = member.groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("kept"))
+    return member.join(least, "root").select("node", F.col("kept.first_id").alias("component_id"), F.col("kept.node").alias("kept_node"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
