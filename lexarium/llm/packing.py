@@ -35,7 +35,8 @@ from lexarium.llm import common
 LENGTH = 4096
 CLASSES = 64
 END_ID = 2
-CACHE_WORDS = 1_200_000
+#: Runs that a worker keeps, and their bytes.
+CACHE_WORDS, CACHE_BYTES = 300_000, 8_000_000
 #: ASCII marks that begin no contraction and no special token of the vocabulary.
 MARKS = b".,;:!?#$%&*()[]|/+=\""
 BLOCK_ROWS, BLOCK_TOKENS = 20_000, 12_000_000
@@ -50,6 +51,8 @@ class Tokenizer(dict):
     """
 
     def __init__(self, vocabulary: str) -> None:
+        super().__init__()
+        self.size = 0
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
@@ -65,12 +68,14 @@ class Tokenizer(dict):
             out = self[low]
         else:
             out = array("H", self.library.encode(run.decode(), add_special_tokens=False).ids).tobytes()
+        self.size += len(run) + len(out)
         self[run] = out
         return out
 
     def ids(self, text: str) -> bytes:
-        if len(self) > CACHE_WORDS:
+        if len(self) > CACHE_WORDS or self.size > CACHE_BYTES:
             self.clear()
+            self.size = 0
         return b"".join(map(self.__getitem__, text.encode().split()))
 
 

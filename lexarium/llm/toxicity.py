@@ -5,8 +5,8 @@ trie of the terms is walked by Levenshtein automata, one lazily built determinis
 holds (trie node, edits) pairs, and each (state, character) step is worked out once. Misspellings of a term count only
 if no clean training text has a word that near to it, so terms with common neighbours match exactly.
 
-Each hit is weighed by a window of words around it: words of reporting or quotation marks around the hit make it a
-quotation, words of address make it abuse. A logistic model over the weighed hits of a whole text gives the score; it
+Each hit is weighed by a window of words around it: words of reporting, quotation marks around the hit or one that is
+open in the window (and line) make it a quotation, words of address make it abuse. A logistic model over the weighed hits of a whole text gives the score; it
 is fitted, like the lexicon, on at most `sample` labelled rows (a documented bound; every row is scored in whole).
 
 Defined cases: a null or empty text has no hits and the score of such texts; null labels or ids don't train; without
@@ -31,10 +31,12 @@ from lexarium.llm.quality import labelled_sample
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
-#: Terms of the lexicon at most, those of the strongest evidence, and the least log odds and toxic texts of a term.
+#: Terms of the lexicon at most, the least log odds, and the least toxic texts of a term: the model's size. Those of the strongest
+#: evidence stay; the sample's words are the only ones there are to choose from.
 TERMS, ODDS, LEAST = 4000, 2.0, 3
 WINDOW = 6
-CACHE_WORDS = 600_000
+#: Words that a worker keeps, and (trie node, edits) pairs of its automaton's states: beyond them both are dropped and made anew.
+CACHE_WORDS, PAIRS = 100_000, 300_000
 #: Insults known before any label is seen, words of reporting, and words of address.
 SEEDS = "bastard bitch clown coward cretin disgusting dumb fool idiot imbecile jerk loser lunatic moron parasite pathetic pig rat scum stupid trash vermin worthless".split()
 REPORTING = frozenset("called calling quote quoted quotes quoting said says saying term word words phrase wrote written citing cited".split())
@@ -48,14 +50,21 @@ def edits_allowed(term: str) -> int:
 
 
 class Automaton:
-    """Levenshtein automata of all terms, intersected with their trie and made deterministic as words ask for it."""
+    """Levenshtein automata of all terms, intersected with their trie and made deterministic as words ask for it.
+
+    Terms that allow no edit are looked up. States are made as they are met and are bounded by PAIRS, so memory doesn't grow with the words."""
 
     def __init__(self, terms: dict[str, int]) -> None:
         """terms: with the edits that each allows."""
         self.children: list[dict[str, int]] = [{}]
         self.term: dict[int, str] = {}
         self.limit = [0]  # the most edits that a term under the node allows
+        self.parent = [-1]
+        self.longest = max((len(t) + e for t, e in terms.items() if e), default=0)
+        self.exact = {t for t, edits in terms.items() if not edits}
         for t, edits in terms.items():
+            if not edits:
+                continue
             node = 0
             self.limit[0] = max(self.limit[0], edits)
             for c in t:
@@ -63,37 +72,48 @@ class Automaton:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.limit.append(0)
+                    self.parent.append(node)
                 node = self.children[node][c]
                 self.limit[node] = max(self.limit[node], edits)
             self.term[node] = t
         self.edits = terms
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.accepts: list[tuple[str, int] | None] = []
+        self.pairs = 0
         self.start = self._state({0: 0})
 
-    def _state(self, least: dict[int, int]) -> int:
-        todo = list(least)
-        while todo:  # deletions: a term's character is left out
+    def _closed(self, least: dict[int, int]) -> dict[int, int]:
+        """With the pairs that deletions add: a term's character is left out."""
+        least, todo = dict(least), list(least)
+        while todo:
             node = todo.pop()
             for child in self.children[node].values():
                 e = least[node] + 1
                 if e <= self.limit[child] and e < least.get(child, 99):
                     least[child] = e
                     todo.append(child)
-        key = frozenset(least.items())
+        return least
+
+    def _state(self, least: dict[int, int]) -> int:
+        """A state keeps the pairs before deletions, without those that a deletion below their parent gives anyway."""
+        key = frozenset((n, e) for n, e in least.items() if least.get(self.parent[n], 99) >= e)
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            ends = [(e, self.term[n]) for n, e in key if n in self.term and e <= self.edits[self.term[n]]]
+            self.pairs += len(key) + 4
+            ends = [(e, self.term[n]) for n, e in self._closed(least).items() if n in self.term and e <= self.edits[self.term[n]]]
             self.accepts.append((min(ends)[1], min(ends)[0]) if ends else None)
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
         least: dict[int, int] = {}
-        for node, e in self.sets[state]:
+        for node, e in self._closed(dict(self.sets[state])).items():
             if e + 1 <= self.limit[node] and e + 1 < least.get(node, 99):  # c is inserted
                 least[node] = e + 1
             for x, child in self.children[node].items():
@@ -104,7 +124,13 @@ class Automaton:
         return to
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The nearest term and its edits (ties: the first by spelling), or None."""
+        """The nearest term and its edits (ties: the first by spelling), or None. Past PAIRS the states met so far are dropped."""
+        if word in self.exact:
+            return word, 0
+        if self.pairs > PAIRS:
+            self._forget()
+        if len(word) > self.longest:
+            return None
         state = self.start
         for c in word:
             to = self.steps[state].get(c)
@@ -126,8 +152,20 @@ class Model:
         return 1 / (1 + np.exp(-(self.beta[0] + ((x - self.mean) / self.scale) @ self.beta[1:])))
 
 
+def opened(before: str) -> bool:
+    """Whether a quotation mark of these words (those of the window, of the last line) is still open. “ opens after a blank and closes elsewhere, as after „."""
+    deep, last = False, " "
+    for c in before.rpartition("\n")[2]:
+        if c in "„«" or (c == "“" and not deep and (last.isspace() or last in "([")):
+            deep = True
+        elif c in "“”»":
+            deep = False
+        last = c
+    return deep
+
+
 class Matcher:
-    """Hits of the lexicon in whole texts. Words met before are kept, up to CACHE_WORDS; then they are matched anew."""
+    """Hits of the lexicon in whole texts. Words met before are kept, up to CACHE_WORDS with hits and without; then they are matched anew."""
 
     def __init__(self, weights: dict[str, float], edits: dict[str, int]) -> None:
         self.weights, self.automaton = weights, Automaton(edits)
@@ -136,10 +174,11 @@ class Matcher:
 
     def hits(self, words: list[str]) -> dict[str, float]:
         distinct = set(words)
-        if len(self.none) > CACHE_WORDS:
+        if len(self.none) + len(self.some) > CACHE_WORDS:
             self.none.clear()
+            self.some.clear()
         out = {}
-        for w in distinct - self.none:
+        for w in sorted(distinct - self.none):
             if w not in self.some:
                 if (found := self.automaton.match(w)) is None:
                     self.none.add(w)
@@ -163,8 +202,7 @@ class Matcher:
             a, b = spans[k].span()
             around = words[max(0, k - WINDOW) : k] + words[k + 1 : k + 1 + WINDOW]
             marked = low[max(0, a - 1) : a] in QUOTES and low[b : b + 1] in QUOTES and a > 0 and b < len(low)
-            opened = low.rfind("“", 0, a) > low.rfind("”", 0, a) or low.rfind("«", 0, a) > low.rfind("»", 0, a)
-            if marked or opened or not REPORTING.isdisjoint(words[max(0, k - WINDOW) : k]):
+            if marked or opened(low[spans[max(0, k - 2 * WINDOW)].start() : a]) or not REPORTING.isdisjoint(words[max(0, k - WINDOW) : k]):
                 quoted += weight
                 continue
             abuse += weight
@@ -174,7 +212,7 @@ class Matcher:
         return [log1p(abuse), top, log1p(len(seen)), abuse / len(words), log1p(abuse * 100 / len(words)), log1p(quoted), log1p(addressed)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _matcher(weights: tuple, edits: tuple) -> Matcher:
     return Matcher(dict(weights), dict(edits))
 
@@ -210,7 +248,8 @@ def _near(words: DataFrame, edits: dict[str, int]) -> DataFrame:
                     out[found[0]] = out.get(found[0], 0) + n
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["term", "n"])
 
-    return words.where("clean > 0").select("word", "clean").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    # in order, words that share a beginning share the states that are at hand
+    return words.where("clean > 0").select("word", "clean").sortWithinPartitions("word").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -415,3 +415,27 @@ def test_pipeline_stage_by_stage(spark, docs):
         kept = simhash.common.staged(after)
     tokens = corpus_pipeline.STAGES[-1][1](spark, kept, SF).toPandas()
     assert set(tokens.doc_id) == ids
+
+
+def test_automaton_is_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "PAIRS", 3000)
+    r = random.Random(12)
+    terms = {"".join(r.choice("abcdefgh") for _ in range(r.randrange(5, 9))): 1 for _ in range(300)}
+    a, fresh = toxicity.Automaton(terms), {}
+    for k in range(3000):
+        w = "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 10)))
+        fresh[w] = a.match(w)
+        assert a.pairs < 3000 * 3
+    monkeypatch.setattr(toxicity, "PAIRS", 10**9)
+    free = toxicity.Automaton(terms)
+    assert all(free.match(w) == x for w, x in fresh.items())
+
+
+def test_quotations_end_with_their_marks():
+    m = toxicity.Matcher({"idiot": 5.0}, {"idiot": 1})
+    of = lambda t: [m.features(t)[k] > 0 for k in (0, 5)]  # noqa: E731  abuse, quotation
+    assert of("er rief „du bist ein idiot“ und ging") == [False, True]
+    assert of("er rief „das ist gut“ und du bist ein idiot") == [True, False]
+    assert of("“a mark that nobody closed\n" + "plain " * 40 + "you idiot") == [True, False]
+    assert of("she wrote to him “you are an idiot” and left") == [False, True]
+    assert of("il a dit « tu es un idiot » hier") == [False, True]
