@@ -170,7 +170,30 @@ def test_bpe(spark, docs):
     r = random.Random(4)
     odd = ["a" * 300, " " * 77, "é" * 40, "🙂🙂", "'ll", "́"] + ["".join(r.choice("aAé \n.9𠀀'") for _ in range(r.randrange(1, 30))) for _ in range(300)]
     for t, pieces in zip(odd, own.split(odd), strict=True):
-        assert own.ids(pieces).tolist() == library.encode_ordinary(t) and own.decoded(pieces) == t.encode()
+        assert own.ids(pieces).tolist() == library.encode_ordinary(t) and own.decode([own.ids(pieces)]) == [t.encode()]
+
+
+def test_bpe_of_long_pieces():
+    at = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(at, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own, r = bpe.Encoder(at, public_tokenizers.PATTERN), random.Random(13)
+    odd = ["".join(r.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "的一是不了人我在有他这为之大来以个中上们", "éèa", "=-", "thean") for n in (97, 300, 5000)]
+    odd += ["a" * 10_000, "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(100_000))]
+    for t in odd:
+        assert own.ids(own.split([t])[0]).tolist() == library.encode_ordinary(t)
+
+
+def test_decoding_is_of_the_ids(spark, tmp_path):
+    at = str(tmp_path / "own.tiktoken")
+    names = [bytes([k]) for k in range(256)] + [b"ab", b"abc"]
+    open(at, "wb").write(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate(names)))
+    rows = spark.createDataFrame([(1, [257, 97, 256]), (2, []), (3, None), (4, [0xC3, 0xA9])], "doc_id long, ids array<int>")
+    got = {x.doc_id: bytes(x.decoded) for x in bpe.decode(rows, at).collect()}
+    assert got == {1: b"abcaab", 2: b"", 3: b"", 4: "é".encode()}
+    own = bpe.Encoder(at, ".+")
+    own.met["abc"] = np.array([97, 256], dtype=np.uint32).tobytes()  # other ids decode to other bytes
+    assert own.decode([own.ids(own.split(["abc"])[0])]) == [b"aab"]
 
 
 def test_packing(spark, docs):
