@@ -331,26 +331,60 @@ def test_licences(spark, docs):
     assert [s.scan(t)[0] for t in texts] == ["MIT", "MIT", "MIT", None, None]
 
 
+def _nearest(ids, v, q, k=5):
+    """Row q's nearest: (id, cosine), ties to the smaller id."""
+    norms = np.sqrt((v * v).sum(1))
+    s = (v * v[q]).sum(1) / (norms * norms[q])
+    order = [j for j in np.lexsort((ids, -s)) if j != q][:k]
+    return [(int(ids[j]), float(s[j])) for j in order]
+
+
 def test_neighbours(spark):
-    t = pq.read_table(f"{SF}/embeddings.parquet").to_pandas()
-    v = np.array(t.embedding.tolist(), dtype=np.float64)
-    u, ids = v / np.linalg.norm(v, axis=1)[:, None], t.vec_id.to_numpy()
-    got = run(spark, "op8_neighbours")
+    t = pq.read_table("/root/testdata/sf0.01/embeddings.parquet").to_pandas()
+    v, ids = np.array(t.embedding.tolist(), dtype=np.float64), t.vec_id.to_numpy()
+    got = registry.queries()["op8_neighbours"](spark, "/root/testdata/sf0.01").toPandas().sort_values(["query_id", "rank"])
     hit = 0
-    for q, g in got.groupby("query_id"):
-        s = u @ u[ids == q][0]
-        s[ids == q] = -9
-        hit += len(set(ids[np.lexsort((ids, -s))[:5]]) & set(g.vec_id))
-    assert hit / len(got) >= 0.9 and got.query_id.nunique() == (ids % 50 == 0).sum()
+    for q in np.nonzero(ids % 50 == 0)[0]:
+        g, want = got[got.query_id == ids[q]], _nearest(ids, v, q)
+        assert g["rank"].tolist() == [1, 2, 3, 4, 5] and g.score.is_monotonic_decreasing
+        for x in g.itertuples():
+            j = int(np.nonzero(ids == x.vec_id)[0][0])
+            assert abs(x.score - (v[j] @ v[q]) / np.sqrt((v[j] @ v[j]) * (v[q] @ v[q]))) < 1e-12
+        hit += len({i for i, _ in want} & set(g.vec_id))
+    assert hit / len(got) >= 0.99
+
+
+def test_neighbours_ties_ids_and_lengths(spark):
+    rows = [(k, [float(k % 4 == 0), float(k % 4 == 1), 1.0 + k % 2]) for k in range(1, 60)] + [(100, [1.0, 0.0, 1.0]), (100, [0.0, 1.0, 1.0]), (7, [1.0, 0.0, 1.0]), (200, [1.0, 2.0]), (3, [1.0, 2.0, 3.0, 4.0, 5.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), neighbours.F.col("vec_id") % 50 == 0).toPandas()
+    three = [r for r in rows if len(r[1]) == 3]
+    ids, v = np.array([r[0] for r in three]), np.array([r[1] for r in three])
+    want = []
+    for q in np.nonzero(ids % 50 == 0)[0]:
+        want += [(int(ids[q]), k + 1, i, round(s, 9)) for k, (i, s) in enumerate(_nearest(ids, v, q))]
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got.itertuples(index=False)) == sorted(want)
+
+
+def test_few_vectors_are_reranked():
+    r = np.random.default_rng(0)
+    u = r.standard_normal((16384, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    m = u.mean(0)
+    found, share = neighbours.search(np.arange(len(u)), np.arange(len(u)), u, neighbours.Codes.of(u, m), np.arange(100), u[:100], neighbours.Asked.of(u[:100], m), 5)
+    s = u[:100] @ u.T
+    s[np.arange(100), np.arange(100)] = -9
+    want = {(q, int(j)) for q in range(100) for j in np.argsort(-s[q])[:5]}
+    assert share < 0.1 and len(want & {(a, b) for a, b, _, _ in found}) >= 0.99 * len(want)
 
 
 def test_bounds_hold():
     r = np.random.default_rng(0)
-    u = r.standard_normal((500, 64))
-    u /= np.linalg.norm(u, axis=1)[:, None]
-    m = u.mean(0)
-    estimate, error = neighbours.Codes(u, m).bounds(u[:50], m)
-    assert (np.abs(estimate - u[:50] @ u.T) <= error).mean() > 0.99
+    for dim in (3, 64, 300):
+        u = r.standard_normal((500, dim))
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        m = u.mean(0)
+        estimate, error = neighbours.bounds(neighbours.Codes.of(u, m), neighbours.Asked.of(u[:50], m))
+        assert (np.abs(estimate - u[:50] @ u.T) <= error).mean() > 0.99
 
 
 def test_base_spans_and_added_ones(spark, docs):
