@@ -5,7 +5,8 @@ length, so a sketch grows with its text, sketches merge by union (`merged`), and
 holds estimates containment even where one text is far longer than the other (`containment`). Likeness is the Jaccard
 estimate of two sketches.
 
-A text too short to have a hash below the threshold keeps its least hash besides, so that no sketch is empty; a text
+A text that has no hash below the threshold keeps its least hash, whole, in place of them; merging drops it beside kept
+hashes, so that a merged sketch is always that of all shingles together. It is written apart from kept ones. A text
 shorter than a shingle is one shingle; an empty text has the empty sketch, which is like itself (1) and like nothing
 else (0).
 
@@ -30,6 +31,10 @@ SHINGLE = 12
 SHARE_BITS = 4
 #: Code points hashed at a time; chunks overlap by a shingle less one, so none is lost.
 CHUNK = 1 << 20
+#: Code points of a range of rows, and ranges at most.
+RANGE_CHARS, QUANTILES = 32_000_000, 20_000
+#: A kept hash is known by the 32 bits after those that the threshold fixes.
+KEPT_BITS = np.uint64((1 << 64) - (1 << (32 - SHARE_BITS)))
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -52,15 +57,13 @@ def _kept(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: str) -> np.ndarray:
-    """The kept hashes of the whole text, distinct and sorted, as 32 bits each (those after the bits that the threshold fixes)."""
+    """The kept hashes of the whole text, distinct and sorted; of 64 bits, of which the last 28 are cleared. Without any, the least hash as it is."""
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     if not len(points):
-        return np.zeros(0, dtype=np.uint32)
+        return np.zeros(0, dtype=np.uint64)
     parts = [_kept(points[k : k + CHUNK + SHINGLE - 1]) for k in range(0, max(1, len(points) - SHINGLE + 1), CHUNK)]
     kept = np.concatenate([p[0] for p in parts])
-    if not len(kept):
-        kept = np.min([p[1] for p in parts], axis=0)
-    return np.unique((kept >> np.uint64(32 - SHARE_BITS)).astype(np.uint32))
+    return np.unique(kept & KEPT_BITS) if len(kept) else np.min([p[1] for p in parts], axis=0)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -77,27 +80,35 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
 
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of both texts' shingles together."""
-    return np.union1d(a, b)
+    both = np.union1d(a, b)
+    kept = both[both >> np.uint64(64 - SHARE_BITS) == 0]
+    return kept if len(kept) else both[:1]
 
 
 def written(s: np.ndarray) -> str:
-    """Lowercase hex, 8 digits a hash, in order."""
-    return s.astype(">u4").tobytes().hex()
+    """Lowercase hex, 8 digits a kept hash, in order; a least hash that isn't kept has 16 after a hyphen."""
+    if len(s) == 1 and s[0] >> np.uint64(64 - SHARE_BITS):
+        return f"-{int(s[0]):016x}"
+    return (s >> np.uint64(32 - SHARE_BITS)).astype(">u4").tobytes().hex()
 
 
 def read(s: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(s), dtype=">u4").astype(np.uint32)
+    if s.startswith("-"):
+        return np.array([int(s[1:], 16)], dtype=np.uint64)
+    return np.frombuffer(bytes.fromhex(s), dtype=">u4").astype(np.uint64) << np.uint64(32 - SHARE_BITS)
 
 
 def _sorted_ranges(docs: DataFrame) -> DataFrame:
     """part, last, doc_id, text in order within each part; a row with last = 1 ends a part and is the next part's first.
 
-    Ranges of doc_id are cut at approximate quantiles, numbers of which there are as many as shuffle partitions. A range's
-    first row is found by id, so that only those few texts are read for it, and is joined to the range before.
+    Ranges of doc_id are cut at approximate quantiles, of which there are as many as shuffle partitions, and more where ranges
+    would hold over RANGE_CHARS. A range's first row is found by id, so that only those few texts are read for it, and is
+    joined to the range before. Rows of one id stay in one range.
     """
     rows = common.documents(docs)
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000).alias("at")).first().at or []
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = min(QUANTILES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS)))
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10 * QUANTILES).alias("at")).first().at or []
     cuts = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))])
     part = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col("doc_id"))))
     rows = rows.select(part.alias("part"), "doc_id", "text")
@@ -108,7 +119,7 @@ def _sorted_ranges(docs: DataFrame) -> DataFrame:
     first = rows.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull()).groupBy("part").agg(F.max("text").alias("text"))
     ends = first.select(to[F.col("part")].alias("part"), F.lit(1).alias("last"), F.lit(None).cast("long").alias("doc_id"), "text")
     both = rows.select("part", F.lit(0).alias("last"), "doc_id", "text").unionAll(ends)
-    return both.repartition("part").sortWithinPartitions("part", "last", F.col("doc_id").desc(), F.col("text").desc())
+    return both.repartitionByRange(n, "part").sortWithinPartitions("part", "last", F.col("doc_id").desc(), F.col("text").desc())
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
