@@ -1,16 +1,19 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds what they miss.
 
-The patterns give the base spans. The field reads the regions of a text that hold digits, @ or +: runs of words between
-spaces, cut into tokens (digits, letters, single marks). A candidate is a run of up to LONGEST tokens; features of the
-whole span (digit counts, checksum, shape, neighbours) score it for each kind, and dynamic programming over bounded
-entities chooses boundaries and kinds together. Chosen spans that overlap no base span are added: such as a telephone
-number followed by a card number, which the greedy patterns take for one number and drop.
+The patterns give the base spans. The field reads the regions of a text that hold digits or @: runs of words between
+single blanks, cut into tokens (digits, letters, single marks). A candidate is a run of up to LONGEST tokens and CHARS
+characters; features of the whole span (digit counts, checksum, shape of its groups, neighbours, words before it) score
+it for each kind, and dynamic programming over bounded entities chooses boundaries and kinds together. Chosen spans that
+overlap no base span are added: such as a telephone number followed by a card number, which the greedy patterns take for
+one number and drop, telephone numbers without +, or secrets (keys and tokens: a kind that the patterns don't have).
 
-The field is fitted by its likelihood on at most `sample` regions of the corpus, labelled by the patterns, and on
-examples made of patterned parts side by side (documented bounds; every text is read in whole).
+The field is fitted by its likelihood on made examples and on at most `sample` regions of the corpus, from documents
+chosen by a hash of their id, labelled by the patterns where these speak (documented bounds; every text is read in whole).
+Regions of over 200 characters don't train.
 
 Defined cases: a null or empty text has no spans; spans count code points, and equal starts are ordered by kind; a region
-may be as long as its text; repeated rows have the same spans; an empty table gives an empty result.
+may be as long as its text; an entity of over CHARS characters is found by the patterns only; repeated rows have the same
+spans; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,17 +30,29 @@ from pyspark.sql import functions as F
 
 from lexarium.llm import common
 
-KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+#: The patterns. A number begins where no digit stands before, which is where its leftmost match begins.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: Tokens of an entity at most, regions of the corpus to train on, passes over them.
-LONGEST, SAMPLE, PASSES = 16, 400, 6
+#: Tokens and characters of an entity at most, regions of the corpus to train on, documents they come from, passes over them.
+LONGEST, CHARS, SAMPLE, DRAWN, PASSES = 16, 80, 400, 8192, 4
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.DOTALL)
-#: Words between single blanks that hold a digit or @, or begin with + or (; regions don't cross lines.
-REGION = re.compile(r"[^\s0-9@]*[0-9@]\S*(?:[ \t][^\s0-9@]*[0-9@]\S*)*")
+#: Words between single blanks that hold a digit or @; regions don't cross lines. Each word is read once, whatever its length.
+REGION = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:[ \t][^\s0-9@]*+[0-9@]\S*+)*+")
+#: What the patterns say nothing of, so that a region that has it doesn't train: a run of letters with digits.
+SECRET_LIKE = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}")
+#: Words before a span that tell of its kind.
+BEFORE = (
+    ("says_key", re.compile(r"(?:token|key|secret|passw(?:or)?d|pwd|auth|bearer|apikey)\W{0,6}\Z", re.IGNORECASE)),
+    ("says_tel", re.compile(r"(?:tel|phone|fax|call|mobile|cell)\W{0,3}\Z", re.IGNORECASE)),
+    ("says_card", re.compile(r"(?:card|visa|mastercard|amex)\W{0,3}\Z", re.IGNORECASE)),
+    ("says_ip", re.compile(r"(?:ip|host|address|server)\W{0,3}\Z", re.IGNORECASE)),
+)
 Span = tuple[int, int, int]  # start, kind, end
 
 
@@ -46,13 +61,27 @@ def luhn(digits: str) -> bool:
     return sum(d[::2]) % 10 == (-sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """From each @: what may stand before it, back to the match before, and the domain after it."""
+    out, end, at = [], 0, text.find("@")
+    while at >= 0:
+        own = text[end:at]
+        start = end + len(own.rstrip(LOCAL))
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append((start, m.end()))
+        end = m.end() if m else at + 1
+        at = text.find("@", end)
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches of each kind that hold; a match that fails is dropped and not tried again."""
     out: list[Span] = []
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        out += [(a, 0, b) for a, b in emails(text)]
     if DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -67,11 +96,12 @@ def written(spans: list[Span]) -> str:
 
 
 FEATURES = (
-    "span digits0 digits1 digits4 digits7 digits10 digits12 digits14 digits16 digits17 digits20 at one_at dots3 octets plus checksum letters hex space hyphen paren dot "
-    "starts_digit ends_digit ends_letter joined_left joined_right dot_right address number number_checksum plus_number octets_only grouped even_groups long"
+    "span digits0 digits1 digits4 digits7 digits10 digits12 digits14 digits16 digits17 digits20 at one_at dots3 octets plus checksum letters mixed space hyphen paren dot "
+    "starts_digit ends_digit ends_letter joined_left joined_right dot_right dot_after_at number grouped even_groups tel_groups long longer quoted one_token_run says_key says_tel says_card says_ip"
 ).split()
 _AT = {name: k for k, name in enumerate(FEATURES)}
 _DIGITS = (("digits20", 20), ("digits17", 17), ("digits16", 16), ("digits14", 14), ("digits12", 12), ("digits10", 10), ("digits7", 7), ("digits4", 4), ("digits1", 1), ("digits0", 0))
+_GROUPS = re.compile(r"[ .()-]+")
 
 
 def span_features(text: str, a: int, b: int) -> list[int]:
@@ -80,19 +110,19 @@ def span_features(text: str, a: int, b: int) -> list[int]:
     digits = "".join(DIGIT.findall(s))
     n = len(digits)
     letters = any(c.isalpha() for c in s)
-    left, right = text[a - 1 : a], text[b : b + 1]
+    left, right = text[a - 1 : a] if a else "", text[b : b + 1]
     number = not letters and "@" not in s and re.fullmatch(r"\+?[0-9 ().-]+", s) is not None
-    groups = re.split(r"[ -]", s)
-    check = 14 <= n <= 19 and number and s[0] != "+" and luhn(digits)
+    groups = [len(g) for g in _GROUPS.split(s.lstrip("+(")) if g]
     octets = s.count(".") == 3 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in s.split("."))
+    before = text[max(0, a - 24) : a]
     found = ["span", next(name for name, least in _DIGITS if n >= least)]
     for name, holds in (
-        ("at", "@" in s), ("one_at", s.count("@") == 1), ("dots3", s.count(".") == 3), ("octets", octets), ("plus", s[0] == "+"), ("checksum", check), ("letters", letters),
-        ("hex", letters and n > 0 and "@" not in s), ("space", " " in s), ("hyphen", "-" in s), ("paren", "(" in s or ")" in s), ("dot", "." in s), ("starts_digit", s[0].isdigit()),
+        ("at", "@" in s), ("one_at", s.count("@") == 1), ("dots3", s.count(".") == 3), ("octets", octets), ("plus", s[0] == "+"), ("checksum", number and s[0] != "+" and luhn(digits or "1")), ("letters", letters),
+        ("mixed", letters and n > 0 and s.isalnum()), ("space", " " in s), ("hyphen", "-" in s), ("paren", "(" in s or ")" in s), ("dot", "." in s), ("starts_digit", s[0].isdigit()),
         ("ends_digit", s[-1].isdigit()), ("ends_letter", s[-1].isalpha()), ("joined_left", left.isalnum() or left in {"+", "@", "_"}), ("joined_right", right.isalnum() or right in {"@", "_"}),
-        ("dot_right", right == "." and text[b + 1 : b + 2].isalnum()), ("address", EMAIL.fullmatch(s) is not None), ("number", number), ("number_checksum", number and check and " " not in s),
-        ("plus_number", number and s[0] == "+" and 10 <= n <= 15), ("octets_only", octets and number), ("grouped", number and len(groups) > 1), ("even_groups", number and len(groups) == 4 and {len(g) for g in groups} == {4}),
-        ("long", b - a > 24),
+        ("dot_right", right == "." and text[b + 1 : b + 2].isalnum()), ("dot_after_at", "." in s.partition("@")[2]), ("number", number), ("grouped", number and len(groups) > 1),
+        ("even_groups", number and groups == [4, 4, 4, 4]), ("tel_groups", number and groups[-2:] == [3, 4]), ("long", b - a > 24), ("longer", b - a > 31), ("quoted", left in {'"', "'", "`"} and left == right), ("one_token_run", s.isalnum()),
+        *((name, pattern.search(before) is not None) for name, pattern in BEFORE),
     ):
         if holds:
             found.append(name)
@@ -100,21 +130,37 @@ def span_features(text: str, a: int, b: int) -> list[int]:
 
 
 class Lattice:
-    """Tokens of a region, and by end token its candidates: (start token, features)."""
+    """Tokens of a region, and for each end token its candidates: (start token, features), made when asked for."""
 
     def __init__(self, text: str, a: int, b: int) -> None:
-        self.starts = [a + m.start() for m in TOKEN.finditer(text[a:b])]
+        self.text = text
+        self.starts = [m.start() for m in TOKEN.finditer(text, a, b)]
         self.ends = [*self.starts[1:], b]
-        n = len(self.starts)
-        self.into: list[list[tuple[int, list[int]]]] = [[] for _ in range(n + 1)]
-        firsts = [text[s].isalnum() or text[s] in "+(" for s in self.starts]
-        lasts = [text[e - 1].isalnum() for e in self.ends]
-        rich = np.cumsum([0, *(text[s].isdigit() or text[s] == "@" for s in self.starts)])
-        for i in range(n):
-            if firsts[i]:
-                for j in range(i + 1, min(n, i + LONGEST) + 1):
-                    if lasts[j - 1] and rich[j] > rich[i] and self.ends[j - 1] - self.starts[i] >= 7:
-                        self.into[j].append((i, span_features(text, self.starts[i], self.ends[j - 1])))
+        self.firsts = [text[s].isalnum() or text[s] in "+(" for s in self.starts]
+        self.lasts = [text[e - 1].isalnum() for e in self.ends]
+        self.rich = np.cumsum([0, *(text[s].isdigit() or text[s] == "@" for s in self.starts)]).tolist()
+        self.kept: list[list[tuple[int, list[int]]]] = []  # all candidates, where a region is read again and again
+
+    def keep(self) -> Lattice:
+        self.kept = [self.into(j) for j in range(len(self) + 1)]
+        return self
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def into(self, j: int) -> list[tuple[int, list[int]]]:
+        """The candidates that end before token j."""
+        if self.kept:
+            return self.kept[j]
+        out = []
+        if j and self.lasts[j - 1]:
+            for i in range(j - 1, max(0, j - LONGEST) - 1, -1):
+                size = self.ends[j - 1] - self.starts[i]
+                if size > CHARS:
+                    break
+                if size >= 7 and self.firsts[i] and self.rich[j] > self.rich[i]:
+                    out.append((i, span_features(self.text, self.starts[i], self.ends[j - 1])))
+        return out
 
 
 class Field:
@@ -124,17 +170,19 @@ class Field:
         self.weights = np.zeros((len(KINDS), len(FEATURES)))
         self.moves = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
-    def segments(self, x: Lattice) -> list[list[tuple[int, list[int] | None, np.ndarray]]]:
+    def segments(self, x: Lattice) -> Iterator[list[tuple[int, list[int] | None, np.ndarray]]]:
+        """For each end 0..n the segments that end there: start, features, scores. None is kept."""
         none = np.full(len(KINDS) + 1, -np.inf)
         none[-1] = 0.0
-        return [[] if j == 0 else [(j - 1, None, none), *((i, f, np.append(self.weights[:, f].sum(1), -np.inf)) for i, f in x.into[j])] for j in range(len(x.into))]
+        for j in range(len(x) + 1):
+            yield [] if j == 0 else [(j - 1, None, none), *((i, f, np.append(self.weights[:, f].sum(1), -np.inf)) for i, f in x.into(j))]
 
     def best(self, x: Lattice) -> list[tuple[int, int, int]]:
         """(start token, end token, kind) of the entities of the best segmentation."""
-        n, k = len(x.into) - 1, len(KINDS)
+        n, k = len(x), len(KINDS)
         score = np.full((n + 1, k + 1), -np.inf)
         score[0, k] = 0.0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
+        back = np.zeros((n + 1, k + 1, 2), dtype=np.int32)
         for j, into in enumerate(self.segments(x)):
             for i, _, s in into:
                 path = score[i][:, None] + self.moves + s[None, :]
@@ -145,7 +193,7 @@ class Field:
                         back[j, y] = (i, int(top[y]))
         out, j, y = [], n, int(score[n].argmax())
         while j:
-            i, before = back[j, y]
+            i, before = back[j, y].tolist()
             if y < k:
                 out.append((i, j, y))
             j, y = i, before
@@ -153,8 +201,8 @@ class Field:
 
     def learn(self, x: Lattice, gold: list[tuple[int, int, int]], rate: float, ridge: float) -> None:
         """A step up the likelihood's gradient: what gold has less what the model expects."""
-        n, k = len(x.into) - 1, len(KINDS)
-        segments = self.segments(x)
+        n, k = len(x), len(KINDS)
+        segments = list(self.segments(x))
         ahead, behind = np.full((n + 1, k + 1), -np.inf), np.full((n + 1, k + 1), -np.inf)
         ahead[0, k], behind[n] = 0.0, 0.0
         for j in range(1, n + 1):
@@ -171,7 +219,7 @@ class Field:
                 moves -= share
                 if f is not None:
                     weights[:, f] -= share.sum(0)[:k, None]
-        features = {(i, j): f for j in range(1, n + 1) for i, f in x.into[j]}
+        features = {(i, j): f for j in range(1, n + 1) for i, f, _ in segments[j] if f is not None}
         at, before = 0, k
         for i, j, y in [*gold, (n, n, k)]:
             while at < i:
@@ -191,13 +239,13 @@ def gold_of(x: Lattice, spans: list[Span]) -> list[tuple[int, int, int]]:
     out, at = [], 0
     for a, y, b in sorted(spans):
         i, j = first.get(a), last.get(b)
-        if i is not None and j is not None and i >= at and any(s == i for s, _ in x.into[j]):
+        if i is not None and j is not None and i >= at and any(s == i for s, _ in x.into(j)):
             out.append((i, j, y))
             at = j
     return out
 
 
-def examples(n: int = 240, seed: int = 7) -> list[tuple[str, list[Span]]]:
+def examples(n: int = 400, seed: int = 7) -> list[tuple[str, list[Span]]]:
     """Made lines of patterned parts side by side, with their spans."""
     r = random.Random(seed)
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -207,38 +255,54 @@ def examples(n: int = 240, seed: int = 7) -> list[tuple[str, list[Span]]]:
         number = next(body + c for c in "0123456789" if luhn(body + c))
         return number if r.random() < 0.7 else r.choice(" -").join(number[k : k + 4] for k in range(0, 16, 4))
 
+    def secret() -> str:
+        return "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 64)))) if r.random() < 0.6 else "".join(r.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(r.randrange(20, 44)))
+
+    groups = lambda *sizes: [digits(k) for k in sizes]
     makers = (
         lambda: f"{r.choice(('info', 'a.b', 'jo_hn', 'x'))}{digits(2)}@{r.choice(('mail', 'post'))}{digits(1)}.example.{r.choice(('com', 'org'))}",
         lambda: ".".join(str(r.randrange(256)) for _ in range(4)),
         card,
-        lambda: r.choice((f"+{r.randrange(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{r.randrange(1, 99)} {digits(3)} {digits(3)} {digits(4)}", f"+{digits(11)}")),
+        lambda: r.choice((f"+{r.randrange(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{r.randrange(1, 99)} {digits(3)} {digits(3)} {digits(4)}", f"+{digits(11)}", f"({digits(3)}) {digits(3)}-{digits(4)}", "-".join(groups(3, 3, 4)))),
+        secret,
     )
+    says = (("mail ", ""), ("host ", "from "), ("card ", "visa: "), ("tel: ", "call "), ('token = "', "key: ", "secret=", 'password = "', "api_key='"))
 
     def other() -> str:
         body = digits(15)
-        return r.choice((digits(4), f"{digits(2)}.{digits(2)}", digits(8), "".join(r.choice("0123456789abcdef") for _ in range(36)) + "f0", f"{digits(3)}.{r.randrange(256, 999)}.{digits(2)}.{digits(2)}", next(body + c for c in "0123456789" if not luhn(body + c)), f"v{digits(1)}.{digits(1)}.{digits(2)}"))
+        return r.choice((digits(4), f"{digits(2)}.{digits(2)}", digits(8), "-".join(groups(4, 2, 2)), f"{digits(3)}.{r.randrange(256, 999)}.{digits(2)}.{digits(2)}", next(body + c for c in "0123456789" if not luhn(body + c)), f"v{digits(1)}.{digits(1)}.{digits(2)}", f"word{digits(3)}", "".join(r.choice("abcdefgh") for _ in range(30)) + digits(1), "/".join(groups(3, 3, 4))))
 
     out = []
     for _ in range(n):
         text, spans = r.choice(("", "tel: ", "x ", "(")), []
         for _ in range(r.randrange(1, 4)):
-            kind = r.randrange(6)
-            part = makers[kind]() if kind < 4 else other()
-            if kind < 4:
+            kind = r.randrange(7)
+            part = makers[kind]() if kind < 5 else other()
+            said = r.choice(says[kind]) if kind == 4 or (kind < 5 and r.random() < 0.3) else ""
+            text += said
+            if kind < 5:
                 spans.append((len(text), kind, len(text) + len(part)))
-            text += part + r.choice((" ", " ", ", ", ". ", "!! "))
+            text += part + (said[-1] if said[-1:] in ('"', "'") else "") + r.choice((" ", " ", ", ", ". ", "!! "))
         out.append((text.rstrip(" "), spans))
     return out
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """On the made examples and at most `sample` texts' regions: the texts with the least hash of those with a digit or @."""
-    rows = common.documents(docs).where(F.col("text").rlike("[0-9@]")).select(F.regexp_extract_all("text", F.lit("(" + REGION.pattern + ")"), F.lit(1)).alias("regions"))
-    drawn = rows.select(F.explode("regions").alias("region")).where(F.length("region") <= 200).groupBy("region").agg(F.lit(1)).orderBy(F.xxhash64("region"), "region").limit(sample).collect()
-    made = [(t, s) for t, s in examples()] + [(r.region, base_spans(r.region)) for r in drawn]
+    """On the made examples and at most `sample` regions of about DRAWN documents, those of which the id's hash falls in a step."""
+    docs = common.documents(docs)
+    step = max(1, docs.count() // DRAWN)
+    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).where(F.col("text").rlike("[0-9@]"))
+
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = {m[0] for t in b.column("text").to_pylist() for m in REGION.finditer(t) if m.end() - m.start() <= 200}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.string())], ["region"])
+
+    drawn = rows.select("text").mapInArrow(regions, "region string").distinct().orderBy(F.xxhash64("region"), "region").limit(sample).collect()
+    made = examples() + [(r.region, base_spans(r.region)) for r in drawn if not SECRET_LIKE.search(r.region)]
     lattices = []
     for text, spans in made:
-        x = Lattice(text, 0, len(text))
+        x = Lattice(text, 0, len(text)).keep()
         lattices.append((x, gold_of(x, spans)))
     field, r = Field(), random.Random(11)
     for k in range(PASSES):
@@ -258,8 +322,6 @@ def added_spans(field: Field, text: str, base: list[Span]) -> list[Span]:
         if len(inside := [s for s in base if s[0] < b and s[2] > a]) == 1 and inside[0][2] - inside[0][0] > b - a - 7:
             continue  # what is left beside the base span is too short for another
         x = Lattice(text, a, b)
-        if not any(x.into):
-            continue
         for i, j, y in field.best(x):
             start, end = x.starts[i], x.ends[j - 1]
             if all(end <= s[0] or start >= s[2] for s in inside):
@@ -273,7 +335,7 @@ def all_spans(field: Field, text: str) -> list[Span]:
 
 
 def found(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id, base (written base spans), counts of base kinds, spans (all, written)."""
+    """doc_id, counts of base kinds, base_sha256 (of the written base spans), spans (all, written), n_spans, n_secret."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -281,12 +343,12 @@ def found(docs: DataFrame, field: Field) -> DataFrame:
             for text in b.column("text").to_pylist():
                 base = base_spans(text)
                 spans = all_spans(field, text)
-                out.append((*(sum(s[1] == k for s in base) for k in range(len(KINDS))), hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64() if k < 4 else pa.string()) for k, c in enumerate(columns))], names)
+                out.append((*(sum(s[1] == k for s in base) for k in range(len(BASE_KINDS))), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), len(spans), sum(s[1] == len(BASE_KINDS) for s in spans)))
+            columns = list(zip(*out, strict=True)) or [()] * len(names[1:])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.string() if n in ("base_sha256", "spans") else pa.int64()) for n, c in zip(names[1:], columns, strict=True))], names)
 
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
-    return common.documents(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_spans", "n_secret"]
+    return common.documents(docs).mapInArrow(run, ", ".join(f"{n} {'string' if n in ('base_sha256', 'spans') else 'long'}" for n in names))
 
 
 def redacted(text: str, spans: list[Span]) -> str:
