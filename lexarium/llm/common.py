@@ -76,24 +76,30 @@ def id_marks(hashes: DataFrame) -> np.ndarray | None:
     return out.ravel()
 
 
-def marked(df: DataFrame, h: Column, marks: np.ndarray | None, flag: str | None = None) -> DataFrame:
-    """The rows of df whose hash h has its bit, and some others by accident; all of them if marks is None. With a flag: all rows,
-    and a column of that name that says so."""
-    if marks is None:
-        return df.withColumn(flag, F.lit(True)) if flag else df
-    sent = df.sparkSession.sparkContext.broadcast(marks)
-    bits = len(marks) * 8
+def mark_test(spark: SparkSession, marks: np.ndarray | None):
+    """A function of hashes, for use in tasks: which have their bit. All of them if marks is None."""
+    sent = spark.sparkContext.broadcast(marks) if marks is not None else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def has(h: np.ndarray) -> np.ndarray:
+        if sent is None:
+            return np.ones(len(h), dtype=bool)
         own = sent.value
+        at = h & np.int64(len(own) * 8 - 1)
+        return (own[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    return has
+
+
+def flagged(df: DataFrame, h: Column, marks: np.ndarray | None, flag: str) -> DataFrame:
+    """df with a column of that name: true for rows whose hash has its bit."""
+    has = mark_test(df.sparkSession, marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column(b.num_columns - 1).to_numpy()
-            has = (own[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             rest = b.select(range(b.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(has)], [*rest.schema.names, flag]) if flag else rest.filter(pa.array(has))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(has(b.column(b.num_columns - 1).to_numpy()))], [*rest.schema.names, flag])
 
-    schema = T.StructType([*df.schema.fields, *([T.StructField(flag, T.BooleanType())] if flag else [])])
-    return df.select("*", F.pmod(h, F.lit(bits)).alias("_at")).mapInArrow(run, schema)
+    return df.select("*", h.alias("_h")).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(flag, T.BooleanType())]))
 
 
 def with_result(df: DataFrame, compute, name: str, kind: str, arrow: pa.DataType) -> DataFrame:

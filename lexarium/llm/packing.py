@@ -36,7 +36,7 @@ LENGTH = 4096
 CLASSES = 64
 END_ID = 2
 #: Runs that a worker keeps, and their bytes.
-CACHE_WORDS, CACHE_BYTES = 300_000, 8_000_000
+CACHE_WORDS, CACHE_BYTES = 600_000, 16_000_000
 #: ASCII marks that begin no contraction and no special token of the vocabulary.
 MARKS = b".,;:!?#$%&*()[]|/+=\""
 BLOCK_ROWS, BLOCK_TOKENS = 20_000, 12_000_000
@@ -72,10 +72,13 @@ class Tokenizer(dict):
         self[run] = out
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.size = 0
+
     def ids(self, text: str) -> bytes:
         if len(self) > CACHE_WORDS or self.size > CACHE_BYTES:
-            self.clear()
-            self.size = 0
+            self.forget()
         return b"".join(map(self.__getitem__, text.encode().split()))
 
 
@@ -93,6 +96,7 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
         for b in batches:
             ids = [own.ids(t) + end for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "doc_tokens", "ids"])
+        own.forget()  # workers outlive their stage
 
     return common.documents(docs).mapInArrow(run, "doc_id long, doc_tokens long, ids binary")
 

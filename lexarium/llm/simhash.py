@@ -42,8 +42,8 @@ HOT_ROWS, HOT_TIMES = 64, 16
 BLOCK = 2048
 #: Documents from which frequent shingles are taken, and how many of these at most: a cost choice, not a filter.
 SAMPLED, LATE = 4096, 100_000
-#: Buckets of so many nodes are joined by links to so many of them, in as many turns, before pairs are compared: a cost choice.
-DENSE, PIVOTS, TURNS = 4, 3, 3
+#: Buckets of so many nodes or more are joined by links to so many of them, in as many turns, before pairs are compared: a cost choice.
+DENSE, PIVOTS, TURNS = 16, 3, 3
 #: Shingles of a group of sets that are compared in one place, 8 bytes each.
 CHUNK = 2_000_000
 
@@ -135,7 +135,8 @@ def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
             node, n, prefix = [], [], []
             for t in b.column("text").to_pylist():
                 own = shingle_set(t, words)
-                first = np.where(np.isin(own, late), np.uint64(0), np.uint64(1 << 63))  # the sign of what comes first
+                at = np.minimum(np.searchsorted(late, own), max(0, len(late) - 1))
+                first = np.where(late[at] == own, np.uint64(0), np.uint64(1 << 63)) if len(late) else np.uint64(1 << 63)  # the sign of what comes first
                 number = np.sort(((own >> np.uint64(1)) | first).view(np.int64))
                 node.append(node_of(own))
                 n.append(len(own))
@@ -153,29 +154,54 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")
 
 
-def meeting(prints: DataFrame) -> DataFrame:
-    """value, node, n of the numbers that two nodes' prefixes hold or more: sorted by value in each partition, a row stays if a
-    neighbour has its value. Nothing is gathered, and a frequent value only makes a longer run of rows."""
+def meeting(prints: DataFrame, least: float) -> DataFrame:
+    """What meets by a number that several prefixes hold, a row for each pair and number: value, a, n, b, m (a, b: nodes whose
+    sizes fit). Of a number that DENSE nodes or more hold, the nodes in place of pairs: value, a, n, and b is null.
+
+    Rows are sorted by value in each partition and read as they come; a run is held up to DENSE rows."""
     nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = nodes.select(F.explode("prefix").alias("value"), "node", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, before = None, None  # the last row so far, and whether the one before has its value
+        held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32))
+        dense = None  # the value of a run that goes on
         for b in batches:
-            if not b.num_rows:
+            v, node, n = (np.concatenate([x, b.column(c).to_numpy()]) for x, c in zip(held, ("value", "node", "n"), strict=True))
+            edges = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]])) if len(v) else np.zeros(1, np.int64)
+            starts, sizes = edges[:-1], np.diff(edges)
+            many = (sizes >= DENSE) | (v[starts] == dense if dense is not None else False)
+            at = np.repeat(many, sizes)
+            if at.any():
+                yield _rows(v[at], node[at], n[at])
+            ends = not len(sizes)
+            yield from _pairs(v, node, n, starts[:-1][~many[:-1]], sizes[:-1][~many[:-1]], least)
+            if ends:
                 continue
-            if held is not None:
-                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            v = b.column("value").to_numpy()
-            same = v[1:] == v[:-1]
-            stays = np.concatenate([[bool(before)], same]) | np.concatenate([same, [False]])
-            before = bool(stays[-1])
-            held = b.slice(b.num_rows - 1)
-            yield b.slice(0, b.num_rows - 1).filter(pa.array(stays[:-1]))
-        if held is not None and before:
-            yield held
+            dense = int(v[-1]) if many[-1] else None
+            k = len(v) if many[-1] else int(starts[-1])
+            held = (v[k:], node[k:], n[k:])
+        if len(held[0]):
+            yield from _pairs(*held, np.zeros(1, np.int64), np.array([len(held[0])]), least)
+
+    return rows.repartition("value").sortWithinPartitions("value").mapInArrow(run, "value long, a long, n int, b long, m int")
+
+
+def _rows(value: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray | None = None, m: np.ndarray | None = None) -> pa.RecordBatch:
+    other = [pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())] if b is None else [pa.array(b), pa.array(m)]
+    return pa.RecordBatch.from_arrays([pa.array(value), pa.array(a), pa.array(n), *other], ["value", "a", "n", "b", "m"])
+
 
-    return rows.repartition("value").sortWithinPartitions("value").mapInArrow(run, "value long, node long, n int")
+def _pairs(v: np.ndarray, node: np.ndarray, n: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of each run of fewer than DENSE rows, the larger set (or greater node) first."""
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        at = starts[sizes == size]
+        i, j = np.triu_indices(size, 1)
+        x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+        fits = (np.minimum(n[x], n[y]) >= np.ceil(np.maximum(n[x], n[y]) * least - 1e-9)) & (node[x] != node[y])
+        x, y = x[fits], y[fits]
+        turn = (n[x] < n[y]) | ((n[x] == n[y]) & (node[x] < node[y]))
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+        yield _rows(v[x], node[x], n[x], node[y], n[y])
 
 
 def _fits(least: float) -> Column:
@@ -183,69 +209,80 @@ def _fits(least: float) -> Column:
     return F.least("n", "m") >= F.ceil(F.greatest("n", "m") * least - 1e-9)
 
 
-def star_links(index: DataFrame, least: float, turn: int) -> DataFrame:
-    """Candidates between the rows of each bucket of many nodes and PIVOTS of its nodes: a few times as many as there are rows,
-    at most. They join most of a dense group before its pairs are compared."""
-    mixed = index.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.sum("n").alias("weight"), *[F.min_by(F.struct("node", "n", "known"), F.xxhash64("node", F.lit(turn * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)], F.count("*").alias("rows"))
-    mixed = mixed.where((F.col("x") != F.col("y")) & (F.col("rows") >= DENSE))
-    pivots = mixed.select("value", "weight", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p"))
-    pivots = pivots.select("value", "weight", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.known").alias("other_known"))
-    out = index.join(pivots, "value").where((F.col("known") != F.col("other_known")) & _fits(least))
-    edge = out.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"), F.col("n") + F.col("m"), "value", "weight")
-    return edge.toDF("a", "b", "size", "value", "weight").groupBy("a", "b").agg(F.first("size").alias("size"), F.max(F.struct("weight", "value")).alias("at")).select("a", "b", "size", "at.*")
-
-
-def pair_links(index: DataFrame, first: DataFrame, least: float) -> DataFrame:
-    """Candidates: pairs of a bucket that aren't known to be together and share as many shingles of their prefixes as a pair of
-    the least similarity must. Of two prefixes, the one that ends first has all of its shared shingles in the other; what it
-    may share beyond is its set less its prefix."""
-    buckets = index.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.sum("n").alias("weight")).where("x <> y").select("value", "weight")
-    index = common.staged(index.join(buckets, "value"))
+def star_links(dense: DataFrame, least: float, turn: int) -> DataFrame:
+    """Candidates between the rows of each dense bucket and PIVOTS of its nodes: a few times as many as there are rows, at most.
+    They join most of a dense group before its pairs are compared."""
+    mixed = dense.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y"), *[F.min_by(F.struct("node", "n", "known"), F.xxhash64("node", F.lit(turn * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)]).where("x <> y")
+    pivots = mixed.select("value", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p"))
+    pivots = pivots.select("value", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.known").alias("other_known"))
+    out = dense.join(pivots, "value").where((F.col("known") != F.col("other_known")) & _fits(least))
+    one, two = F.struct("node", "n"), F.struct(F.col("other").alias("node"), F.col("m").alias("n"))
+    edge = out.select("value", F.greatest(one, two).alias("x"), F.least(one, two).alias("y"))
+    return edge.groupBy("x", "y").agg(F.min("value").alias("value")).select("value", F.col("x.node").alias("a"), F.col("x.n").alias("n"), F.col("y.node").alias("b"), F.col("y.n").alias("m"))
+
+
+def pair_links(met: DataFrame, dense: DataFrame, together: DataFrame | None, first: DataFrame, least: float) -> DataFrame:
+    """Candidates: pairs that aren't known to be together and share as many shingles of their prefixes as a pair of the least
+    similarity must. Of two prefixes, the one that ends first has all of its shared shingles in the other; what it may share
+    beyond is its set less its prefix. met: pairs by value; dense: rows of the buckets of many nodes."""
+    mixed = dense.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x <> y").select("value")
+    dense = common.staged(dense.join(mixed, "value", "left_semi"))
     band = lambda n: F.floor(F.log(F.greatest(F.col(n), F.lit(1)).cast("double")) / F.lit(-1.000001 * float(np.log(least))))
     # the larger set of a pair, or of equal ones the greater node, asks in its own band of sizes and in the one below
-    small = index.select("value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("known").alias("b_known"), band("n").alias("band"))
-    large = index.select("value", "weight", F.col("node").alias("a"), "n", F.col("known").alias("a_known"), F.explode(F.array(band("n"), band("n") - 1)).alias("band"))
+    small = dense.select("value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("known").alias("b_known"), band("n").alias("band"))
+    large = dense.select("value", F.col("node").alias("a"), "n", F.col("known").alias("a_known"), F.explode(F.array(band("n"), band("n") - 1)).alias("band"))
     ordered = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") > F.col("b")))
-    met = large.join(small, ["value", "band"]).where(ordered & (F.col("a_known") != F.col("b_known")) & _fits(least))
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"), F.max(F.struct("weight", "value")).alias("at"))
+    more = large.join(small, ["value", "band"]).where(ordered & (F.col("a_known") != F.col("b_known")) & _fits(least))
+    pairs = met.select("value", "a", "n", "b", "m").unionAll(more.select("value", "a", "n", "b", "m"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"), F.min("value").alias("value"))
     need = F.ceil((F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-9)
     beyond = lambda n: F.col(n) - prefix_size(F.col(n), least)
     pairs = pairs.where(F.col("shared") + F.greatest(beyond("n"), beyond("m")) >= need)
+    if together is not None:
+        for c in ("a", "b"):
+            pairs = pairs.join(together.toDF(c, f"{c}_root"), c, "left")
+        pairs = pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
     ends = first.select("node", "last")
     pairs = pairs.join(ends.toDF("a", "a_last"), "a").join(ends.toDF("b", "b_last"), "b")
     reach = F.when(F.col("a_last") < F.col("b_last"), beyond("n")).when(F.col("a_last") > F.col("b_last"), beyond("m")).otherwise(F.greatest(beyond("n"), beyond("m")))
-    return pairs.where(F.col("shared") + reach >= need).select("a", "b", (F.col("n") + F.col("m")).alias("size"), "at.*")
+    return pairs.where(F.col("shared") + reach >= need).select("value", "a", "n", "b", "m")
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """node, shingles of the nodes needed (node, first_id), from the texts of their first ids, read again."""
+    """first_id, node, shingles from the texts of needed's first_ids (and a few more by accident), read again."""
     marks = common.id_marks(needed.select(F.xxhash64("first_id").alias("h")))
-    texts = common.marked(common.documents(docs), F.xxhash64("doc_id"), marks)
+    texts = common.documents(docs)
+    if marks is None:  # so many that bits say little
+        texts = texts.join(needed.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    has = common.mark_test(docs.sparkSession, marks)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(has(b.column("h").to_numpy()), pa.bool_()))
             own = [shingle_set(t, words) for t in b.column("text").to_pylist()]
             node = np.array([node_of(x) for x in own], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node), pa.array([x.tobytes() for x in own], pa.binary())], ["first_id", "node", "shingles"])
 
-    sets = texts.mapInArrow(read, "first_id long, node long, shingles binary")
-    return sets.join(needed, (sets.node == needed.node) & sets.first_id.eqNullSafe(needed.first_id), "left_semi").select("node", "shingles")
+    return texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(read, "first_id long, node long, shingles binary")
 
 
 def alike(edges: DataFrame, docs: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
-    """The edges of the least similarity, by whole shingle sets: a, b of edges a, b, size, value, weight.
+    """The edges of the least similarity, by whole shingle sets: a, b of edges value, a, n, b, m.
 
-    Edges that met in one bucket are compared in one group, so that a set is sent once for many edges; groups hold CHUNK
-    shingles or so, and a bucket that holds more is cut in blocks of its nodes, each pair of which is a group."""
+    Edges that met by one value are compared in one group, so that a set is sent once for many edges. Groups hold CHUNK
+    shingles or so; where a value's nodes hold more, they are cut in blocks, and each two blocks are a group."""
     edges = common.staged(edges)
-    groups = max(1, int((edges.agg(F.sum("size")).first()[0] or 0) // CHUNK))
-    blocks = F.ceil(F.col("weight") / CHUNK)
+    ends = edges.select("value", F.col("a").alias("node"), "n").unionAll(edges.select("value", F.col("b").alias("node"), F.col("m").alias("n"))).distinct()
+    weights = common.staged(ends.groupBy("value").agg(F.sum("n").alias("weight")))
+    groups = max(1, int((weights.agg(F.sum("weight")).first()[0] or 0) // CHUNK))
+    blocks = F.ceil(F.greatest("weight", F.lit(1)) / CHUNK)
     own = lambda node: F.pmod(F.xxhash64(node), blocks)
     by = ["g", "i", "j"]
-    edges = edges.select("a", "b", F.when(blocks <= 1, F.pmod(F.xxhash64("value"), F.lit(groups))).otherwise(F.col("value")).alias("g"), own("a").alias("i"), own("b").alias("j"))
+    edges = edges.join(weights, "value").select("a", "b", F.when(blocks <= 1, F.pmod(F.xxhash64("value"), F.lit(groups))).otherwise(F.col("value")).alias("g"), own("a").alias("i"), own("b").alias("j"))
     ends = edges.select(*by, F.col("a").alias("node")).unionAll(edges.select(*by, F.col("b").alias("node"))).distinct().toDF("at_g", "at_i", "at_j", "node")
-    needed = common.staged(ends.select("node").distinct().join(first.select("node", "first_id"), "node"))
-    held = ends.join(sets_of(docs, needed, words), "node")
+    ends = common.staged(ends.join(first.select("node", "first_id"), "node"))
+    sets = sets_of(docs, ends.select("first_id", "node").distinct(), words).toDF("id", "set_of", "shingles")
+    held = ends.join(sets, (ends.node == sets.set_of) & ends.first_id.eqNullSafe(sets.id)).select("at_g", "at_i", "at_j", "node", "shingles")
 
     def compare(e: pa.Table, s: pa.Table) -> pa.Table:
         sets = dict(zip(s.column("node").to_pylist(), s.column("shingles"), strict=True))
@@ -443,25 +480,26 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> Da
     """
     prints = common.staged(prefixes(docs, words, least))
     first = common.staged(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("last").alias("last")))
-    index = common.staged(meeting(prints))
+    met = common.staged(meeting(prints, least))
+    dense = met.where("b IS NULL").select("value", F.col("a").alias("node"), "n")
     links, together = None, None
     for turn in range(TURNS):
-        known = index.withColumn("known", F.col("node")) if together is None else _known(index, together)
-        edges = common.staged(star_links(known, least, turn))
+        edges = common.staged(star_links(_known(dense, together), least, turn))
         if edges.isEmpty():
             break
         found = common.staged(alike(edges, docs, first, words, least))
         links = found if links is None else links.unionAll(found)
         together = common.staged(components(links))
-    known = index.withColumn("known", F.col("node")) if together is None else _known(index, together)
-    rest = alike(pair_links(known, first, least), docs, first, words, least)
+    rest = alike(pair_links(met.where("b IS NOT NULL"), _known(dense, together), together, first, least), docs, first, words, least)
     roots = components(rest if links is None else links.unionAll(rest))
     named = _named(first, roots)
     return prints.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "node", "component_id", "kept_node")
 
 
-def _known(index: DataFrame, together: DataFrame) -> DataFrame:
-    return index.join(together, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("known"))
+def _known(dense: DataFrame, together: DataFrame | None) -> DataFrame:
+    if together is None:
+        return dense.withColumn("known", F.col("node"))
+    return dense.join(together, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("known"))
 
 
 def _named(first: DataFrame, roots: DataFrame) -> DataFrame:

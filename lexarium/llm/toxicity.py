@@ -36,7 +36,7 @@ THRESHOLD = 0.7
 TERMS, ODDS, LEAST = 4000, 2.0, 3
 WINDOW = 6
 #: Words that a worker keeps, and (trie node, edits) pairs of its automaton's states: beyond them both are dropped and made anew.
-CACHE_WORDS, PAIRS = 100_000, 300_000
+CACHE_WORDS, PAIRS = 300_000, 300_000
 #: Insults known before any label is seen, words of reporting, and words of address.
 SEEDS = "bastard bitch clown coward cretin disgusting dumb fool idiot imbecile jerk loser lunatic moron parasite pathetic pig rat scum stupid trash vermin worthless".split()
 REPORTING = frozenset("called calling quote quoted quotes quoting said says saying term word words phrase wrote written citing cited".split())
