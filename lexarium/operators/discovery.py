@@ -1,36 +1,69 @@
-"""Word discovery: runs of neighbouring tokens scored by dominance and neighbour entropy."""
+"""Word discovery: runs of 2 to 5 neighbouring tokens scored by dominance, neighbour entropy and how often they go on.
+
+Runs are made of the token arrays of lines inside the row, so nothing is shuffled or sorted for neighbours; what is
+shuffled are partial counts by (run, document) and by (run, side, neighbour). Neighbours are counted only for runs of
+enough documents: those are joined back by run, after each side's counts are summed where they lie.
+
+Defined cases: null and empty texts have no runs; a run at a line's edge has the edge (^ or $) as its neighbour; rows
+that repeat an id count as one document; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexarium.functions import text
+from lexarium.sources import shared
+
+LONGEST = 5
+
+
+def runs(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """doc_id, size, term (tokens joined by blanks), first, last, before, after of every run of docs (doc_id, text)."""
+    lines = shared.spread(docs.select("doc_id", "text")).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    w = F.col("w")
+    made = F.flatten(F.array(*[_of_size(w, n) for n in range(2, longest + 1)]))
+    return lines.select("doc_id", text.tokens("line").alias("w")).where(F.size("w") > 1).select("doc_id", F.explode(made).alias("r")).select("doc_id", "r.*")
+
 
-def _entropy(grams: DataFrame, neighbour: str) -> DataFrame:
-    """Natural-log entropy of a neighbour, from its counts; partial counts by neighbour come first."""
-    counts = grams.where(F.col(neighbour).isNotNull()).groupBy("first_term", "second_term", neighbour).agg(F.count("*").cast("double").alias("c"))
+def _of_size(w, n: int):
+    at = F.sequence(F.lit(0), F.size(w) - n)
+    one = lambda i: F.struct(F.lit(n).alias("size"), F.array_join(F.slice(w, i + 1, n), " ").alias("term"), F.when(i > 0, F.get(w, i - 1)).otherwise("^").alias("before"), F.when(i + n < F.size(w), F.get(w, i + n)).otherwise("$").alias("after"))
+    return F.when(F.size(w) >= n, F.transform(at, one)).otherwise(F.array().cast("array<struct<size:int,term:string,before:string,after:string>>"))
+
+
+def _sides(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """term, h (the poorer side's natural-log entropy), most (the largest count of one neighbour that isn't an edge)."""
+    both = F.explode(F.array(F.struct(F.lit("b").alias("side"), F.col("before").alias("x")), F.struct(F.lit("a").alias("side"), F.col("after").alias("x"))))
+    counts = found.select("term", both.alias("n")).groupBy("term", "n.side", "n.x").agg(F.count("*").cast("double").alias("c")).join(kept.select("term"), "term", "left_semi")
     h = F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")
-    return counts.groupBy("first_term", "second_term").agg(h.alias(f"h_{neighbour}"))
-
-
-def pairs(tok: DataFrame, least_df: int = 3) -> DataFrame:
-    """first_term, second_term, tf, df, dominance (tf over that of the rarer part), entropy (of the poorer side)."""
-    w = W.partitionBy("doc_id").orderBy("pos")
-    side = lambda n, name: F.when(F.lead("pos", n).over(w) == F.col("pos") + n, F.lead("term", n).over(w)).alias(name) if n > 0 else F.when(F.lag("pos", -n).over(w) == F.col("pos") + n, F.lag("term", -n).over(w)).alias(name)
-    grams = tok.select("doc_id", F.col("term").alias("first_term"), side(1, "second_term"), side(-1, "before"), side(2, "after")).where("second_term IS NOT NULL")
-    counted = grams.groupBy("first_term", "second_term", "doc_id").agg(F.count("*").alias("n")).groupBy("first_term", "second_term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).where(F.col("df") >= least_df)
-    words = tok.groupBy("term").agg(F.count("*").alias("n"))
-    key = ["first_term", "second_term"]
-    kept = grams.join(counted.select(*key), key)
-    out = (
-        counted.join(words.select(F.col("term").alias("first_term"), F.col("n").alias("n1")), "first_term").join(words.select(F.col("term").alias("second_term"), F.col("n").alias("n2")), "second_term")
-        .join(_entropy(kept, "before"), key, "left").join(_entropy(kept, "after"), key, "left")
-    )
-    zero = F.lit(0.0)
-    return out.select(*key, "tf", "df", F.round(F.col("tf") / F.least("n1", "n2").cast("double"), 12).alias("dominance"), F.round(F.abs(F.least(F.coalesce("h_before", zero), F.coalesce("h_after", zero))), 6).alias("entropy"))
-
-
-def selected(found: DataFrame, entropy: float = 1.0, dominance: float = 0.6, block: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs free enough at both sides and bound enough inside, less blocked first terms."""
-    return found.where((F.col("entropy") >= entropy) & (F.col("dominance") >= dominance) & ~F.col("first_term").isin(*block or ("",)))
+    real = F.max(F.when(~F.col("x").isin("^", "$"), F.col("c")))
+    by_side = counts.groupBy("term", "side").agg(h.alias("h"), real.alias("most"))
+    return by_side.groupBy("term").agg(F.min("h").alias("h"), F.coalesce(F.max("most"), F.lit(0.0)).alias("most"))
+
+
+def discovered(docs: DataFrame, least_df: int = 3, longest: int = LONGEST) -> DataFrame:
+    """term, size, tf, df, dominance (tf over that of the rarest part), entropy (of the poorer side), extends (the largest share
+    that one neighbour continues to a longer run; 0 for the longest)."""
+    found = runs(docs, longest)
+    counted = found.groupBy("term", "size", "doc_id").agg(F.count("*").alias("n")).groupBy("term", "size").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).where(F.col("df") >= least_df)
+    lines = shared.spread(docs.select("text")).select(F.explode(text.tokens("text")).alias("word"))
+    words = lines.groupBy("word").agg(F.count("*").alias("word_tf"))
+    rarest = counted.select("term", F.explode(F.split("term", " ")).alias("word")).join(words, "word").groupBy("term").agg(F.min("word_tf").alias("rarest"))
+    out = counted.join(rarest, "term").join(_sides(found, counted), "term")
+    extends = F.when(F.col("size") < longest, F.col("most") / F.col("tf")).otherwise(0.0)
+    return out.select("term", "size", "tf", "df", F.round(F.col("tf") / F.col("rarest").cast("double"), 12).alias("dominance"), F.round(F.abs("h"), 6).alias("entropy"), F.round(extends, 12).alias("extends"))
+
+
+def selected(found: DataFrame, entropy: float = 1.0, dominance: float = 0.6, extends: float = 0.6, block: tuple[str, ...] = (), titles: tuple[str, ...] = (), leading: tuple[str, ...] = (), ending: tuple[str, ...] = (), allow: tuple[str, ...] = ()) -> DataFrame:
+    """Terms free enough at both sides, bound enough inside, and that seldom go on; without blocked ones, those that begin with
+    a leading word or end with an ending one, and a title before a term that is found itself. allow: found ones that stay."""
+    words = F.split("term", " ")
+    first, last = words[0], F.element_at(words, -1)
+    listed = lambda c, names: c.isin(*names) if names else F.lit(False)
+    good = found.where((F.col("entropy") >= entropy) & (F.col("extends") < extends) & (F.col("dominance") >= dominance))
+    rest = F.when(listed(first, titles), F.array_join(F.slice(words, 2, F.size(words) - 1), " "))
+    titled = good.select("term", rest.alias("rest")).where("rest IS NOT NULL").join(good.select(F.col("term").alias("rest")), "rest", "left_semi").select("term")
+    kept = good.where(~listed(F.col("term"), block) & ~listed(first, leading) & ~listed(last, ending)).join(titled, "term", "left_anti")
+    return kept.unionByName(found.where(listed(F.col("term"), allow))).dropDuplicates(["term"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexarium.functions import text
+from lexarium.sources import shared
 
 #: A token's place is its line times LINE plus its number in the line, so neighbours never reach across lines.
 LINE = 1 << 32
@@ -13,7 +14,7 @@ LINE = 1 << 32
 
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, term, pos for each token of docs (doc_id, text). A null text has none."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "part"))
+    lines = shared.spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "part"))
     return lines.select("doc_id", "line", F.posexplode(text.tokens("part")).alias("n", "term")).select("doc_id", "term", (F.col("line").cast("long") * LINE + F.col("n")).alias("pos"))
 
 
@@ -34,7 +35,7 @@ def lengths(tok: DataFrame) -> DataFrame:
 
 def text_lengths(docs: DataFrame) -> DataFrame:
     """lengths() of the documents' tokens, counted in place: only a number a row is shuffled."""
-    counted = docs.select("doc_id", F.regexp_count("text", F.lit(text.TOKEN)).cast("long").alias("length")).where("length > 0")
+    counted = shared.spread(docs.select("doc_id", "text")).select("doc_id", F.regexp_count("text", F.lit(text.TOKEN)).cast("long").alias("length")).where("length > 0")
     return counted.groupBy("doc_id").agg(F.sum("length").alias("length"))
 
 

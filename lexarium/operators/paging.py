@@ -6,7 +6,8 @@ import base64
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 VERSION = 5
@@ -57,3 +58,12 @@ def page(results: DataFrame, cursor: Cursor) -> tuple[DataFrame, int, Cursor | N
     after = cursor.offset + cursor.limit
     more = Cursor(**(asdict(cursor) | {"offset": after})) if after < total else None
     return kept.orderBy(*order).offset(cursor.offset).limit(cursor.limit), total, more
+
+
+def numbered_within(rows: DataFrame, key: list[str], bucket: str, order: list[Column], name: str) -> DataFrame:
+    """rows with their number (from 1) within the key. bucket must fall along the order, the greatest first: rows are numbered
+    inside a bucket, and the rows of greater buckets are added from a table with a row for each bucket."""
+    w = W.partitionBy(*key).orderBy(F.col(bucket).desc()).rowsBetween(W.unboundedPreceding, -1)
+    before = rows.groupBy(*key, bucket).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    place = F.row_number().over(W.partitionBy(*key, bucket).orderBy(*order)).cast("long")
+    return rows.withColumn("_in", place).join(before, [*key, bucket]).withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before")

@@ -94,12 +94,8 @@ def near(found: DataFrame, units: list[Unit]) -> DataFrame:
 
 
 def ranked(postings: DataFrame, lengths: DataFrame, stats: DataFrame, units: list[Unit]) -> DataFrame:
-    """doc_id, score, gate_hits, terms with gate, coverage and proximity.
-
-    The hits of a query's few words are read five times, so they are kept (in memory, then on disk) until the session's
-    cache is cleared; a lost block is made again from the postings.
-    """
-    found = hits(postings, units).persist()
+    """doc_id, score, gate_hits, terms with gate, coverage and proximity. Stored postings are pruned to the query's few words each time they are read."""
+    found = hits(postings, units)
     close = near(found, units).withColumn("is_near", F.lit(True))
     factor = F.when(F.col("is_near"), PROXIMITY_BONUS).otherwise(1.0)
     return scores(found, lengths, stats, units).join(close, "doc_id", "left").select("doc_id", (F.col("score") * factor).alias("score"), "gate_hits", "terms")

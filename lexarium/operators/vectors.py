@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from lexarium.functions.text import cosine
 
 
+#: Query vectors of one batch at most.
+BATCH = 10_000
+
+
 def vector_of(vectors: DataFrame, vec_id: int) -> DataFrame:
     """query: the vector of one id (the first, if it recurs)."""
     return vectors.where(F.col("vec_id") == vec_id).select(F.col("embedding").alias("query")).limit(1)
@@ -33,8 +37,11 @@ def topk(vectors: DataFrame, query: DataFrame, k: int, threshold: float | None =
 def batch_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, sim, rank of each of a batch of query vectors (query_id, query), a request's few rows.
 
-    Each partition keeps k rows a query before the shuffle (`max_by` with k holds k at a time).
+    Ranks above k are dropped in each partition before the shuffle (a group limit of the window). A batch of more than
+    BATCH queries is refused: it would be sent to every task.
     """
+    if queries.limit(BATCH + 1).count() > BATCH:
+        raise ValueError(f"a batch has at most {BATCH} queries")
     both = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(queries)).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 9).alias("sim"))
     w = W.partitionBy("query_id").orderBy(F.col("sim").desc(), "vec_id")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexarium.operators.store import Stored, build
+from lexarium.sources import shared
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -24,6 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str], Stored] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> Stored:
+    """The stored index of a folder's documents, built once in a session and read by all queries that rank."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = build(table(spark, sf_dir, "documents"), shared.folder(spark, "index"))
+    return _STORED[key]
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 TOK = (
     "tok AS (SELECT doc_id, term, line * 4294967296 + n AS pos FROM (SELECT doc_id, line, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS n FROM "

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.operators import discovery, index
-from lexarium.plans.base import LENGTHS, TOK, query, table
+from lexarium.plans.base import LENGTHS, TOK, query, stored_index, table
 
 
 def _tok(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,22 +53,40 @@ def df_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TOK} SELECT term, doc_id, count(*) AS tf FROM tok WHERE term IN ('idiot', 'clown', 'apache') GROUP BY ALL")
 def postings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of a query's words."""
-    return index.postings(_tok(spark, sf_dir).where(F.col("term").isin("idiot", "clown", "apache"))).select("term", "doc_id", "tf")
+    return stored_index(spark, sf_dir).postings.where(F.col("term").isin("idiot", "clown", "apache")).select("term", "doc_id", "tf")
 
 
-DISCOVERY = f"""WITH {TOK}, grams AS (SELECT a.term AS first_term, b.term AS second_term, a.doc_id, p.term AS before, s.term AS after
-  FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 LEFT JOIN tok p ON p.doc_id = a.doc_id AND p.pos = a.pos - 1 LEFT JOIN tok s ON s.doc_id = a.doc_id AND s.pos = a.pos + 2),
-pairs AS (SELECT first_term, second_term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM grams GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
-words AS (SELECT term, count(*) AS tf FROM tok GROUP BY term),
-l AS (SELECT first_term, second_term, before AS x, count(*)::DOUBLE AS c FROM grams WHERE before IS NOT NULL GROUP BY ALL),
-r AS (SELECT first_term, second_term, after AS x, count(*)::DOUBLE AS c FROM grams WHERE after IS NOT NULL GROUP BY ALL),
-hl AS (SELECT first_term, second_term, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM l GROUP BY ALL), hr AS (SELECT first_term, second_term, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM r GROUP BY ALL)
-SELECT p.first_term, p.second_term, p.tf, p.df, round(p.tf::DOUBLE / least(a.tf, b.tf), 12) AS dominance, round(abs(least(coalesce(hl.h, 0.0), coalesce(hr.h, 0.0))), 6) AS entropy
-FROM pairs p JOIN words a ON a.term = p.first_term JOIN words b ON b.term = p.second_term LEFT JOIN hl ON hl.first_term = p.first_term AND hl.second_term = p.second_term
-LEFT JOIN hr ON hr.first_term = p.first_term AND hr.second_term = p.second_term"""
+RUNS = f"""WITH {TOK}, line_words AS (SELECT doc_id, pos // 4294967296 AS line, list(term ORDER BY pos) AS w FROM tok GROUP BY ALL),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM line_words, (VALUES (2), (3), (4), (5)) sizes(n) WHERE len(w) >= n),
+runs AS (SELECT doc_id, n AS size, array_to_string(w[i : i + n - 1], ' ') AS term, CASE WHEN i > 1 THEN w[i - 1] ELSE '^' END AS before, CASE WHEN i + n - 1 < len(w) THEN w[i + n] ELSE '$' END AS after FROM places),
+often AS (SELECT term, size, count(*) AS tf, count(DISTINCT doc_id) AS df FROM runs GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+words AS (SELECT term AS word, count(*) AS c FROM tok GROUP BY term),
+rarest AS (SELECT term, min(c) AS c FROM (SELECT term, unnest(string_split(term, ' ')) AS word FROM often) JOIN words USING (word) GROUP BY term),
+sides AS (SELECT term, 1 AS side, before AS x, count(*) AS c FROM runs WHERE term IN (SELECT term FROM often) GROUP BY ALL UNION ALL SELECT term, 2, after, count(*) FROM runs WHERE term IN (SELECT term FROM often) GROUP BY ALL),
+shares AS (SELECT *, c / sum(c) OVER (PARTITION BY term, side) AS p FROM sides),
+spread AS (SELECT term, side, -sum(p * ln(p)) AS h, coalesce(max(c) FILTER (WHERE x NOT IN ('^', '$')), 0) AS most FROM shares GROUP BY ALL)"""
+SCORED_RUNS = "found AS (SELECT o.term, o.size::INT AS size, o.tf, o.df, round(o.tf::DOUBLE / r.c, 12) AS dominance, round(abs(min(s.h)), 6) AS entropy, round(CASE WHEN o.size < 5 THEN max(s.most)::DOUBLE / o.tf ELSE 0.0 END, 12) AS extends FROM often o JOIN rarest r USING (term) JOIN spread s USING (term) GROUP BY o.term, o.size, o.tf, o.df, r.c)"
 
 
-@query(DISCOVERY)
+@query(f"{RUNS}, {SCORED_RUNS} SELECT * FROM found")
 def word_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of neighbouring tokens in three documents or more, with dominance and the entropy of their neighbours."""
-    return discovery.pairs(_tok(spark, sf_dir))
+    """Runs of 2 to 5 tokens in three documents or more, with dominance, the entropy of their neighbours, and how often they go on."""
+    return discovery.discovered(table(spark, sf_dir, "documents"))
+
+
+@query(f"{RUNS}, {SCORED_RUNS}, good AS (SELECT * FROM found WHERE entropy >= 1.0 AND extends < 0.6 AND dominance >= 0.6) SELECT term, size FROM good WHERE NOT starts_with(term, 'the ') AND term <> 'you idiot' AND NOT (starts_with(term, 'of ') AND substr(term, 4) IN (SELECT term FROM good)) AND NOT ends_with(term, ' on')")
+def discovery_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs that are taken as terms."""
+    found = discovery.discovered(table(spark, sf_dir, "documents"))
+    return discovery.selected(found, block=("you idiot",), titles=("of",), leading=("the",), ending=("on",)).select("term", "size")
+
+
+@query(f"""WITH {TOK} SELECT 'postings' AS what, count(*)::BIGINT AS n FROM (SELECT DISTINCT term, doc_id FROM tok) UNION ALL SELECT 'tokens', count(*) FROM tok UNION ALL SELECT 'terms', count(DISTINCT term) FROM tok
+UNION ALL SELECT 'lengths', count(DISTINCT doc_id) FROM tok UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'average', round(count(*) / count(DISTINCT doc_id))::BIGINT FROM tok""")
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored index holds; the first query to need it builds and checks it."""
+    at = stored_index(spark, sf_dir)
+    count = lambda what, df: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    tokens = at.lexicon.agg(F.sum("cf").alias("n")).select(F.lit("tokens").alias("what"), "n")
+    average = at.statistics.select(F.lit("average").alias("what"), F.round("avg_length").cast("long").alias("n"))
+    return count("postings", at.postings).unionAll(tokens).unionAll(count("terms", at.lexicon)).unionAll(count("lengths", at.lengths)).unionAll(count("documents", at.documents)).unionAll(average)

@@ -7,18 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexarium.functions import text
-from lexarium.operators import index, ranking, snippets, suggest
+from lexarium.operators import queries, ranking, snippets, suggest
 from lexarium.operators.ranking import Unit
-from lexarium.plans.base import LENGTHS, LOWER, TOK, query, table
+from lexarium.plans.base import LENGTHS, LOWER, TOK, query, stored_index, table
 
 UNITS = [Unit((("idiot",), ("moron",))), Unit((("licensed", "under"),)), Unit((("the",),), 0.15, False), Unit((("apache",),)), Unit((("zzzzqq",),))]
 PLAIN = [Unit((("idiot",),)), Unit((("clown",),)), Unit((("apache",),))]
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    length = index.text_lengths(docs).persist()  # read for the statistics and for each match
-    return index.postings(index.tokens(docs)), length, index.statistics(length)
+    at = stored_index(spark, sf_dir)
+    return at.postings, at.lengths, at.statistics
 
 
 def hits_sql(units: list[Unit]) -> str:
@@ -31,20 +30,16 @@ def hits_sql(units: list[Unit]) -> str:
     return f"units(unit, name, weight, core) AS (VALUES {rows}), hits AS ({' UNION ALL '.join(out)})"
 
 
-SCORED = """matches AS (SELECT unit, doc_id, count(*)::DOUBLE AS tf FROM hits GROUP BY ALL),
-frequencies AS (SELECT unit, count(*)::DOUBLE AS df FROM matches GROUP BY unit),
-tiers AS (SELECT u.*, df, n, avg_length, CASE WHEN core AND df <= 0.5::DOUBLE * n THEN 1 WHEN core THEN 2 ELSE 3 END AS tier FROM frequencies JOIN units u USING (unit) CROSS JOIN stats),
-weighed AS (SELECT *, ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf, (tier = (SELECT min(tier) FROM tiers))::INT AS gating FROM tiers),
-base AS (SELECT doc_id, sum(weight * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avg_length)))
-  * (0.1::DOUBLE + 0.9::DOUBLE * sum(weight) / (SELECT sum(weight) FROM units)) AS score, sum(gating)::BIGINT AS gate_hits, string_agg(name, '|' ORDER BY unit) AS terms
-  FROM matches JOIN weighed USING (unit) JOIN lengths USING (doc_id) GROUP BY doc_id)"""
-GATED = """gate AS (SELECT count(*) FILTER (WHERE gating = 1) AS k FROM weighed),
-required AS (SELECT greatest(1, least(CASE WHEN k <= 2 THEN k WHEN k <= 4 THEN 2 ELSE ceil(k / 2.0)::BIGINT END, (SELECT max(gate_hits) FROM base))) AS r FROM gate),
-gated AS (SELECT * FROM base WHERE gate_hits >= (SELECT r FROM required))"""
-NEAR = """events AS (SELECT doc_id, unit AS pair, start + n_parts AS pos, 0 AS kind FROM hits UNION ALL SELECT doc_id, unit - 1, start, 1 FROM hits WHERE unit > 0),
-walked AS (SELECT *, max(CASE WHEN kind = 0 THEN pos END) OVER (PARTITION BY doc_id, pair ORDER BY pos, kind ROWS UNBOUNDED PRECEDING) AS last_end FROM events),
-near AS (SELECT DISTINCT doc_id FROM walked WHERE kind = 1 AND pos >= last_end AND pos - last_end <= 2),
-final AS (SELECT g.doc_id, score * CASE WHEN near.doc_id IS NULL THEN 1.0::DOUBLE ELSE 1.3::DOUBLE END AS score, gate_hits, terms FROM gated g LEFT JOIN near ON near.doc_id = g.doc_id)"""
+SCORED = """counted AS (SELECT unit, doc_id, count(*)::DOUBLE AS tf FROM hits GROUP BY ALL),
+of_unit AS (SELECT unit, any_value(name) AS name, any_value(weight) AS weight, any_value(core) AS core, count(*)::DOUBLE AS df FROM counted JOIN units USING (unit) GROUP BY unit),
+levels AS (SELECT count(*) FILTER (WHERE core AND 2 * df <= n) AS rare, count(*) FILTER (WHERE core) AS cores, count(*) AS every FROM of_unit, stats),
+opens AS (SELECT unit, CASE WHEN rare > 0 THEN core AND 2 * df <= n WHEN cores > 0 THEN core ELSE true END AS gating FROM of_unit, levels, stats),
+summed AS (SELECT c.doc_id, sum(weight * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 0.3::DOUBLE + 0.9::DOUBLE * length / avg_length)) * (0.1::DOUBLE + 0.9::DOUBLE * sum(weight) / (SELECT sum(weight) FROM units)) AS score,
+  count(*) FILTER (WHERE gating) AS gate_hits, string_agg(name, '|' ORDER BY c.unit) AS terms FROM counted c JOIN of_unit USING (unit) JOIN opens USING (unit) JOIN lengths ON lengths.doc_id = c.doc_id, stats GROUP BY c.doc_id)"""
+GATED = """asked AS (SELECT CASE WHEN rare > 0 THEN rare WHEN cores > 0 THEN cores ELSE every END AS k FROM levels),
+passing AS (SELECT * FROM summed WHERE gate_hits >= greatest(1, least((SELECT CASE WHEN k < 3 THEN k WHEN k < 5 THEN 2 ELSE (k + 1) // 2 END FROM asked), (SELECT max(gate_hits) FROM summed))))"""
+NEAR = """beside AS (SELECT DISTINCT b.doc_id FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND b.unit = a.unit + 1 AND b.start - (a.start + a.n_parts) BETWEEN 0 AND 2),
+outcome AS (SELECT p.doc_id, score * CASE WHEN p.doc_id IN (SELECT doc_id FROM beside) THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS score, gate_hits, terms FROM passing p)"""
 HEAD = f"WITH {TOK}, {LENGTHS}, {hits_sql(UNITS)}, {SCORED}, {GATED}, {NEAR}"
 PLAIN_HEAD = f"WITH {TOK}, {LENGTHS}, {hits_sql(PLAIN)}, {SCORED}, {GATED}, {NEAR}"
 ROW = "doc_id, round(score, 6) AS score, gate_hits, terms"
@@ -59,14 +54,14 @@ def _ranked(spark: SparkSession, sf_dir: str, units: list[Unit]) -> DataFrame:
     return ranking.ranked(p, length, stats, units)
 
 
-@query(f"WITH {TOK}, {LENGTHS}, {hits_sql(UNITS)}, {SCORED} SELECT {ROW} FROM base")
+@query(f"WITH {TOK}, {LENGTHS}, {hits_sql(UNITS)}, {SCORED} SELECT {ROW} FROM summed")
 def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 with coverage, of every document that matches a unit."""
     p, length, stats = _parts(spark, sf_dir)
     return _row(ranking.scores(ranking.hits(p, UNITS), length, stats, UNITS, gate=False))
 
 
-@query(f"{HEAD} SELECT {ROW} FROM final")
+@query(f"{HEAD} SELECT {ROW} FROM outcome")
 def gated_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ranking: gate, BM25, coverage, proximity."""
     return _row(_ranked(spark, sf_dir, UNITS))
@@ -75,26 +70,23 @@ def gated_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TOK}, {hits_sql([UNITS[1]])} SELECT doc_id, count(*) AS tf, min(start) AS first_pos FROM hits GROUP BY doc_id")
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase's places, by higher-order functions over positions."""
-    tok = index.tokens(table(spark, sf_dir, "documents"))
-    found = ranking.hits(index.postings(tok), [UNITS[1]])
+    found = ranking.hits(stored_index(spark, sf_dir).postings, [UNITS[1]])
     return found.select("doc_id", F.size("starts").cast("long").alias("tf"), F.array_min("starts").alias("first_pos"))
 
 
 @query(f"WITH {TOK}, {hits_sql([UNITS[0]])} SELECT doc_id, count(*) AS tf FROM hits GROUP BY doc_id")
 def alias_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unit with two spellings: its frequency is their sum."""
-    tok = index.tokens(table(spark, sf_dir, "documents"))
-    return ranking.hits(index.postings(tok), [UNITS[0]]).groupBy("doc_id").agg(F.sum(F.size("starts")).alias("tf"))
+    return ranking.hits(stored_index(spark, sf_dir).postings, [UNITS[0]]).groupBy("doc_id").agg(F.sum(F.size("starts")).alias("tf"))
 
 
-@query(f"{HEAD} SELECT doc_id FROM near")
+@query(f"{HEAD} SELECT doc_id FROM beside")
 def proximity_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents where neighbouring units stand close."""
-    tok = index.tokens(table(spark, sf_dir, "documents"))
-    return ranking.near(ranking.hits(index.postings(tok), UNITS), UNITS)
+    return ranking.near(ranking.hits(stored_index(spark, sf_dir).postings, UNITS), UNITS)
 
 
-@query(f"{PLAIN_HEAD} SELECT {ROW} FROM final WHERE score >= 0.2::DOUBLE * (SELECT max(score) FROM final)")
+@query(f"{PLAIN_HEAD} SELECT {ROW} FROM outcome WHERE score >= 0.2::DOUBLE * (SELECT max(score) FROM outcome)")
 def relative_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of at least a fifth of the best score."""
     return _row(ranking.cut(_ranked(spark, sf_dir, PLAIN)))
@@ -104,7 +96,7 @@ TITLE = f"titles AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all({L
 TITLED = " + ".join(f"CASE WHEN {' OR '.join(f'contains(t, {chr(39)} {chr(32).join(s)} {chr(39)})' for s in u.spellings)} THEN {float(u.weight)}::DOUBLE ELSE 0 END" for u in UNITS)
 
 
-@query(f"{HEAD}, {TITLE} SELECT doc_id, round(score * (1.0::DOUBLE + ({TITLED}) / (SELECT sum(weight) FROM units)), 6) AS score FROM final JOIN titles USING (doc_id)")
+@query(f"{HEAD}, {TITLE} SELECT doc_id, round(score * (1.0::DOUBLE + ({TITLED}) / (SELECT sum(weight) FROM units)), 6) AS score FROM outcome JOIN titles USING (doc_id)")
 def title_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores raised by what the first line has of the query."""
     titles = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.substring_index("text", "\n", 1)).alias("title_terms"))
@@ -114,7 +106,7 @@ def title_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
 PHRASE, SPLIT = [Unit((("zzzzqq", "idiot"),))], [Unit((("zzzzqq",),)), Unit((("idiot",),))]
 
 
-@query(f"WITH {TOK}, {LENGTHS}, {hits_sql(SPLIT)}, {SCORED}, {GATED} SELECT {ROW} FROM gated")
+@query(f"WITH {TOK}, {LENGTHS}, {hits_sql(SPLIT)}, {SCORED}, {GATED} SELECT {ROW} FROM passing")
 def split_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase without results is split in words and ranked again."""
     p, length, stats = _parts(spark, sf_dir)
@@ -135,7 +127,7 @@ count(*) FILTER (WHERE hit)::DOUBLE / (SELECT count(*) FROM truth) AS recall, co
 
 @query(
     f"{PLAIN_HEAD}, truth AS (SELECT doc_id FROM documents WHERE text LIKE '%idiot%'), "
-    f"judged AS (SELECT row_number() OVER (ORDER BY round(score, 9) DESC, f.doc_id) AS rank, t.doc_id IS NOT NULL AS hit FROM final f LEFT JOIN truth t ON t.doc_id = f.doc_id) SELECT round(p_at_10, 6) AS p_at_10, round(precision, 6) AS precision, round(recall, 6) AS recall, round(mrr, 6) AS mrr, hit_20 FROM ({QUALITY})"
+    f"judged AS (SELECT row_number() OVER (ORDER BY round(score, 9) DESC, f.doc_id) AS rank, t.doc_id IS NOT NULL AS hit FROM outcome f LEFT JOIN truth t ON t.doc_id = f.doc_id) SELECT round(p_at_10, 6) AS p_at_10, round(precision, 6) AS precision, round(recall, 6) AS recall, round(mrr, 6) AS mrr, hit_20 FROM ({QUALITY})"
 )
 def search_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall, reciprocal rank and hits of a ranking against the ground truth.
@@ -155,13 +147,13 @@ def search_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.round(F.col("in_10") / 10.0, 6).alias("p_at_10"), F.round(F.col("hits") / F.col("n"), 6).alias("precision"), F.round(F.col("hits") / F.col("n_truth"), 6).alias("recall"), F.round(mrr, 6).alias("mrr"), "hit_20")
 
 
-@query(f"{PLAIN_HEAD} SELECT source, lang, count(*) AS n FROM final JOIN documents USING (doc_id) GROUP BY ALL")
+@query(f"{PLAIN_HEAD} SELECT source, lang, count(*) AS n FROM outcome JOIN documents USING (doc_id) GROUP BY ALL")
 def facets_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facets of the unfiltered results."""
     return _ranked(spark, sf_dir, PLAIN).join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id").groupBy("source", "lang").agg(F.count("*").alias("n"))
 
 
-PAGE = "SELECT doc_id, round(score, 6) AS score, source, count(*) OVER () AS total FROM final JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY round(score, 9) DESC, doc_id LIMIT 10 OFFSET 5"
+PAGE = "SELECT doc_id, round(score, 6) AS score, source, count(*) OVER () AS total FROM outcome JOIN documents USING (doc_id) WHERE lang = 'en' ORDER BY round(score, 9) DESC, doc_id LIMIT 10 OFFSET 5"
 
 
 @query(f"{PLAIN_HEAD} {PAGE}")
@@ -181,13 +173,13 @@ SELECT word, term, d::INT AS distance, df FROM (SELECT *, row_number() OVER (PAR
 @query(SUGGEST)
 def suggest_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest known term of each misspelt word."""
-    return suggest.suggestions(index.lexicon(index.tokens(table(spark, sf_dir, "documents"))), list(MISSPELT))
+    return suggest.suggestions(stored_index(spark, sf_dir).lexicon, list(MISSPELT))
 
 
 @query(f"WITH {TOK}, lex AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY term) SELECT term, df FROM lex WHERE df >= 2 AND length(term) BETWEEN 4 AND 6 AND (left(term, 1) = 'i' OR right(term, 1) = 't')")
 def lexicon_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate terms of a word by length and first or last letter."""
-    return suggest.candidates(index.lexicon(index.tokens(table(spark, sf_dir, "documents"))), "idiot").select("term", "df")
+    return suggest.candidates(stored_index(spark, sf_dir).lexicon, "idiot").select("term", "df")
 
 
 @query()
@@ -198,7 +190,7 @@ def snippet_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{PLAIN_HEAD}, vec AS (SELECT vec_id AS id, row_number() OVER (ORDER BY sim DESC, vec_id) AS rank FROM (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS sim FROM embeddings e, embeddings q WHERE q.vec_id = 0) ORDER BY sim DESC, vec_id LIMIT 30),
-words AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM final ORDER BY rank LIMIT 30),
+words AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM outcome ORDER BY rank LIMIT 30),
 both_lists AS (SELECT id, rank, 1 AS k FROM words UNION ALL SELECT id, rank, 2 FROM vec)
 SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, CASE WHEN count(*) = 2 THEN 'both' WHEN min(k) = 1 THEN 'keyword' ELSE 'semantic' END AS match FROM both_lists GROUP BY id""")
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,3 +203,35 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = words.select("id", "rank", F.lit(1).alias("k")).unionAll(near.select("id", "rank", F.lit(2).alias("k")))
     how = F.when(F.count("*") == 2, "both").when(F.min("k") == 1, "keyword").otherwise("semantic")
     return lists.groupBy("id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"), how.alias("match"))
+
+
+#: A query string, what it means to the language below, and the units that it must give (typed in for the SQL alone).
+ASKED = "The Idiot, licensed under apache"
+SPOKEN = queries.Language(aliases=queries.alias_groups(["idiot moron", "licensed under\tlicenced under"]))
+MEANT = [Unit((("the",),), 0.15, False), Unit((("idiot",), ("moron",))), Unit((("licensed", "under"), ("licenced", "under"))), Unit((("apache",),))]
+_MEANT_TITLE = " + ".join(f"CASE WHEN {' OR '.join(f'contains(t, {chr(39)} {chr(32).join(s)} {chr(39)})' for s in u.spellings)} THEN {float(u.weight)}::DOUBLE ELSE 0 END" for u in MEANT)
+SEARCHED = f"WITH {TOK}, {LENGTHS}, {hits_sql(MEANT)}, {SCORED}, {GATED}, {NEAR}, {TITLE}, shown AS (SELECT doc_id, round(score * (1.0::DOUBLE + ({_MEANT_TITLE}) / (SELECT sum(weight) FROM units)), 6) AS score, source FROM outcome JOIN titles USING (doc_id) JOIN documents USING (doc_id) WHERE score >= 0.2::DOUBLE * (SELECT max(score) FROM outcome))"
+
+
+@query(f"{SEARCHED} SELECT doc_id, score, source FROM shown")
+def search_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All results of a query string on the stored index: parsed, ranked, cut, raised by titles."""
+    found, _ = queries.results(stored_index(spark, sf_dir), ASKED, SPOKEN)
+    return found.select("doc_id", F.round("score", 6).alias("score"), "source")
+
+
+@query(f"{SEARCHED} SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS place FROM shown GROUP BY source")
+def facets_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by channel, the most first."""
+    found, _ = queries.results(stored_index(spark, sf_dir), ASKED, SPOKEN)
+    by = found.groupBy("source").agg(F.count("*").alias("n"))  # a row a channel
+    return by.withColumn("place", F.row_number().over(W.orderBy(F.col("n").desc(), "source")).cast("long"))
+
+
+@query("""SELECT 'suggested' AS what, 'idiot apache' AS value UNION ALL SELECT 'question', 'false' UNION ALL SELECT 'units', 'idiott|apache'""")
+def search_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a misspelt query could have meant."""
+    at = stored_index(spark, sf_dir)
+    units = queries.parsed("Idiott apache")
+    rows = [("suggested", queries.suggestion(at, "Idiott apache", units)), ("question", str(queries.is_question("Idiott apache", units)).lower()), ("units", "|".join(u.name for u in units))]
+    return spark.createDataFrame(rows, "what string, value string")

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexarium.operators import index, snapshots
-from lexarium.plans.base import TOK, query, table
+from lexarium.operators import paging, snapshots, store
+from lexarium.plans.base import query, stored_index, table
 
 VERSION = 2
 BASE = """cur AS (SELECT doc_id AS key, sha256(text || '|' || source) AS source_hash, sha256(text) AS body_hash FROM documents WHERE doc_id % 11 <> 5),
@@ -54,31 +53,18 @@ def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", action.alias("action"))
 
 
-CHECK = f"""WITH {TOK}, posted AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM posted GROUP BY term)
-SELECT (SELECT sum(df)::BIGINT FROM df) = (SELECT count(*) FROM posted) AS df_sums, (SELECT sum(tf)::BIGINT FROM posted) = (SELECT count(*) FROM tok) AS tf_sums,
-(SELECT count(*) FROM (SELECT DISTINCT doc_id FROM posted) p WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS orphans, (SELECT count(*) FROM documents) AS n_documents"""
-
-
-@query(CHECK)
+@query("SELECT unnest(['documents', 'coverage', 'lexicon', 'lengths', 'statistics', 'positions', 'texts']) AS \"check\", 0::BIGINT AS wrong")
 def self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums and references that must agree in an index."""
-    d = table(spark, sf_dir, "documents")
-    tok = index.tokens(d)
-    posted = tok.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    a = posted.groupBy("term").agg(F.count("*").alias("df")).agg(F.sum("df").alias("sum_df"))
-    b = posted.agg(F.count("*").alias("n_posted"), F.sum("tf").alias("sum_tf"))
-    c = tok.agg(F.count("*").alias("n_tok"))
-    o = posted.join(d.select("doc_id"), "doc_id", "left_anti").select("doc_id").distinct().agg(F.count("*").alias("orphans"))
-    one = a.crossJoin(b).crossJoin(c).crossJoin(o).crossJoin(d.agg(F.count("*").alias("n_documents")))
-    return one.select((F.col("sum_df") == F.col("n_posted")).alias("df_sums"), (F.col("sum_tf") == F.col("n_tok")).alias("tf_sums"), "orphans", "n_documents")
+    """Rows of the stored index that break its rules: none."""
+    return store.checks(stored_index(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
 REG = """reg AS (SELECT 's' || event_id AS snapshot_id, CASE user_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS lineage, 'm@64' AS embedding_space, (3 + user_id % 3)::INT AS format_version,
-CASE WHEN event_id % 5 = 1 THEN 'retired' ELSE 'published' END AS status, event_id % 97 = 3 AS pinned, ts AS published_at, CASE WHEN event_id % 5 = 1 THEN ts + INTERVAL 1 HOUR END AS retired_at FROM events WHERE event_type = 'purchase' OR event_id < 200)"""
+CASE WHEN event_id % 5 = 1 THEN 'retired' ELSE 'published' END AS status, event_id % 97 = 3 AS pinned, ts AS published_at, CASE WHEN event_id % 5 = 1 THEN ts + INTERVAL 1 HOUR END AS retired_at FROM events)"""
 
 
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase' OR event_id < 200")
+    e = table(spark, sf_dir, "events")
     m = F.col("user_id") % 3
     gone = F.col("event_id") % 5 == 1
     return e.select(F.concat(F.lit("s"), "event_id").alias("snapshot_id"), F.when(m == 0, "a").when(m == 1, "b").otherwise("c").alias("lineage"), F.lit("m@64").alias("embedding_space"), (3 + m).cast("int").alias("format_version"), F.when(gone, "retired").otherwise("published").alias("status"), (F.col("event_id") % 97 == 3).alias("pinned"), F.col("ts").alias("published_at"), F.when(gone, F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("retired_at"))
@@ -87,7 +73,7 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 NOW = "2024-02-01 00:00:00"
 
 
-@query(f"""WITH {REG}, live AS (SELECT *, row_number() OVER (PARTITION BY lineage ORDER BY published_at DESC, snapshot_id DESC) AS n, (SELECT min(r.published_at) FROM reg r WHERE r.status = 'published' AND NOT r.pinned AND r.lineage = reg.lineage AND date_trunc('second', r.published_at) > date_trunc('second', reg.published_at)) AS superseded_at FROM reg WHERE status = 'published' AND NOT pinned),
+@query(f"""WITH {REG}, live AS (SELECT *, row_number() OVER (PARTITION BY lineage ORDER BY published_at DESC, snapshot_id DESC) AS n, min(published_at) OVER (PARTITION BY lineage ORDER BY floor(epoch(published_at))::BIGINT RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS superseded_at FROM reg WHERE status = 'published' AND NOT pinned),
 aged AS (SELECT *, (epoch(TIMESTAMP '{NOW}')::BIGINT - floor(epoch(superseded_at))::BIGINT) / 60.0 AS s_age, (epoch(TIMESTAMP '{NOW}')::BIGINT - floor(epoch(published_at))::BIGINT) / 60.0 AS p_age FROM live)
 SELECT snapshot_id, lineage, CASE WHEN lineage = 'a' THEN 'superseded' ELSE 'foreign' END AS reason FROM aged WHERE (lineage = 'a' AND n > 2 AND s_age >= 10) OR (lineage <> 'a' AND ((n > 1 AND s_age >= 10) OR (n = 1 AND p_age >= 10080)))
 UNION ALL SELECT snapshot_id, lineage, 'retired' FROM reg WHERE status = 'retired' AND NOT pinned AND (epoch(TIMESTAMP '{NOW}')::BIGINT - floor(epoch(retired_at))::BIGINT) / 60.0 >= 1440""")
@@ -132,8 +118,8 @@ def latest_desk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {DATED} SELECT doc_id, source, published, row_number() OVER (PARTITION BY source ORDER BY published DESC NULLS LAST, doc_id DESC) AS place FROM dated")
 def transcript_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue: each document's place in its channel, newest first, undated last."""
-    place = F.row_number().over(W.partitionBy("source").orderBy(F.col("published").desc_nulls_last(), F.col("doc_id").desc()))
-    return _dated(spark, sf_dir).select("doc_id", "source", "published", place.cast("long").alias("place"))
+    rows = _dated(spark, sf_dir).withColumn("month", F.coalesce(F.left("published", F.lit(7)), F.lit("")))
+    return paging.numbered_within(rows, ["source"], "month", [F.col("published").desc_nulls_last(), F.col("doc_id").desc()], "place").select("doc_id", "source", "published", "place")
 
 
 @query(f"WITH {DATED} SELECT source, count(*) AS n, max(published) AS lastmod FROM dated GROUP BY source")

@@ -1,10 +1,12 @@
 """Sequential functions and plans on small inputs."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexarium.functions import text
-from lexarium.operators import anchors, chunking, citations, index, ranking, snapshots, snippets
+from lexarium.operators import anchors, chunking, citations, index, paging, ranking, snapshots, snippets
 from lexarium.operators.ranking import Unit
 
 
@@ -83,3 +85,67 @@ def test_publish_is_whole(spark, tmp_path):
     with pytest.raises(FileExistsError):
         snapshots.publish({"a": df}, str(tmp_path), "s1")
     assert len(snapshots.fingerprint(1, "x")) == 16
+
+
+REG = "snapshot_id string, lineage string, embedding_space string, format_version int, status string, pinned boolean, published_at timestamp, retired_at timestamp, stats string"
+
+
+def registry(spark):
+    rows = [("s1", "a", "m", 4, "published", False, 1, '{"search_version": 1}'), ("s2", "a", "m", 5, "published", False, 2, '{"search_version": 2}'), ("s3", "b", "m", 5, "published", False, 3, '{"search_version": 2}'), ("s4", "b", "n", 5, "retired", False, 4, None)]
+    return spark.createDataFrame([(*r[:6], datetime(2024, 1, r[6]), None, r[7]) for r in rows], REG)
+
+
+def test_registry_actions(spark):
+    reg = registry(spark)
+    now = F.lit("2024-02-01").cast("timestamp")
+    gone = snapshots.with_status(reg, ["s1", "s4"], "retire", now)
+    assert {r.snapshot_id: r.status for r in gone.collect()} == {"s1": "retired", "s2": "published", "s3": "published", "s4": "retired"}
+    assert [r.snapshot_id for r in gone.where("retired_at IS NOT NULL").collect()] == ["s1"]
+    assert snapshots.with_status(gone, ["s1"], "unretire", now).where("status = 'published' AND retired_at IS NULL").count() == 3
+    pinned = snapshots.with_status(reg, ["s3"], "pin", now)
+    assert snapshots.with_status(pinned, ["s3"], "retire", now).where("status = 'retired'").count() == 1  # pinned ones stay
+    assert {r.snapshot_id for r in snapshots.previous_lineage(reg, "m", "a").collect()} == {"s3"}
+    for bad in (pinned, reg.where("lineage = 'b'")):
+        with pytest.raises(ValueError):
+            snapshots.previous_lineage(bad, "m", "a")
+    assert snapshots.still_base(reg, "s2", "a") and not snapshots.still_base(reg, "s1", "a") and not snapshots.still_base(reg, "x", "c")
+    assert snapshots.pick_for_search(reg, "m", [4, 5], 2).first().snapshot_id == "s3" and snapshots.pick_for_search(reg, "m", [4, 5], 2, "s2").first().snapshot_id == "s2"
+    assert snapshots.snapshot_id(datetime(2024, 1, 1), "abcdef012", {"s20240101000000_abcdef0"}) == "s20240101000001_abcdef0"
+
+
+def test_build_steps(spark):
+    changes = spark.createDataFrame([(1, "added"), (2, "unchanged"), (3, "unchanged"), (4, "source_only"), (5, "deleted"), (6, "legacy")], "key long, change string")
+    titles = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "key long, title string")
+    base = spark.createDataFrame([(2, "b"), (3, "old"), (4, "d"), (5, "e")], "key long, title string")
+    assert {r.key: r.work for r in snapshots.plan_of(changes, base, titles).collect()} == {1: "reindex", 3: "render", 4: "render", 5: "remove", 6: "reindex"}
+    assert {r.key for r in snapshots.plan_of(changes, None, titles).collect()} == {1, 2, 3, 4, 6}
+    assert snapshots.has_changes(changes) and not snapshots.has_changes(changes.where("change = 'unchanged'"))
+    state = spark.createDataFrame([(1, "x"), (2, "y")], "key long, source_hash string")
+    assert {tuple(r) for r in snapshots.with_source_hashes(state, spark.createDataFrame([(2, "z")], state.schema)).collect()} == {(1, "x"), (2, "z")}
+    for bad in ([(3, "z")], [(1, "z"), (1, "w")]):
+        with pytest.raises(ValueError):
+            snapshots.with_source_hashes(state, spark.createDataFrame(bad, state.schema))
+    docs = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "doc_id long, title string")
+    new = snapshots.with_titles_refreshed(docs, spark.createDataFrame([(1, "a"), (2, "b")], docs.schema))
+    assert {(r.doc_id, r.title, r.changed) for r in new.collect()} == {(1, "a", False), (2, "b", True), (3, "c", False)}
+    runs = spark.createDataFrame([("j", k, o) for k, o in enumerate(["failed", "success", "failed", "skipped", "failed"])] + [("i", 1, "failed"), ("i", 2, "no_change")], "job string, started_at long, outcome string")
+    assert {tuple(r) for r in snapshots.failures_in_a_row(runs).collect()} == {("j", 2), ("i", 0)}
+
+
+def test_publish_checks_and_drops(spark, tmp_path):
+    df = spark.range(3)
+    with pytest.raises(ValueError, match="few"):
+        snapshots.publish({"a": df}, str(tmp_path), "s1", lambda at: ["few rows"] if spark.read.parquet(f"{at}/a").count() < 9 else [])
+    assert list(tmp_path.iterdir()) == []
+    snapshots.publish({"a": df}, str(tmp_path), "s1", lambda at: [])
+    assert snapshots.drop(spark, str(tmp_path), ["s1", "s2"]) == ["s1"] and list(tmp_path.iterdir()) == []
+
+
+def test_numbers_across_buckets(spark):
+    rows = [(k % 2, k // 7, k) for k in range(100)]
+    got = paging.numbered_within(spark.createDataFrame(rows, "g int, b int, v int"), ["g"], "b", [F.col("v").desc()], "place")
+    assert all(r.place == (99 - r.v) // 2 + 1 if r.v % 2 else r.place == (98 - r.v) // 2 + 1 for r in got.collect())
+    many = spark.createDataFrame([("l", datetime(2024, 1, 1 + k // 24, k % 24)) for k in range(200)], "lineage string, published_at timestamp")
+    by = {r.second: r.superseded_at for r in snapshots.superseded(many).collect()}
+    at = sorted(by)
+    assert [int(by[s].timestamp()) if by[s] else None for s in at] == [*at[1:], None]
