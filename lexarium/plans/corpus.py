@@ -21,7 +21,7 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _d(spark, sf_dir).select("doc_id", text.word_count("text").alias("words"))
 
 
-@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)</?(b|i|u|em|strong|span|sup|sub|br)(\s[^>]*)?/?>', '', 'g'), chr(13) || chr(10) || '?', chr(10), 'g'), '\n([ \t]*\n){2,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM pages""")
+@query(r"""SELECT page_id, trim(regexp_replace(list_reduce(list_prepend(replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ['br', 'u', 'b', 'i', 'em', 'strong', 'center', 'sup', 'sub', 'p']), lambda x, tag: regexp_replace(x, '(?i)</?' || tag || '\s*/?>', '', 'g')), '\n([ \t]*\n){2,}', chr(10) || chr(10), 'g'), chr(32) || chr(9) || chr(10)) AS cleaned FROM pages""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inline tags out, line ends and blank lines evened."""
     return table(spark, sf_dir, "pages").select("page_id", text.clean("html").alias("cleaned"))
@@ -61,10 +61,37 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _markdown(spark, sf_dir).select("doc_id", F.posexplode(F.split("md", "\n## ")).alias("n", "section"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^#[ \\t]') THEN 'level-one heading' WHEN regexp_matches(text, '(?m)^###+[ \\t]') THEN 'deep heading' WHEN contains(text, '[^') THEN 'footnote' END AS violation FROM documents")
+#: Lines with what the heading contract forbids, in most documents none or one kind.
+_BROKEN = ("## **bold**", "## __under__", "## `code`", "## [link](u)", "## plain **part**", "## **a** and **b**", "# one", "### three", "note[^1]", "##no heading", "## [note][^2]")
+
+
+@query(r"""WITH lines AS (SELECT doc_id, unnest(string_split(text || chr(10) || coalesce((['""" + "', '".join(_BROKEN) + r"""'])[doc_id % 17 + 1], ''), chr(10))) AS l FROM documents),
+judged AS (SELECT doc_id, l, trim(regexp_extract(l, '^##[ \t]+(.+)$', 1)) AS t FROM lines),
+marks AS (SELECT *, EXISTS (SELECT 1 FROM (VALUES ('**'), ('__'), ('`')) v(m) WHERE length(t) > 2 * length(m) AND starts_with(t, m) AND ends_with(t, m) AND NOT contains(t[length(m) + 1 : length(t) - length(m)], m)) AS wrapped FROM judged),
+first_other AS (SELECT doc_id, min_by(l, n) AS l FROM (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id) AS n FROM (SELECT doc_id, l FROM lines WHERE regexp_matches(l, '^(#|###+)[ \t]'))) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN any_value(f.l) IS NOT NULL THEN CASE WHEN starts_with(any_value(f.l), '##') THEN 'deep heading' ELSE 'level-one heading' END WHEN bool_or(contains(m.l, '[^')) THEN 'footnote' WHEN bool_or(contains(t, '](')) THEN 'link in heading' WHEN bool_or(wrapped) THEN 'emphasised heading' END AS violation
+FROM marks m LEFT JOIN first_other f USING (doc_id) GROUP BY doc_id""")
 def contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why a text breaks the heading contract."""
-    return _d(spark, sf_dir).select("doc_id", text.contract_violation("text").alias("violation"))
+    """Why a text, with a line that may break it, breaks the heading contract."""
+    more = F.get(F.array(*map(F.lit, _BROKEN)), (F.col("doc_id") % 17).cast("int"))
+    return _d(spark, sf_dir).select("doc_id", text.contract_violation(F.concat("text", F.coalesce(F.concat(F.lit("\n"), more), F.lit("\n")))).alias("violation"))
+
+
+@query(f"WITH {MADE}, cut AS (SELECT doc_id, string_split(md, chr(10)) AS l FROM md), placed AS (SELECT doc_id, l[i] AS line, coalesce(list_sum(list_transform(l[1 : i - 1], lambda x: length(x) + 1)), 0) AS place FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM cut)) SELECT doc_id, place::INT AS place, trim(substr(line, 4)) AS title FROM placed WHERE regexp_matches(line, '^##[ \\t]+[^ ]')")
+def heading_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level-two headings with their places."""
+    return _markdown(spark, sf_dir).select("doc_id", F.explode(text.heading_places("md")).alias("h")).select("doc_id", "h.place", "h.title")
+
+
+@query(r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') WHEN 1 THEN '2023-05-06' END AS published, CASE WHEN doc_id % 3 = 0 THEN '2024-02-29' WHEN doc_id % 3 = 1 AND doc_id % 2 = 0 THEN '2023-12-01' END AS lastmod,
+CASE WHEN length(h) > 12 THEN left(h, 12) || '…' ELSE h END AS label FROM (SELECT doc_id, 'Part ' || doc_id || ' of the source ' || source AS h FROM documents)""")
+def header_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of header lines and of site maps, and labels of sections."""
+    k, day = F.col("doc_id"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")
+    head = F.when(k % 4 == 0, F.concat(F.lit("# T\nPublished 2024-01-"), day, F.lit(" | [a](u)\n"))).when(k % 4 == 1, F.lit("Published 2023-05-06\r\n")).when(k % 4 == 2, F.lit("Published 2023-05-06 in prose\n")).otherwise(F.lit("**Published** 2023-05-06\n"))
+    stamp = F.when(k % 3 == 0, "2024-02-29T10:00:00Z").when((k % 3 == 1) & (k % 2 == 0), "2023-12-01").when(k % 3 == 1, "2023-02-30").otherwise("soon")
+    label = text.section_label(F.concat(F.lit("[**Part "), k, F.lit("**](u)  of the `source` "), "source"))
+    return _d(spark, sf_dir).select("doc_id", text.publication_date(F.concat(head, "text")).alias("published"), text.valid_date(stamp).cast("string").alias("lastmod"), label.alias("label"))
 
 
 @query()
@@ -111,7 +138,10 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _d(spark, sf_dir).select("doc_id", text.excerpt("text").alias("excerpt"))
 
 
-@query()
+_DIGITS = " || ".join(f"substr('{a.BASE58}', (n // {58**k} % 58 + 1)::INT, 1)" for k in range(7, -1, -1))
+
+
+@query(f"SELECT page_id, {_DIGITS} AS short_id FROM (SELECT page_id, ('0x' || left(sha256(url), 12))::BIGINT AS n FROM pages)")
 def short_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short ids of page addresses."""
     return table(spark, sf_dir, "pages").select("page_id", a.short_ids("url").alias("short_id"))

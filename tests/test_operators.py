@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexarium.functions import text
-from lexarium.operators import anchors, chunking, citations, index, paging, ranking, snapshots, snippets
+from lexarium.operators import anchors, chunking, citations, index, paging, projection, ranking, snapshots, snippets
 from lexarium.operators.ranking import Unit
 
 
@@ -32,7 +32,7 @@ def test_chunks_number_kept_ones(spark):
 def test_anchors():
     assert anchors.slug("## **A [b](c) d**") == "A-b-d"
     assert anchors.unique(["x", "x-2", "x", "", ""]) == ["x", "x-2", "x-3", "", ""]
-    assert anchors.short_id("a") == anchors.short_id("a") and len(anchors.short_id("a")) == 8
+    assert anchors.slug("`a b`") == "a-b" and anchors.slug("**a** and **b**") == "**a**-and-**b**" and anchors.unique(["a"] * 3 + ["a-2"]) == ["a", "a-2", "a-3", "a-2-2"]
     assert anchors.rewritten("../b.md#q", "x/y/a.md", "old.example") == "/read/x/b.md#q"
     assert anchors.rewritten("../../../b.md", "x/a.md", "old.example") is None
     assert anchors.rewritten("javascript:1", "a.md", "h") is None
@@ -149,3 +149,40 @@ def test_numbers_across_buckets(spark):
     by = {r.second: r.superseded_at for r in snapshots.superseded(many).collect()}
     at = sorted(by)
     assert [int(by[s].timestamp()) if by[s] else None for s in at] == [*at[1:], None]
+
+
+def test_contract_is_kept_by_chunks(spark):
+    sizes = chunking.Sizes(least=1)
+    assert chunking.chunks_of("## A\nx\n### B\ny", sizes) == [] and chunking.chunks_of("## `A`\nx", sizes) == [] and chunking.chunks_of("note[^1]", sizes) == []
+    assert chunking.chunks_of("## A b\nx\n## A b\ny", sizes) == [("A b", "A-b", "## A b\nx", 3), ("A b", "A-b-2", "## A b\ny", 3)]
+    docs = spark.createDataFrame([(1, "a_b", "## H\nword\n" * 3), (2, "c", None), (3, "d", "")], "doc_id long, slug string, text string")
+    got = chunking.chunks(docs, sizes).collect()
+    assert [(r.chunk_id, r.chunk_index, r.heading_anchor) for r in got] == [("a_b_chunk_000", 0, "H"), ("a_b_chunk_001", 1, "H-2"), ("a_b_chunk_002", 2, "H-3")]
+    same = spark.createDataFrame([(t,) for t in ("# a", "### b", "x[^1]", "## [l](u)", "## **w**", "## **a** b", "## `c`", "## ok", None)], "text string").select("text", text.contract_violation("text").alias("v"))
+    assert all((r.v == chunking.violation(r.text)) if r.text is not None else r.v is None for r in same.collect())
+
+
+def test_tail_takes_the_first_mark_that_occurs():
+    words = "one two three four five six. seven eight; nine ten eleven twelve"
+    assert chunking.tail(words, 4) == "seven eight; nine ten eleven twelve"  # . comes before ; in the list
+    assert chunking.tail("a b c", 5) == "a b c" and chunking.tail("a b c", 0) == ""
+
+
+def test_plain_text_of_markdown():
+    cases = {
+        "# T\n\nA *b* **c** `d*e*` [l](u \"t\") ![i](x)": "T\n\nA b c d*e* l i", "a_b_c 1 < 2 and 3 > 2": "a_b_c 1 < 2 and 3 > 2", "x <b>y</b> &amp; z[^1]": "x y & z", "- one\n- two": "one\n\ntwo",
+        "| h | i |\n|---|---|\n| 1 | 2 |": "h\n\ni\n\n1\n\n2", "```py\ncode *x* <y>\n```": "code *x* <y>", "***both*** _em_ \\*no\\*": "both em *no*", "[[in](a)](b) [ref][x]": "in [ref][x]",
+        "T\n===\nnext": "T\n\nnext", "<script>hide()</script>see<br>me": "see\nme", "é": "é", "": "", "> quoted\n> more": "quoted\nmore",
+    }
+    for markdown, want in cases.items():
+        assert projection.plain(markdown) == want, markdown
+    body, spans = projection.projected("pre\n## H *x*\nbody\n## H *x*\n\n## Z\n")
+    assert [(body[a:b].split("\n")[0], h, x) for a, b, h, x in spans] == [("pre", None, ""), ("H x", "H x", "H-*x*"), ("H x", "H x", "H-*x*-2"), ("Z", "Z", "Z")]
+    with pytest.raises(ValueError):
+        projection.projected("a\0b")
+
+
+def test_search_documents_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None), (2, "a\0b"), (3, "x")], "doc_id long, text string")
+    got = {r.doc_id: (r.body_text, r.error) for r in projection.search_documents(docs).collect()}
+    assert got == {1: ("", None), 2: (None, "NUL in a text"), 3: ("x", None)} and projection.search_documents(docs.limit(0)).count() == 0
