@@ -1,9 +1,10 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
 Texts and templates are normalised to lower-case words of letters and digits, the spelling of licence evened. A template
-is compared with runs of whole lines. If a run reaches the Dice coefficient t, at least t / (2 - t) of its bigrams are the
-template's, so one of its lines has that share too: only such lines start a comparison. The same bound on sizes prunes
-the templates that a run is too long or too short for, and ends its growth.
+is compared with runs of words, wherever they stand: within a line, across lines, or as a whole text. If a run reaches the
+Dice coefficient t, it shares at least t / (2 - t) of the template's bigrams and has at most (2 - t) / t times as many;
+these bounds on sizes prune templates and places. A run that begins or ends with a bigram of no use to it is worse than
+the run without, so runs are grown from one bigram of the template to another.
 
 Defined cases: a null or empty text has no licence (null, score 0, line null); of several matches the best score counts,
 then the longer template, then the name; lines count from 0; repeated rows are scanned alike; an empty table gives an
@@ -13,6 +14,7 @@ empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -77,47 +79,46 @@ class Scanner:
                 self.holders.setdefault(pair, []).append(k)
 
     def scan(self, text: str) -> tuple[str | None, float, int | None]:
-        """The best licence of the text, its coefficient and first line."""
-        lines = text.split("\n")
-        words: list[list[str]] = [words_of(x) for x in lines]
-        pairs: list[list[tuple[str, str]]] = []
-        last = None  # of the lines before: a bigram over a line's end is the later line's
-        for w in words:
-            whole = [last, *w] if last and w else w
-            pairs.append(list(zip(whole, whole[1:])))  # noqa: B905
-            last = w[-1] if w else last
-        best: tuple[float, int, str, int] | None = None
-        seen: set[tuple[int, int]] = set()
-        for n, own in enumerate(pairs):
-            if self.holders.keys().isdisjoint(own):
+        """The best licence of the text, its coefficient and the line where its run begins."""
+        words: list[str] = []
+        ends: list[int] = []  # words up to each line's end
+        for line in text.split("\n"):
+            words += words_of(line)
+            ends.append(len(words))
+        pairs = list(zip(words, words[1:]))  # noqa: B905
+        hits: dict[int, list[int]] = {}
+        if not self.holders.keys().isdisjoint(pairs):
+            for at, pair in enumerate(pairs):
+                for k in self.holders.get(pair, ()):
+                    hits.setdefault(k, []).append(at)
+        best: tuple[float, int, str] | None = None
+        place = None
+        for k in sorted(hits):
+            if len(hits[k]) >= self.share * self.sizes[k] - 1e-9 and (found := self._run(pairs, hits[k], k)):
+                own = (found[0], self.sizes[k], self.names[k])
+                if best is None or own > best:
+                    best, place = own, found[1]
+        return (best[2], best[0], bisect_right(ends, place)) if best else (None, 0.0, None)
+
+    def _run(self, pairs: list[tuple[str, str]], at: list[int], k: int) -> tuple[float, int] | None:
+        """(coefficient, first word) of the best run that reaches template k, the first of equal ones. at: places of its bigrams."""
+        bag, size = self.bags[k], self.sizes[k]
+        need, most = self.share * size - 1e-9, size / self.share + 1e-9
+        best: tuple[float, int] | None = None
+        for i, first in enumerate(at):
+            last = bisect_right(at, first + int(most) - 1)
+            if last - i < need:
                 continue
-            hits = Counter(k for p in own for k in self.holders.get(p, ()))
-            for k, h in hits.items():
-                if h < self.share * (len(own) - 1) - 1e-9 and h < self.share * len(own):
-                    continue
-                for found in self._runs(words, pairs, n, k, seen):
-                    if best is None or (found[0], self.sizes[k], self.names[k]) > best[:3]:
-                        best = (found[0], self.sizes[k], self.names[k], found[1])
-        return (best[2], best[0], best[3]) if best else (None, 0.0, None)
-
-    def _runs(self, words: list, pairs: list, n: int, k: int, seen: set) -> Iterator[tuple[float, int]]:
-        """(coefficient, first line) of the runs of lines around line n that reach template k."""
-        most = self.sizes[k] / self.share
-        first, size = n, len(pairs[n])
-        while first and size + len(pairs[first - 1]) <= most:
-            first -= 1
-            size += len(pairs[first])
-        for a in range(first, n + 1):
-            if (a, k) in seen:
-                continue
-            seen.add((a, k))
-            bag, own = Counter(), words[a]
-            for b in range(a, len(words)):
-                bag.update(zip(own, own[1:]) if b == a else pairs[b])  # noqa: B905
-                if bag.total() > most:
-                    break
-                if bag.total() >= self.share * self.sizes[k] and (d := dice(bag, self.bags[k])) >= self.least:
-                    yield d, a
+            seen: Counter[tuple[str, str]] = Counter()
+            both = 0
+            for j in range(i, last):
+                pair = pairs[at[j]]
+                seen[pair] += 1
+                both += seen[pair] <= bag[pair]
+                d = 2 * both / (at[j] - first + 1 + size)
+                if d >= self.least and (best is None or d > best[0]):
+                    best = (d, first)
+        return best
 
 
 def scanned(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:

@@ -324,19 +324,27 @@ def test_sketches_merge_and_contain():
 
 
 def test_licences(spark, docs):
-    texts = ["Released under the MIT License.", "released under the MIT licence", "x\n" + licences.TEMPLATES[0][1].replace(". ", ".\n") + "\ny", "nothing of the sort", ""]
+    mit = licences.TEMPLATES[0][1]
+    texts = ["Released under the MIT License.", "released under the MIT licence", "x\n" + mit.replace(". ", ".\n") + "\ny", "nothing of the sort", ""]
+    r = random.Random(15)
+    vague = [" ".join(r.choice("red under the blue of and to with this".split()) for _ in range(200)) for _ in range(2)]
+    inside = [f"{vague[0]} Released under the MIT License. {vague[1]}", f"{vague[0]}\n{vague[0]} {mit} {vague[1]}", "one\n\ntwo Licensed under\nthe Apache License,\nVersion 2.0. three"]
     s = licences.Scanner()
-    for t in texts + docs.text.tolist()[:60]:
-        lines = t.split("\n")
-        best = 0.0
-        for a in range(len(lines)):
-            for b in range(a + 1, min(len(lines), a + 15) + 1):
-                w = licences.words_of("\n".join(lines[a:b]))
-                bag = Counter(zip(w, w[1:], strict=False))
-                best = max([best, *(licences.dice(bag, x) for x in s.bags)])
-        got = s.scan(t)
-        assert got[1] == pytest.approx(best if best >= 0.8 else 0.0)
     assert [s.scan(t)[0] for t in texts] == ["MIT", "MIT", "MIT", None, None]
+    assert [s.scan(t)[::2] for t in inside] == [("MIT", 0), ("MIT", 1), ("Apache-2.0", 2)]
+    few = licences.Scanner(tuple(t for t in licences.TEMPLATES if len(t[1]) < 120) + (("Odd", "the of the of the red of the"),))
+    sources = [*texts[:2], *inside[::2], *vague, *(" ".join(w) for t in docs.text[docs.text.str.contains("icense")][:10] for w in [t.split()[:150]]), "the of the of the red of the of the red the of the of"]
+    for t in sources:
+        w = licences.words_of(t)
+        best = 0.0
+        for a in range(len(w)):
+            for b in range(a + 2, min(len(w), a + 40) + 1):
+                bag = Counter(zip(w[a:b], w[a + 1 : b], strict=False))
+                best = max([best, *(licences.dice(bag, x) for x in few.bags)])
+        assert few.scan(t)[1] == pytest.approx(best if best >= 0.8 else 0.0)
+    long = (mit + " ") * 300
+    began = time.time()
+    assert s.scan(long)[0] == "MIT" and time.time() - began < 60
 
 
 def _nearest(ids, v, q, k=5):
