@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexarium.plans import conversations, corpus, indexing, ranking, snapshots, vectors
+from lexarium.plans import answers, conversations, corpus, indexing, ranking, snapshots, vectors
 from lexarium.plans.base import ORACLE_SQL, QUERIES
 
-MODULES = (corpus, indexing, ranking, vectors, snapshots, conversations)
+MODULES = (answers, corpus, indexing, ranking, vectors, snapshots, conversations)
 __all__ = ["MODULES", "ORACLE_SQL", "QUERIES"]
