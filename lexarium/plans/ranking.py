@@ -186,7 +186,7 @@ def lexicon_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snippet_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three windows of each document of the first page."""
     page = ranking.cut(_ranked(spark, sf_dir, PLAIN)).orderBy(F.col("score").desc(), "doc_id").limit(50)
-    return snippets.snippets(table(spark, sf_dir, "documents").join(F.broadcast(page.select("doc_id")), "doc_id"), [u.name for u in PLAIN])
+    return snippets.snippets(table(spark, sf_dir, "documents").join(F.broadcast(page.select("doc_id")), "doc_id"), [(s, u.weight) for u in PLAIN for s in u.spellings])
 
 
 @query(f"""{PLAIN_HEAD}, vec AS (SELECT vec_id AS id, row_number() OVER (ORDER BY sim DESC, vec_id) AS rank FROM (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS sim FROM embeddings e, embeddings q WHERE q.vec_id = 0) ORDER BY sim DESC, vec_id LIMIT 30),

@@ -45,9 +45,18 @@ def test_citations_twice_is_once():
 
 
 def test_snippets_mark_terms():
-    (a, b, marks), *_ = snippets.windows("x" * 100 + " needle " + "y" * 100, ["needle"])
-    assert "x" * 10 in ("x" * 100)[a:] and marks and b > a
-    assert snippets.windows("none", ["needle"]) == []
+    needle = [(("needle",), 1.0), (("sharp", "pin"), 1.0), (("the",), 0.15)]
+    text_ = "x" * 100 + " needle " + "y" * 100
+    (a, b, marks), *_ = snippets.windows(text_, needle)
+    assert [text_[a + s : a + e] for s, e in marks] == ["needle"]
+    assert snippets.windows("none", needle) == snippets.windows("", needle) == snippets.windows("moderate needles", needle) == []
+    far = "the " * 60 + "A needle lies here! " + "filler words go on " * 20 + "and a sharp pin there. " + "end " * 50
+    best = snippets.windows(far, needle)
+    assert "needle" in far[best[0][0] : best[0][1]] and any("sharp pin" in far[a:b] for a, b, _ in best) and len(best) <= 3
+    two = "one needle" + " z" * 10 + "second needle"
+    cut = two.index("second")
+    for a, b, _ in snippets.windows(two, needle, [(0, cut), (cut, len(two))]):
+        assert b <= cut or a >= cut
 
 
 def test_body_title_and_uri(spark):
