@@ -42,8 +42,10 @@ HOT_ROWS, HOT_TIMES = 64, 16
 BLOCK = 2048
 #: Documents from which frequent shingles are taken, and how many of these at most: a cost choice, not a filter.
 SAMPLED, LATE = 4096, 100_000
-#: Buckets of so many nodes or more are joined by links to so many of them, in as many turns, before pairs are compared: a cost choice.
-DENSE, PIVOTS, TURNS = 16, 3, 3
+#: Nodes that share one of these least hashes are joined by links to one of them, in as many turns with another one each; then
+#: pairs of buckets are compared, of those of DENSE nodes or more by a join, of others where they meet: a cost choice.
+FACTORS = tuple(int(x) | 1 for x in np.random.default_rng(3).integers(1 << 62, 1 << 63, 4, dtype=np.uint64))
+DENSE, TURNS = 16, 2
 #: Shingles of a group of sets that are compared in one place, 8 bytes each.
 CHUNK = 2_000_000
 
@@ -123,8 +125,8 @@ def prefix_size(n: Column, least: float) -> Column:
 
 
 def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """doc_id, text_key (hash of the text), node (hash of the shingle set), n (shingles), prefix, last: the set's first
-    n - ceil(least n) + 1 shingles as ordered numbers, frequent ones last, and the greatest of them.
+    """doc_id, text_key (hash of the text), node (hash of the shingle set), n (shingles), prefix, last, mins: the set's first
+    n - ceil(least n) + 1 shingles as ordered numbers, frequent ones last, the greatest of them, and the set's least hashes.
 
     Two sets of the least similarity share least * max(n, m) shingles or more, so the first one they share, in any order that
     all sets follow, lies in both prefixes. Numbers keep 63 bits of a shingle's hash: what meets by accident is compared whole."""
@@ -132,7 +134,7 @@ def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, n, prefix = [], [], []
+            node, n, prefix, mins = [], [], [], []
             for t in b.column("text").to_pylist():
                 own = shingle_set(t, words)
                 at = np.minimum(np.searchsorted(late, own), max(0, len(late) - 1))
@@ -140,14 +142,16 @@ def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
                 number = np.sort(((own >> np.uint64(1)) | first).view(np.int64))
                 node.append(node_of(own))
                 n.append(len(own))
+                mins.append([int(x) for x in (own * factor).min(1, initial=np.uint64(2**64 - 1)).view(np.int64)])
                 prefix.append(number[: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 if len(own) else 0])
             ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
             last = pa.array([int(x[-1]) if len(x) else 0 for x in prefix], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists, last], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists, last, pa.array(mins, pa.list_(pa.int64()))], names)
 
-    names = ["doc_id", "text_key", "node", "n", "prefix", "last"]
-    return common.documents(docs, text_key()).mapInArrow(run, "doc_id long, text_key long, node long, n int, prefix array<long>, last long")
+    factor = np.array([[x] for x in FACTORS], dtype=np.uint64)
+    names = ["doc_id", "text_key", "node", "n", "prefix", "last", "mins"]
+    return common.documents(docs, text_key()).mapInArrow(run, "doc_id long, text_key long, node long, n int, prefix array<long>, last long, mins array<long>")
 
 
 def text_key() -> Column:
@@ -209,18 +213,25 @@ def _fits(least: float) -> Column:
     return F.least("n", "m") >= F.ceil(F.greatest("n", "m") * least - 1e-9)
 
 
-def star_links(dense: DataFrame, least: float, turn: int) -> DataFrame:
-    """Candidates between the rows of each dense bucket and PIVOTS of its nodes: a few times as many as there are rows, at most.
-    They join most of a dense group before its pairs are compared."""
-    mixed = dense.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y"), *[F.min_by(F.struct("node", "n", "known"), F.xxhash64("node", F.lit(turn * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)]).where("x <> y")
-    pivots = mixed.select("value", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p"))
+def star_links(sets: DataFrame, least: float, turn: int) -> DataFrame:
+    """Candidates between the nodes that share a least hash and one of them: a few for each node, at most. They join most of a
+    dense group before its pairs are compared. sets: node, n, mins, known."""
+    rows = sets.select("node", "n", "known", F.posexplode("mins").alias("k", "value")).select("node", "n", "known", F.xxhash64("k", "value").alias("value"))
+    pivots = rows.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.min_by(F.struct("node", "n", "known"), F.xxhash64("node", F.lit(turn))).alias("p")).where("x <> y")
     pivots = pivots.select("value", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.known").alias("other_known"))
-    out = dense.join(pivots, "value").where((F.col("known") != F.col("other_known")) & _fits(least))
+    out = rows.join(pivots, "value").where((F.col("known") != F.col("other_known")) & _fits(least))
     one, two = F.struct("node", "n"), F.struct(F.col("other").alias("node"), F.col("m").alias("n"))
     edge = out.select("value", F.greatest(one, two).alias("x"), F.least(one, two).alias("y"))
     return edge.groupBy("x", "y").agg(F.min("value").alias("value")).select("value", F.col("x.node").alias("a"), F.col("x.n").alias("n"), F.col("y.node").alias("b"), F.col("y.n").alias("m"))
 
 
+def labels(links: DataFrame) -> DataFrame:
+    """node, root of links' nodes: equal roots are connected, though not all that are connected have one root. Two steps to the least neighbour."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(links.select(F.col("b").alias("node"), F.col("a").alias("root")))
+    one = common.staged(both.groupBy("node").agg(F.min("root").alias("root")).select("node", F.least("node", "root").alias("root")))
+    return common.staged(one.join(one.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root")))
+
+
 def pair_links(met: DataFrame, dense: DataFrame, together: DataFrame | None, first: DataFrame, least: float) -> DataFrame:
     """Candidates: pairs that aren't known to be together and share as many shingles of their prefixes as a pair of the least
     similarity must. Of two prefixes, the one that ends first has all of its shared shingles in the other; what it may share
@@ -476,30 +487,32 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> Da
     similarity over words-word shingles, found by the shingles that their prefixes share. kept_node is that of the
     component's row of the smallest id (of several, the least node).
 
-    Links to a few rows of each bucket come first, in TURNS; then only nodes that these leave apart are compared.
+    Links between nodes of one least hash come first, in TURNS; then only nodes that these leave apart are compared.
     """
     prints = common.staged(prefixes(docs, words, least))
-    first = common.staged(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("last").alias("last")))
-    met = common.staged(meeting(prints, least))
-    dense = met.where("b IS NULL").select("value", F.col("a").alias("node"), "n")
-    links, together = None, None
+    first = common.staged(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("last").alias("last"), F.first("mins").alias("mins")))
+    links, known = None, None
     for turn in range(TURNS):
-        edges = common.staged(star_links(_known(dense, together), least, turn))
+        edges = common.staged(star_links(_known(first.select("node", "n", "mins"), known), least, turn))
         if edges.isEmpty():
             break
         found = common.staged(alike(edges, docs, first, words, least))
         links = found if links is None else links.unionAll(found)
-        together = common.staged(components(links))
+        known = labels(links)
+    together = common.staged(components(links)) if links is not None else None
+    met = common.staged(meeting(prints, least))
+    dense = met.where("b IS NULL").select("value", F.col("a").alias("node"), "n")
     rest = alike(pair_links(met.where("b IS NOT NULL"), _known(dense, together), together, first, least), docs, first, words, least)
     roots = components(rest if links is None else links.unionAll(rest))
     named = _named(first, roots)
     return prints.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "node", "component_id", "kept_node")
 
 
-def _known(dense: DataFrame, together: DataFrame | None) -> DataFrame:
+def _known(rows: DataFrame, together: DataFrame | None) -> DataFrame:
+    """rows (node and more) with known: what names the nodes that the node is known to be together with."""
     if together is None:
-        return dense.withColumn("known", F.col("node"))
-    return dense.join(together, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("known"))
+        return rows.withColumn("known", F.col("node"))
+    return rows.join(together, "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root")
 
 
 def _named(first: DataFrame, roots: DataFrame) -> DataFrame:
