@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lexarium.llm import common
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 700_000
 LONG, CHUNK = 96, 64
 #: Ids to one run of the decoding query.
 DECODED_IDS = 2_000_000
