@@ -153,6 +153,12 @@ class EliasFano:
 # files of the shared folder
 
 
+def files_of(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store and path of a folder; Hadoop's names for S3 are those of the one store."""
+    scheme, sep, rest = folder.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(f"s3{sep}{rest}" if scheme in ("s3a", "s3n") else folder)
+
+
 def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     """Written whole under another name, then renamed: a task that is run again leaves the same file."""
     head, at = {}, 0
@@ -161,7 +167,7 @@ def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
         at += -(-v.nbytes // 8) * 8
     first = json.dumps(head).encode()
     first += b" " * (-(len(first) + 8) % 8)
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+    fs, path = files_of(folder)
     fs.create_dir(path, recursive=True)
     part = f"{path}/.{name}-{os.getpid()}-{np.random.default_rng().integers(1 << 60)}"
     with fs.open_output_stream(part) as f:
@@ -178,7 +184,7 @@ def _copies() -> tempfile.TemporaryDirectory:
 
 def load(folder: str, name: str) -> dict[str, np.ndarray]:
     """The file's arrays, memory-mapped."""
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+    fs, path = files_of(folder)
     path = f"{path}/{name}"
     if fs.type_name != "local":
         local = os.path.join(_copies().name, f"{abs(hash(folder))}-{name}")
@@ -523,6 +529,8 @@ def train(docs: DataFrame, keep: Column, order: int = 3) -> tuple:
         sizes[r.part] = r.n
     shards = max(1, -(-size.n // SHARD_TOKENS))
     about = (folder, bits, tuple(sizes), int(size.n), shards, order)
+    if size.v >> 32:
+        raise ValueError("more words than 32 bits can number")
     if size.v:
         # every shard has a row, also one without pairs
         empty = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
