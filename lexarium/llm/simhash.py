@@ -217,7 +217,8 @@ def star_links(sets: DataFrame, least: float, turn: int) -> DataFrame:
     """Candidates between the nodes that share a least hash and one of them: a few for each node, at most. They join most of a
     dense group before its pairs are compared. sets: node, n, mins, known."""
     rows = sets.select("node", "n", "known", F.posexplode("mins").alias("k", "value")).select("node", "n", "known", F.xxhash64("k", "value").alias("value"))
-    pivots = rows.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.min_by(F.struct("node", "n", "known"), F.xxhash64("node", F.lit(turn))).alias("p")).where("x <> y")
+    pivots = rows.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.min_by(F.struct("node", "n", "known"), F.xxhash64("node", F.lit(turn))).alias("p"), F.count("*").alias("rows")).where("x <> y")
+    pivots = pivots.where(F.col("rows") >= (DENSE if turn else 2))  # what is left of a small group is a few pairs
     pivots = pivots.select("value", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.known").alias("other_known"))
     out = rows.join(pivots, "value").where((F.col("known") != F.col("other_known")) & _fits(least))
     one, two = F.struct("node", "n"), F.struct(F.col("other").alias("node"), F.col("m").alias("n"))
@@ -259,29 +260,23 @@ def pair_links(met: DataFrame, dense: DataFrame, together: DataFrame | None, fir
     return pairs.where(F.col("shared") + reach >= need).select("value", "a", "n", "b", "m")
 
 
-def sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """first_id, node, shingles from the texts of needed's first_ids (and a few more by accident), read again."""
-    marks = common.id_marks(needed.select(F.xxhash64("first_id").alias("h")))
-    texts = common.documents(docs)
-    if marks is None:  # so many that bits say little
-        texts = texts.join(needed.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+def texts_of(docs: DataFrame, first_ids: DataFrame) -> DataFrame:
+    """id, text of the documents with first_ids (first_id), and of a few more by accident, read again where they lie."""
+    marks = common.id_marks(first_ids.select(F.xxhash64("first_id").alias("h")))
     has = common.mark_test(docs.sparkSession, marks)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(has(b.column("h").to_numpy()), pa.bool_()))
-            own = [shingle_set(t, words) for t in b.column("text").to_pylist()]
-            node = np.array([node_of(x) for x in own], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node), pa.array([x.tobytes() for x in own], pa.binary())], ["first_id", "node", "shingles"])
+            yield b.select(["id", "text"]).filter(pa.array(has(b.column("h").to_numpy()), pa.bool_()))
 
-    return texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(read, "first_id long, node long, shingles binary")
+    return common.documents(docs).select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id").alias("h")).mapInArrow(read, "id long, text string")
 
 
 def alike(edges: DataFrame, docs: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
     """The edges of the least similarity, by whole shingle sets: a, b of edges value, a, n, b, m.
 
-    Edges that met by one value are compared in one group, so that a set is sent once for many edges. Groups hold CHUNK
-    shingles or so; where a value's nodes hold more, they are cut in blocks, and each two blocks are a group."""
+    Edges that met by one value are compared in one group, so that a text is sent once for many edges (texts are less than
+    half of what their sets would be, and become sets where they are compared). Groups hold CHUNK shingles or so; where a value's nodes hold more, they are cut in blocks, and each two blocks are a group."""
     edges = common.staged(edges)
     ends = edges.select("value", F.col("a").alias("node"), "n").unionAll(edges.select("value", F.col("b").alias("node"), F.col("m").alias("n"))).distinct()
     weights = common.staged(ends.groupBy("value").agg(F.sum("n").alias("weight")))
@@ -292,12 +287,16 @@ def alike(edges: DataFrame, docs: DataFrame, first: DataFrame, words: int, least
     edges = edges.join(weights, "value").select("a", "b", F.when(blocks <= 1, F.pmod(F.xxhash64("value"), F.lit(groups))).otherwise(F.col("value")).alias("g"), own("a").alias("i"), own("b").alias("j"))
     ends = edges.select(*by, F.col("a").alias("node")).unionAll(edges.select(*by, F.col("b").alias("node"))).distinct().toDF("at_g", "at_i", "at_j", "node")
     ends = common.staged(ends.join(first.select("node", "first_id"), "node"))
-    sets = sets_of(docs, ends.select("first_id", "node").distinct(), words).toDF("id", "set_of", "shingles")
-    held = ends.join(sets, (ends.node == sets.set_of) & ends.first_id.eqNullSafe(sets.id)).select("at_g", "at_i", "at_j", "node", "shingles")
+    texts = texts_of(docs, ends.select("first_id").distinct())
+    held = ends.join(texts, ends.first_id.eqNullSafe(texts.id)).select("at_g", "at_i", "at_j", "node", "text")
 
     def compare(e: pa.Table, s: pa.Table) -> pa.Table:
-        sets = dict(zip(s.column("node").to_pylist(), s.column("shingles"), strict=True))
-        near = [jaccard(np.frombuffer(sets[a].as_buffer(), np.uint64), np.frombuffer(sets[b].as_buffer(), np.uint64)) >= least for a, b in zip(e.column("a").to_pylist(), e.column("b").to_pylist(), strict=True)]
+        sets = {}
+        for node, text in zip(s.column("node").to_pylist(), s.column("text"), strict=True):
+            own = shingle_set(text.as_py(), words)
+            if node_of(own) == node & (2**64 - 1):  # an id may have other texts
+                sets[node] = own
+        near = [jaccard(sets[a], sets[b]) >= least for a, b in zip(e.column("a").to_pylist(), e.column("b").to_pylist(), strict=True)]
         return e.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return edges.groupBy(*by).cogroup(held.groupBy("at_g", "at_i", "at_j")).applyInArrow(compare, "a long, b long")
