@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lexarium.llm import bpe, fingerprint, licences, neighbours, ngrams, packing, pii, quality, simhash, toxicity
+from lexarium.llm import bpe, fingerprint, licences, neighbours, ngrams, packing, pii, quality, simhash, spelling, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_bpe": bpe.op9_bpe,
         "op10_quality": quality.op10_quality,
+        "op13_spelling": spelling.op13_spelling,
         "pipeline": corpus_pipeline.run,
     }
 
