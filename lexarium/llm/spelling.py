@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm import common
+from lexarium.llm import common, sql
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 #: Words count from so many code points and occurrences; a form has so many times the occurrences; runs whose hash this divides lose a code point.
@@ -261,3 +261,20 @@ def variants(docs: DataFrame, length: int = LENGTH, least: int = LEAST, times: i
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of documents with its form and the last of its forms."""
     return variants(common.table(spark, sf_dir, "documents"))
+
+
+#: Pairs are met by what is left without a code point; forms are followed by recursion.
+ORACLE_SQL = f"""WITH RECURSIVE {sql.CRC_TABLE},
+runs AS (SELECT id, run, count(*) AS k FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({sql.LOWER.format("text")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+ WHERE length(run) >= {LENGTH} GROUP BY ALL),
+hashed AS (SELECT run, k, {sql.crc32("id || ':' || run")} AS h FROM runs, crc),
+kept AS (SELECT CASE WHEN h % {SLIP} = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM hashed),
+vocabulary AS (SELECT word, sum(k)::BIGINT AS n FROM kept WHERE length(word) >= {LENGTH} GROUP BY word HAVING sum(k) >= {LEAST}),
+ways AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM ways a JOIN ways b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+ UNION SELECT a.word, b.word, b.n FROM ways a JOIN vocabulary b ON a.less = b.word UNION SELECT b.word, a.word, a.n FROM ways a JOIN vocabulary b ON a.less = b.word),
+near AS (SELECT word, count(*) AS n_near, min({{'less': -other_n, 'w': other}}) AS b FROM pairs GROUP BY word),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= {TIMES} * v.n THEN b.w END AS form, CASE WHEN -b.less >= {TIMES} * v.n THEN -b.less END AS form_n
+ FROM vocabulary v LEFT JOIN near USING (word)),
+follow AS (SELECT word, word AS at, form AS further FROM forms UNION ALL SELECT f.word, f.further, g.form FROM follow f JOIN forms g ON f.further = g.word)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN follow r ON f.word = r.word WHERE r.further IS NULL"""
