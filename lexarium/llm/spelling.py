@@ -276,5 +276,5 @@ pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM ways a JOIN ways b
 near AS (SELECT word, count(*) AS n_near, min({{'less': -other_n, 'w': other}}) AS b FROM pairs GROUP BY word),
 forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= {TIMES} * v.n THEN b.w END AS form, CASE WHEN -b.less >= {TIMES} * v.n THEN -b.less END AS form_n
  FROM vocabulary v LEFT JOIN near USING (word)),
-follow AS (SELECT word, word AS at, form AS further FROM forms UNION ALL SELECT f.word, f.further, g.form FROM follow f JOIN forms g ON f.further = g.word)
-SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN follow r ON f.word = r.word WHERE r.further IS NULL"""
+follow AS (SELECT word, word AS last, form AS further FROM forms UNION ALL SELECT f.word, f.further, g.form FROM follow f JOIN forms g ON f.further = g.word)
+SELECT f.word, f.form, r.last AS root, f.n, f.n_near, f.form_n FROM forms f JOIN follow r ON f.word = r.word WHERE r.further IS NULL"""

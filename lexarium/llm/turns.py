@@ -276,14 +276,14 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEY = "md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
 #: Prefixes as lists of turns; subtrees by joining each node with the prefixes of its own.
 ORACLE_SQL = f"""WITH {sql.CRC_TABLE},
-own AS (SELECT conv_id AS c, {_KEY} AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), {_KEY}) AS at FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id AS c, {_KEY} AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), {_KEY}) AS pos FROM conversations WHERE conv_id IS NOT NULL),
 ids AS (SELECT c, {sql.crc32("CAST(c AS VARCHAR)")} % {HEADS} AS h FROM (SELECT DISTINCT c FROM own), crc),
-turn AS (SELECT i.c, o.k, o.w, 0 AS part, o.at FROM ids i JOIN own o ON o.c = i.c - i.c % {BLOCK} AND o.at <= i.h UNION ALL SELECT i.c, o.k, o.w, 1, o.at FROM ids i JOIN own o ON o.c = i.c AND o.at > i.h),
-path AS (SELECT i.c, coalesce(list(t.k ORDER BY t.part, t.at) FILTER (t.k IS NOT NULL), []) AS p, coalesce(list(t.w ORDER BY t.part, t.at) FILTER (t.k IS NOT NULL), []) AS w FROM ids i LEFT JOIN turn t USING (c) GROUP BY i.c),
+turn AS (SELECT i.c, o.k, o.w, 0 AS part, o.pos FROM ids i JOIN own o ON o.c = i.c - i.c % {BLOCK} AND o.pos <= i.h UNION ALL SELECT i.c, o.k, o.w, 1, o.pos FROM ids i JOIN own o ON o.c = i.c AND o.pos > i.h),
+path AS (SELECT i.c, coalesce(list(t.k ORDER BY t.part, t.pos) FILTER (t.k IS NOT NULL), []) AS p, coalesce(list(t.w ORDER BY t.part, t.pos) FILTER (t.k IS NOT NULL), []) AS w FROM ids i LEFT JOIN turn t USING (c) GROUP BY i.c),
 prefix AS (SELECT c, p[1:d] AS p, d, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS w, d = len(p) AS ends FROM (SELECT c, p, w, unnest(range(len(p) + 1)) AS d FROM path)),
 node AS (SELECT p, d, min(c) AS conv_id, count(*) AS n, max(w) AS w, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS e FROM prefix GROUP BY p, d),
 child AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
 counted AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (p)),
-under AS (SELECT p[1:at] AS p, sum((n - 1) * w)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT p, n, w, n_children, unnest(range(d + 1)) AS at FROM counted) GROUP BY ALL)
+under AS (SELECT p[1:pos] AS p, sum((n - 1) * w)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT p, n, w, n_children, unnest(range(d + 1)) AS pos FROM counted) GROUP BY ALL)
 SELECT x.conv_id, x.d::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n AS n_convs, x.n_children, u.n_leaves, u.saved_tokens, sha256(x.e) AS ends_sha256
 FROM counted x LEFT JOIN node y ON x.d > 0 AND y.p = x.p[1:x.d - 1] JOIN under u ON u.p = x.p"""
