@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lexarium.llm import bpe, fingerprint, licences, neighbours, ngrams, packing, pii, quality, simhash, spelling, toxicity, turns
+from lexarium.llm import bpe, fingerprint, licences, neighbours, ngrams, packing, pii, quality, setsketch, simhash, spelling, toxicity, turns
 
 
 def queries() -> dict:
@@ -19,11 +19,12 @@ def queries() -> dict:
         "op9_bpe": bpe.op9_bpe,
         "op10_quality": quality.op10_quality,
         "op11_trie": turns.op11_trie,
+        "op12_setsketch": setsketch.op12_setsketch,
         "op13_spelling": spelling.op13_spelling,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    found = {"op11_trie": turns.ORACLE_SQL, "op13_spelling": spelling.ORACLE_SQL}
+    found = {"op11_trie": turns.ORACLE_SQL, "op12_setsketch": setsketch.ORACLE_SQL, "op13_spelling": spelling.ORACLE_SQL}
     return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}
