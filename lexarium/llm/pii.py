@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds what they miss.
 
 The patterns give the base spans. The field reads the regions of a text that hold digits or @: runs of words between
-single blanks, cut into tokens (digits, letters, single marks). A candidate is a run of up to LONGEST tokens and CHARS
-characters; features of the whole span (digit counts, checksum, shape of its groups, neighbours, words before it) score
+single blanks, cut into tokens (runs of letters and digits that change more than once, as keys do; digits; letters; single
+marks). A candidate is one token of any length, or a run of up to LONGEST tokens and CHARS characters; features of the whole span (digit counts, checksum, shape of its groups, neighbours, words before it) score
 it for each kind, and dynamic programming over bounded entities chooses boundaries and kinds together. Chosen spans that
 overlap no base span are added: such as a telephone number followed by a card number, which the greedy patterns take for
 one number and drop, telephone numbers without +, or secrets (keys and tokens: a kind that the patterns don't have).
@@ -12,7 +12,7 @@ chosen by a hash of their id, labelled by the patterns where these speak (docume
 Regions of over 200 characters don't train.
 
 Defined cases: a null or empty text has no spans; spans count code points, and equal starts are ordered by kind; a region
-may be as long as its text; an entity of over CHARS characters is found by the patterns only; repeated rows have the same
+may be as long as its text; an entity of several tokens and over CHARS characters is found by the patterns only; repeated rows have the same
 spans; an empty table gives an empty result.
 """
 
@@ -40,8 +40,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 #: Tokens and characters of an entity at most, regions of the corpus to train on, documents they come from, passes over them.
-LONGEST, CHARS, SAMPLE, DRAWN, PASSES = 16, 80, 400, 8192, 4
-TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.DOTALL)
+LONGEST, CHARS, SAMPLE, DRAWN, PASSES = 16, 256, 400, 8192, 4
+#: A run of eight ASCII letters and digits or more that changes between them twice or more is one token, as nothing begins or ends inside it.
+TOKEN = re.compile(r"(?=[A-Za-z0-9]{8})(?:[A-Za-z]+[0-9]+[A-Za-z]|[0-9]+[A-Za-z]+[0-9])[A-Za-z0-9]*|[0-9]+|[^\W\d_]+|.", re.DOTALL)
 #: Words between single blanks that hold a digit or @; regions don't cross lines. Each word is read once, whatever its length.
 REGION = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:[ \t][^\s0-9@]*+[0-9@]\S*+)*+")
 #: What the patterns say nothing of, so that a region that has it doesn't train: a run of letters with digits.
@@ -138,7 +139,7 @@ class Lattice:
         self.ends = [*self.starts[1:], b]
         self.firsts = [text[s].isalnum() or text[s] in "+(" for s in self.starts]
         self.lasts = [text[e - 1].isalnum() for e in self.ends]
-        self.rich = np.cumsum([0, *(text[s].isdigit() or text[s] == "@" for s in self.starts)]).tolist()
+        self.rich = np.cumsum([0, *(text[s].isdigit() or text[s] == "@" or DIGIT.search(text, s, e) is not None for s, e in zip(self.starts, self.ends, strict=True))]).tolist()
         self.kept: list[list[tuple[int, list[int]]]] = []  # all candidates, where a region is read again and again
 
     def keep(self) -> Lattice:
@@ -156,7 +157,7 @@ class Lattice:
         if j and self.lasts[j - 1]:
             for i in range(j - 1, max(0, j - LONGEST) - 1, -1):
                 size = self.ends[j - 1] - self.starts[i]
-                if size > CHARS:
+                if size > CHARS and i < j - 1:
                     break
                 if size >= 7 and self.firsts[i] and self.rich[j] > self.rich[i]:
                     out.append((i, span_features(self.text, self.starts[i], self.ends[j - 1])))
@@ -233,15 +234,18 @@ class Field:
         self.moves += rate * (moves - ridge * self.moves)
 
 
-def gold_of(x: Lattice, spans: list[Span]) -> list[tuple[int, int, int]]:
-    """The spans as tokens, where the lattice has them; of overlapping ones the first."""
+def gold_of(x: Lattice, spans: list[Span]) -> list[tuple[int, int, int]] | None:
+    """The spans as tokens; of overlapping ones the first. None if the lattice lacks one: it would be taught as none."""
     first, last = {s: i for i, s in enumerate(x.starts)}, {e: j + 1 for j, e in enumerate(x.ends)}
-    out, at = [], 0
+    out, end = [], 0
     for a, y, b in sorted(spans):
+        if a < end:
+            continue
         i, j = first.get(a), last.get(b)
-        if i is not None and j is not None and i >= at and any(s == i for s, _ in x.into(j)):
-            out.append((i, j, y))
-            at = j
+        if i is None or j is None or all(s != i for s, _ in x.into(j)):
+            return None
+        out.append((i, j, y))
+        end = b
     return out
 
 
@@ -256,7 +260,7 @@ def examples(n: int = 400, seed: int = 7) -> list[tuple[str, list[Span]]]:
         return number if r.random() < 0.7 else r.choice(" -").join(number[k : k + 4] for k in range(0, 16, 4))
 
     def secret() -> str:
-        return "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 64)))) if r.random() < 0.6 else "".join(r.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(r.randrange(20, 44)))
+        return "".join(r.choice(hexes) for _ in range(r.choice((32, 40, 64, 128)))) if (hexes := r.choice(("0123456789abcdef", "0123456789ABCDEF"))) and r.random() < 0.6 else "".join(r.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(r.randrange(20, 44)))
 
     groups = lambda *sizes: [digits(k) for k in sizes]
     makers = (
@@ -299,11 +303,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
             yield pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.string())], ["region"])
 
     drawn = rows.select("text").mapInArrow(regions, "region string").distinct().orderBy(F.xxhash64("region"), "region").limit(sample).collect()
-    made = examples() + [(r.region, base_spans(r.region)) for r in drawn if not SECRET_LIKE.search(r.region)]
+    given = [(r.region, base_spans(r.region)) for r in drawn if not SECRET_LIKE.search(r.region)]
     lattices = []
-    for text, spans in made:
+    for k, (text, spans) in enumerate([*(made := examples()), *given]):
         x = Lattice(text, 0, len(text)).keep()
-        lattices.append((x, gold_of(x, spans)))
+        gold = gold_of(x, spans)
+        if gold is not None:
+            lattices.append((x, gold))
+        elif k < len(made):
+            raise ValueError(f"a made span is no candidate: {text!r}")
     field, r = Field(), random.Random(11)
     for k in range(PASSES):
         r.shuffle(lattices)
