@@ -1,7 +1,8 @@
 """Links inside groups of many similar texts: whole sets are compared in blocks, and only a spanning forest comes out.
 
-A group (a bucket of many nodes) is dealt to blocks by hash, so that no task holds more than ROWS nodes or WEIGHT shingles a side;
-each two blocks meet in a group of their own. The shingles that two nodes or more of a meeting share are numbered, each node's
+Buckets of one text family hold nearly the same nodes again and again: those whose node of the least hash is the same are one
+group, so that a text is sent once for all of them. A group is dealt to blocks by hash, so that no task holds more than ROWS nodes
+or WEIGHT shingles a side; each two blocks meet in a group of their own. The shingles that two nodes or more of a meeting share are numbered, each node's
 become bits, and intersections of all pairs are counted by words of 64 bits. No pair is put out but those that join nodes not
 known to be together yet: fewer than there are nodes.
 """
@@ -13,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.llm import common, simhash
+from lexarium.llm import common
+from lexarium.llm.sets import node_of, shingle_set, texts_of
 
 #: Nodes and shingles of a block; bytes of an intermediate product.
 ROWS, WEIGHT, PRODUCT = 2048, 2_000_000, 32 << 20
@@ -51,7 +53,7 @@ def forest(sets: list[np.ndarray], known: list, left: np.ndarray, right: np.ndar
         a = left[k : k + step]
         shared = np.bitwise_count(bits[a][:, None, :] & bits[right][None, :, :]).sum(2, dtype=np.int64)
         either = size[a][:, None] + size[right][None, :] - shared
-        near = (shared >= least * either) & (group[a][:, None] != group[right][None, :])
+        near = (shared / np.maximum(either, 1) >= least) & (group[a][:, None] != group[right][None, :])
         for i, j in np.argwhere(near).tolist():
             x, y = int(a[i]), int(right[j])
             ru, rv = root(known[x]), root(known[y])
@@ -62,23 +64,25 @@ def forest(sets: list[np.ndarray], known: list, left: np.ndarray, right: np.ndar
 
 
 def links(rows: DataFrame, docs: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
-    """a, b: links of the least similarity that join the nodes of each group. rows: value (the group), node, n (shingles), known;
+    """a, b: links of the least similarity that join the nodes of each bucket. rows: value (the bucket), node, n (shingles), known;
     first: node, first_id, by which the texts are read again."""
+    groups = rows.groupBy("value").agg(F.min_by("node", F.xxhash64("node")).alias("g"))
+    rows = common.staged(rows.join(groups, "value").select(F.col("g").alias("value"), "node", "n", "known").distinct())
     sized = rows.groupBy("value").agg(F.sum("n").alias("weight"), F.count("*").alias("rows"))
     blocks = F.greatest(F.ceil(F.col("weight") / WEIGHT), F.ceil(F.col("rows") / ROWS), F.lit(1))
     dealt = rows.join(sized.select("value", blocks.alias("blocks")), "value").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     met = dealt.select("value", "node", "known", "own", every.alias("other")).select(F.col("value").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "known", "own")
     met = common.staged(met.join(first.select("node", "first_id"), "node"))
-    texts = simhash.texts_of(docs, met.select("first_id").distinct())
+    texts = texts_of(docs, met.select("first_id").distinct())
     held = met.join(texts, met.first_id.eqNullSafe(texts.id)).select("g", "i", "j", "node", "known", "own", "text")
 
     def compare(t: pa.Table) -> pa.Table:
         found: dict[int, tuple] = {}
         for node, known, own, text in zip(t.column("node").to_pylist(), t.column("known").to_pylist(), t.column("own").to_pylist(), t.column("text"), strict=True):
             if node not in found:
-                s = simhash.shingle_set(text.as_py(), words)
-                if simhash.node_of(s) == node & (2**64 - 1):  # an id may have other texts
+                s = shingle_set(text.as_py(), words)
+                if node_of(s) == node & (2**64 - 1):  # an id may have other texts
                     found[node] = (s, known, own)
         nodes = list(found)
         own = np.array([found[x][2] for x in nodes], dtype=np.int64)

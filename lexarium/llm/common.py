@@ -20,11 +20,15 @@ MARK_BITS = 1 << 27
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """The session with Arrow batches of BATCH_ROWS rows and about BATCH_BYTES bytes, and a checkpoint folder of its own only where none is set."""
+    """The session with Arrow batches of BATCH_ROWS rows and about BATCH_BYTES bytes (from now on, for its other queries too: later
+    tasks of a lazy result need them), and the folder of spark.checkpoint.dir; one of its own only on a single machine where none is set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexarium-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="lexarium-"))
     return spark
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexarium.llm import blocks, common, simhash, sql
+from lexarium.llm.sets import node_of, shingle_set
 
 #: Words of a shingle, the least similarity.
 WORDS, LEAST = 3, 0.85
@@ -77,8 +78,8 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [simhash.shingle_set(t, words) for t in b.column("text").to_pylist()]
-            node = np.array([simhash.node_of(s) for s in sets], dtype=np.uint64).view(np.int64)
+            sets = [shingle_set(t, words) for t in b.column("text").to_pylist()]
+            node = np.array([node_of(s) for s in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array([registers(s).tobytes() for s in sets], pa.binary())], ["doc_id", "node", "n", "registers"])
 
     return common.documents(docs).mapInArrow(run, "doc_id long, node long, n long, registers binary")

@@ -12,7 +12,7 @@ its pairs. Components are found by alternating star contractions on the shared f
 
 Where a least similarity is asked for, fingerprints aren't used: equal sets of shingles are one node, and candidates are
 nodes that share a shingle of their prefixes (frequent shingles last), which no pair of that similarity can avoid.
-Their whole sets are compared before a link counts.
+Their whole sets are compared before a link counts: pair by pair, or in blocks (blocks.py) where many nodes share a shingle.
 
 Defined cases: a null text is an empty one; a text without words has fingerprint 0 and is linked like any other; a text
 with fewer words than a shingle has one shingle; repeated rows and ties share a fingerprint, and the smallest id names
@@ -27,14 +27,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm import common
+from lexarium.llm import blocks, common
+from lexarium.llm.sets import jaccard, node_of, shingle_hashes, shingle_set, texts_of, words_of
 
 BITS = 64
-SEED = 42
 #: Fingerprints from which bit correlations and candidate counts are estimated: a cost choice, not a filter.
 SAMPLE = 2048
 #: A bucket is compared in blocks from so many index rows on, and so many times those that even dealing would give it.
@@ -43,29 +42,13 @@ BLOCK = 2048
 #: Documents from which frequent shingles are taken, and how many of these at most: a cost choice, not a filter.
 SAMPLED, LATE = 4096, 100_000
 #: Nodes that share one of these least hashes are joined by links to one of them, in as many turns with another one each; then
-#: pairs of buckets are compared, of those of DENSE nodes or more by a join, of others where they meet: a cost choice.
+#: pairs of buckets are compared, of those of DENSE nodes or more in blocks, of others where they meet: a cost choice.
 FACTORS = tuple(int(x) | 1 for x in np.random.default_rng(3).integers(1 << 62, 1 << 63, 4, dtype=np.uint64))
 DENSE, TURNS = 16, 2
 #: Shingles of a group of sets that are compared in one place, 8 bytes each.
 CHUNK = 2_000_000
 
 
-def shingle_hashes(w: list[bytes], words: int) -> Iterator[np.ndarray]:
-    """XXH64 of each run of that many words, space-joined (of all words, if they are fewer), a part of the text at a time."""
-    n = max(1, len(w) - words + 1) if w else 0
-    whole = b" ".join(w)
-    sizes = np.array([len(x) for x in w], dtype=np.int64)
-    ends = np.cumsum(sizes + 1) - 1
-    starts, last = ends - sizes, ends[min(words, len(w)) - 1 :] if n else ends
-    hashed = xxhash.xxh64_intdigest
-    for k in range(0, n, 65536):
-        yield np.array([hashed(whole[a:b], SEED) for a, b in zip(starts[k : min(n, k + 65536)].tolist(), last[k : k + 65536].tolist(), strict=False)], dtype=np.uint64)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()  # of bytes: A-Z only, and space and \t-\r only
-
-
 def majority(parts: Iterator[np.ndarray] | list[np.ndarray]) -> int:
     """Bit i is 1 if it is set in over half of the hashes; 0 without hashes."""
     total, n = np.zeros(BITS, dtype=np.int64), 0
@@ -91,21 +74,6 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return common.documents(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The distinct shingles' hashes, in order."""
-    return np.unique(np.concatenate([*shingle_hashes(words_of(text), words), np.zeros(0, np.uint64)]))
-
-
-def node_of(shingles: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sets in order. Empty ones are alike."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
-
-
 def frequent(docs: DataFrame, words: int) -> np.ndarray:
     """Shingles of three sampled documents or more, at most LATE. They only order the others: what isn't here costs time, not links."""
     step = max(1, docs.count() // SAMPLED)
@@ -233,20 +201,11 @@ def labels(links: DataFrame) -> DataFrame:
     return common.staged(one.join(one.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root")))
 
 
-def pair_links(met: DataFrame, dense: DataFrame, together: DataFrame | None, first: DataFrame, least: float) -> DataFrame:
+def pair_links(met: DataFrame, together: DataFrame | None, first: DataFrame, least: float) -> DataFrame:
     """Candidates: pairs that aren't known to be together and share as many shingles of their prefixes as a pair of the least
     similarity must. Of two prefixes, the one that ends first has all of its shared shingles in the other; what it may share
-    beyond is its set less its prefix. met: pairs by value; dense: rows of the buckets of many nodes."""
-    mixed = dense.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x <> y").select("value")
-    dense = common.staged(dense.join(mixed, "value", "left_semi"))
-    band = lambda n: F.floor(F.log(F.greatest(F.col(n), F.lit(1)).cast("double")) / F.lit(-1.000001 * float(np.log(least))))
-    # the larger set of a pair, or of equal ones the greater node, asks in its own band of sizes and in the one below
-    small = dense.select("value", F.col("node").alias("b"), F.col("n").alias("m"), F.col("known").alias("b_known"), band("n").alias("band"))
-    large = dense.select("value", F.col("node").alias("a"), "n", F.col("known").alias("a_known"), F.explode(F.array(band("n"), band("n") - 1)).alias("band"))
-    ordered = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") > F.col("b")))
-    more = large.join(small, ["value", "band"]).where(ordered & (F.col("a_known") != F.col("b_known")) & _fits(least))
-    pairs = met.select("value", "a", "n", "b", "m").unionAll(more.select("value", "a", "n", "b", "m"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"), F.min("value").alias("value"))
+    beyond is its set less its prefix. met: pairs by value; a pair that shares a dense value as well is compared there."""
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"), F.min("value").alias("value"))
     need = F.ceil((F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-9)
     beyond = lambda n: F.col(n) - prefix_size(F.col(n), least)
     pairs = pairs.where(F.col("shared") + F.greatest(beyond("n"), beyond("m")) >= need)
@@ -260,16 +219,10 @@ def pair_links(met: DataFrame, dense: DataFrame, together: DataFrame | None, fir
     return pairs.where(F.col("shared") + reach >= need).select("value", "a", "n", "b", "m")
 
 
-def texts_of(docs: DataFrame, first_ids: DataFrame) -> DataFrame:
-    """id, text of the documents with first_ids (first_id), and of a few more by accident, read again where they lie."""
-    marks = common.id_marks(first_ids.select(F.xxhash64("first_id").alias("h")))
-    has = common.mark_test(docs.sparkSession, marks)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.select(["id", "text"]).filter(pa.array(has(b.column("h").to_numpy()), pa.bool_()))
-
-    return common.documents(docs).select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id").alias("h")).mapInArrow(read, "id long, text string")
+def mixed(rows: DataFrame) -> DataFrame:
+    """rows (value, node, n, known) of the values whose nodes aren't all known to be together."""
+    values = rows.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x <> y").select("value")
+    return rows.join(values, "value", "left_semi")
 
 
 def alike(edges: DataFrame, docs: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
@@ -501,7 +454,8 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> Da
     together = common.staged(components(links)) if links is not None else None
     met = common.staged(meeting(prints, least))
     dense = met.where("b IS NULL").select("value", F.col("a").alias("node"), "n")
-    rest = alike(pair_links(met.where("b IS NOT NULL"), _known(dense, together), together, first, least), docs, first, words, least)
+    rest = alike(pair_links(met.where("b IS NOT NULL"), together, first, least), docs, first, words, least)
+    rest = rest.unionAll(blocks.links(mixed(_known(dense, together)), docs, first, words, least))
     roots = components(rest if links is None else links.unionAll(rest))
     named = _named(first, roots)
     return prints.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "node", "component_id", "kept_node")

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lexarium.llm import blocks, registry, setsketch, simhash
+from lexarium.llm import blocks, registry, setsketch, sets
 from tests.conftest import SF
 
 
@@ -112,10 +112,10 @@ def test_estimates():
 def test_forest_joins_what_all_pairs_join():
     draw = np.random.default_rng(3)
     base = draw.integers(0, 1 << 63, 300, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([draw.permutation(base)[: int(draw.integers(250, 300))], draw.integers(0, 1 << 63, 10, dtype=np.uint64)])) for _ in range(60)]
+    own = [np.unique(np.concatenate([draw.permutation(base)[: int(draw.integers(250, 300))], draw.integers(0, 1 << 63, 10, dtype=np.uint64)])) for _ in range(60)]
     every = np.arange(60)
-    links = {(i, j) for i in range(60) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.85}
-    got = blocks.forest(sets, list(range(60)), every, every, 0.85)
+    links = {(i, j) for i in range(60) for j in range(i) if sets.jaccard(own[i], own[j]) >= 0.85}
+    got = blocks.forest(own, list(range(60)), every, every, 0.85)
 
     def parts(edges):
         p = list(range(60))
@@ -125,4 +125,4 @@ def test_forest_joins_what_all_pairs_join():
 
     assert {(max(e), min(e)) for e in got} <= links and parts(got) == parts(links) and len(got) < 60
     together = [0] * 30 + list(range(30, 60))
-    assert all(together[a] != together[b] for a, b in blocks.forest(sets, together, every, every, 0.85))
+    assert all(together[a] != together[b] for a, b in blocks.forest(own, together, every, every, 0.85))
