@@ -1,34 +1,53 @@
-"""Ranked keyword search as one plan: gate, BM25, coverage, proximity, titles, cutoff.
+"""Ranked keyword search as one plan, for one query or a set of them: gate, BM25, coverage, proximity, titles, cutoff.
 
-A query is at most 64 units (`check`), so the frames made of it are small by construction and are broadcast.
+Postings are read once for all queries of a set and meet once, by document; what a document has of a query is then one row
+(units with their frequencies and places), and phrases, frequencies, scores and proximity are computed inside it. Document
+frequencies and gates are small aggregates over these rows, which Spark computes from the same exchange.
+
+A query is at most 64 units (`check`) and a set at most QUERIES queries, so the frames made of them are small by construction and
+are broadcast. Places are a line times LINE plus a token's number in it, or, for analyzers whose words overlap, its first
+character; a unit then says where its words begin (`offsets`).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexarium.operators.index import LINE
 
 #: Fixed values of the ranking.
-K1, B, COMMON_SHARE, COVERAGE_FLOOR, PROXIMITY_BONUS, NEAR_TOKENS, RELATIVE_CUTOFF, TITLE_BONUS = 1.2, 0.75, 0.5, 0.1, 1.3, 2, 0.2, 1.0
+K1, B, COMMON_SHARE, COVERAGE_FLOOR, PROXIMITY_BONUS, NEAR_TOKENS, NEAR_CHARACTERS, RELATIVE_CUTOFF, TITLE_BONUS = 1.2, 0.75, 0.5, 0.1, 1.3, 2, 12, 0.2, 1.0
 MAX_UNITS, MAX_TERM = 64, 64
+#: Queries of one plan.
+QUERIES = 1000
 
 
 @dataclass(frozen=True)
 class Unit:
-    """A query word or phrase: its spellings (each a tuple of words), weight, and whether it is core."""
+    """A query word or phrase: its spellings (each a tuple of words), weight, and whether it is core. offsets: of each spelling
+    where its words begin, in characters; without them words are counted."""
 
     spellings: tuple[tuple[str, ...], ...]
     weight: float = 1.0
     core: bool = True
+    offsets: tuple[tuple[int, ...], ...] | None = None
+    text: str | None = None
 
     @property
     def name(self) -> str:
-        return " ".join(self.spellings[0])
+        return self.text if self.text is not None else " ".join(self.spellings[0])
+
+    def placed(self, spelling: int) -> tuple[list[tuple[int, str]], int]:
+        """(place, word) of a spelling's words, and its length."""
+        words = self.spellings[spelling]
+        if self.offsets is None:
+            return list(enumerate(words)), len(words)
+        at = self.offsets[spelling]
+        return list(zip(at, words, strict=True)), at[-1] + len(words[-1])
 
 
 def check(units: list[Unit]) -> list[Unit]:
@@ -37,68 +56,121 @@ def check(units: list[Unit]) -> list[Unit]:
     return units
 
 
-def units_frame(spark: SparkSession, units: list[Unit]) -> DataFrame:
-    rows = [(k, u.name, float(u.weight), u.core) for k, u in enumerate(check(units))]
-    return F.broadcast(spark.createDataFrame(rows, "unit int, name string, weight double, core boolean"))
+Asked = dict[int, list[Unit]]
+
+
+def units_frame(spark: SparkSession, asked: Asked) -> DataFrame:
+    """query, total (weight of all units), unit, name, weight, core."""
+    rows = [(q, float(sum(u.weight for u in units)), k, u.name, float(u.weight), u.core) for q, units in asked.items() for k, u in enumerate(check(units))]
+    return F.broadcast(spark.createDataFrame(rows, "query int, total double, unit int, name string, weight double, core boolean"))
+
+
+def parts_frame(spark: SparkSession, asked: Asked) -> DataFrame:
+    rows = [(q, k, v, len(s), u.placed(v)[1], at, word) for q, units in asked.items() for k, u in enumerate(units) for v, s in enumerate(u.spellings) for at, word in u.placed(v)[0]]
+    return F.broadcast(spark.createDataFrame(rows, "query int, unit int, variant int, n_parts int, length int, at int, term string"))
 
 
-def parts_frame(spark: SparkSession, units: list[Unit]) -> DataFrame:
-    rows = [(k, v, len(s), at, word) for k, u in enumerate(units) for v, s in enumerate(u.spellings) for at, word in enumerate(s)]
-    return F.broadcast(spark.createDataFrame(rows, "unit int, variant int, n_parts int, at int, term string"))
+def found(postings: DataFrame, asked: Asked) -> DataFrame:
+    """query, unit, variant, doc_id, n_parts, length, starts: where each spelling stands, dealt by document.
+
+    A phrase's places are those of its rarest word that all others share, each shifted by its own place in the phrase."""
+    if len(asked) > QUERIES:
+        raise ValueError(f"a set has at most {QUERIES} queries")
+    words = sorted({w for units in asked.values() for u in units for s in u.spellings for w in s})
+    rows = postings.where(F.col("term").isin(words)).join(parts_frame(postings.sparkSession, asked), "term")
+    rows = rows.select("query", "unit", "variant", "n_parts", "length", "at", "doc_id", "positions").repartition("doc_id")
+    both = rows.groupBy("doc_id", "query", "unit", "variant", "n_parts", "length").agg(F.sort_array(F.collect_list(F.struct(F.size("positions").alias("size"), "at", "positions"))).alias("parts"))
+    shifted = lambda p: F.transform(p["positions"], lambda x: x - p["at"])
+    first = F.col("parts")[0]
+    starts = F.when(F.col("n_parts") == 1, first["positions"]).otherwise(F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(1))), shifted(first), lambda s, p: F.array_intersect(s, shifted(p))))
+    return both.where(F.size("parts") == F.col("n_parts")).select("query", "unit", "variant", "doc_id", "n_parts", "length", F.array_sort(starts).alias("starts")).where(F.size("starts") > 0)
 
 
 def hits(postings: DataFrame, units: list[Unit]) -> DataFrame:
-    """unit, variant, doc_id, n_parts, starts: where each spelling stands. Anchored on its first word, the rest must follow."""
-    spark = postings.sparkSession
-    words = sorted({w for u in units for s in u.spellings for w in s})
-    found = postings.where(F.col("term").isin(words)).join(parts_frame(spark, units), "term")
-    both = found.groupBy("unit", "variant", "doc_id", "n_parts").agg(F.sort_array(F.collect_list(F.struct("at", "positions"))).alias("parts"))
-    starts = F.filter(F.col("parts")[0]["positions"], lambda s: F.forall(F.col("parts"), lambda p: F.array_contains(p["positions"], s + p["at"])))
-    return both.where(F.size("parts") == F.col("n_parts")).select("unit", "variant", "doc_id", "n_parts", starts.alias("starts")).where(F.size("starts") > 0)
-
-
-def scores(found: DataFrame, lengths: DataFrame, stats: DataFrame, units: list[Unit], gate: bool = True) -> DataFrame:
-    """doc_id, score, gate_hits, terms (matched names in query order). Without gate every match counts."""
-    spark = found.sparkSession
-    u = units_frame(spark, units)
-    matches = found.groupBy("unit", "doc_id").agg(F.sum(F.size("starts")).cast("double").alias("tf"))
-    df = matches.groupBy("unit").agg(F.count("*").cast("double").alias("df"))  # at most a row a unit
-    ranked = df.join(u, "unit").crossJoin(F.broadcast(stats))
+    """found() of one query."""
+    return found(postings, {0: units}).drop("query")
+
+
+def matched(places: DataFrame) -> DataFrame:
+    """doc_id, query, units (unit, tf, spots: length and starts of each spelling) of found(): a row for each document of a query."""
+    by_unit = places.groupBy("doc_id", "query", "unit").agg(F.sum(F.size("starts")).cast("double").alias("tf"), F.collect_list(F.struct("length", "starts")).alias("spots"))
+    return by_unit.groupBy("doc_id", "query").agg(F.sort_array(F.collect_list(F.struct("unit", "tf", "spots"))).alias("units"))
+
+
+def _gates(of: DataFrame, stats: DataFrame, asked: Asked) -> DataFrame:
+    """query, total, n, avg_length, k (gating units), by_unit (name, weight, idf, gating by unit): a row a query."""
+    df = of.select("query", F.explode("units.unit").alias("unit")).groupBy("query", "unit").agg(F.count("*").cast("double").alias("df"))  # at most a row a unit
+    ranked = df.join(units_frame(of.sparkSession, asked), ["query", "unit"]).crossJoin(F.broadcast(stats))
     tier = F.when(F.col("core") & (F.col("df") <= COMMON_SHARE * F.col("n")), 1).when(F.col("core"), 2).otherwise(3)
-    tiers = ranked.withColumn("tier", tier).withColumn("gate_tier", F.min("tier").over(W.partitionBy(F.lit(1))))
+    gating = (F.col("tier") == F.min("tier").over(W.partitionBy("query"))).cast("int")
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = tiers.select("unit", "name", "weight", "avg_length", idf.alias("idf"), (F.col("tier") == F.col("gate_tier")).cast("int").alias("gating"))
-    total = float(sum(x.weight for x in units))
-    part = F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    out = (
-        matches.join(F.broadcast(weighed), "unit").join(lengths, "doc_id").groupBy("doc_id")
-        .agg((F.sum(part) * (COVERAGE_FLOOR + (1 - COVERAGE_FLOOR) * F.sum("weight") / total)).alias("score"), F.sum("gating").alias("gate_hits"), F.transform(F.sort_array(F.collect_list(F.struct("unit", "name"))), lambda x: x["name"]).alias("terms"))
-    )
+    rows = ranked.withColumn("tier", tier).select("query", "total", "avg_length", "unit", "name", "weight", idf.alias("idf"), gating.alias("gating"))
+    return rows.groupBy("query").agg(F.first("total").alias("total"), F.first("avg_length").alias("avg_length"), F.sum("gating").alias("k"), F.map_from_entries(F.collect_list(F.struct("unit", F.struct("name", "weight", "idf", "gating")))).alias("by_unit"))
+
+
+def _is_near(units: Column, within: int) -> Column:
+    """A unit begins at most `within` after an end of the unit before it, on one line."""
+    reach = lambda u: F.flatten(F.transform(u["spots"], lambda s: F.flatten(F.transform(s["starts"], lambda x: F.sequence(x + s["length"], x + s["length"] + within)))))
+    begins = lambda u: F.flatten(F.transform(u["spots"], lambda s: s["starts"]))
+    pairs = F.sequence(F.lit(1), F.size(units) - 1)
+    return (F.size(units) > 1) & F.exists(F.when(F.size(units) > 1, pairs).otherwise(F.array().cast("array<int>")), lambda i: (F.get(units, i)["unit"] == F.get(units, i - 1)["unit"] + 1) & F.arrays_overlap(reach(F.get(units, i - 1)), begins(F.get(units, i))))
+
+
+def near(places: DataFrame, units: list[Unit], within: int = NEAR_TOKENS) -> DataFrame:
+    """doc_id of documents where neighbouring units stand close. places: hits() of the units."""
+    return matched(places.withColumn("query", F.lit(0))).where(_is_near(F.col("units"), within)).select("doc_id")
+
+
+def scored(of: DataFrame, lengths: DataFrame, stats: DataFrame, asked: Asked, gate: bool = True, within: int | None = None) -> DataFrame:
+    """query, doc_id, score, gate_hits, terms (matched names in query order) of matched(). Without gate every match counts; with
+    `within` close units raise the score."""
+    gates = F.broadcast(_gates(of, stats, asked))
+    own = lambda u: F.element_at("by_unit", u["unit"])
+    part = lambda u: own(u)["weight"] * own(u)["idf"] * u["tf"] * (K1 + 1) / (u["tf"] + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+    total = lambda f: F.aggregate("units", F.lit(0.0), lambda s, u: s + f(u))
+    score = total(part) * (COVERAGE_FLOOR + (1 - COVERAGE_FLOOR) * total(lambda u: own(u)["weight"]) / F.col("total"))
+    if within is not None:
+        score = score * F.when(_is_near(F.col("units"), within), PROXIMITY_BONUS).otherwise(1.0)
+    hit = F.aggregate("units", F.lit(0), lambda s, u: s + own(u)["gating"]).cast("long")
+    out = of.join(lengths, "doc_id").join(gates, "query").select("query", "doc_id", score.alias("score"), hit.alias("gate_hits"), F.transform("units", lambda u: own(u)["name"]).alias("terms"), "k")
     if not gate:
-        return out
-    k = tiers.where(F.col("tier") == F.col("gate_tier")).agg(F.count("*").alias("k"))
-    most = out.agg(F.max("gate_hits").alias("most"))
+        return out.drop("k")
+    most = out.groupBy("query").agg(F.max("gate_hits").alias("most"), F.first("k").alias("k"))
     need = F.when(F.col("k") <= 2, F.col("k")).when(F.col("k") <= 4, F.lit(2)).otherwise(F.ceil(F.col("k").cast("double") / 2.0))
-    one = k.crossJoin(most).select(F.greatest(F.lit(1), F.least(need, F.col("most"))).alias("required"))
-    return out.crossJoin(F.broadcast(one)).where(F.col("gate_hits") >= F.col("required")).drop("required")
+    required = most.select("query", F.greatest(F.lit(1), F.least(need, F.col("most"))).alias("required"))
+    return out.drop("k").join(F.broadcast(required), "query").where(F.col("gate_hits") >= F.col("required")).drop("required")
 
 
-def near(found: DataFrame, units: list[Unit]) -> DataFrame:
-    """doc_id of documents where a unit begins at most NEAR_TOKENS after the nearest end of the unit before it, on one line."""
-    spots = found.select("doc_id", "unit", "n_parts", F.explode("starts").alias("start"))
-    ends = spots.select("doc_id", F.col("unit").alias("pair"), (F.col("start") + F.col("n_parts")).alias("pos"), F.lit(0).alias("kind"))
-    begins = spots.select("doc_id", (F.col("unit") - 1).alias("pair"), F.col("start").alias("pos"), F.lit(1).alias("kind")).where("pair >= 0")
-    w = W.partitionBy("doc_id", "pair").orderBy("pos", "kind").rowsBetween(W.unboundedPreceding, 0)
-    last = F.max(F.when(F.col("kind") == 0, F.col("pos"))).over(w)
-    return ends.unionAll(begins).withColumn("last_end", last).where((F.col("kind") == 1) & (F.col("pos") - F.col("last_end") <= NEAR_TOKENS) & (F.col("pos") >= F.col("last_end"))).select("doc_id").distinct()
+def scores(places: DataFrame, lengths: DataFrame, stats: DataFrame, units: list[Unit], gate: bool = True) -> DataFrame:
+    """doc_id, score, gate_hits, terms of hits() of one query."""
+    return scored(matched(places.withColumn("query", F.lit(0))), lengths, stats, {0: units}, gate).drop("query")
 
 
-def ranked(postings: DataFrame, lengths: DataFrame, stats: DataFrame, units: list[Unit]) -> DataFrame:
-    """doc_id, score, gate_hits, terms with gate, coverage and proximity. Stored postings are pruned to the query's few words each time they are read."""
-    found = hits(postings, units)
-    close = near(found, units).withColumn("is_near", F.lit(True))
-    factor = F.when(F.col("is_near"), PROXIMITY_BONUS).otherwise(1.0)
-    return scores(found, lengths, stats, units).join(close, "doc_id", "left").select("doc_id", (F.col("score") * factor).alias("score"), "gate_hits", "terms")
+def ranked_many(postings: DataFrame, lengths: DataFrame, stats: DataFrame, asked: Asked, within: int = NEAR_TOKENS) -> DataFrame:
+    """query, doc_id, score, gate_hits, terms of a set of queries, from one scan of their postings."""
+    return scored(matched(found(postings, asked)), lengths, stats, asked, within=within)
+
+
+def ranked(postings: DataFrame, lengths: DataFrame, stats: DataFrame, units: list[Unit], within: int = NEAR_TOKENS) -> DataFrame:
+    """doc_id, score, gate_hits, terms with gate, coverage and proximity. Stored postings are pruned to the query's few words."""
+    return ranked_many(postings, lengths, stats, {0: units}, within).drop("query")
+
+
+def cut_many(results: DataFrame, share: float = RELATIVE_CUTOFF) -> DataFrame:
+    """Results of at least that share of their query's best score."""
+    best = results.groupBy("query").agg(F.max("score").alias("best"))
+    return results.join(F.broadcast(best), "query").where(F.col("score") >= share * F.col("best")).drop("best")
+
+
+def with_titles_many(results: DataFrame, titles: DataFrame, asked: Asked) -> DataFrame:
+    """query, doc_id, score times 1 + the share of the units' weight that the title has; titles (doc_id, title_terms) never add results."""
+    rows = [(q, float(sum(u.weight for u in units)), [(float(u.weight), [list(s) for s in u.spellings]) for u in units]) for q, units in asked.items()]
+    spelled = F.broadcast(results.sparkSession.createDataFrame(rows, "query int, total double, spelled array<struct<weight:double,ways:array<array<string>>>>"))
+    terms = F.coalesce("title_terms", F.array().cast("array<string>"))
+    places = lambda n: F.sequence(F.lit(1), F.greatest(F.size(terms) - n + 1, F.lit(1)))
+    has = lambda way: F.exists(places(F.size(way)), lambda i: F.slice(terms, i, F.size(way)) == way)
+    weight = F.aggregate("spelled", F.lit(0.0), lambda s, u: s + F.when(F.exists(u["ways"], has), u["weight"]).otherwise(0.0))
+    return results.join(titles, "doc_id", "left").join(spelled, "query").select("query", "doc_id", (F.col("score") * (1.0 + TITLE_BONUS * weight / F.col("total"))).alias("score"))
 
 
 def cut(results: DataFrame, share: float = RELATIVE_CUTOFF) -> DataFrame:
@@ -108,24 +180,8 @@ def cut(results: DataFrame, share: float = RELATIVE_CUTOFF) -> DataFrame:
 
 
 def with_titles(results: DataFrame, titles: DataFrame, units: list[Unit]) -> DataFrame:
-    """score times 1 + the share of the units' weight that the title has; titles (doc_id, title_terms) never add results."""
-    total = float(sum(u.weight for u in units))
-
-    def has(spelling: tuple[str, ...]):
-        words = F.array(*[F.lit(w) for w in spelling])
-        n = len(spelling)
-        at = F.sequence(F.lit(1), F.greatest(F.size("title_terms") - n + 1, F.lit(1)))
-        return (F.size("title_terms") >= n) & F.exists(at, lambda i: F.slice("title_terms", i, n) == words)
-
-    weight = sum((F.when(_any([has(s) for s in u.spellings]), u.weight).otherwise(0.0) for u in units), F.lit(0.0))
-    return results.join(titles, "doc_id", "left").select("doc_id", (F.col("score") * (1.0 + TITLE_BONUS * F.coalesce(weight, F.lit(0.0)) / total)).alias("score"))
-
-
-def _any(conditions: list):
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+    """with_titles_many() of one query."""
+    return with_titles_many(results.withColumn("query", F.lit(0)), titles, {0: units}).drop("query")
 
 
 def fused(*lists: DataFrame, k: int = 60) -> DataFrame:
@@ -136,4 +192,4 @@ def fused(*lists: DataFrame, k: int = 60) -> DataFrame:
     return one.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
 
 
-__all__ = ["LINE", "Unit", "check", "cut", "fused", "hits", "near", "ranked", "scores", "with_titles"]
+__all__ = ["LINE", "Unit", "check", "cut", "cut_many", "found", "fused", "hits", "matched", "near", "ranked", "ranked_many", "scored", "scores", "with_titles", "with_titles_many"]

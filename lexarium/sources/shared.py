@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under the cluster's checkpoint folder; where none is set (as in tests), under one of this session's own."""
+    """A new folder name under the cluster's checkpoint folder; where none is set on a single machine (as in tests), under one of this session's own."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexarium-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="lexarium-"))
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
