@@ -17,11 +17,11 @@ def suggestions(lexicon: DataFrame, words: list[str]) -> DataFrame:
 
     One edit is allowed for words of up to four letters, two for longer ones.
     """
-    plain = lexicon.where(F.col("term").rlike("^[a-z0-9]+$"))
-    out = None
-    for w in words:  # of a query: 64 at most
-        d = F.levenshtein("term", F.lit(w))
-        found = candidates(plain, w).select(F.lit(w).alias("word"), "term", d.alias("distance"), "df").where(F.col("distance") <= (1 if len(w) <= 4 else 2))
-        out = found if out is None else out.unionAll(found)
-    order = F.struct("distance", F.abs(F.length("term") - F.length("word")), -F.col("df"), "term")
+    plain = lexicon.where(F.col("term").rlike("^[a-z0-9]+$") & (F.col("df") >= 2) & F.length("term").between(min(map(len, words)) - 1, max(map(len, words)) + 1))
+    asked = F.broadcast(lexicon.sparkSession.createDataFrame([(w,) for w in words], "word string"))  # of a query: 64 at most
+    size = F.length("word")
+    ends = (F.left("term", F.lit(1)) == F.left("word", F.lit(1))) | (F.right("term", F.lit(1)) == F.right("word", F.lit(1)))
+    near = plain.join(asked, (F.abs(F.length("term") - size) <= 1) & ends).withColumn("distance", F.levenshtein("term", "word"))
+    out = near.where(F.col("distance") <= F.when(size <= 4, 1).otherwise(2))
+    order = F.struct("distance", F.abs(F.length("term") - size), -F.col("df"), "term")
     return out.groupBy("word").agg(F.min_by(F.struct("term", "distance", "df"), order).alias("x")).select("word", "x.*")

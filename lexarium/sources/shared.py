@@ -28,3 +28,36 @@ def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as there are cores, where its files give fewer: what follows a scan of few row groups runs on all of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def read_text(spark: SparkSession, at: str) -> str:
+    """A small file's text."""
+    fs, path = file_system(spark, at)
+    stream = fs.open(path(at))
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, at: str, text: str) -> bool:
+    """Writes a small file if there is none of that name; whether it did. It is written under another name and renamed without
+    overwriting, which on a file system such as HDFS only one of several writers can do, and only with the whole text."""
+    fs, path = file_system(spark, at)
+    hidden = f"{at.rpartition('/')[0]}/_{uuid.uuid4().hex}"
+    out = fs.create(path(hidden), False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(at).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    no_options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        files.rename(path(hidden), path(at), no_options)
+    except Exception as e:
+        fs.delete(path(hidden), False)
+        if "FileAlreadyExistsException" in str(e):
+            return False
+        raise
+    return True
