@@ -9,7 +9,9 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from lexarium.operators.citations import tidy
 
@@ -68,6 +70,29 @@ def followups(text: str, delimiter: str = "---") -> tuple[str, list[str]]:
     return body.strip(), [x for x in found if 4 <= len(x) <= 60][:FOLLOWUPS]
 
 
+def histories(turns: DataFrame) -> DataFrame:
+    """conv_id, history of turns (conv_id, turn, role, text, grounded): history() of each conversation, in order of turn, role and text."""
+    own = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "grounded")))
+    told = F.pandas_udf(lambda s: s.map(lambda x: history([(t["role"] or "", t["text"] or "", bool(t["grounded"])) for t in x])), "string")
+    return turns.groupBy("conv_id").agg(own.alias("turns")).select("conv_id", told("turns").alias("history"))
+
+
+def condensed_column(question: Column, made: Column) -> Column:
+    """condensed() of columns."""
+    return F.pandas_udf(lambda q, m: pd.Series([condensed(a or "", b or "") for a, b in zip(q, m, strict=True)]), "string")(question, made)
+
+
+def graded_column(reply: Column, n: Column) -> Column:
+    """graded() of columns."""
+    return F.pandas_udf(lambda r, k: pd.Series([graded(a or "", int(b)) for a, b in zip(r, k, strict=True)]), "array<int>")(reply, n)
+
+
+def followups_column(text: Column, delimiter: str = "---") -> Column:
+    """followups() of a column: body, followups."""
+    udf = F.pandas_udf(lambda s: pd.DataFrame([followups(t or "", delimiter) for t in s], columns=["body", "followups"]), "body string, followups array<string>")
+    return udf(text)
+
+
 def answer(question: str, turns: list[tuple[str, str, bool]], models: Models, tries: int = 2) -> Answer:
     """Condense, rewrite, retrieve, grade (once more with the bare question if nothing is relevant), generate, cite."""
     asked = condensed(question, models.condense(question, history(turns))) if turns else question

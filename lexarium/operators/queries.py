@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexarium.operators import ranking, segmentation, snippets, suggest
@@ -22,6 +23,8 @@ from lexarium.operators.store import Stored
 Analyzer = Callable[[str], list[Word]]
 #: Characters of a query, weight of words that only raise scores, groups that an alias may span, results of a page.
 MAX_QUERY, INTENT_WEIGHT, ALIAS_SPAN, PAGE = 512, 0.15, 4, 20
+#: Parts that a query's results are dealt to before they are ranked.
+DEALS = 64
 INTENT = frozenset("a an and are about does for from how in is of on or the this to what when where which who why with".split())
 QUESTIONS = ("how ", "what ", "when ", "where ", "which ", "who ", "why ", "?", "？")
 
@@ -194,6 +197,15 @@ _KEPT: OrderedDict[tuple, Results] = OrderedDict()
 KEPT_PAGES = 256
 
 
+def first_of_each(found: DataFrame, k: int) -> DataFrame:
+    """query, doc_id, score, rank of the k best of each query. Rows are dealt by query and a hash of the document first, so that no task
+    ranks all of a query's results: k of each deal are ranked again."""
+    order = [F.col("score").desc(), F.col("doc_id")]
+    dealt = found.withColumn("deal", F.pmod(F.xxhash64("doc_id"), F.lit(DEALS)))
+    few = dealt.withColumn("rank", F.row_number().over(W.partitionBy("query", "deal").orderBy(*order))).where(F.col("rank") <= k)
+    return few.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order)).cast("long")).where(F.col("rank") <= k).drop("deal")
+
+
 def results(stored: Index, query: str, language: Language | None = None, source: str | None = None) -> tuple[DataFrame, list[Unit]]:
     """doc_id, score, title, source (and what else documents have) of all results, and the units that gave them: the query's, or its phrases' words if those give none."""
     language = language or language_of(stored.analysis)

@@ -44,6 +44,10 @@ def plain_words(text: str) -> list[Word]:
     return [(m[0], m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
+#: Weights are whole numbers, so that paths of the same words weigh the same in any order.
+_SCALE = 1e9
+
+
 class Dictionary:
     """Words with frequencies as a trie, and the best path of a run."""
 
@@ -60,16 +64,17 @@ class Dictionary:
             node = self.trie
             for c in word:
                 node = node.setdefault(c, {})
-            node[""] = math.log(n) - self.total
+            node[""] = round(_SCALE * (math.log(n) - self.total))
+        self.lone = round(-_SCALE * self.total)
 
     def frequency(self, word: str) -> int:
         """0 for a word that isn't known."""
         return self.known.get(word, 0)
 
-    def words_at(self, run: str, at: int) -> Iterator[tuple[int, float]]:
+    def words_at(self, run: str, at: int) -> Iterator[tuple[int, int]]:
         """(end, log of relative frequency) of the words that begin there; the single character always."""
         node, end = self.trie.get(run[at], {}), at + 1
-        yield end, node.get("", -self.total)
+        yield end, node.get("", self.lone)
         while end < len(run) and run[end] in node:
             node = node[run[end]]
             end += 1
@@ -78,7 +83,7 @@ class Dictionary:
 
     def path(self, run: str) -> list[tuple[int, int]]:
         """(start, end) of the words of the best path."""
-        value, until = [0.0] * (len(run) + 1), [0] * len(run)
+        value, until = [0] * (len(run) + 1), [0] * len(run)
         for at in range(len(run) - 1, -1, -1):
             value[at], until[at] = max((weight + value[end], end) for end, weight in self.words_at(run, at))
         out, at = [], 0
@@ -143,12 +148,21 @@ def with_dictionary(words: Iterable[tuple[str, int | None]], stop: Iterable[str]
     return Analysis(index, query, True, 12, lambda w: len(w) == 1 and own.frequency(w) < rare)
 
 
-def from_word_list(listed: DataFrame, stop: Iterable[str] = (), more: Iterable[tuple[str, int]] = ()) -> Analysis:
-    """with_dictionary() of a word list (word, frequency) and more words. An error for a list of over WORDS words."""
+def listed_words(listed: DataFrame) -> list[tuple[str, int | None]]:
+    """The rows of a word list (word, frequency). An error for a list of over WORDS words, which tasks can't be sent."""
     rows = listed.select("word", "frequency").limit(WORDS + 1).collect()
     if len(rows) > WORDS:
         raise ValueError(f"a word list has at most {WORDS} words")
-    return with_dictionary([*((r.word, r.frequency) for r in sorted(rows)), *more], stop)
+    return [(r.word, r.frequency) for r in sorted(rows)]
+
+
+def dictionary_of(listed: DataFrame) -> Dictionary:
+    return Dictionary(listed_words(listed))
+
+
+def from_word_list(listed: DataFrame, stop: Iterable[str] = (), more: Iterable[tuple[str, int]] = ()) -> Analysis:
+    """with_dictionary() of a word list and more words."""
+    return with_dictionary([*listed_words(listed), *more], stop)
 
 
 def places_of(text: str | None, analysis: Analysis) -> dict[str, list[int]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.operators import citations, clicks
+from lexarium.operators import answers, citations, clicks
 from lexarium.plans.base import query, table
 
 
@@ -13,37 +13,41 @@ def _c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || CASE WHEN role = 'assistant' THEN left(text, 300) ELSE text END, chr(10) ORDER BY turn, role, text) AS history FROM conversations GROUP BY conv_id")
+GROUNDED = "(conv_id + turn) % 5 <> 2"
+
+
+@query(f"SELECT conv_id, string_agg(role || ': ' || CASE WHEN role = 'assistant' THEN left(CASE WHEN {GROUNDED} THEN text ELSE '(no grounded answer)' END, 300) ELSE text END, chr(10) ORDER BY turn, role, text) AS history FROM conversations GROUP BY conv_id")
 def history_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation as one text, answers cut at 300 characters."""
-    said = F.concat("role", F.lit(": "), F.when(F.col("role") == "assistant", F.left("text", F.lit(300))).otherwise(F.col("text")))
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text", said.alias("said"))))
-    return _c(spark, sf_dir).groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["said"]), "\n").alias("history"))
+    """A conversation as one text, answers cut at 300 characters, those without grounds as a phrase."""
+    return answers.histories(_c(spark, sf_dir).withColumn("grounded", F.expr(GROUNDED)))
 
 
-PIECES = r"list_filter(list_transform(string_split_regex(text, '[.?!]\s*'), lambda x: regexp_replace(x, '^[ \t]*([-*]|[0-9]+[.)])[ \t]*', '')), lambda x: length(x) BETWEEN 4 AND 60)"
+PIECES = r"list_filter(list_transform(string_split(tail, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s*([-*]|[0-9]+[.)])\s*', ''), '^\s+|\s+$', '', 'g')), lambda x: length(x) BETWEEN 4 AND 60)"
 
 
-@query(f"SELECT conv_id, turn, role, array_to_string(list_slice({PIECES}, 1, 3), '|') AS followups FROM conversations")
+@query(f"SELECT conv_id, turn, role, trim(split_part(asked, '---', 1), ' ' || chr(10)) AS body, array_to_string(list_slice({PIECES}, 1, 3), '|') AS followups FROM (SELECT *, substr(asked, length(split_part(asked, '---', 1)) + 4) AS tail FROM (SELECT conv_id, turn, role, regexp_replace(text, '[.?!]', chr(10) || CASE WHEN turn % 2 = 0 THEN '---' ELSE '-' END, 'g') AS asked FROM conversations))")
 def followup_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to three follow-ups of 4 to 60 characters, list marks off."""
-    bare = F.transform(F.split("text", r"[.?!]\s*"), lambda x: F.regexp_replace(x, r"^[ \t]*([-*]|[0-9]+[.)])[ \t]*", ""))
-    kept = F.slice(F.filter(bare, lambda x: F.length(x).between(4, 60)), 1, 3)
-    return _c(spark, sf_dir).select("conv_id", "turn", "role", F.array_join(kept, "|").alias("followups"))
+    """Answers (their sentences as lines) parted from up to three follow-ups of 4 to 60 characters, list marks off."""
+    asked = F.regexp_replace("text", "[.?!]", F.when(F.col("turn") % 2 == 0, "\n---").otherwise("\n-"))
+    found = _c(spark, sf_dir).select("conv_id", "turn", "role", answers.followups_column(asked).alias("f"))
+    return found.select("conv_id", "turn", "role", "f.body", F.array_join("f.followups", "|").alias("followups"))
+
+
+REPLY = "CASE conv_id % 4 WHEN 0 THEN 'None of these' WHEN 1 THEN 'All!' ELSE 'documents ' || (turn + 1) || ', ' || (conv_id % 40) || ' and 3' END"
 
 
-@query("SELECT conv_id, turn, role, CASE WHEN regexp_matches(upper(text), '\\bNONE\\b') THEN 'none' WHEN regexp_matches(upper(text), '\\bALL\\b') THEN 'all' ELSE array_to_string(regexp_extract_all(text, '[0-9]+'), ',') END AS graded FROM conversations")
+@query(f"SELECT conv_id, turn, role, CASE WHEN conv_id % 4 = 0 THEN '' WHEN conv_id % 4 = 1 THEN array_to_string(range(13), ',') ELSE array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(regexp_extract_all({REPLY}, '[0-9]+'), lambda x: x::INT), lambda x: x BETWEEN 1 AND 13), lambda x: x - 1))), ',') END AS kept FROM conversations")
 def grade_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grader's answer: none, all, or the numbers it names."""
-    up = F.upper("text")
-    numbers = F.array_join(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1)), ",")
-    return _c(spark, sf_dir).select("conv_id", "turn", "role", F.when(up.rlike(r"\bNONE\b"), "none").when(up.rlike(r"\bALL\b"), "all").otherwise(numbers).alias("graded"))
+    """A grader's reply on 13 documents: none, all, or the places it names."""
+    reply = F.expr(REPLY)
+    return _c(spark, sf_dir).select("conv_id", "turn", "role", F.array_join(answers.graded_column(reply, F.lit(13)).cast("array<string>"), ",").alias("kept"))
 
 
-@query("SELECT conv_id, turn, role, CASE WHEN length(trim(text)) = 0 OR length(text) > 2 * 60 + 120 THEN 'raw' ELSE 'condensed' END AS kept FROM conversations")
+@query("SELECT conv_id, turn, role, CASE WHEN length(trim(made)) = 0 OR length(made) > 2 * length(asked) + 120 THEN asked ELSE made END AS question FROM (SELECT conv_id, turn, role, left(text, 60) AS asked, CASE WHEN turn % 7 = 6 THEN ' ' ELSE text END AS made FROM conversations)")
 def condense_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a condensed question may replace one of 60 characters."""
-    return _c(spark, sf_dir).select("conv_id", "turn", "role", F.when((F.length(F.trim("text")) == 0) | (F.length("text") > 2 * 60 + 120), "raw").otherwise("condensed").alias("kept"))
+    """The question that is asked: the condensed one, unless it is empty or far longer than what was asked."""
+    made = F.when(F.col("turn") % 7 == 6, " ").otherwise(F.col("text"))
+    return _c(spark, sf_dir).select("conv_id", "turn", "role", answers.condensed_column(F.left("text", F.lit(60)), made).alias("question"))
 
 
 @query()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.operators import discovery, index
+from lexarium.operators import discovery, index, segmentation, segments
 from lexarium.plans.base import LENGTHS, TOK, query, stored_index, table
+from lexarium.sources import shared
 
 
 def _tok(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +82,45 @@ def discovery_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.selected(found, block=("you idiot",), titles=("of",), leading=("the",), ending=("on",)).select("term", "size")
 
 
-@query(f"""WITH {TOK} SELECT 'postings' AS what, count(*)::BIGINT AS n FROM (SELECT DISTINCT term, doc_id FROM tok) UNION ALL SELECT 'tokens', count(*) FROM tok UNION ALL SELECT 'terms', count(DISTINCT term) FROM tok
-UNION ALL SELECT 'lengths', count(DISTINCT doc_id) FROM tok UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'average', round(count(*) / count(DISTINCT doc_id))::BIGINT FROM tok""")
-def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the stored index holds; the first query to need it builds and checks it."""
-    at = stored_index(spark, sf_dir)
+HOLDS = f"""WITH {TOK} SELECT 'postings' AS what, count(*)::BIGINT AS n FROM (SELECT DISTINCT term, doc_id FROM tok) UNION ALL SELECT 'tokens', count(*) FROM tok UNION ALL SELECT 'terms', count(DISTINCT term) FROM tok
+UNION ALL SELECT 'lengths', count(DISTINCT doc_id) FROM tok UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'average', round(count(*) / count(DISTINCT doc_id))::BIGINT FROM tok"""
+
+
+def _holds(at) -> DataFrame:
     count = lambda what, df: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
     tokens = at.lexicon.agg(F.sum("cf").alias("n")).select(F.lit("tokens").alias("what"), "n")
     average = at.statistics.select(F.lit("average").alias("what"), F.round("avg_length").cast("long").alias("n"))
     return count("postings", at.postings).unionAll(tokens).unionAll(count("terms", at.lexicon)).unionAll(count("lengths", at.lengths)).unionAll(count("documents", at.documents)).unionAll(average)
+
+
+@query(HOLDS)
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored index holds; the first query to need it builds and checks it."""
+    return _holds(stored_index(spark, sf_dir))
+
+
+@query(HOLDS)
+def segment_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index of segments holds after a build on an older corpus: one document in 50 was another, one in 80 wasn't there, and
+    some are gone. It equals an index built anew."""
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    older = docs.where(k % 80 != 7).withColumn("text", F.when(k % 50 == 3, F.concat("text", F.lit(" words that were there before"))).otherwise(F.col("text")))
+    gone = docs.where(k % 90 == 1).withColumn("doc_id", -1 - k)
+    base = segments.update(segments.current(spark, shared.folder(spark, "segments")), older.unionByName(gone))
+    return _holds(segments.update(base, docs.where((k % 80 == 7) | (k % 50 == 3)), gone.select("doc_id")))
+
+
+@query(f"""WITH RECURSIVE {TOK}, lex AS (SELECT term, count(*) AS cf FROM tok GROUP BY term), dict AS (SELECT term, cf FROM lex WHERE length(term) BETWEEN 2 AND 4), total AS (SELECT ln(sum(cf)::DOUBLE) AS ln_total FROM dict),
+words AS (SELECT term, round(1e9::DOUBLE * (ln(cf::DOUBLE) - ln_total))::BIGINT AS w FROM dict, total), lone AS (SELECT round(1e9::DOUBLE * -ln_total)::BIGINT AS w1 FROM total),
+path AS (SELECT term, length(term)::INT AS i, [0::BIGINT] AS v, []::INT[] AS n FROM lex
+UNION ALL SELECT term, i - 1, list_prepend(b.v, v), list_prepend(b.n, n) FROM (SELECT p.term, p.i, p.v, p.n, list_max(list_filter([{{'v': w1 + p.v[1], 'n': 1}}, {{'v': d2.w + p.v[2], 'n': 2}}, {{'v': d3.w + p.v[3], 'n': 3}}, {{'v': d4.w + p.v[4], 'n': 4}}], lambda x: x.v IS NOT NULL)) AS b
+  FROM path p JOIN lone ON true LEFT JOIN words d2 ON d2.term = substring(p.term, p.i, 2) AND p.i + 1 <= length(p.term) LEFT JOIN words d3 ON d3.term = substring(p.term, p.i, 3) AND p.i + 2 <= length(p.term) LEFT JOIN words d4 ON d4.term = substring(p.term, p.i, 4) AND p.i + 3 <= length(p.term) WHERE p.i > 0)),
+whole AS (SELECT term, n FROM path WHERE i = 0), walk AS (SELECT term, n, 1 AS at_, '' AS cut FROM whole UNION ALL SELECT term, n, at_ + n[at_], cut || CASE WHEN at_ > 1 THEN '|' ELSE '' END || substring(term, at_, n[at_]) FROM walk WHERE at_ <= length(term))
+SELECT term, cut FROM walk WHERE at_ > length(term)""")
+def dictionary_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term cut along its best path over the terms of two to four letters, weighed by their occurrences."""
+    lexicon = stored_index(spark, sf_dir).lexicon
+    known = lexicon.where(F.length("term").between(2, 4)).select(F.col("term").alias("word"), F.col("cf").alias("frequency"))
+    own = segmentation.dictionary_of(known)
+    cut = F.pandas_udf(lambda s: s.map(lambda t: "|".join(t[a:b] for a, b in own.path(t))), "string")
+    return lexicon.select("term", cut("term").alias("cut"))

@@ -235,3 +235,41 @@ def search_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = queries.parsed("Idiott apache")
     rows = [("suggested", queries.suggestion(at, "Idiott apache", units)), ("question", str(queries.is_question("Idiott apache", units)).lower()), ("units", "|".join(u.name for u in units))]
     return spark.createDataFrame(rows, "what string, value string")
+
+
+#: The SQL of a set of queries of single words: asked (query, unit, name, weight, core) stands before it.
+MANY = """hits AS (SELECT a.query, a.unit, t.doc_id, t.pos AS start FROM tok t JOIN asked a ON a.name = t.term),
+counted AS (SELECT query, unit, doc_id, count(*)::DOUBLE AS tf FROM hits GROUP BY ALL),
+wanted AS (SELECT query, sum(weight) AS total FROM asked GROUP BY query),
+of_unit AS (SELECT a.query, a.unit, any_value(a.weight) AS weight, any_value(a.core) AS core, count(*)::DOUBLE AS df FROM counted c JOIN asked a ON a.query = c.query AND a.unit = c.unit GROUP BY ALL),
+levels AS (SELECT query, count(*) FILTER (WHERE core AND 2 * df <= n) AS rare, count(*) FILTER (WHERE core) AS cores, count(*) AS every FROM of_unit, stats GROUP BY query),
+opens AS (SELECT o.query, o.unit, o.weight, o.df, CASE WHEN rare > 0 THEN core AND 2 * df <= n WHEN cores > 0 THEN core ELSE true END AS gating FROM of_unit o JOIN levels USING (query), stats),
+summed AS (SELECT c.query, c.doc_id, sum(weight * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 0.3::DOUBLE + 0.9::DOUBLE * length / avg_length)) * (0.1::DOUBLE + 0.9::DOUBLE * sum(weight) / any_value(total)) AS score, count(*) FILTER (WHERE gating) AS gate_hits
+  FROM counted c JOIN opens o ON o.query = c.query AND o.unit = c.unit JOIN lengths ON lengths.doc_id = c.doc_id JOIN wanted w ON w.query = c.query, stats GROUP BY c.query, c.doc_id),
+k_of AS (SELECT query, CASE WHEN rare > 0 THEN rare WHEN cores > 0 THEN cores ELSE every END AS k FROM levels),
+needs AS (SELECT s.query, greatest(1, least(CASE WHEN any_value(k) < 3 THEN any_value(k) WHEN any_value(k) < 5 THEN 2 ELSE (any_value(k) + 1) // 2 END, max(gate_hits))) AS need FROM summed s JOIN k_of USING (query) GROUP BY s.query),
+beside AS (SELECT DISTINCT b.query, b.doc_id FROM hits a JOIN hits b ON a.query = b.query AND a.doc_id = b.doc_id AND b.unit = a.unit + 1 AND b.start - (a.start + 1) BETWEEN 0 AND 2),
+outcome AS (SELECT s.query, s.doc_id, score * CASE WHEN b.doc_id IS NULL THEN 1.0::DOUBLE ELSE 1.3::DOUBLE END AS score FROM summed s JOIN needs USING (query) LEFT JOIN beside b ON b.query = s.query AND b.doc_id = s.doc_id WHERE gate_hits >= need),
+best AS (SELECT query, max(score) AS best FROM outcome GROUP BY query),
+words_of_title AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(""" + LOWER.format("split_part(text, chr(10), 1)") + """, '[\\p{L}\\p{N}]+'))) AS name FROM documents),
+in_title AS (SELECT a.query, t.doc_id, sum(a.weight) AS weight FROM asked a JOIN words_of_title t USING (name) GROUP BY ALL),
+shown AS (SELECT o.query, o.doc_id, score * (1.0::DOUBLE + coalesce(i.weight, 0) / total) AS score FROM outcome o JOIN best USING (query) JOIN wanted USING (query) LEFT JOIN in_title i ON i.query = o.query AND i.doc_id = o.doc_id WHERE score >= 0.2::DOUBLE * best)"""
+_INTENT = ", ".join(f"'{w}'" for w in sorted(queries.INTENT))
+#: Query strings of the corpus: the first four words of each benchmark item.
+ASKED_MANY = (
+    "asked AS (SELECT query, (row_number() OVER (PARTITION BY query ORDER BY first))::INT - 1 AS unit, name, CASE WHEN name IN (" + _INTENT + ") THEN 0.15::DOUBLE ELSE 1.0::DOUBLE END AS weight, length(name) > 1 AND name NOT IN (" + _INTENT + ") AS core "
+    "FROM (SELECT query, name, min(i) AS first FROM (SELECT item_id AS query, unnest(w[1:4]) AS name, generate_subscripts(w[1:4], 1) AS i FROM (SELECT item_id, regexp_extract_all(" + LOWER.format("text") + ", '[\\p{L}\\p{N}]+') AS w FROM benchmark)) GROUP BY query, name))"
+)
+
+
+def asked_many(spark: SparkSession, sf_dir: str) -> dict[int, str]:
+    """Query strings by item: a set of queries is read on the driver, as all query strings are."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.slice(text.tokens("text"), 1, 4).alias("w")).collect()
+    return {r.item_id: " ".join(r.w) for r in rows if r.w}
+
+
+@query(f"WITH {TOK}, {LENGTHS}, {ASKED_MANY}, {MANY} SELECT query, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc_id) AS rank FROM shown) WHERE rank <= 10")
+def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each of a set of query strings, from one scan of their postings."""
+    found = queries.answered(stored_index(spark, sf_dir), asked_many(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return queries.first_of_each(found, 10).select(F.col("query").cast("long").alias("query"), "doc_id", "score", "rank")

@@ -31,11 +31,13 @@ def change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.change_set(*_sides(spark, sf_dir), VERSION)
 
 
-@query(f"WITH {BASE}, {CHANGES} SELECT change, count(*) AS n, (change IN ('added', 'legacy', 'body_modified')) AS reindex FROM changes GROUP BY change")
+@query(f"""WITH {BASE}, {CHANGES}, work AS (SELECT key, CASE WHEN change IN ('added', 'legacy', 'body_modified') THEN 'reindex' WHEN change = 'deleted' THEN 'remove' WHEN change = 'source_only' OR (key % 5 = 1 AND key % 10 <> 6) THEN 'render' END AS work FROM changes)
+SELECT key, work FROM work WHERE work IS NOT NULL""")
 def build_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents of each class, and which are indexed anew."""
-    found = snapshots.change_set(*_sides(spark, sf_dir), VERSION)
-    return found.groupBy("change").agg(F.count("*").alias("n")).withColumn("reindex", F.col("change").isin("added", "legacy", "body_modified"))
+    """What a build does for each document: index, render anew (its source or title has changed), or remove."""
+    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.left("text", F.lit(20)).alias("title"))
+    before = titles.where("key % 10 <> 6").withColumn("title", F.when(F.col("key") % 5 == 1, F.concat(F.lit("old "), "title")).otherwise(F.col("title")))
+    return snapshots.plan_of(snapshots.change_set(*_sides(spark, sf_dir), VERSION), before, titles)
 
 
 @query(f"WITH {BASE}, {CHANGES} SELECT key, coalesce(CASE WHEN change = 'unchanged' THEN b.source_hash END, c.source_hash) AS source_hash, coalesce(CASE WHEN change = 'unchanged' THEN b.body_hash END, c.body_hash) AS body_hash, 2 AS version FROM changes LEFT JOIN base b USING (key) JOIN cur c USING (key)")
@@ -88,11 +90,14 @@ def registry_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.pick(_registry(spark, sf_dir), "m@64", [4, 5]).select("snapshot_id", "lineage", "format_version")
 
 
-@query("SELECT event_type, count(*) AS runs, count(*) FILTER (WHERE value < 10) AS failures, max(ts) AS last_run, max(ts) FILTER (WHERE value >= 10) AS last_success FROM events GROUP BY event_type")
+RUNS = "SELECT user_id AS job, ts AS started_at, CASE WHEN value < 30 THEN 'failed' WHEN value < 40 THEN 'skipped' WHEN value < 45 THEN 'no_change' ELSE 'success' END AS outcome FROM events"
+
+
+@query(f"WITH runs AS ({RUNS}), reset AS (SELECT job, max(started_at) AS reset_at FROM runs WHERE outcome IN ('success', 'no_change') GROUP BY job) SELECT runs.job, count(*) FILTER (WHERE outcome = 'failed' AND (reset_at IS NULL OR started_at > reset_at)) AS failures FROM runs LEFT JOIN reset USING (job) GROUP BY runs.job")
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome counters of runs."""
-    ok = F.col("value") >= 10
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("runs"), F.count_if(F.col("value") < 10).alias("failures"), F.max("ts").alias("last_run"), F.max(F.when(ok, F.col("ts"))).alias("last_success"))
+    """Each job's failures in a row."""
+    outcome = F.when(F.col("value") < 30, "failed").when(F.col("value") < 40, "skipped").when(F.col("value") < 45, "no_change").otherwise("success")
+    return snapshots.failures_in_a_row(table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("ts").alias("started_at"), outcome.alias("outcome")))
 
 
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 50")
