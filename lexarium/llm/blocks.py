@@ -63,9 +63,30 @@ def forest(sets: list[np.ndarray], known: list, left: np.ndarray, right: np.ndar
     return out
 
 
+def plausible(prefixes: list[np.ndarray], size: np.ndarray, known: list, left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Places of the sets that may have a link between left and right, by what their prefixes share: of two prefixes the one that ends
+    first has all of its shared shingles in the other, and what the sets may share beyond is that set less its prefix."""
+    own = [p.view(np.uint64) for p in prefixes]
+    bits, group = bits_of(own), np.unique(np.array(known), return_inverse=True)[1]
+    last, beyond = np.array([p[-1] for p in prefixes], dtype=np.int64), size - np.array([len(p) for p in prefixes], dtype=np.int64)
+    step = max(1, PRODUCT // max(1, 8 * max(4, bits.shape[1]) * len(right)))
+    found = np.zeros(len(prefixes), dtype=bool)
+    for k in range(0, len(left), step):
+        a = left[k : k + step][:, None]
+        b = right[None, :]
+        shared = np.bitwise_count(bits[a[:, 0]][:, None, :] & bits[right][None, :, :]).sum(2, dtype=np.int64)
+        reach = np.where(last[a] < last[b], beyond[a], np.where(last[a] > last[b], beyond[b], np.maximum(beyond[a], beyond[b])))
+        need = np.ceil((size[a] + size[b]) * (least / (1 + least)) - 1e-9)
+        may = (shared > 0) & (shared + reach >= need) & (np.minimum(size[a], size[b]) >= np.ceil(np.maximum(size[a], size[b]) * least - 1e-9)) & (group[a] != group[b])
+        found[a[may.any(1), 0]] = True
+        found[right[may.any(0)]] = True
+    return np.flatnonzero(found)
+
+
 def links(rows: DataFrame, docs: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
     """a, b: links of the least similarity that join the nodes of each bucket. rows: value (the bucket), node, n (shingles), known;
-    first: node, first_id, by which the texts are read again."""
+    first: node, first_id, by which the texts are read again, and perhaps prefix (the ordered shingles of prefix filtering): then
+    only texts that may have a link by their prefixes are read."""
     groups = rows.groupBy("value").agg(F.min_by("node", F.xxhash64("node")).alias("g"))
     rows = common.staged(rows.join(groups, "value").select(F.col("g").alias("value"), "node", "n", "known").distinct())
     sized = rows.groupBy("value").agg(F.sum("n").alias("weight"), F.count("*").alias("rows"))
@@ -73,7 +94,19 @@ def links(rows: DataFrame, docs: DataFrame, first: DataFrame, words: int, least:
     dealt = rows.join(sized.select("value", blocks.alias("blocks")), "value").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     met = dealt.select("value", "node", "known", "own", every.alias("other")).select(F.col("value").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "known", "own")
-    met = common.staged(met.join(first.select("node", "first_id"), "node"))
+    by = ["g", "i", "j"]
+    if "prefix" in first.columns:
+
+        def sieve(t: pa.Table) -> pa.Table:
+            own, i, j = t.column("own").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            prefixes = [p.values.to_numpy() for p in t.column("prefix")]
+            may = plausible(prefixes, t.column("n").to_numpy().astype(np.int64), t.column("known").to_pylist(), np.flatnonzero(own == i), np.flatnonzero(own == j), least)
+            return t.select([*by, "node", "known", "own", "first_id"]).take(pa.array(may))
+
+        met = met.join(first.select("node", "first_id", "n", "prefix"), "node").groupBy(*by).applyInArrow(sieve, "g long, i long, j long, node long, known long, own long, first_id long")
+    else:
+        met = met.join(first.select("node", "first_id"), "node")
+    met = common.staged(met)
     texts = texts_of(docs, met.select("first_id").distinct())
     held = met.join(texts, met.first_id.eqNullSafe(texts.id)).select("g", "i", "j", "node", "known", "own", "text")
 
@@ -90,4 +123,4 @@ def links(rows: DataFrame, docs: DataFrame, first: DataFrame, words: int, least:
         edges = forest([found[x][0] for x in nodes], [found[x][1] for x in nodes], np.flatnonzero(own == i), np.flatnonzero(own == j), least)
         return pa.table([pa.array([nodes[x] for x, _ in edges], pa.int64()), pa.array([nodes[y] for _, y in edges], pa.int64())], names=["a", "b"])
 
-    return held.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long")
+    return held.groupBy(*by).applyInArrow(compare, "a long, b long")

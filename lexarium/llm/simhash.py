@@ -126,12 +126,11 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")
 
 
-def meeting(prints: DataFrame, least: float) -> DataFrame:
+def meeting(nodes: DataFrame, least: float) -> DataFrame:
     """What meets by a number that several prefixes hold, a row for each pair and number: value, a, n, b, m (a, b: nodes whose
     sizes fit). Of a number that DENSE nodes or more hold, the nodes in place of pairs: value, a, n, and b is null.
 
     Rows are sorted by value in each partition and read as they come; a run is held up to DENSE rows."""
-    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = nodes.select(F.explode("prefix").alias("value"), "node", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,7 +441,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> Da
     Links between nodes of one least hash come first, in TURNS; then only nodes that these leave apart are compared.
     """
     prints = common.staged(prefixes(docs, words, least))
-    first = common.staged(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("last").alias("last"), F.first("mins").alias("mins")))
+    first = common.staged(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("last").alias("last"), F.first("mins").alias("mins"), F.first("prefix").alias("prefix")))
     links, known = None, None
     for turn in range(TURNS):
         edges = common.staged(star_links(_known(first.select("node", "n", "mins"), known), least, turn))
@@ -452,7 +451,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> Da
         links = found if links is None else links.unionAll(found)
         known = labels(links)
     together = common.staged(components(links)) if links is not None else None
-    met = common.staged(meeting(prints, least))
+    met = common.staged(meeting(first, least))
     dense = met.where("b IS NULL").select("value", F.col("a").alias("node"), "n")
     rest = alike(pair_links(met.where("b IS NOT NULL"), together, first, least), docs, first, words, least)
     rest = rest.unionAll(blocks.links(mixed(_known(dense, together)), docs, first, words, least))
