@@ -62,22 +62,23 @@ Asked = dict[int, list[Unit]]
 def units_frame(spark: SparkSession, asked: Asked) -> DataFrame:
     """query, total (weight of all units), unit, name, weight, core."""
     rows = [(q, float(sum(u.weight for u in units)), k, u.name, float(u.weight), u.core) for q, units in asked.items() for k, u in enumerate(check(units))]
-    return F.broadcast(spark.createDataFrame(rows, "query int, total double, unit int, name string, weight double, core boolean"))
+    return F.broadcast(spark.createDataFrame(rows, "query int not null, total double, unit int not null, name string, weight double, core boolean"))
 
 
 def parts_frame(spark: SparkSession, asked: Asked) -> DataFrame:
     rows = [(q, k, v, len(s), u.placed(v)[1], at, word) for q, units in asked.items() for k, u in enumerate(units) for v, s in enumerate(u.spellings) for at, word in u.placed(v)[0]]
-    return F.broadcast(spark.createDataFrame(rows, "query int, unit int, variant int, n_parts int, length int, at int, term string"))
+    return F.broadcast(spark.createDataFrame(rows, "query int not null, unit int not null, variant int, n_parts int, length int, at int, term string"))
 
 
 def found(postings: DataFrame, asked: Asked) -> DataFrame:
     """query, unit, variant, doc_id, n_parts, length, starts: where each spelling stands, dealt by document.
 
-    A phrase's places are those of its rarest word that all others share, each shifted by its own place in the phrase."""
+    A phrase's places are those of its rarest word that all others share, each shifted by its own place in the phrase. Rows without an
+    id have no document to rank."""
     if len(asked) > QUERIES:
         raise ValueError(f"a set has at most {QUERIES} queries")
     words = sorted({w for units in asked.values() for u in units for s in u.spellings for w in s})
-    rows = postings.where(F.col("term").isin(words)).join(parts_frame(postings.sparkSession, asked), "term")
+    rows = postings.where(F.col("term").isin(words) & F.col("doc_id").isNotNull()).join(parts_frame(postings.sparkSession, asked), "term")
     rows = rows.select("query", "unit", "variant", "n_parts", "length", "at", "doc_id", "positions").repartition("doc_id")
     both = rows.groupBy("doc_id", "query", "unit", "variant", "n_parts", "length").agg(F.sort_array(F.collect_list(F.struct(F.size("positions").alias("size"), "at", "positions"))).alias("parts"))
     shifted = lambda p: F.transform(p["positions"], lambda x: x - p["at"])
@@ -99,7 +100,9 @@ def matched(places: DataFrame) -> DataFrame:
 
 def _gates(of: DataFrame, stats: DataFrame, asked: Asked) -> DataFrame:
     """query, total, n, avg_length, k (gating units), by_unit (name, weight, idf, gating by unit): a row a query."""
-    df = of.select("query", F.explode("units.unit").alias("unit")).groupBy("query", "unit").agg(F.count("*").cast("double").alias("df"))  # at most a row a unit
+    # spots are asked for, which no unit lacks: what is read here is then what the scores read, and comes from the same exchange
+    units = of.select("query", F.explode("units").alias("u")).where(F.size("u.spots") > 0).select("query", "u.unit")
+    df = units.groupBy("query", "unit").agg(F.count("*").cast("double").alias("df"))  # at most a row a unit
     ranked = df.join(units_frame(of.sparkSession, asked), ["query", "unit"]).crossJoin(F.broadcast(stats))
     tier = F.when(F.col("core") & (F.col("df") <= COMMON_SHARE * F.col("n")), 1).when(F.col("core"), 2).otherwise(3)
     gating = (F.col("tier") == F.min("tier").over(W.partitionBy("query"))).cast("int")

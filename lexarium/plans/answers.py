@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexarium.operators import catalogue, citations, evaluation
-from lexarium.plans.base import query, stored_index, table
+from lexarium.operators import catalogue, citations, evaluation, paging, queries
+from lexarium.plans.base import LENGTHS, TOK, query, stored_index, table
+from lexarium.plans.ranking import MANY
 
 #: A chunk for each line of a text; the third words of lines are headings, similarities come from the ids.
 CHUNKS = """chunks AS (SELECT 'd' || doc_id || '.md' AS doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Title ' || doc_id % 90 END AS title, CASE WHEN n % 4 = 0 THEN NULL ELSE 'Part ' || n % 3 END AS heading, CASE WHEN n % 4 = 0 THEN '' ELSE 'Part-' || n % 3 END AS anchor,
@@ -80,12 +81,15 @@ def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Judged queries: a word each; its documents are those that hold it as a substring.
 JUDGED = ("idiot", "clown", "apache", "licensed")
 _HITS = " UNION ALL ".join(f"SELECT '{q}' AS query, doc_id FROM documents WHERE contains(text, '{q}')" for q in JUDGED)
-_RANKED = "ranked AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY n DESC, doc_id) AS rank FROM (SELECT q AS query, doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: w = q)) AS n FROM documents, (VALUES " + ", ".join(f"('{q}')" for q in JUDGED) + ") v(q)) WHERE n > 0)"
+_ASKED = "asked(query, unit, name, weight, core) AS (VALUES " + ", ".join(f"('{q}', 0, '{q}', 1.0::DOUBLE, true)" for q in JUDGED) + ")"
+_RANKED = f"{TOK}, {LENGTHS}, {_ASKED}, {MANY}, ranked AS (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc_id) AS rank FROM shown)"
 
 
 def _ranked_and_truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    p = stored_index(spark, sf_dir).postings.where(F.col("term").isin(*JUDGED)).select(F.col("term").alias("query"), "doc_id", "tf")
-    ranked = p.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.col("tf").desc(), "doc_id"))).select("query", "doc_id", "rank")
+    """All results of the judged strings with their ranks, which are counted in buckets of scores, and the truth."""
+    found = queries.answered(stored_index(spark, sf_dir), dict(enumerate(JUDGED))).withColumn("score", F.round("score", 6))
+    found = found.select(F.element_at(F.array(*map(F.lit, JUDGED)), F.col("query") + 1).alias("query"), "doc_id", "score", F.floor(F.col("score") * 16).alias("bucket"))
+    ranked = paging.numbered_within(found, ["query"], "bucket", [F.col("score").desc(), F.col("doc_id")], "rank").select("query", "doc_id", "rank")
     docs = table(spark, sf_dir, "documents")
     truth = docs.select("doc_id", F.explode(F.array(*[F.when(F.col("text").contains(q), q) for q in JUDGED])).alias("query")).where("query IS NOT NULL")
     return ranked, truth
