@@ -1,8 +1,9 @@
 """Word discovery: runs of 2 to 5 neighbouring tokens scored by dominance, neighbour entropy and how often they go on.
 
-Runs are made of the token arrays of lines inside the row, so nothing is shuffled or sorted for neighbours; what is
-shuffled are partial counts by (run, document) and by (run, side, neighbour). Neighbours are counted only for runs of
-enough documents: those are joined back by run, after each side's counts are summed where they lie.
+A run can only be in enough documents if both runs of one token fewer are, so sizes are counted one after the other: runs are 64-bit
+hashes of their tokens, a task sums what it has met before it is shuffled, and the hashes of enough documents become a bit map of
+bounded size by which the next size is sieved. Only then are the runs of all sizes that passed written out as texts with their
+neighbours, and counted exactly by text; a hash or bit that two runs share costs time, not rows.
 
 Defined cases: null and empty texts have no runs; a run at a line's edge has the edge (^ or $) as its neighbour; rows
 that repeat an id count as one document; an empty table gives an empty result.
@@ -10,48 +11,157 @@ that repeat an id count as one document; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexarium.functions import text
+from lexarium.functions.text import LOWER, UPPER
+from lexarium.operators import store
 from lexarium.sources import shared
 
 LONGEST = 5
-
-
-def runs(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """doc_id, size, term (tokens joined by blanks), first, last, before, after of every run of docs (doc_id, text)."""
-    lines = shared.spread(docs.select("doc_id", "text")).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    w = F.col("w")
-    made = F.flatten(F.array(*[_of_size(w, n) for n in range(2, longest + 1)]))
-    return lines.select("doc_id", text.tokens("line").alias("w")).where(F.size("w") > 1).select("doc_id", F.explode(made).alias("r")).select("doc_id", "r.*")
-
-
-def _of_size(w, n: int):
-    at = F.sequence(F.lit(0), F.size(w) - n)
-    one = lambda i: F.struct(F.lit(n).alias("size"), F.array_join(F.slice(w, i + 1, n), " ").alias("term"), F.when(i > 0, F.get(w, i - 1)).otherwise("^").alias("before"), F.when(i + n < F.size(w), F.get(w, i + n)).otherwise("$").alias("after"))
-    return F.when(F.size(w) >= n, F.transform(at, one)).otherwise(F.array().cast("array<struct<size:int,term:string,before:string,after:string>>"))
-
-
-def _sides(found: DataFrame, kept: DataFrame) -> DataFrame:
-    """term, h (the poorer side's natural-log entropy), most (the largest count of one neighbour that isn't an edge)."""
-    both = F.explode(F.array(F.struct(F.lit("b").alias("side"), F.col("before").alias("x")), F.struct(F.lit("a").alias("side"), F.col("after").alias("x"))))
-    counts = found.select("term", both.alias("n")).groupBy("term", "n.side", "n.x").agg(F.count("*").cast("double").alias("c")).join(kept.select("term"), "term", "left_semi")
-    h = F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")
-    real = F.max(F.when(~F.col("x").isin("^", "$"), F.col("c")))
-    by_side = counts.groupBy("term", "side").agg(h.alias("h"), real.alias("most"))
-    return by_side.groupBy("term").agg(F.min("h").alias("h"), F.coalesce(F.max("most"), F.lit(0.0)).alias("most"))
+#: Bits of a sieve at most (16 MB), entries that a task holds before it puts out their sums, words whose hashes it keeps.
+BITS, HELD, KEPT = 1 << 27, 200_000, 500_000
+_LOW = str.maketrans(UPPER, LOWER)
+_TOKEN = re.compile(r"[^\W_]+")
+_FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class Text:
+    """A text's tokens with the number of their line, and the hashes of their runs."""
+
+    def __init__(self, text: str | None, hashes: dict[str, int]):
+        lines = [_TOKEN.findall(line) for line in (text or "").translate(_LOW).split("\n")]
+        self.tokens = [t for line in lines for t in line]
+        self.line = np.repeat(np.arange(len(lines)), [len(line) for line in lines])
+        if len(hashes) > KEPT:
+            hashes.clear()
+        for t in self.tokens:
+            if t not in hashes:
+                hashes[t] = xxhash.xxh64_intdigest(t)
+        self.words = np.array([hashes[t] for t in self.tokens], dtype=np.uint64)
+
+    def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash) of the runs of that size within lines."""
+        n = len(self.tokens) - size + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        first = np.flatnonzero(self.line[:n] == self.line[size - 1 :])
+        return first, sum((self.words[first + k] * _FACTORS[k] for k in range(size)), np.zeros(len(first), np.uint64))
+
+    def passing(self, size: int, sieves: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of runs() those of which both parts of one token fewer pass."""
+        first, h = self.runs(size)
+        if size == 2 or not len(first):
+            return first, h
+        own, passed = self.runs(size - 1)
+        good = np.zeros(len(self.tokens), dtype=bool)
+        good[own] = has_bit(sieves[size - 1], passed)
+        both = good[first] & good[first + 1]
+        return first[both], h[both]
+
+
+def has_bit(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h >> np.uint64(11)) % np.uint64(len(sieve) * 8)
+    return (sieve[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def counted(docs: DataFrame, size: int, sieves: dict[int, np.ndarray], least_df: int) -> DataFrame:
+    """h of the runs of that size in least_df documents or more. docs: one row a document."""
+    sent = docs.sparkSession.sparkContext.broadcast(sieves)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, hashes = [], 0, {}
+
+        def sums() -> pa.RecordBatch:
+            h, df = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(df)], ["h", "df"])
+
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                held.append(np.unique(Text(text, hashes).passing(size, sent.value)[1]))
+                n += len(held[-1])
+                if n > HELD * 8:
+                    yield sums()
+                    held, n = [], 0
+        yield sums()
+
+    return docs.select("text").mapInArrow(run, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).where(F.col("df") >= least_df).select("h")
+
+
+def sieve_of(hashes: DataFrame) -> np.ndarray:
+    """A bit for each hash, of 16 a hash and BITS at most, made of partial maps of 4 KB."""
+    n = hashes.count()
+    bits = min(BITS, 1 << max(15, (16 * n).bit_length()))
+    at = hashes.select(F.pmod(F.shiftrightunsigned("h", 11), F.lit(bits)).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits")).collect()
+    out = np.zeros((bits // 32768, 4096), dtype=np.uint8)
+    for r in parts:
+        out[r.k - 1] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out.ravel()
+
+
+def written(docs: DataFrame, sieves: dict[int, np.ndarray]) -> DataFrame:
+    """Sums by task of what passes the sieves: kind t (term, size, n: occurrences, df), w (term: a word, n) and b and a (term, x: the
+    neighbour before or after, n)."""
+    sent = docs.sparkSession.sparkContext.broadcast(sieves)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, df, words, sides, hashes = Counter(), Counter(), Counter(), Counter(), {}
+
+        def sums() -> pa.RecordBatch:
+            rows = [("t", term, term.count(" ") + 1, None, n, df[term]) for term, n in terms.items()]
+            rows += [("w", w, 1, None, n, None) for w, n in words.items()] + [(side, term, None, x, n, None) for (side, term, x), n in sides.items()]
+            for c in (terms, df, words, sides):
+                c.clear()
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["kind", "term", "size", "x", "n", "df"])
+
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                own = Text(text, hashes)
+                tokens, line = own.tokens, own.line.tolist()
+                words.update(tokens)
+                seen = set()
+                for size in sent.value:
+                    first, h = own.passing(size, sent.value)
+                    for i in first[has_bit(sent.value[size], h)].tolist():
+                        term = " ".join(tokens[i : i + size])
+                        terms[term] += 1
+                        seen.add(term)
+                        end = i + size
+                        sides["b", term, tokens[i - 1] if i and line[i - 1] == line[i] else "^"] += 1
+                        sides["a", term, tokens[end] if end < len(tokens) and line[end] == line[i] else "$"] += 1
+                df.update(seen)
+                if len(sides) + len(words) > HELD:
+                    yield sums()
+        yield sums()
+
+    return docs.select("text").mapInArrow(run, "kind string, term string, size int, x string, n long, df long")
 
 
 def discovered(docs: DataFrame, least_df: int = 3, longest: int = LONGEST) -> DataFrame:
     """term, size, tf, df, dominance (tf over that of the rarest part), entropy (of the poorer side), extends (the largest share
     that one neighbour continues to a longer run; 0 for the longest)."""
-    found = runs(docs, longest)
-    counted = found.groupBy("term", "size", "doc_id").agg(F.count("*").alias("n")).groupBy("term", "size").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).where(F.col("df") >= least_df)
-    lines = shared.spread(docs.select("text")).select(F.explode(text.tokens("text")).alias("word"))
-    words = lines.groupBy("word").agg(F.count("*").alias("word_tf"))
-    rarest = counted.select("term", F.explode(F.split("term", " ")).alias("word")).join(words, "word").groupBy("term").agg(F.min("word_tf").alias("rarest"))
-    out = counted.join(rarest, "term").join(_sides(found, counted), "term")
+    docs = shared.spread(store.whole(docs))
+    sieves: dict[int, np.ndarray] = {}
+    for size in range(2, longest + 1):
+        sieves[size] = sieve_of(shared.staged(counted(docs, size, sieves, least_df)))
+    sums = shared.staged(written(docs, sieves))
+    often = sums.where("kind = 't'").groupBy("term", "size").agg(F.sum("n").alias("tf"), F.sum("df").alias("df")).where(F.col("df") >= least_df)
+    words = sums.where("kind = 'w'").groupBy(F.col("term").alias("word")).agg(F.sum("n").alias("word_tf"))
+    rarest = often.select("term", F.explode(F.split("term", " ")).alias("word")).join(words, "word").groupBy("term").agg(F.min("word_tf").alias("rarest"))
+    by_side = sums.where("kind IN ('b', 'a')").groupBy("term", F.col("kind").alias("side"), "x").agg(F.sum("n").cast("double").alias("c"))
+    h = F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")
+    real = F.max(F.when(~F.col("x").isin("^", "$"), F.col("c")))
+    sides = by_side.groupBy("term", "side").agg(h.alias("h"), real.alias("most")).groupBy("term").agg(F.min("h").alias("h"), F.coalesce(F.max("most"), F.lit(0.0)).alias("most"))
+    out = often.join(rarest, "term").join(sides, "term")
     extends = F.when(F.col("size") < longest, F.col("most") / F.col("tf")).otherwise(0.0)
     return out.select("term", "size", "tf", "df", F.round(F.col("tf") / F.col("rarest").cast("double"), 12).alias("dominance"), F.round(F.abs("h"), 6).alias("entropy"), F.round(extends, 12).alias("extends"))
 

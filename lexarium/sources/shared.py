@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -18,6 +19,23 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read back; it goes when the driver ends."""
+    spark = df.sparkSession
+    at = folder(spark, "staged")
+    fs, path = file_system(spark, at)
+    atexit.register(_forget, fs, path(at))
+    df.write.option("compression", "zstd").parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _forget(fs, path) -> None:
+    try:
+        fs.delete(path, True)
+    except Exception:  # the JVM has ended before: its folder goes with the session
+        return
+
+
 def file_system(spark: SparkSession, at: str):
     """Hadoop's file system of a path, and a maker of its paths."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
