@@ -116,4 +116,4 @@ def chunks(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
             rows = [(f"{n}_chunk_{k:03d}", d, k, h, a, c, w) for n, d, t in zip(f.name_, f.doc_id, f.text, strict=True) for k, (h, a, c, w) in enumerate(chunks_of(t or "", sizes))]
             yield pd.DataFrame(rows, columns=["chunk_id", "doc_id", "chunk_index", "heading", "heading_anchor", "text", "word_count"])
 
-    return shared.spread(docs.select("doc_id", name.alias("name_"), "text")).mapInPandas(run, "chunk_id string, doc_id long, chunk_index int, heading string, heading_anchor string, text string, word_count int")
+    return shared.spread(docs.select("doc_id", name.alias("name_"), "text")).mapInPandas(run, f"chunk_id string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunk_index int, heading string, heading_anchor string, text string, word_count int")

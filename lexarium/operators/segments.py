@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +36,8 @@ class LostRaceError(RuntimeError):
 
 @dataclass(frozen=True)
 class Segment:
-    """A segment's folder, its documents with words and their words; the folder of what is gone of it, and how much that is."""
+    """A segment's folder, its documents with words and their words; the folder of what is gone of it, and how much that is; tables
+    besides an index's own, each with a doc_id."""
 
     name: str
     n: int
@@ -44,6 +45,7 @@ class Segment:
     gone: str | None = None
     gone_n: int = 0
     gone_tokens: int = 0
+    more: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,12 @@ class Segmented:
     number: int
     segments: tuple[Segment, ...]
     analysis: Analysis = PLAIN
+    #: What a build has put into the manifest besides segments.
+    extra: dict = field(default_factory=dict)
+
+    def table(self, name: str) -> DataFrame:
+        """A further table of the segments, without the rows of documents that are gone."""
+        return self._every(name)
 
     @property
     def at(self) -> str:
@@ -115,16 +123,16 @@ def current(spark: SparkSession, root: str, analysis: Analysis = PLAIN) -> Segme
     fs, path = shared.file_system(spark, root)
     found = [str(f.getPath().getName()) for f in fs.listStatus(path(root))] if fs.exists(path(root)) else []
     number = max((int(f[9:17]) for f in found if f.startswith("manifest-") and f.endswith(".json")), default=0)
-    segments = json.loads(shared.read_text(spark, _manifest(root, number))) if number else []
-    return Segmented(spark, root, number, tuple(Segment(**s) for s in segments), analysis)
+    said = json.loads(shared.read_text(spark, _manifest(root, number))) if number else {"segments": [], "extra": {}}
+    return Segmented(spark, root, number, tuple(Segment(**s | {"more": tuple(s["more"])}) for s in said["segments"]), analysis, said["extra"])
 
 
-def _publish(base: Segmented, segments: list[Segment]) -> Segmented:
+def _publish(base: Segmented, segments: list[Segment], extra: dict) -> Segmented:
     """The manifest after base's, if no other build has created it."""
-    body = json.dumps([asdict(s) for s in segments])
+    body = json.dumps({"segments": [asdict(s) for s in segments], "extra": extra})
     if not shared.create_text(base.spark, _manifest(base.root, base.number + 1), body):
         raise LostRaceError(f"manifest {base.number + 1} of {base.root} is there already")
-    return Segmented(base.spark, base.root, base.number + 1, tuple(segments), base.analysis)
+    return Segmented(base.spark, base.root, base.number + 1, tuple(segments), base.analysis, extra)
 
 
 def _counted(stored: Stored) -> tuple[int, int]:
@@ -162,12 +170,13 @@ def _without(base: Segmented, s: Segment, ids: DataFrame) -> Segment:
     except BaseException:
         fs.delete(path(f"{base.root}/{at}"), True)
         raise
-    return Segment(s.name, s.n, s.tokens, at, s.gone_n + lost.n, s.gone_tokens + lost.tokens)
+    return replace(s, gone=at, gone_n=s.gone_n + lost.n, gone_tokens=s.gone_tokens + lost.tokens)
 
 
-def update(base: Segmented, given: DataFrame | None = None, removed: DataFrame | None = None) -> Segmented:
-    """The index after a build on base: given (doc_id, text and more) are new or changed documents, removed (doc_id) go. What
-    a build that fails or loses its race has written is deleted."""
+def update(base: Segmented, given: DataFrame | None = None, removed: DataFrame | None = None, more: dict[str, DataFrame] | None = None, extra: dict | None = None) -> Segmented:
+    """The index after a build on base: given (doc_id, text and more) are new or changed documents, removed (doc_id) go; more:
+    further tables of given, each with a doc_id; extra: what else the manifest says (else as before). What a build that fails or
+    loses its race has written is deleted."""
     spark, fs_path = base.spark, shared.file_system(base.spark, base.root)
     ids = [df.select("doc_id") for df in (given, removed) if df is not None]
     if all(df.isEmpty() for df in ids):
@@ -181,8 +190,8 @@ def update(base: Segmented, given: DataFrame | None = None, removed: DataFrame |
             return base
         if given is not None and not given.isEmpty():
             made.append(f"segment-{uuid.uuid4().hex}")
-            segments.append(Segment(made[-1], *_counted(store.build(given, f"{base.root}/{made[-1]}", base.analysis))))
-        return _publish(base, segments)
+            segments.append(Segment(made[-1], *_counted(store.build(given, f"{base.root}/{made[-1]}", base.analysis, more)), more=tuple(more or ())))
+        return _publish(base, segments, base.extra if extra is None else extra)
     except BaseException:
         for name in made:
             fs_path[0].delete(fs_path[1](f"{base.root}/{name}"), True)
@@ -208,9 +217,10 @@ def merged(base: Segmented) -> Segmented:
         return [what for what, a, b in (("lengths", _counted(to), (n, tokens)), ("postings", rows.tf, tokens)) if a != b]
 
     of = lambda table: base._every(table, old)
-    store.published(base.spark, f"{base.root}/{name}", base.analysis, lambda to: store.write_tables(to, of("documents"), of("bodies"), of("postings"), of("lengths")), wrong)
+    more = {t: of(t) for t in old[0].more}
+    store.published(base.spark, f"{base.root}/{name}", base.analysis, lambda to: store.write_tables(to, of("documents"), of("bodies"), of("postings"), of("lengths"), more), wrong)
     try:
-        return _publish(base, [*(s for s in base.segments if s not in old), Segment(name, n, tokens)])
+        return _publish(base, [*(s for s in base.segments if s not in old), Segment(name, n, tokens, more=old[0].more)], base.extra)
     except BaseException:
         fs, path = shared.file_system(base.spark, base.root)
         fs.delete(path(f"{base.root}/{name}"), True)

@@ -105,8 +105,10 @@ def published(spark: SparkSession, at: str, analysis: Analysis, write: Callable[
     return Stored(spark, at, analysis)
 
 
-def write_tables(to: Stored, documents: DataFrame, bodies: DataFrame, postings: DataFrame, lengths: DataFrame) -> None:
-    """All tables of an index; lexicon and statistics are sums of what has been written."""
+def write_tables(to: Stored, documents: DataFrame, bodies: DataFrame, postings: DataFrame, lengths: DataFrame, more: dict[str, DataFrame] | None = None) -> None:
+    """All tables of an index, and further ones by name; lexicon and statistics are sums of what has been written."""
+    for name, df in (more or {}).items():
+        df.write.parquet(f"{to.at}/{name}")
     documents.write.parquet(f"{to.at}/documents")
     by_key = lambda df, *keys: df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("parquet.block.size", GROUP_BYTES)
     by_key(bodies, "doc_id").parquet(f"{to.at}/bodies")
@@ -116,12 +118,12 @@ def write_tables(to: Stored, documents: DataFrame, bodies: DataFrame, postings:
     index.statistics(to.lengths).write.parquet(f"{to.at}/statistics")
 
 
-def build(docs: DataFrame, at: str, analysis: Analysis = PLAIN) -> Stored:
-    """The index of docs (doc_id, text and more) in the new folder at."""
+def build(docs: DataFrame, at: str, analysis: Analysis = PLAIN, more: dict[str, DataFrame] | None = None) -> Stored:
+    """The index of docs (doc_id, text and more) in the new folder at; more: further tables that lie there."""
     texts = whole(docs)
     return published(
         docs.sparkSession, at, analysis,
-        lambda to: write_tables(to, titled(docs, analysis), texts, segmentation.postings(texts, analysis), segmentation.lengths(texts, analysis)),
+        lambda to: write_tables(to, titled(docs, analysis), texts, segmentation.postings(texts, analysis), segmentation.lengths(texts, analysis), more),
         lambda to: [r.check for r in checks(to, docs).where("wrong > 0").collect()],
     )
 
