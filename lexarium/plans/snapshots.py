@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.operators import paging, snapshots, store
+from lexarium.operators import builds, paging, snapshots, store
 from lexarium.plans.base import query, stored_index, table
+from lexarium.sources import shared
 
 VERSION = 2
 BASE = """cur AS (SELECT doc_id AS key, sha256(text || '|' || source) AS source_hash, sha256(text) AS body_hash FROM documents WHERE doc_id % 11 <> 5),
@@ -40,6 +43,39 @@ def build_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.plan_of(snapshots.change_set(*_sides(spark, sf_dir), VERSION), before, titles)
 
 
+def hashed_words(texts: list[str], size: int = 16) -> list[list[float]]:
+    """A vector without a model: words counted by their hash."""
+    out = []
+    for t in texts:
+        v = [0.0] * size
+        for w in t.split():
+            v[zlib.crc32(w.encode()) % size] += 1.0
+        out.append(v)
+    return out
+
+
+def _tree(docs: DataFrame, name: str, words: str, note: str) -> DataFrame:
+    """Sources of documents: a title, a note, and a body without marks."""
+    body = F.concat(F.regexp_replace("text", r"[#\[\]]", ""), F.expr(words))
+    raw = F.concat(F.lit("# Title "), "doc_id", F.lit("\n"), F.expr(note), F.lit("\n## Body\n"), body)
+    return docs.select(F.concat(F.lit(name), "doc_id", F.lit(".md")).alias("doc_id"), raw.alias("raw"), F.sha2(raw, 256).alias("source_hash"))
+
+
+@query("""SELECT what, n FROM (SELECT count(*) FILTER (WHERE doc_id % 80 = 7 OR doc_id % 50 = 3) AS reindex, count(*) FILTER (WHERE doc_id % 60 = 11 AND doc_id % 80 <> 7 AND doc_id % 50 <> 3) AS render, count(*) FILTER (WHERE doc_id % 90 = 1) AS remove,
+count(*) AS documents, count(*) FILTER (WHERE doc_id % 80 <> 7) + count(*) FILTER (WHERE doc_id % 90 = 1) + reindex + render + remove AS audit, 0::BIGINT AS "chunks without vector" FROM documents) UNPIVOT (n FOR what IN (reindex, render, remove, documents, audit, "chunks without vector"))""")
+def build_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two builds: what the second one does to documents that are new, changed in text or source alone, or gone."""
+    docs, root = table(spark, sf_dir, "documents"), shared.folder(spark, "builds")
+    older = _tree(docs.where("doc_id % 80 <> 7"), "d/", "CASE WHEN doc_id % 50 = 3 THEN ' that were there before' ELSE '' END", "CASE WHEN doc_id % 60 = 11 THEN 'old note' ELSE '' END")
+    gone = _tree(docs.where("doc_id % 90 = 1"), "d/gone", "''", "''")
+    builds.run_once(spark, older.unionByName(gone), root, hashed_words)
+    done = builds.run_once(spark, _tree(docs, "d/", "''", "''"), root, hashed_words)
+    at = done.index
+    lost = at.table("chunks").join(builds.vectors(at), "text_hash", "left_anti").count()
+    rows = [*done.work.items(), ("documents", at.documents.count()), ("audit", builds.audit(at).count()), ("chunks without vector", lost)]
+    return spark.createDataFrame(rows, "what string, n long")
+
+
 @query(f"WITH {BASE}, {CHANGES} SELECT key, coalesce(CASE WHEN change = 'unchanged' THEN b.source_hash END, c.source_hash) AS source_hash, coalesce(CASE WHEN change = 'unchanged' THEN b.body_hash END, c.body_hash) AS body_hash, 2 AS version FROM changes LEFT JOIN base b USING (key) JOIN cur c USING (key)")
 def index_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index state that the next build starts from."""
