@@ -27,7 +27,9 @@ def odd(spark, tmp_path_factory):
     nan = float("nan")
     v = [(0, [1.0, 0.0, 2.0], 1, "a"), (50, [1.0, 0.0, 2.0], 1, "a"), (1, [1.0, 0.0, 2.0], 1, "a"), (2, [0.0, 0.0, 0.0], 1, None), (3, None, 1, None), (4, [1.0, None, 2.0], 1, None), (5, [nan, 1.0, 2.0], 1, None), (6, [-1.0, 3.0, 0.5], None, None), (6, [-1.0, 3.0, 0.5], None, None), (None, [1.0, 1.0, 1.0], 2, None), (7, [1.0], 2, None), (8, [2.0, 0.0, 4.0], 2, None)]
     vectors = spark.createDataFrame(v, "vec_id long, embedding array<float>, label int, score string")
-    for name, df in (("documents", docs), ("labels", labels), ("embeddings", vectors)):
+    said = [(0, 0, "user", "hi there", 1, "a"), (0, 1, None, None, 1, "a"), (0, None, "user", "first of all", 1, None), (3, 0, "user", "hi there", 2, "b"), (3, 0, "user", "hi there", 2, "b"), (None, 0, "user", "nobody", 2, None), (7, 5, "", "", None, None), (9, 0, "user", LONG, 1, "x")]
+    conversations = spark.createDataFrame(said, "conv_id long, turn long, role string, text string, depth long, keys string")
+    for name, df in (("documents", docs), ("labels", labels), ("embeddings", vectors), ("conversations", conversations)):
         df.write.parquet(f"{full}/{name}.parquet")
         df.limit(0).write.parquet(f"{empty}/{name}.parquet")
     return full, empty
