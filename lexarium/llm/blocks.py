@@ -63,13 +63,15 @@ def forest(sets: list[np.ndarray], known: list, left: np.ndarray, right: np.ndar
     return out
 
 
-def plausible(prefixes: list[np.ndarray], size: np.ndarray, known: list, left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+def plausible(prefixes: list[np.ndarray], size: np.ndarray, known: list, left: np.ndarray, right: np.ndarray, least: float, before: list[np.ndarray] | None = None) -> np.ndarray:
     """Places of the sets that may have a link between left and right, by what their prefixes share: of two prefixes the one that ends
-    first has all of its shared shingles in the other, and what the sets may share beyond is that set less its prefix."""
+    first has all of its shared shingles in the other, and what the sets may share beyond is that set less its prefix. before: the
+    groups ahead of this one that each set is in; a pair that meets in one of them is left to it."""
     own = [p.view(np.uint64) for p in prefixes]
+    ahead = bits_of([b.view(np.uint64) for b in before]) if before is not None else np.zeros((len(own), 0), np.uint64)
     bits, group = bits_of(own), np.unique(np.array(known), return_inverse=True)[1]
     last, beyond = np.array([p[-1] for p in prefixes], dtype=np.int64), size - np.array([len(p) for p in prefixes], dtype=np.int64)
-    step = max(1, PRODUCT // max(1, 8 * max(4, bits.shape[1]) * len(right)))
+    step = max(1, PRODUCT // max(1, 8 * max(4, bits.shape[1], ahead.shape[1]) * len(right)))
     found = np.zeros(len(prefixes), dtype=bool)
     for k in range(0, len(left), step):
         a = left[k : k + step][:, None]
@@ -78,6 +80,8 @@ def plausible(prefixes: list[np.ndarray], size: np.ndarray, known: list, left: n
         reach = np.where(last[a] < last[b], beyond[a], np.where(last[a] > last[b], beyond[b], np.maximum(beyond[a], beyond[b])))
         need = np.ceil((size[a] + size[b]) * (least / (1 + least)) - 1e-9)
         may = (shared > 0) & (shared + reach >= need) & (np.minimum(size[a], size[b]) >= np.ceil(np.maximum(size[a], size[b]) * least - 1e-9)) & (group[a] != group[b])
+        if ahead.shape[1]:
+            may &= ~(ahead[a[:, 0]][:, None, :] & ahead[right][None, :, :]).any(2)
         found[a[may.any(1), 0]] = True
         found[right[may.any(0)]] = True
     return np.flatnonzero(found)
@@ -86,7 +90,7 @@ def plausible(prefixes: list[np.ndarray], size: np.ndarray, known: list, left: n
 def links(rows: DataFrame, docs: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
     """a, b: links of the least similarity that join the nodes of each bucket. rows: value (the bucket), node, n (shingles), known;
     first: node, first_id, by which the texts are read again, and perhaps prefix (the ordered shingles of prefix filtering): then
-    only texts that may have a link by their prefixes are read."""
+    only texts that may have a link by their prefixes are read, each for the first group in which it meets the other."""
     groups = rows.groupBy("value").agg(F.min_by("node", F.xxhash64("node")).alias("g"))
     rows = common.staged(rows.join(groups, "value").select(F.col("g").alias("value"), "node", "n", "known").distinct())
     sized = rows.groupBy("value").agg(F.sum("n").alias("weight"), F.count("*").alias("rows"))
@@ -100,10 +104,11 @@ def links(rows: DataFrame, docs: DataFrame, first: DataFrame, words: int, least:
         def sieve(t: pa.Table) -> pa.Table:
             own, i, j = t.column("own").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
             prefixes = [p.values.to_numpy() for p in t.column("prefix")]
-            may = plausible(prefixes, t.column("n").to_numpy().astype(np.int64), t.column("known").to_pylist(), np.flatnonzero(own == i), np.flatnonzero(own == j), least)
+            groups, g = [x.values.to_numpy() for x in t.column("groups")], t.column("g")[0].as_py()
+            may = plausible(prefixes, t.column("n").to_numpy().astype(np.int64), t.column("known").to_pylist(), np.flatnonzero(own == i), np.flatnonzero(own == j), least, [x[x < g] for x in groups])
             return t.select([*by, "node", "known", "own", "first_id"]).take(pa.array(may))
 
-        met = met.join(first.select("node", "first_id", "n", "prefix"), "node").groupBy(*by).applyInArrow(sieve, "g long, i long, j long, node long, known long, own long, first_id long")
+        met = met.join(first.select("node", "first_id", "n", "prefix"), "node").join(rows.groupBy("node").agg(F.collect_set("value").alias("groups")), "node").groupBy(*by).applyInArrow(sieve, "g long, i long, j long, node long, known long, own long, first_id long")
     else:
         met = met.join(first.select("node", "first_id"), "node")
     met = common.staged(met)
