@@ -1,7 +1,7 @@
 """Links inside groups of many similar texts: whole sets are compared in blocks, and only a spanning forest comes out.
 
-Buckets of one text family hold nearly the same nodes again and again: those whose node of the least hash is the same are one
-group, so that a text is sent once for all of them. A group is dealt to blocks by hash, so that no task holds more than ROWS nodes
+Buckets of one text family hold nearly the same nodes again and again: those whose node of the least hash is the same can be one
+group (a larger one), so that a text is sent once for all of them. A group is dealt to blocks by hash, so that no task holds more than ROWS nodes
 or WEIGHT shingles a side; each two blocks meet in a group of their own. The shingles that two nodes or more of a meeting share are numbered, each node's
 become bits, and intersections of all pairs are counted by words of 64 bits. No pair is put out but those that join nodes not
 known to be together yet: fewer than there are nodes.
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from lexarium.llm import common
 from lexarium.llm.sets import node_of, shingle_set, texts_of
 
-#: Nodes and shingles of a block; bytes of an intermediate product.
-ROWS, WEIGHT, PRODUCT = 2048, 2_000_000, 32 << 20
+#: Nodes and shingles of a block; bytes of an intermediate product, and rows of one side in it.
+ROWS, WEIGHT, PRODUCT, STEP = 2048, 1_000_000, 8 << 20, 128
 
 
 def bits_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -47,7 +47,7 @@ def forest(sets: list[np.ndarray], known: list, left: np.ndarray, right: np.ndar
 
     bits, size = bits_of(sets), np.array([len(s) for s in sets], dtype=np.int64)
     group = np.unique(np.array(known), return_inverse=True)[1]
-    step = max(1, PRODUCT // max(1, 8 * bits.shape[1] * len(right)))
+    step = max(1, min(STEP, PRODUCT // max(1, 8 * bits.shape[1] * len(right))))
     out = []
     for k in range(0, len(left), step):
         a = left[k : k + step]
@@ -71,7 +71,7 @@ def plausible(prefixes: list[np.ndarray], size: np.ndarray, known: list, left: n
     ahead = bits_of([b.view(np.uint64) for b in before]) if before is not None else np.zeros((len(own), 0), np.uint64)
     bits, group = bits_of(own), np.unique(np.array(known), return_inverse=True)[1]
     last, beyond = np.array([p[-1] for p in prefixes], dtype=np.int64), size - np.array([len(p) for p in prefixes], dtype=np.int64)
-    step = max(1, PRODUCT // max(1, 8 * max(4, bits.shape[1], ahead.shape[1]) * len(right)))
+    step = max(1, min(STEP, PRODUCT // max(1, 8 * max(bits.shape[1], ahead.shape[1]) * len(right))))
     found = np.zeros(len(prefixes), dtype=bool)
     for k in range(0, len(left), step):
         a = left[k : k + step][:, None]
@@ -87,12 +87,14 @@ def plausible(prefixes: list[np.ndarray], size: np.ndarray, known: list, left: n
     return np.flatnonzero(found)
 
 
-def links(rows: DataFrame, docs: DataFrame, first: DataFrame, words: int, least: float) -> DataFrame:
+def links(rows: DataFrame, docs: DataFrame, first: DataFrame, words: int, least: float, joined: bool = True) -> DataFrame:
     """a, b: links of the least similarity that join the nodes of each bucket. rows: value (the bucket), node, n (shingles), known;
     first: node, first_id, by which the texts are read again, and perhaps prefix (the ordered shingles of prefix filtering): then
-    only texts that may have a link by their prefixes are read, each for the first group in which it meets the other."""
-    groups = rows.groupBy("value").agg(F.min_by("node", F.xxhash64("node")).alias("g"))
-    rows = common.staged(rows.join(groups, "value").select(F.col("g").alias("value"), "node", "n", "known").distinct())
+    only texts that may have a link by their prefixes are read, each for the first group in which it meets the other. joined: buckets
+    of one least node are one group."""
+    if joined:
+        groups = rows.groupBy("value").agg(F.min_by("node", F.xxhash64("node")).alias("g"))
+        rows = common.staged(rows.join(groups, "value").select(F.col("g").alias("value"), "node", "n", "known").distinct())
     sized = rows.groupBy("value").agg(F.sum("n").alias("weight"), F.count("*").alias("rows"))
     blocks = F.greatest(F.ceil(F.col("weight") / WEIGHT), F.ceil(F.col("rows") / ROWS), F.lit(1))
     dealt = rows.join(sized.select("value", blocks.alias("blocks")), "value").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))

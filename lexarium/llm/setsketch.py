@@ -154,7 +154,7 @@ def classes(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFr
     pairs = few.join(other, "value").where((F.col("node") > F.col("b")) & (F.col("known") != F.col("b_known")) & _fits(least))
     pairs = _pairs(pairs.select("value", F.col("node").alias("a"), "n", "b", "m"))
     rest = simhash.alike(plausible(pairs, nodes, least).drop("estimate"), docs, nodes, words, least)
-    dense = blocks.links(left.where(F.col("rows") >= DENSE).drop("rows"), docs, nodes, words, least)
+    dense = blocks.links(left.where(F.col("rows") >= DENSE).drop("rows"), docs, nodes, words, least, joined=False)
     roots = simhash.components(links.unionAll(rest).unionAll(dense))
     named = simhash._named(nodes, roots).select("node", "component_id")
     return prints.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
