@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexarium.functions import text
 from lexarium.operators import catalogue, citations, evaluation, paging, queries
 from lexarium.plans.base import LENGTHS, TOK, query, stored_index, table
 from lexarium.plans.ranking import MANY
@@ -113,3 +114,12 @@ def retriever_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked, truth = _ranked_and_truth(spark, sf_dir)
     found = evaluation.retriever_recall(ranked.withColumnRenamed("doc_id", "id"), truth.withColumnRenamed("doc_id", "id"), [1, 5, 20])
     return found.select("k", F.round("recall", 6).alias("recall"), F.round("results", 6).alias("results"))
+
+
+@query(r"""SELECT doc_id, 'Title ' || doc_id % 90 || CASE WHEN doc_id % 4 = 0 THEN '' ELSE ' / Part ' || doc_id % 3 END || ' (' || printf('%.2f', (doc_id * 7 % 10)::DOUBLE / 10) || '): ' || left(regexp_replace(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), '^ | $', '', 'g'), 350) AS card,
+sha256('{"doc_id":' || doc_id || ',"lang":' || to_json(lang) || ',"source":' || to_json(source) || '}') AS etag FROM documents""")
+def grader_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a grader reads of each text, and the tag of its catalogue row."""
+    heading = F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("Part "), F.col("doc_id") % 3))
+    card = text.grader_excerpt(F.concat(F.lit("Title "), F.col("doc_id") % 90), heading, (F.col("doc_id") * 7 % 10).cast("double") / 10, F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", card.alias("card"), text.etag("doc_id", "lang", "source").alias("etag"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lexarium.operators import catalogue, citations, evaluation
+from lexarium.operators import anchors, catalogue, citations, evaluation
 
 A, B = "[[Tea]](/read/t.md#x)", "[[Sea]](/read/s.md)"
 LINKS = {"t.md": ("t.md", A), "Tea": ("t.md", A), "t.md#x": ("t.md", A), "t.md#y": ("t.md", "[[Tea]](/read/t.md#y)"), "Sea": ("s.md", B)}
@@ -67,3 +67,17 @@ def test_lists(spark):
     assert catalogue.sample(docs, "doc_id", 2).collect() == catalogue.sample(docs, "doc_id", 2).collect()
     with pytest.raises(ValueError):
         catalogue.texts_of(chunks, ["c"] * 1001)
+
+
+def test_fragments_are_encoded_alike(spark):
+    names = ["a b", "x*~'()!", "Größe-1", "北京/50%", "a+b&c=d#e", "-._"]
+    got = spark.createDataFrame([(n,) for n in names], "name string").select(anchors.encoded_column("name").alias("to")).collect()
+    assert [r.to for r in got] == [anchors.encoded(n) for n in names]
+
+
+def test_answers_are_linked_by_scope(spark):
+    answers_ = spark.createDataFrame([("1", "It fell [[Report]]. It rose [[Report]]. [[Unknown]] stays.", "s"), ("2", "None here", "t"), ("3", None, "t")], "id string, answer string, scope string")
+    spellings = spark.createDataFrame([("s", "Report", "d1", "[[Report]](/read/d1)"), ("t", "Report", "d2", "[[Report]](/read/d2)")], "scope string, spelling string, doc_id string, link string")
+    sections = spark.createDataFrame([("s", "d1", "", None)], "scope string, doc_id string, anchor string, heading string")
+    got = {r.id: (r.answer, r.changed) for r in citations.linked_answers(answers_, spellings, sections).collect()}
+    assert got["1"] == ("It fell. It rose（[[Report]](/read/d1)）. [[Unknown]] stays.", 2) and got["2"] == ("None here", 0) and got["3"] == ("", 0)
