@@ -74,3 +74,14 @@ def test_search(stored):
 def test_pruned_postings(stored):
     plan = stored.postings.where(F.col("term").isin("red", "fox"))._jdf.queryExecution().toString()
     assert "In(term" in plan.replace(" ", "")
+
+
+def test_languages_share_no_results(stored):
+    one, two = (queries.Language(aliases=queries.alias_groups([line])) for line in ("fox\tfish", "fox\triver"))
+    assert {r.doc_id for r in queries.search(stored, "fox", one).rows} == {1, 3} and {r.doc_id for r in queries.search(stored, "fox", two).rows} == {1, 2, 3}
+    assert hash(one) != hash(two) and one != two
+
+
+def test_search_gives_snippets(stored):
+    found = queries.search(stored, "red river")
+    assert [r.doc_id for r in found.rows] == [1] and [s.snippet[int(a) : int(b)] for s in found.snippets[1] for a, b in (m.split("-") for m in s.marks.split(","))] == ["red", "red", "river"]
