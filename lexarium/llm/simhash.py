@@ -10,9 +10,11 @@ A choice of parts and thresholds changes the cost only, never the links found.
 Buckets in which many fingerprints meet are compared in blocks that return a spanning forest, so no group emits all of
 its pairs. Components are found by alternating star contractions on the shared folder.
 
-Where a least similarity is asked for, fingerprints aren't used: equal sets of shingles are one node, and candidates are
-nodes that share a shingle of their prefixes (frequent shingles last), which no pair of that similarity can avoid.
-Their whole sets are compared before a link counts: pair by pair, or in blocks (blocks.py) where many nodes share a shingle.
+Where a least similarity is asked for, equal sets of shingles are one node, and what links by fingerprints comes first: each
+of those links is held against the whole sets before it counts. A similar pair may differ in more bits than any exact search
+prunes, so what fingerprints leave apart is completed by candidates that share a shingle of their prefixes (frequent shingles
+last), which no pair of that similarity can avoid; their whole sets are compared as well: pair by pair, or in blocks
+(blocks.py) where many nodes share a shingle.
 
 Defined cases: a null text is an empty one; a text without words has fingerprint 0 and is linked like any other; a text
 with fewer words than a shingle has one shingle; repeated rows and ties share a fingerprint, and the smallest id names
@@ -93,7 +95,7 @@ def prefix_size(n: Column, least: float) -> Column:
 
 
 def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """doc_id, text_key (hash of the text), node (hash of the shingle set), n (shingles), prefix, last, mins: the set's first
+    """doc_id, text_key (hash of the text), fp (fingerprint()), node (hash of the shingle set), n (shingles), prefix, last, mins: the set's first
     n - ceil(least n) + 1 shingles as ordered numbers, frequent ones last, the greatest of them, and the set's least hashes.
 
     Two sets of the least similarity share least * max(n, m) shingles or more, so the first one they share, in any order that
@@ -102,9 +104,11 @@ def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, n, prefix, mins = [], [], [], []
+            fp, node, n, prefix, mins = [], [], [], [], []
             for t in b.column("text").to_pylist():
-                own = shingle_set(t, words)
+                parts = list(shingle_hashes(words_of(t), words))
+                own = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]))
+                fp.append(majority(parts))
                 at = np.minimum(np.searchsorted(late, own), max(0, len(late) - 1))
                 first = np.where(late[at] == own, np.uint64(0), np.uint64(1 << 63)) if len(late) else np.uint64(1 << 63)  # the sign of what comes first
                 number = np.sort(((own >> np.uint64(1)) | first).view(np.int64))
@@ -115,11 +119,11 @@ def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
             ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
             last = pa.array([int(x[-1]) if len(x) else 0 for x in prefix], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists, last, pa.array(mins, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fp, node)), pa.array(n, pa.int32()), lists, last, pa.array(mins, pa.list_(pa.int64()))], names)
 
     factor = np.array([[x] for x in FACTORS], dtype=np.uint64)
-    names = ["doc_id", "text_key", "node", "n", "prefix", "last", "mins"]
-    return common.documents(docs, text_key()).mapInArrow(run, "doc_id long, text_key long, node long, n int, prefix array<long>, last long, mins array<long>")
+    names = ["doc_id", "text_key", "fp", "node", "n", "prefix", "last", "mins"]
+    return common.documents(docs, text_key()).mapInArrow(run, "doc_id long, text_key long, fp long, node long, n int, prefix array<long>, last long, mins array<long>")
 
 
 def text_key() -> Column:
@@ -180,6 +184,25 @@ def _fits(least: float) -> Column:
     return F.least("n", "m") >= F.ceil(F.greatest("n", "m") * least - 1e-9)
 
 
+def print_links(first: DataFrame, least: float, radius: int) -> DataFrame:
+    """Candidates by fingerprints: a node's link to the least node of its fingerprint, and those nodes' links() of up to radius
+    bits. first: node, fp, n. As star_links(), value is what links are compared by in one place."""
+    least_of = common.staged(first.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("p")))
+    named = least_of.select("fp", F.col("p.node").alias("other"), F.col("p.n").alias("m"))
+    same = first.select("fp", "node", "n").join(named, "fp").where("node <> other").select(F.col("fp").alias("value"), "node", "n", "other", "m")
+    prints = least_of.select("fp", F.col("fp").alias("node"), F.col("fp").alias("known"))
+    near = common.staged(links(prints, probing(prints, radius), radius))
+    near = near.join(named.toDF("a", "node", "n"), "a").join(named.toDF("b", "other", "m"), "b").select(F.col("b").alias("value"), "node", "n", "other", "m")
+    return _edges(same.unionAll(near).where(_fits(least)))
+
+
+def _edges(pairs: DataFrame) -> DataFrame:
+    """Pairs value, node, n, other, m as distinct edges value, a, n, b, m, the larger set (or greater node) first."""
+    one, two = F.struct("n", "node"), F.struct(F.col("m").alias("n"), F.col("other").alias("node"))
+    edge = pairs.select("value", F.greatest(one, two).alias("x"), F.least(one, two).alias("y"))
+    return edge.groupBy("x", "y").agg(F.min("value").alias("value")).select("value", F.col("x.node").alias("a"), F.col("x.n").alias("n"), F.col("y.node").alias("b"), F.col("y.n").alias("m"))
+
+
 def star_links(sets: DataFrame, least: float, turn: int) -> DataFrame:
     """Candidates between the nodes that share a least hash and one of them: a few for each node, at most. They join most of a
     dense group before its pairs are compared. sets: node, n, mins, known."""
@@ -187,10 +210,7 @@ def star_links(sets: DataFrame, least: float, turn: int) -> DataFrame:
     pivots = rows.groupBy("value").agg(F.min("known").alias("x"), F.max("known").alias("y"), F.min_by(F.struct("node", "n", "known"), F.xxhash64("node", F.lit(turn))).alias("p"), F.count("*").alias("rows")).where("x <> y")
     pivots = pivots.where(F.col("rows") >= (DENSE if turn else 2))  # what is left of a small group is a few pairs
     pivots = pivots.select("value", F.col("p.node").alias("other"), F.col("p.n").alias("m"), F.col("p.known").alias("other_known"))
-    out = rows.join(pivots, "value").where((F.col("known") != F.col("other_known")) & _fits(least))
-    one, two = F.struct("node", "n"), F.struct(F.col("other").alias("node"), F.col("m").alias("n"))
-    edge = out.select("value", F.greatest(one, two).alias("x"), F.least(one, two).alias("y"))
-    return edge.groupBy("x", "y").agg(F.min("value").alias("value")).select("value", F.col("x.node").alias("a"), F.col("x.n").alias("n"), F.col("y.node").alias("b"), F.col("y.n").alias("m"))
+    return _edges(rows.join(pivots, "value").where((F.col("known") != F.col("other_known")) & _fits(least)))
 
 
 def labels(links: DataFrame) -> DataFrame:
@@ -200,7 +220,7 @@ def labels(links: DataFrame) -> DataFrame:
     return common.staged(one.join(one.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root")))
 
 
-def pair_links(met: DataFrame, together: DataFrame | None, first: DataFrame, least: float) -> DataFrame:
+def pair_links(met: DataFrame, together: DataFrame, first: DataFrame, least: float) -> DataFrame:
     """Candidates: pairs that aren't known to be together and share as many shingles of their prefixes as a pair of the least
     similarity must. Of two prefixes, the one that ends first has all of its shared shingles in the other; what it may share
     beyond is its set less its prefix. met: pairs by value; a pair that shares a dense value as well is compared there."""
@@ -208,10 +228,9 @@ def pair_links(met: DataFrame, together: DataFrame | None, first: DataFrame, lea
     need = F.ceil((F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-9)
     beyond = lambda n: F.col(n) - prefix_size(F.col(n), least)
     pairs = pairs.where(F.col("shared") + F.greatest(beyond("n"), beyond("m")) >= need)
-    if together is not None:
-        for c in ("a", "b"):
-            pairs = pairs.join(together.toDF(c, f"{c}_root"), c, "left")
-        pairs = pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    for c in ("a", "b"):
+        pairs = pairs.join(together.toDF(c, f"{c}_root"), c, "left")
+    pairs = pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
     ends = first.select("node", "last")
     pairs = pairs.join(ends.toDF("a", "a_last"), "a").join(ends.toDF("b", "b_last"), "b")
     reach = F.when(F.col("a_last") < F.col("b_last"), beyond("n")).when(F.col("a_last") > F.col("b_last"), beyond("m")).otherwise(F.greatest(beyond("n"), beyond("m")))
@@ -433,37 +452,36 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return prints.join(named.withColumnRenamed("node", "fp"), "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
     """doc_id, text_key, node, component_id, kept_node of every row: links are of nodes (sets of shingles) of the least Jaccard
-    similarity over words-word shingles, found by the shingles that their prefixes share. kept_node is that of the
-    component's row of the smallest id (of several, the least node).
+    similarity over words-word shingles, found by fingerprints of up to radius differing bits first, and then by the shingles
+    that their prefixes share. kept_node is that of the component's row of the smallest id (of several, the least node).
 
-    Links between nodes of one least hash come first, in TURNS; then only nodes that these leave apart are compared.
+    Links by fingerprints come first, then those between nodes of one least hash, in TURNS; then only nodes that these leave
+    apart are compared.
     """
     prints = common.staged(prefixes(docs, words, least))
-    first = common.staged(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("last").alias("last"), F.first("mins").alias("mins"), F.first("prefix").alias("prefix")))
-    links, known = None, None
+    first = common.staged(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("last").alias("last"), F.first("mins").alias("mins"), F.first("prefix").alias("prefix")))
+    links = common.staged(alike(print_links(first, least, radius), docs, first, words, least))
+    known = labels(links)
     for turn in range(TURNS):
         edges = common.staged(star_links(_known(first.select("node", "n", "mins"), known), least, turn))
         if edges.isEmpty():
             break
-        found = common.staged(alike(edges, docs, first, words, least))
-        links = found if links is None else links.unionAll(found)
+        links = links.unionAll(common.staged(alike(edges, docs, first, words, least)))
         known = labels(links)
-    together = common.staged(components(links)) if links is not None else None
+    together = common.staged(components(links))
     met = common.staged(meeting(first, least))
     dense = met.where("b IS NULL").select("value", F.col("a").alias("node"), "n")
     rest = alike(pair_links(met.where("b IS NOT NULL"), together, first, least), docs, first, words, least)
     rest = rest.unionAll(blocks.links(mixed(_known(dense, together)), docs, first, words, least))
-    roots = components(rest if links is None else links.unionAll(rest))
+    roots = components(links.unionAll(rest))
     named = _named(first, roots)
     return prints.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "node", "component_id", "kept_node")
 
 
-def _known(rows: DataFrame, together: DataFrame | None) -> DataFrame:
+def _known(rows: DataFrame, together: DataFrame) -> DataFrame:
     """rows (node and more) with known: what names the nodes that the node is known to be together with."""
-    if together is None:
-        return rows.withColumn("known", F.col("node"))
     return rows.join(together, "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root")
 
 

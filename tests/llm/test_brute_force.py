@@ -149,6 +149,22 @@ def test_similar_documents_with_replaced_passages(spark):
     assert len(_same_groups(spark, texts)) > 30
 
 
+def test_similar_documents_by_fingerprints(spark, monkeypatch):
+    """Without least hashes and prefixes, what links by fingerprints is found, and only if the whole sets are alike."""
+    monkeypatch.setattr(simhash, "TURNS", 0)
+    monkeypatch.setattr(simhash, "meeting", lambda nodes, least: spark.createDataFrame([], "value long, a long, n int, b long, m int"))
+    r = random.Random(4)
+    texts = ["of nine words only", "of nine words only now", *["the same words again and again " * k for k in (5, 6)]]
+    for _ in range(30):
+        w = [str(r.randrange(900)) for _ in range(400)]
+        texts += [" ".join(w), " ".join([*w[:-1], "changed"]), " ".join([*w, *w[:5]])]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    fp, sets = [simhash.fingerprint(t, 5) for t in texts], [simhash.shingle_set(t, 5) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 4 and simhash.jaccard(sets[i], sets[j]) >= 0.8]
+    groups = {x: min(g) for g in _groups(near, len(texts)) for x in g}
+    assert len(near) > 20 and [got[i] for i in range(len(texts))] == [groups[i] for i in range(len(texts))]
+
+
 def test_similar_documents_of_long_texts(spark):
     r = random.Random(9)
     texts = []
