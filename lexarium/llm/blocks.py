@@ -17,22 +17,36 @@ from pyspark.sql import functions as F
 from lexarium.llm import common
 from lexarium.llm.sets import node_of, shingle_set, texts_of
 
-#: Nodes and shingles of a block; bytes of an intermediate product, and rows of one side in it.
-ROWS, WEIGHT, PRODUCT, STEP = 2048, 1_000_000, 8 << 20, 128
-
-
-def bits_of(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of 64-bit words for each set over the shingles that two sets or more hold."""
-    held, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-    held = held[n > 1]
-    out = np.zeros((len(sets), (len(held) + 63) // 64 * 8), dtype=np.uint8)
-    for k, own in enumerate(sets):
-        row = np.zeros(out.shape[1] * 8, dtype=bool)
-        if len(held):
-            at = np.minimum(np.searchsorted(held, own), len(held) - 1)
-            row[at[held[at] == own]] = True
-        out[k] = np.packbits(row)
-    return out.view(np.uint64)
+#: Nodes and shingles of a block; bytes of an intermediate product, rows of one side that are looked at together, and shingles that are bits at a time.
+ROWS, WEIGHT, PRODUCT, STEP, COLUMNS = 2048, 1_000_000, 8 << 20, 128, 8192
+
+
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements each set of left (places in sets) shares with each of right. Elements that two sets or more hold become
+    bits, COLUMNS at a time, so that what is held beside the sets and the counts doesn't grow with their sizes."""
+    out = np.zeros((len(left), len(right)), dtype=np.int32)
+    held, of, n = np.unique(np.concatenate([*sets, np.zeros(0, sets[0].dtype if sets else np.uint64)]), return_inverse=True, return_counts=True)
+    column = np.where(n > 1, np.cumsum(n > 1) - 1, -1).astype(np.int32)[of]
+    del held, of
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = int(column[-1]) + 1 if len(column) else 0
+    for start in range(0, total, COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS]).tolist()
+        width = -(-min(COLUMNS, total - start) // 64) * 64
+        some = np.zeros((len(sets), width), dtype=bool)
+        some[row[a:b], column[a:b] - start] = True
+        bits = np.packbits(some, axis=1).view(np.uint64)
+        del some
+        mine, others = np.flatnonzero(bits[left].any(1)), np.flatnonzero(bits[right].any(1))
+        theirs = bits[right[others]]
+        step = max(1, PRODUCT // max(1, theirs.nbytes))
+        for k in range(0, len(mine), step):
+            at = mine[k : k + step]
+            out[at[:, None], others] += np.bitwise_count(bits[left[at]][:, None, :] & theirs[None, :, :]).sum(2, dtype=np.int32)
+    return out
 
 
 def forest(sets: list[np.ndarray], known: list, left: np.ndarray, right: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -45,13 +59,12 @@ def forest(sets: list[np.ndarray], known: list, left: np.ndarray, right: np.ndar
             x = parent[x]
         return x
 
-    bits, size = bits_of(sets), np.array([len(s) for s in sets], dtype=np.int64)
+    both, size = overlaps(sets, left, right), np.array([len(s) for s in sets], dtype=np.int64)
     group = np.unique(np.array(known), return_inverse=True)[1]
-    step = max(1, min(STEP, PRODUCT // max(1, 8 * bits.shape[1] * len(right))))
     out = []
-    for k in range(0, len(left), step):
-        a = left[k : k + step]
-        shared = np.bitwise_count(bits[a][:, None, :] & bits[right][None, :, :]).sum(2, dtype=np.int64)
+    for k in range(0, len(left), STEP):
+        a = left[k : k + STEP]
+        shared = both[k : k + STEP]
         either = size[a][:, None] + size[right][None, :] - shared
         near = (shared / np.maximum(either, 1) >= least) & (group[a][:, None] != group[right][None, :])
         for i, j in np.argwhere(near).tolist():
@@ -68,20 +81,19 @@ def plausible(prefixes: list[np.ndarray], size: np.ndarray, known: list, left: n
     first has all of its shared shingles in the other, and what the sets may share beyond is that set less its prefix. before: the
     groups ahead of this one that each set is in; a pair that meets in one of them is left to it."""
     own = [p.view(np.uint64) for p in prefixes]
-    ahead = bits_of([b.view(np.uint64) for b in before]) if before is not None else np.zeros((len(own), 0), np.uint64)
-    bits, group = bits_of(own), np.unique(np.array(known), return_inverse=True)[1]
+    both, group = overlaps(own, left, right), np.unique(np.array(known), return_inverse=True)[1]
+    ahead = overlaps(before, left, right) > 0 if before is not None else None
     last, beyond = np.array([p[-1] for p in prefixes], dtype=np.int64), size - np.array([len(p) for p in prefixes], dtype=np.int64)
-    step = max(1, min(STEP, PRODUCT // max(1, 8 * max(bits.shape[1], ahead.shape[1]) * len(right))))
     found = np.zeros(len(prefixes), dtype=bool)
-    for k in range(0, len(left), step):
-        a = left[k : k + step][:, None]
+    for k in range(0, len(left), STEP):
+        a = left[k : k + STEP][:, None]
         b = right[None, :]
-        shared = np.bitwise_count(bits[a[:, 0]][:, None, :] & bits[right][None, :, :]).sum(2, dtype=np.int64)
+        shared = both[k : k + STEP]
         reach = np.where(last[a] < last[b], beyond[a], np.where(last[a] > last[b], beyond[b], np.maximum(beyond[a], beyond[b])))
         need = np.ceil((size[a] + size[b]) * (least / (1 + least)) - 1e-9)
         may = (shared > 0) & (shared + reach >= need) & (np.minimum(size[a], size[b]) >= np.ceil(np.maximum(size[a], size[b]) * least - 1e-9)) & (group[a] != group[b])
-        if ahead.shape[1]:
-            may &= ~(ahead[a[:, 0]][:, None, :] & ahead[right][None, :, :]).any(2)
+        if ahead is not None:
+            may &= ~ahead[k : k + STEP]
         found[a[may.any(1), 0]] = True
         found[right[may.any(0)]] = True
     return np.flatnonzero(found)

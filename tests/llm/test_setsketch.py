@@ -1,5 +1,6 @@
 """SetSketch: registers against their definition, estimates against true similarities, components against all pairs."""
 
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -126,3 +127,20 @@ def test_forest_joins_what_all_pairs_join():
     assert {(max(e), min(e)) for e in got} <= links and parts(got) == parts(links) and len(got) < 60
     together = [0] * 30 + list(range(30, 60))
     assert all(together[a] != together[b] for a, b in blocks.forest(own, together, every, every, 0.85))
+
+
+def test_overlaps_hold_a_bounded_part(monkeypatch):
+    r = np.random.default_rng(6)
+    own = [np.unique(r.integers(0, 2000, size=r.integers(0, 90)).astype(np.uint64)) for _ in range(50)]
+    left, right = np.arange(30), np.arange(30, 50)
+    want = [[len(np.intersect1d(own[a], own[b])) for b in right] for a in left]
+    for columns in (64, blocks.COLUMNS):
+        monkeypatch.setattr(blocks, "COLUMNS", columns)
+        assert blocks.overlaps(own, left, right).tolist() == want
+    monkeypatch.setattr(blocks, "COLUMNS", 1024)
+    own = [np.unique(r.integers(0, 300_000, size=200).astype(np.uint64)) for _ in range(4000)]
+    tracemalloc.start()
+    blocks.forest(own, list(range(4000)), np.arange(2), np.arange(2, 4000), 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(x.nbytes for x in own)
