@@ -245,9 +245,11 @@ class Vocabulary:
     def ids(self, words: list[bytes]) -> np.ndarray:
         if len(self.met) > CACHE_WORDS:
             self.met.clear()
-        new = list(set(words).difference(self.met))
+        column = pa.array(words, pa.binary()).dictionary_encode()  # a dictionary of many words is slow to ask, so once for each
+        distinct = column.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.met]
         self.met.update(zip(new, self.look_up(new), strict=True))
-        return np.fromiter(map(self.met.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.fromiter(map(self.met.__getitem__, distinct), dtype=np.int64, count=len(distinct))[column.indices.to_numpy()]
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         """Counts of ids; 0 for -1."""
@@ -371,6 +373,27 @@ def sequence(own: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
     return ids, starts, lengths
 
 
+def encoded(docs: DataFrame, about: tuple, keep: Column | None = None) -> DataFrame:
+    """doc_id, trains (where keep holds), ids (sequence() of the text, one more each, in four bytes) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model(*about).words
+        for b in batches:
+            ids, _, lengths = sequence(own, b.column("text").to_pylist())
+            ends = np.concatenate([[0], lengths.cumsum() * 4]).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer((ids + 1).astype(np.uint32))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("trains"), column], ["doc_id", "trains", "ids"])
+
+    return common.documents(docs, (F.lit(False) if keep is None else keep).alias("trains")).mapInArrow(run, "doc_id long, trains boolean, ids binary")
+
+
+def read_ids(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What sequence() gave for encoded() rows."""
+    raw = rows.to_pylist()
+    lengths = np.array([len(x) // 4 for x in raw], dtype=np.int64)
+    return np.frombuffer(b"".join(raw), dtype=np.uint32).astype(np.int64) - 1, lengths.cumsum() - lengths, lengths
+
+
 def _counted_words(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -404,26 +427,26 @@ def _dealt(keys: list[np.ndarray], shards: list[np.ndarray], n: int) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["shard", "keys", "counts"])
 
 
-def _counted_grams(texts: DataFrame, about: tuple, order: int) -> DataFrame:
-    """shard, keys, counts: of pairs (ids in the upper and lower half), or of the words after kept pairs (place and id)."""
+def _counted_grams(rows: DataFrame, about: tuple, order: int) -> DataFrame:
+    """shard, keys, counts, of encoded() rows: of pairs (ids in the upper and lower half), or of the words after kept pairs (place and id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(*about)
         keys, shards, size = [], [], 0
         for b in batches:
-            ids, starts, _ = sequence(own.words, b.column("text").to_pylist())
+            ids, starts, _ = read_ids(b.column("ids"))
             before = np.concatenate([[-1], ids[:-1]])
             before[starts] = -1
             if order == 2:
-                rows = before >= 0
-                key = (before[rows].astype(np.uint64) << np.uint64(32)) | ids[rows].astype(np.uint64)
+                at = before >= 0
+                key = (before[at].astype(np.uint64) << np.uint64(32)) | ids[at].astype(np.uint64)
                 shard = shard_of(key, own.shards)
             else:
                 shard, place, _ = own.find_pairs(before, ids)
                 context = np.concatenate([[-1], place[:-1]])
                 context[starts] = -1
-                rows = np.nonzero((context >= 0) & (place >= 0))[0]
-                key, shard = (context[rows].astype(np.uint64) << np.uint64(32)) | ids[rows].astype(np.uint64), shard[rows - 1]
+                at = np.nonzero((context >= 0) & (place >= 0))[0]
+                key, shard = (context[at].astype(np.uint64) << np.uint64(32)) | ids[at].astype(np.uint64), shard[at - 1]
             keys.append(key)
             shards.append(shard)
             size += len(key)
@@ -443,7 +466,7 @@ def _counted_grams(texts: DataFrame, about: tuple, order: int) -> DataFrame:
         kept = total >= LEAST
         return pa.table({"shard": t.column("shard")[:1], "keys": pa.array([key[first][kept].tobytes()], pa.binary()), "counts": pa.array([total[kept].tobytes()], pa.binary())})
 
-    return texts.mapInArrow(run, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(merge, "shard int, keys binary, counts binary")
+    return rows.mapInArrow(run, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(merge, "shard int, keys binary, counts binary")
 
 
 def _read_grams(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -510,6 +533,11 @@ def _write_triples(pairs: DataFrame, triples: DataFrame, about: tuple) -> None:
 
 def train(docs: DataFrame, keep: Column, order: int = 3) -> tuple:
     """Writes the model of the rows where keep holds; returns what Model() takes."""
+    return trained(docs, keep, order)[0]
+
+
+def trained(docs: DataFrame, keep: Column, order: int = 3) -> tuple[tuple, DataFrame]:
+    """train(), and encoded() of all rows: words are looked up once, for pairs, for triples and for scores."""
     spark = docs.sparkSession
     folder = common.shared_folder(spark)
     texts = common.documents(docs).where(keep).select("text")
@@ -531,15 +559,16 @@ def train(docs: DataFrame, keep: Column, order: int = 3) -> tuple:
     about = (folder, bits, tuple(sizes), int(size.n), shards, order)
     if size.v >> 32:
         raise ValueError("more words than 32 bits can number")
+    rows = common.staged(encoded(docs, about, keep))
     if size.v:
         # every shard has a row, also one without pairs
         empty = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
-        pairs = _filled(_counted_grams(texts, about, 2), empty)
+        pairs = _filled(_counted_grams(rows.where("trains"), about, 2), empty)
         _write_backs(pairs, about)
         _write_pairs(pairs, about)
         if order > 2:
-            _write_triples(pairs, _filled(_counted_grams(texts, about, 3), empty), about)
-    return about
+            _write_triples(pairs, _filled(_counted_grams(rows.where("trains"), about, 3), empty), about)
+    return about, rows
 
 
 def _filled(grams: DataFrame, empty: DataFrame) -> DataFrame:
@@ -549,11 +578,16 @@ def _filled(grams: DataFrame, empty: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, about: tuple) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    return scored_ids(encoded(docs, about), about)
+
+
+def scored_ids(rows: DataFrame, about: tuple) -> DataFrame:
+    """scored() of encoded() rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(*about)
         for b in batches:
-            ids, starts, lengths = sequence(own.words, b.column("text").to_pylist())
+            ids, starts, lengths = read_ids(b.column("ids"))
             if not len(starts):
                 continue
             counts = own.words.counts(ids)
@@ -565,12 +599,13 @@ def scored(docs: DataFrame, about: tuple) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lengths - 1), pa.array(sums[0]), pa.array(np.full(len(starts), own.words.total)), pa.array(sums[1]), pa.array(sums[2])], names)
 
     names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    return common.documents(docs).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents; rows whose crc32(doc_id) mod 10 is 0 don't train."""
     docs = common.table(spark, sf_dir, "documents")
     held_out = common.remainder("doc_id", 10) == 0
-    found = scored(docs, train(docs, ~held_out))
+    about, rows = trained(docs, ~held_out)
+    found = scored_ids(rows, about)
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -297,6 +297,20 @@ def test_ngram_probabilities_against_counts(spark):
         at += len(s)
 
 
+def test_ngrams_look_words_up_once(spark, docs):
+    texts = dict(zip(docs.doc_id.tolist(), docs.text, strict=True)) | {None: None, -5: "", -6: "words nobody else has\x85 \u3000 Words"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    about, rows = ngrams.trained(d, ngrams.F.col("doc_id") % 2 == 0)
+    own = ngrams.Model(*about).words
+    for r in rows.collect():
+        ids, starts, lengths = ngrams.read_ids(ngrams.pa.array([bytes(r.ids)]))
+        want = ngrams.sequence(own, [texts[r.doc_id] or ""])
+        assert ids.tolist() == want[0].tolist() and lengths.tolist() == want[2].tolist() and starts.tolist() == [0]
+        assert r.trains == (None if r.doc_id is None else r.doc_id % 2 == 0)
+    one, two = (sorted(map(tuple, x.collect()), key=str) for x in (ngrams.scored(d, about), ngrams.scored_ids(rows, about)))
+    assert one == two and len(one) == len(texts)
+
+
 def test_elias_fano():
     r = np.random.default_rng(1)
     for top in (10, 5000, 10**7, 10**12):
