@@ -10,8 +10,9 @@ A piece of over LONG bytes is contracted in chunks of CHUNK bytes. A sequence of
 if each two neighbours are the encoding of theirs (the first merge across a border would happen as well with these two
 alone), so borders of chunks are tested, and what lies about a border that fails is contracted again as one chunk.
 
-Pieces recur, so a worker keeps the ids of up to CACHE_PIECES of them between batches; a full cache is emptied and
-pieces are simply encoded anew, so the bound changes the cost only.
+Pieces recur, so a worker keeps the ids of about CACHE_PIECES of them between batches, in two halves: when the newer one is
+full the older one goes, with the pieces that haven't come again since. Those are simply encoded anew, so the bound changes
+the cost only.
 
 Defined cases: a null text is an empty one, with no ids; a piece may be as long as the text; repeated rows give
 repeated results; a null id is kept; null or no ids decode to no bytes; an empty table gives an empty result.
@@ -76,6 +77,7 @@ class Encoder:
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.names = [str(i) for i in range(max(ranks.values()) + 1)]
         self.met: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the older half
         self.bytes = {r: t for t, r in ranks.items()}
         self.joined: dict[tuple[int, int], bool] = {}  # neighbours that stay as they are
         # every way to make a token of two others
@@ -180,11 +182,13 @@ class Encoder:
 
     def split(self, texts: list[str]) -> list[list[str]]:
         """Each text's pieces, all of them met."""
-        if len(self.met) > CACHE_PIECES:
-            self.met.clear()
+        if len(self.met) > CACHE_PIECES // 2:
+            self.before, self.met = self.met, {}
         split = [self.pattern.findall(t) for t in texts]
         new = {p for pieces in split for p in pieces}.difference(self.met)
-        self.learn(sorted(new))
+        again = new.intersection(self.before)
+        self.met.update((p, self.before[p]) for p in again)
+        self.learn(sorted(new - again))
         return split
 
     def ids(self, pieces: list[str]) -> np.ndarray:

@@ -200,6 +200,18 @@ def test_bpe_of_long_pieces():
         assert own.ids(own.split([t])[0]).tolist() == library.encode_ordinary(t)
 
 
+def test_pieces_that_recur_stay_known(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 60)
+    own = bpe.Encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    learnt = Counter()
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda pieces: (learnt.update(pieces), learn(pieces)))
+    for k in range(12):
+        texts = ["recurringpiece", " ".join(f"x{a}q{k}" for a in "abcdefghijklmnop")]
+        assert [own.ids(p).tolist() for p in own.split(texts)] == [x.tolist() for t in texts for x in [np.concatenate([np.frombuffer(own.met[p], np.uint32) for p in own.pattern.findall(t)])]]
+    assert learnt["recurringpiece"] == 1 and len(own.met) + len(own.before) < 200
+
+
 def test_decoding_is_of_the_ids(spark, tmp_path):
     at = str(tmp_path / "own.tiktoken")
     names = [bytes([k]) for k in range(256)] + [b"ab", b"abc"]
