@@ -480,8 +480,10 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, radiu
     return prints.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "node", "component_id", "kept_node")
 
 
-def _known(rows: DataFrame, together: DataFrame) -> DataFrame:
-    """rows (node and more) with known: what names the nodes that the node is known to be together with."""
+def _known(rows: DataFrame, together: DataFrame | None) -> DataFrame:
+    """rows (node and more) with known: what names the nodes that the node is known to be together with. together: None before any links."""
+    if together is None:
+        return rows.withColumn("known", F.col("node"))
     return rows.join(together, "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root")
 
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lexarium.llm import blocks, registry, setsketch, sets
+from lexarium.llm import blocks, registry, setsketch, sets, simhash
 from tests.conftest import SF
 
 
@@ -85,6 +85,12 @@ def test_whole_table(spark):
     assert found(registry.queries()["op12_setsketch"](spark, SF)) == plain_classes(rows)
 
 
+def test_before_any_links_a_node_is_known_by_itself(spark):
+    rows = spark.createDataFrame([(7, 1, 5), (7, 2, 6)], "value long, node long, n long")
+    assert sorted(simhash._known(rows, None).collect()) == [(7, 1, 5, 1), (7, 2, 6, 2)]
+    assert [(r.a, r.b) for r in setsketch.star_pairs(simhash._known(rows, None), 0.8, 0).collect()] in ([(1, 2)], [(2, 1)])
+
+
 def test_registers():
     draw = np.random.default_rng(1)
     a, b = (draw.integers(0, 1 << 63, n, dtype=np.uint64) for n in (700, 5000))
