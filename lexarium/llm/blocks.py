@@ -76,15 +76,15 @@ def forest(sets: list[np.ndarray], known: list, left: np.ndarray, right: np.ndar
     return out
 
 
-def plausible(prefixes: list[np.ndarray], size: np.ndarray, known: list, left: np.ndarray, right: np.ndarray, least: float, before: list[np.ndarray] | None = None) -> np.ndarray:
+def plausible(numbers: list[np.ndarray], size: np.ndarray, last: np.ndarray, known: list, left: np.ndarray, right: np.ndarray, least: float, before: list[np.ndarray] | None = None) -> np.ndarray:
     """Places of the sets that may have a link between left and right, by what their prefixes share: of two prefixes the one that ends
-    first has all of its shared shingles in the other, and what the sets may share beyond is that set less its prefix. before: the
-    groups ahead of this one that each set is in; a pair that meets in one of them is left to it."""
-    own = [p.view(np.uint64) for p in prefixes]
-    both, group = overlaps(own, left, right), np.unique(np.array(known), return_inverse=True)[1]
+    first has all of its shared shingles in the other, and what the sets may share beyond is that set less its prefix. numbers: those of
+    each prefix that other sets hold too; last: the greatest of the whole prefix; before: the groups ahead of this one that each set is
+    in; a pair that meets in one of them is left to it."""
+    both, group = overlaps(numbers, left, right), np.unique(np.array(known), return_inverse=True)[1]
     ahead = overlaps(before, left, right) > 0 if before is not None else None
-    last, beyond = np.array([p[-1] for p in prefixes], dtype=np.int64), size - np.array([len(p) for p in prefixes], dtype=np.int64)
-    found = np.zeros(len(prefixes), dtype=bool)
+    beyond = np.ceil(size * least - 1e-9).astype(np.int64) - 1  # the set less its prefix
+    found = np.zeros(len(numbers), dtype=bool)
     for k in range(0, len(left), STEP):
         a = left[k : k + STEP][:, None]
         b = right[None, :]
@@ -99,11 +99,11 @@ def plausible(prefixes: list[np.ndarray], size: np.ndarray, known: list, left: n
     return np.flatnonzero(found)
 
 
-def links(rows: DataFrame, docs: DataFrame, first: DataFrame, words: int, least: float, joined: bool = True) -> DataFrame:
+def links(rows: DataFrame, docs: DataFrame, first: DataFrame, words: int, least: float, joined: bool = True, shared: DataFrame | None = None) -> DataFrame:
     """a, b: links of the least similarity that join the nodes of each bucket. rows: value (the bucket), node, n (shingles), known;
-    first: node, first_id, by which the texts are read again, and perhaps prefix (the ordered shingles of prefix filtering): then
-    only texts that may have a link by their prefixes are read, each for the first group in which it meets the other. joined: buckets
-    of one least node are one group."""
+    first: node, first_id, by which the texts are read again. shared: value, node, the numbers of prefixes (of prefix filtering) that two
+    nodes or more hold, with first's last: then only texts that may have a link by their prefixes are read, each for the first group in
+    which it meets the other; what no other node holds adds to no count and isn't sent. joined: buckets of one least node are one group."""
     if joined:
         groups = rows.groupBy("value").agg(F.min_by("node", F.xxhash64("node")).alias("g"))
         rows = common.staged(rows.join(groups, "value").select(F.col("g").alias("value"), "node", "n", "known").distinct())
@@ -111,20 +111,21 @@ def links(rows: DataFrame, docs: DataFrame, first: DataFrame, words: int, least:
     blocks = F.greatest(F.ceil(F.col("weight") / WEIGHT), F.ceil(F.col("rows") / ROWS), F.lit(1))
     dealt = rows.join(sized.select("value", blocks.alias("blocks")), "value").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    met = dealt.select("value", "node", "known", "own", every.alias("other")).select(F.col("value").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "known", "own")
+    met = dealt.select("value", "node", "n", "known", "own", every.alias("other")).select(F.col("value").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "known", "own")
     by = ["g", "i", "j"]
-    if "prefix" in first.columns:
+    met = met.join(first.select("node", "first_id", *(["last"] if shared is not None else [])), "node")
+    if shared is not None:
 
         def sieve(t: pa.Table) -> pa.Table:
             own, i, j = t.column("own").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            prefixes = [p.values.to_numpy() for p in t.column("prefix")]
-            groups, g = [x.values.to_numpy() for x in t.column("groups")], t.column("g")[0].as_py()
-            may = plausible(prefixes, t.column("n").to_numpy().astype(np.int64), t.column("known").to_pylist(), np.flatnonzero(own == i), np.flatnonzero(own == j), least, [x[x < g] for x in groups])
+            numbers, groups = ([x.values.to_numpy() for x in t.column(c)] for c in ("numbers", "groups"))
+            g = t.column("g")[0].as_py()
+            may = plausible(numbers, t.column("n").to_numpy().astype(np.int64), t.column("last").to_numpy(), t.column("known").to_pylist(), np.flatnonzero(own == i), np.flatnonzero(own == j), least, [x[x < g] for x in groups])
             return t.select([*by, "node", "known", "own", "first_id"]).take(pa.array(may))
 
-        met = met.join(first.select("node", "first_id", "n", "prefix"), "node").join(rows.groupBy("node").agg(F.collect_set("value").alias("groups")), "node").groupBy(*by).applyInArrow(sieve, "g long, i long, j long, node long, known long, own long, first_id long")
-    else:
-        met = met.join(first.select("node", "first_id"), "node")
+        groups = rows.groupBy("node").agg(F.collect_set("value").alias("groups"))
+        held = shared.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("value").alias("numbers"))
+        met = met.join(groups.join(held, "node"), "node").groupBy(*by).applyInArrow(sieve, "g long, i long, j long, node long, known long, own long, first_id long")
     met = common.staged(met)
     texts = texts_of(docs, met.select("first_id").distinct())
     held = met.join(texts, met.first_id.eqNullSafe(texts.id)).select("g", "i", "j", "node", "known", "own", "text")

@@ -126,6 +126,15 @@ def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
     return common.documents(docs, text_key()).mapInArrow(run, "doc_id long, text_key long, fp long, node long, n int, prefix array<long>, last long, mins array<long>")
 
 
+def once(prints: DataFrame, first: DataFrame) -> DataFrame:
+    """node, n, prefix of prints, one row a node. Only rows of nodes that have several (first: node, rows) are brought together, and a
+    few more by accident; the others stay where they lie."""
+    marks = common.id_marks(first.where("rows > 1").select(F.col("node").alias("h")))
+    rows = common.flagged(prints.select("node", "n", "prefix"), F.col("node"), marks, "perhaps")
+    several = rows.where("perhaps").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return rows.where("NOT perhaps").select("node", "n", "prefix").unionAll(several)
+
+
 def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")
 
@@ -461,7 +470,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, radiu
     apart are compared.
     """
     prints = common.staged(prefixes(docs, words, least))
-    first = common.staged(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("last").alias("last"), F.first("mins").alias("mins"), F.first("prefix").alias("prefix")))
+    first = common.staged(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("last").alias("last"), F.first("mins").alias("mins"), F.count("*").alias("rows")))
     links = common.staged(alike(print_links(first, least, radius), docs, first, words, least))
     known = labels(links)
     for turn in range(TURNS):
@@ -471,10 +480,12 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, radiu
         links = links.unionAll(common.staged(alike(edges, docs, first, words, least)))
         known = labels(links)
     together = common.staged(components(links))
-    met = common.staged(meeting(first, least))
+    met = common.staged(meeting(once(prints, first), least))
     dense = met.where("b IS NULL").select("value", F.col("a").alias("node"), "n")
-    rest = alike(pair_links(met.where("b IS NOT NULL"), together, first, least), docs, first, words, least)
-    rest = rest.unionAll(blocks.links(mixed(_known(dense, together)), docs, first, words, least))
+    pairs = met.where("b IS NOT NULL")
+    shared = dense.select("value", "node").unionAll(pairs.select("value", F.col("a").alias("node"))).unionAll(pairs.select("value", F.col("b").alias("node")))
+    rest = alike(pair_links(pairs, together, first, least), docs, first, words, least)
+    rest = rest.unionAll(blocks.links(mixed(_known(dense, together)), docs, first, words, least, shared=shared))
     roots = components(links.unionAll(rest))
     named = _named(first, roots)
     return prints.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "node", "component_id", "kept_node")

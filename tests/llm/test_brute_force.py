@@ -174,6 +174,25 @@ def test_similar_documents_of_long_texts(spark):
     assert len(_same_groups(spark, texts)) > 20
 
 
+def test_dense_groups_are_sent_only_what_they_share(spark, monkeypatch):
+    """Of long texts that meet in many dense groups, what no other text holds isn't shuffled once a group."""
+    monkeypatch.setattr(simhash, "LATE", 0)  # what is shared by many stays in the prefixes
+    r = random.Random(12)
+    passages = [[f"p{k}of{i}" for i in range(8)] for k in range(120)]
+    texts = []
+    for k in range(60):
+        parts = [passages[p] for p in r.sample(range(120), 60)] + [[f"own{k}of{i}at{j}" for j in range(100)] for i in range(60)]
+        r.shuffle(parts)
+        texts.append(" ".join(w for x in parts for w in x))
+    texts += [f"{t} and a few words more" for t in texts[:5]]
+    numbers = sum(len(simhash.shingle_set(t, 5)) // 5 * 8 for t in texts)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: store.executorList(True).head().totalShuffleWrite()
+    before = written()
+    assert len(_same_groups(spark, texts)) == 5
+    assert written() - before < 9 * numbers
+
+
 def test_bpe(spark, docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
