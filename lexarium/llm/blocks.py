@@ -126,7 +126,7 @@ def links(rows: DataFrame, docs: DataFrame, first: DataFrame, words: int, least:
         groups = rows.groupBy("node").agg(F.collect_set("value").alias("groups"))
         held = shared.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("value").alias("numbers"))
         met = met.join(groups.join(held, "node"), "node").groupBy(*by).applyInArrow(sieve, "g long, i long, j long, node long, known long, own long, first_id long")
-    met = common.staged(met)
+    met = common.staged(met.drop("n", "last"))
     texts = texts_of(docs, met.select("first_id").distinct())
     held = met.join(texts, met.first_id.eqNullSafe(texts.id)).select("g", "i", "j", "node", "known", "own", "text")
 
