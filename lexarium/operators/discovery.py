@@ -13,7 +13,6 @@ that repeat an id count as one document; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexarium.functions import reading
+from lexarium.functions.reading import Read, Reader
 from lexarium.operators import store
 from lexarium.sources import shared
 
@@ -32,44 +33,12 @@ DOC_BITS = 14
 _FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class Reader:
-    """Hashes of the words of many texts at once: sums over a word's characters of a number of the character times one of its place."""
-
-    def __init__(self, seed: int):
-        draw = np.random.default_rng([11, seed])
-        self.is_part = np.array([chr(c).isalnum() for c in range(sys.maxunicode + 1)])
-        self.of_character = draw.integers(1, 1 << 64, sys.maxunicode + 1, dtype=np.uint64)
-        self.of_place = [draw.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
-        self.draw = draw
-
-    def tokens(self, texts: list[str]) -> tuple[pa.Array, pa.RecordBatch]:
-        """The hashes of each text's words, with a zero after each line, and the words: word, w (its hash), n."""
-        every = "\n".join([*texts, ""])
-        c = np.frombuffer(every.encode("utf-32-le"), dtype=np.uint32)
-        c = np.where((c >= 65) & (c <= 90), c + 32, c)
-        part, line = self.is_part[c], c == 10
-        first = np.flatnonzero(part & ~np.concatenate([[False], part[:-1]]))
-        last = np.flatnonzero(part & ~np.concatenate([part[1:], [False]])) + 1
-        at, size = np.flatnonzero(part), last - first
-        while len(self.of_place[0]) < size.max(initial=0):
-            self.of_place = [np.concatenate([f, self.draw.integers(0, 1 << 63, len(f), dtype=np.uint64) * np.uint64(2) + np.uint64(1)]) for f in self.of_place]
-        begins = np.cumsum(size) - size
-        place, value = np.arange(len(at)) - np.repeat(begins, size), self.of_character[c[at]]
-        w, other = (np.add.reduceat(value * f[place], begins) if len(begins) else np.zeros(0, np.uint64) for f in self.of_place)
-        w[w == 0] = 1
-        known, one, group, n = np.unique(w, return_index=True, return_inverse=True, return_counts=True)
-        # a word that another one's hash stands for is put out too, so that it is seen
-        hidden = np.flatnonzero(other != other[one][group])
-        shown, low = np.concatenate([one, hidden]), c.tobytes().decode("utf-32-le")
-        words = [low[a:b] for a, b in zip(first[shown].tolist(), last[shown].tolist(), strict=True)]
-        ends = np.flatnonzero(line)
-        mixed = np.zeros(len(w) + len(ends), np.uint64)
-        mixed[np.arange(len(w)) + np.searchsorted(ends, first)] = w
-        texts_end = np.cumsum([len(t) + 1 for t in texts])
-        bytes_end = 8 * (np.searchsorted(first, texts_end) + np.searchsorted(ends, texts_end))
-        offsets = np.concatenate([[0], bytes_end]).astype(np.int32)
-        tokens = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(mixed)])
-        return tokens, _rows(len(words), word=pa.array(words, pa.string()), w=pa.array(w[shown].view(np.int64)), n=pa.array(np.pad(n, (0, len(hidden)))))
+def tokens(read: Read) -> pa.Array:
+    """The hashes of each text's words, with a zero after each line."""
+    mixed = np.zeros(len(read.hashes) + len(read.lines), np.uint64)
+    mixed[np.arange(len(read.hashes)) + np.searchsorted(read.lines, read.first)] = read.hashes
+    ends = 8 * (np.searchsorted(read.first, read.texts) + np.searchsorted(read.lines, read.texts))
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(mixed)])
 
 
 def _rows(many: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -83,15 +52,12 @@ def encoded(docs: DataFrame, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(seed)
         for b in batches:
-            held, n = [], 0
-            for i, text in enumerate(column := b.column("text").to_pylist(), 1):
-                held.append(text or "")
-                n += len(held[-1])
-                if n > CHARACTERS or i == len(column):
-                    tokens, words = reader.tokens(held)
-                    yield _rows(len(held), tokens=tokens)
-                    yield words
-                    held, n = [], 0
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for begin, end in reading.slices(texts, CHARACTERS):
+                read = reader.read(texts[begin:end])
+                yield _rows(end - begin, tokens=tokens(read))
+                words, w, n, _, _ = read.distinct()  # a word that another one's hash stands for is there too, so that it is seen
+                yield _rows(len(words), word=words, w=pa.array(w.view(np.int64)), n=pa.array(n))
 
     return docs.select("text").mapInArrow(run, "tokens binary, word string, w long, n long")
 

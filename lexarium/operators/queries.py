@@ -19,6 +19,7 @@ from lexarium.operators.ranking import MAX_TERM, Unit
 from lexarium.operators.segmentation import Analysis, Word, normal, plain_words
 from lexarium.operators.segments import Segmented
 from lexarium.operators.store import Stored
+from lexarium.sources import shared
 
 Analyzer = Callable[[str], list[Word]]
 #: Characters of a query, weight of words that only raise scores, groups that an alias may span, results of a page.
@@ -130,13 +131,14 @@ Index = Stored | Segmented
 
 def ranked_many(stored: Index, asked: ranking.Asked) -> DataFrame:
     """query, doc_id, score of a set of queries: ranked, cut at a share of each one's best, then raised by titles."""
-    found = ranking.ranked_many(stored.postings, stored.lengths, stored.statistics, asked, stored.analysis.within)
+    found = shared.staged(ranking.ranked_many(stored.postings, stored.lengths, stored.statistics, asked, stored.analysis.within).select("query", "doc_id", "score"))
     return ranking.with_titles_many(ranking.cut_many(found), stored.documents.select("doc_id", "title_terms"), asked)
 
 
 def ranked(stored: Index, units: list[Unit]) -> DataFrame:
     """doc_id, score of one query."""
-    return ranked_many(stored, {0: units}).drop("query")
+    found = ranking.ranked(stored.postings, stored.lengths, stored.statistics, units, stored.analysis.within)
+    return ranking.with_titles(ranking.cut(found), stored.documents.select("doc_id", "title_terms"), units)
 
 
 def answered(stored: Index, asked: dict[int, str], language: Language | None = None) -> DataFrame:

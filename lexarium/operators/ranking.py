@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexarium.operators.index import LINE
+from lexarium.sources import shared
 
 #: Fixed values of the ranking.
 K1, B, COMMON_SHARE, COVERAGE_FLOOR, PROXIMITY_BONUS, NEAR_TOKENS, NEAR_CHARACTERS, RELATIVE_CUTOFF, TITLE_BONUS = 1.2, 0.75, 0.5, 0.1, 1.3, 2, 12, 0.2, 1.0
@@ -77,6 +78,10 @@ def found(postings: DataFrame, asked: Asked) -> DataFrame:
     id have no document to rank."""
     if len(asked) > QUERIES:
         raise ValueError(f"a set has at most {QUERIES} queries")
+    return _placed(postings, asked)
+
+
+def _placed(postings: DataFrame, asked: Asked) -> DataFrame:
     words = sorted({w for units in asked.values() for u in units for s in u.spellings for w in s})
     rows = postings.where(F.col("term").isin(words) & F.col("doc_id").isNotNull()).join(parts_frame(postings.sparkSession, asked), "term")
     rows = rows.select("query", "unit", "variant", "n_parts", "length", "at", "doc_id", "positions").repartition("doc_id")
@@ -98,12 +103,16 @@ def matched(places: DataFrame) -> DataFrame:
     return by_unit.groupBy("doc_id", "query").agg(F.sort_array(F.collect_list(F.struct("unit", "tf", "spots"))).alias("units"))
 
 
-def _gates(of: DataFrame, stats: DataFrame, asked: Asked) -> DataFrame:
-    """query, total, n, avg_length, k (gating units), by_unit (name, weight, idf, gating by unit): a row a query."""
+def _frequencies(of: DataFrame) -> DataFrame:
+    """query, unit, df of matched()."""
     # spots are asked for, which no unit lacks: what is read here is then what the scores read, and comes from the same exchange
     units = of.select("query", F.explode("units").alias("u")).where(F.size("u.spots") > 0).select("query", "u.unit")
-    df = units.groupBy("query", "unit").agg(F.count("*").cast("double").alias("df"))  # at most a row a unit
-    ranked = df.join(units_frame(of.sparkSession, asked), ["query", "unit"]).crossJoin(F.broadcast(stats))
+    return units.groupBy("query", "unit").agg(F.count("*").cast("double").alias("df"))  # at most a row a unit
+
+
+def _gates(df: DataFrame, stats: DataFrame, asked: Asked) -> DataFrame:
+    """query, total, n, avg_length, k (gating units), by_unit (name, weight, idf, gating by unit): a row a query. df: query, unit, df."""
+    ranked = df.join(units_frame(df.sparkSession, asked), ["query", "unit"]).crossJoin(F.broadcast(stats))
     tier = F.when(F.col("core") & (F.col("df") <= COMMON_SHARE * F.col("n")), 1).when(F.col("core"), 2).otherwise(3)
     gating = (F.col("tier") == F.min("tier").over(W.partitionBy("query"))).cast("int")
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -127,7 +136,21 @@ def near(places: DataFrame, units: list[Unit], within: int = NEAR_TOKENS) -> Dat
 def scored(of: DataFrame, lengths: DataFrame, stats: DataFrame, asked: Asked, gate: bool = True, within: int | None = None) -> DataFrame:
     """query, doc_id, score, gate_hits, terms (matched names in query order) of matched(). Without gate every match counts; with
     `within` close units raise the score."""
-    gates = F.broadcast(_gates(of, stats, asked))
+    out = _scores(of, lengths, _gates(_frequencies(of), stats, asked), within)
+    if not gate:
+        return out.drop("k")
+    required = _required(out.groupBy("query").agg(F.max("gate_hits").alias("most"), F.first("k").alias("k")))
+    return out.drop("k").join(F.broadcast(required), "query").where(F.col("gate_hits") >= F.col("required")).drop("required")
+
+
+def _required(most: DataFrame) -> DataFrame:
+    """query, required: how many gating units a document must have. most: query, k (gating units), most (of a document)."""
+    need = F.when(F.col("k") <= 2, F.col("k")).when(F.col("k") <= 4, F.lit(2)).otherwise(F.ceil(F.col("k").cast("double") / 2.0))
+    return most.select("query", F.greatest(F.lit(1), F.least(need, F.col("most"))).alias("required"))
+
+
+def _scores(of: DataFrame, lengths: DataFrame, gates: DataFrame, within: int | None) -> DataFrame:
+    """query, doc_id, score, gate_hits, terms, k of matched()."""
     own = lambda u: F.element_at("by_unit", u["unit"])
     part = lambda u: own(u)["weight"] * own(u)["idf"] * u["tf"] * (K1 + 1) / (u["tf"] + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     total = lambda f: F.aggregate("units", F.lit(0.0), lambda s, u: s + f(u))
@@ -135,13 +158,7 @@ def scored(of: DataFrame, lengths: DataFrame, stats: DataFrame, asked: Asked, ga
     if within is not None:
         score = score * F.when(_is_near(F.col("units"), within), PROXIMITY_BONUS).otherwise(1.0)
     hit = F.aggregate("units", F.lit(0), lambda s, u: s + own(u)["gating"]).cast("long")
-    out = of.join(lengths, "doc_id").join(gates, "query").select("query", "doc_id", score.alias("score"), hit.alias("gate_hits"), F.transform("units", lambda u: own(u)["name"]).alias("terms"), "k")
-    if not gate:
-        return out.drop("k")
-    most = out.groupBy("query").agg(F.max("gate_hits").alias("most"), F.first("k").alias("k"))
-    need = F.when(F.col("k") <= 2, F.col("k")).when(F.col("k") <= 4, F.lit(2)).otherwise(F.ceil(F.col("k").cast("double") / 2.0))
-    required = most.select("query", F.greatest(F.lit(1), F.least(need, F.col("most"))).alias("required"))
-    return out.drop("k").join(F.broadcast(required), "query").where(F.col("gate_hits") >= F.col("required")).drop("required")
+    return of.join(lengths, "doc_id").join(F.broadcast(gates), "query").select("query", "doc_id", score.alias("score"), hit.alias("gate_hits"), F.transform("units", lambda u: own(u)["name"]).alias("terms"), "k")
 
 
 def scores(places: DataFrame, lengths: DataFrame, stats: DataFrame, units: list[Unit], gate: bool = True) -> DataFrame:
@@ -150,13 +167,32 @@ def scores(places: DataFrame, lengths: DataFrame, stats: DataFrame, units: list[
 
 
 def ranked_many(postings: DataFrame, lengths: DataFrame, stats: DataFrame, asked: Asked, within: int = NEAR_TOKENS) -> DataFrame:
-    """query, doc_id, score, gate_hits, terms of a set of queries, from one scan of their postings."""
-    return scored(matched(found(postings, asked)), lengths, stats, asked, within=within)
+    """query, doc_id, score, gate_hits, terms of a set of queries, from one scan of their postings.
+
+    What documents have of a unit is found once for all queries that ask for it. Frequencies and so gates follow from that alone; only
+    documents that pass a query's gate are then given what they have of its units, and scored."""
+    if len(asked) > QUERIES:
+        raise ValueError(f"a set has at most {QUERIES} queries")
+    spark, kinds = postings.sparkSession, {}
+    listed = [(q, k, kinds.setdefault((u.spellings, u.offsets), len(kinds))) for q, units in asked.items() for k, u in enumerate(check(units))]
+    of_query = F.broadcast(spark.createDataFrame(listed, "query int not null, unit int not null, kind int not null"))
+    held = _placed(postings, {n: [Unit(spellings, offsets=offsets)] for (spellings, offsets), n in kinds.items()}).withColumnRenamed("query", "kind")
+    held = shared.staged(held.groupBy("doc_id", "kind").agg(F.sum(F.size("starts")).cast("double").alias("tf"), F.collect_list(F.struct("length", "starts")).alias("spots")))
+    df = held.groupBy("kind").agg(F.count("*").cast("double").alias("df")).join(of_query, "kind").select("query", "unit", "df")
+    gates = shared.staged(_gates(df, stats, asked))  # a row a query
+    gating = gates.select("query", "k", F.explode("by_unit").alias("unit", "u")).where("u.gating = 1").join(of_query, ["query", "unit"]).select("query", "k", "kind")
+    passing = held.select("doc_id", "kind").join(F.broadcast(gating), "kind").groupBy("query", "doc_id").agg(F.count("*").alias("gate_hits"), F.first("k").alias("k"))
+    required = _required(passing.groupBy("query").agg(F.max("gate_hits").alias("most"), F.first("k").alias("k")))
+    passed = passing.join(F.broadcast(required), "query").where(F.col("gate_hits") >= F.col("required")).select("query", "doc_id")
+    own = held.join(passed.join(of_query, "query"), ["doc_id", "kind"])
+    of = own.groupBy("doc_id", "query").agg(F.sort_array(F.collect_list(F.struct("unit", "tf", "spots"))).alias("units"))
+    return _scores(of, lengths, gates, within).drop("k")
 
 
 def ranked(postings: DataFrame, lengths: DataFrame, stats: DataFrame, units: list[Unit], within: int = NEAR_TOKENS) -> DataFrame:
     """doc_id, score, gate_hits, terms with gate, coverage and proximity. Stored postings are pruned to the query's few words."""
-    return ranked_many(postings, lengths, stats, {0: units}, within).drop("query")
+    asked = {0: units}
+    return scored(matched(found(postings, asked)), lengths, stats, asked, within=within).drop("query")
 
 
 def cut_many(results: DataFrame, share: float = RELATIVE_CUTOFF) -> DataFrame:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexarium.functions import reading
 from lexarium.functions.text import LOWER, UPPER
 from lexarium.operators.index import LINE
 from lexarium.sources import shared
@@ -33,6 +34,8 @@ _WORD = re.compile(r"[^\W_]+")
 _ALONE = re.compile("[々-〇぀-ヿ㐀-䶿一-鿿가-힣豈-﫿\U00020000-\U0003ffff]")
 #: Words of a list at most, which is what may be sent to every task.
 WORDS = 2_000_000
+#: Characters of texts that are read at once.
+CHARACTERS = 1 << 20
 
 
 def normal(text: str | None) -> str:
@@ -177,9 +180,34 @@ def places_of(text: str | None, analysis: Analysis) -> dict[str, list[int]]:
     return out
 
 
+def plain_postings(texts: list[str], reader: reading.Reader) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts in normal form: words, the numbers of their texts, and how many places each has there; and the places, one row after the other."""
+    read = reader.read(texts)
+    words, _, _, group, hidden = read.distinct()
+    group[hidden] = len(words) - len(hidden) + np.arange(len(hidden))
+    if len(hidden):  # words of one hash: told apart by themselves
+        encoded = words.dictionary_encode()
+        words, group = encoded.dictionary, encoded.indices.to_numpy()[group]
+    line, k = read.places()
+    key = read.text() * len(words) + group
+    order = np.argsort(key, kind="stable")
+    row, each = np.unique(key[order], return_counts=True)
+    return words.take(pa.array(row % max(1, len(words)))), row // max(1, len(words)), each, (line.astype(np.int64) * LINE + k)[order]
+
+
 def postings(docs: DataFrame, analysis: Analysis = PLAIN) -> DataFrame:
     """term, doc_id, tf, positions of docs (doc_id, text): made where a text lies, a row for each word of a text."""
 
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = reading.Reader()
+        for b in batches:
+            texts = [normal(t) for t in b.column("text").to_pylist()]
+            for begin, end in reading.slices(texts, CHARACTERS):
+                terms, of, each, places = plain_postings(texts[begin:end], reader)
+                ends = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
+                ids = b.column("doc_id").take(pa.array(of + begin))
+                yield pa.RecordBatch.from_arrays([terms, ids, pa.array(each.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(places))], ["term", "doc_id", "tf", "positions"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 64):  # texts are long: small batches
@@ -195,16 +223,22 @@ def postings(docs: DataFrame, analysis: Analysis = PLAIN) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, b.schema.field("doc_id").type), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["term", "doc_id", "tf", "positions"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return shared.spread(docs.select("doc_id", "text")).mapInArrow(run, f"term string, doc_id {kind}, tf long, positions array<long>")
+    return shared.spread(docs.select("doc_id", "text")).mapInArrow(plain if analysis is PLAIN else run, f"term string, doc_id {kind}, tf long, positions array<long>")
 
 
 def lengths(docs: DataFrame, analysis: Analysis = PLAIN) -> DataFrame:
     """doc_id, length of the texts that have words: counted in the texts, without their postings."""
 
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [unicodedata.normalize("NFC", t or "") for t in b.column("text").to_pylist()]
+            n = [reading.starts(texts[begin:end]) for begin, end in reading.slices(texts, CHARACTERS)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate([*n, np.zeros(0, np.int64)]).astype(np.int64))], ["doc_id", "length"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = [sum(map(len, places_of(t, analysis).values())) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "length"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return shared.spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, length long").where("length > 0")
+    return shared.spread(docs.select("doc_id", "text")).mapInArrow(plain if analysis is PLAIN else run, f"doc_id {kind}, length long").where("length > 0")

@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexarium.operators import discovery
+from lexarium.functions import reading
+from lexarium.operators import discovery, index, segmentation
 
 ODD = ["", None, "\n\n", "Ab aB AB ab\nab AB", "straße ÉTÉ été x_y ²³ ٣٤ straße ÉTÉ", "a\x00b c\rd " * 3, "one " * 40, "\U0001d7ce\U0001d7cf 漢字 kana漢字"]
 
@@ -68,16 +69,28 @@ def test_texts_are_read_once(spark):
 
 
 def test_words_of_one_hash_are_seen():
-    reader = discovery.Reader(0)
+    reader = reading.Reader()
     reader.of_place[0][:] = 1
-    _, words = reader.tokens(["stop other", "pots stop"])
-    assert sorted(zip(words["word"].to_pylist(), words["n"].to_pylist(), strict=True)) == [("other", 1), ("pots", 0), ("stop", 3)]
-
-
-def test_long_texts_in_slices():
-    reader = discovery.Reader(0)
-    texts = ["", "A b\nc", "x" * 300 + " É", "\n"]
-    tokens, words = reader.tokens(texts)
-    w = dict(zip(words["word"].to_pylist(), words["w"].to_numpy().view(np.uint64).tolist(), strict=True))
-    read = [np.frombuffer(t, np.uint64).tolist() for t in tokens.to_pylist()]
-    assert read == [[0], [w["a"], w["b"], 0, w["c"], 0], [w["x" * 300], w["É"], 0], [0, 0]]
+    words, w, n, _, _ = reader.read(["stop other", "pots stop"]).distinct()
+    assert sorted(zip(words.to_pylist(), n.tolist(), strict=True)) == [("other", 1), ("pots", 0), ("stop", 3)] and len(set(w.tolist())) == 2
+    terms, of, each, places = segmentation.plain_postings(["stop other", "pots\n pots stop"], reader)
+    assert {(t, d): n for t, d, n in zip(terms.to_pylist(), of.tolist(), each.tolist(), strict=True)} == {("stop", 0): 1, ("other", 0): 1, ("pots", 1): 2, ("stop", 1): 1}
+    assert sorted(places.tolist()) == [0, 0, 1, index.LINE, index.LINE + 1]
+
+
+def test_tokens_of_texts():
+    reader = reading.Reader()
+    read = reader.read(["", "A b\nc", "x" * 300 + " É", "\n"])
+    words, w, _, _, _ = read.distinct()
+    of = dict(zip(words.to_pylist(), w.tolist(), strict=True))
+    found = [np.frombuffer(t, np.uint64).tolist() for t in discovery.tokens(read).to_pylist()]
+    assert found == [[0], [of["a"], of["b"], 0, of["c"], 0], [of["x" * 300], of["É"], 0], [0, 0]]
+
+
+def test_plain_postings_are_those_of_places():
+    texts = [segmentation.normal(t) for _, t in rows()]
+    terms, of, each, places = segmentation.plain_postings(texts, reading.Reader())
+    ends = np.cumsum(each)
+    got = {(d, t): places[e - n : e].tolist() for t, d, n, e in zip(terms.to_pylist(), of.tolist(), each.tolist(), ends.tolist(), strict=True)}
+    assert got == {(d, t): p for d, text in enumerate(texts) for t, p in segmentation.places_of(text, segmentation.PLAIN).items()}
+    assert reading.starts(texts).tolist() == [sum(map(len, segmentation.places_of(t, segmentation.PLAIN).values())) for t in texts]

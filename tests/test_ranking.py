@@ -46,6 +46,19 @@ def test_the_plan_reads_postings_once(stored):
     assert len(re.findall(r"FileScan parquet \[term", final)) == 1 and "CartesianProduct" not in final
 
 
+def test_a_set_finds_a_unit_once_for_all_its_queries(stored, monkeypatch):
+    """What documents have is found before queries are told apart, and only what passes a query's gate is scored."""
+    found, scored = [], []
+    placed, scores = ranking._placed, ranking._scores
+    monkeypatch.setattr(ranking, "_placed", lambda postings, asked: found.append(len(asked)) or placed(postings, asked))
+    monkeypatch.setattr(ranking, "_scores", lambda of, *more: scored.append(of) or scores(of, *more))
+    asked = {q: queries.parsed("the red river" if q % 2 else "the red fox") for q in range(40)}
+    got = ranking.ranked_many(stored.postings, stored.lengths, stored.statistics, asked).collect()
+    assert found == [4] and scored[0].count() == len(got) < 40 * stored.documents.count()
+    one = {(r.doc_id, round(r.score, 9)) for r in ranking.ranked(stored.postings, stored.lengths, stored.statistics, asked[1]).collect()}
+    assert one == {(r.doc_id, round(r.score, 9)) for r in got if r.query == 39}
+
+
 def test_phrases_in_a_long_text_are_linear(spark):
     n = 100_000
     places = list(range(0, 2 * n, 2))
