@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,15 +54,19 @@ def valid_uri(uri: Column | str) -> Column:
     return u.rlike(r"\.md$") & ~u.rlike("[\\x00\\\\]") & ~u.rlike("(^|/)(\\.{1,2})?(/|$)")
 
 
+def _given(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is computed once however often it stands there."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def body(text: Column | str, start: str = "## Body", end: str = "## Appendix") -> Column:
     """Lines after the first line `start`, up to the first later line `end` (blanks around either don't count); empty without `start`."""
-    lines = F.split(text, "\r\n|\r|\n")
-    bare = lambda a: F.transform(a, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    first = F.array_position(bare(lines), start)
-    rest = F.slice(lines, (first + 1).cast("int"), F.greatest(F.size(lines) - first, F.lit(0)).cast("int"))
-    last = F.array_position(bare(rest), end)
-    kept = F.when(last > 0, F.slice(rest, 1, F.greatest(last - 1, F.lit(0)).cast("int"))).otherwise(rest)
-    return F.when(first > 0, F.array_join(kept, "\n")).otherwise("")
+    place = lambda a, line: F.array_position(F.transform(a, lambda x: F.trim(x, F.lit(" \t\n\x0b\f\r"))), line)
+    before = lambda a, n: F.when(n > 0, F.slice(a, F.lit(1), F.greatest(n - 1, F.lit(0)).cast("int"))).otherwise(a)
+    after = lambda a, n: F.slice(a, (n + 1).cast("int"), F.greatest(F.size(a) - n, F.lit(0)).cast("int"))
+    kept = lambda a: _given(place(a, end), lambda n: F.array_join(before(a, n), "\n"))
+    of = lambda a: _given(place(a, start), lambda n: F.when(n > 0, _given(after(a, n), kept)).otherwise(""))
+    return _given(F.split(text, "\r\n|\r|\n"), of)
 
 
 def title(text: Column | str) -> Column:

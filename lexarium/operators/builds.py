@@ -41,8 +41,8 @@ class Build:
 def prepared(tree: DataFrame, titles: DataFrame | None = None, start: str = "## Body", end: str = "## Appendix") -> DataFrame:
     """doc_id, text (the cleaned body), title, source (channel), publication_date, source_hash, body_hash of tree (doc_id, raw,
     source_hash); titles (doc_id, title) come before a source's own."""
-    body = text.clean(text.body("raw", start, end))
-    own = tree.select(
+    body = F.col("body_")  # made in a row of its own: text and hash are of one
+    own = tree.withColumn("body_", text.clean(text.body("raw", start, end))).select(
         "doc_id", body.alias("text"), F.nullif(text.title("raw"), F.lit("")).alias("own_title"), F.regexp_extract("doc_id", "^([^/]+)/", 1).alias("source"), text.publication_date("raw").alias("publication_date"),
         "source_hash", F.sha2(body, 256).alias("body_hash"),
     )

@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 
+from lexarium.functions import text
 from lexarium.operators import builds, chunking, queries, segments
 from lexarium.sources import files
 
@@ -66,3 +67,11 @@ def test_a_build_that_fails_leaves_nothing(spark, tmp_path, tree):
     write(tree, "news/0001.md", "Report 1", "# a deep fault\n\nwords")
     with pytest.raises(ValueError, match=r"news/0001.md \(level-one heading\)"):
         run()
+
+
+def test_a_body_is_cut_out_once(spark):
+    """Its lines are split and looked through once, however often its parts are used."""
+    assert str(text.body("raw")).count("split(") == 1
+    odd = ["a\r\n ## Body \rx\n\ty\r## Appendix\nz", "## Body", "x", None, "## Appendix\n## Body\n\n## Body\nq\n \x0b## Appendix\f\n", "## Body\n a \n## Appendix \nb\n## Appendix"]
+    found = spark.createDataFrame(list(enumerate(odd)), "n int, raw string").orderBy("n").select(text.body("raw").alias("body")).collect()
+    assert [r.body for r in found] == ["x\n\ty", "", "", "", "\n## Body\nq", " a "]
