@@ -152,7 +152,7 @@ def sieve_of(hashes: DataFrame) -> np.ndarray:
 
 
 def written(coded: DataFrame, sieves: dict[int, np.ndarray], longest: int, beside: bool) -> DataFrame:
-    """Sums of slices of what passes the sieves: runs (h, n: occurrences, df, and their words' hashes, w0 and on), or with beside their
+    """Sums of slices of what passes the sieves: runs (h, other: another hash, n: occurrences, df, and their words' hashes, w0 and on), or with beside their
     neighbours (h, after: on which side, x: the neighbour's hash, 0 at a line's edge, n)."""
     sent = coded.sparkSession.sparkContext.broadcast(sieves)
     parts = [f"w{k}" for k in range(longest)]
@@ -178,9 +178,10 @@ def written(coded: DataFrame, sieves: dict[int, np.ndarray], longest: int, besid
                 hidden = np.flatnonzero(np.any([w[first + k] != w[first[one] + k][group] for k in range(size)], axis=0))
                 at, more = np.concatenate([one, hidden]), (0, len(hidden))
                 words = {c: w[first[at] + k] if k < size else np.zeros(len(at), np.int64) for k, c in enumerate(parts)}
-                yield rows(h=h[at], n=np.pad(np.bincount(group, minlength=len(own)), more), df=np.pad(np.bincount(by_doc >> 32, minlength=len(own)), more), **words)
+                other = sum((words[c] * _FACTORS[longest + k] for k, c in enumerate(parts[:size])), np.zeros(len(at), np.uint64))
+                yield rows(h=h[at], other=other, n=np.pad(np.bincount(group, minlength=len(own)), more), df=np.pad(np.bincount(by_doc >> 32, minlength=len(own)), more), **words)
 
-    return coded.mapInArrow(run, "h long, after boolean, x long, n long" if beside else ", ".join(f"{c} long" for c in ("h", "n", "df", *parts)))
+    return coded.mapInArrow(run, "h long, after boolean, x long, n long" if beside else ", ".join(f"{c} long" for c in ("h", "other", "n", "df", *parts)))
 
 
 def discovered(docs: DataFrame, least_df: int = 3, longest: int = LONGEST, seed: int = 0) -> DataFrame:
@@ -193,11 +194,11 @@ def discovered(docs: DataFrame, least_df: int = 3, longest: int = LONGEST, seed:
     for size in range(2, longest + 1):
         sieves[size] = sieve_of(shared.staged(counted(coded, size, sieves, least_df)))
     parts = [f"w{k}" for k in range(longest)]
-    met = written(coded, sieves, longest, False).groupBy("h").agg(F.sum("n").alias("tf"), F.sum("df").alias("df"), *[f(c).alias(f"{f.__name__}_{c}") for c in parts for f in (F.min, F.max)])
+    met = written(coded, sieves, longest, False).groupBy("h").agg(F.sum("n").alias("tf"), F.sum("df").alias("df"), F.min("other").alias("least"), F.max("other").alias("most"), *[F.min(c).alias(c) for c in parts])
     often = shared.staged(met)
-    if not (words.groupBy("w").count().where("count > 1").isEmpty() and often.where(" OR ".join(f"min_{c} <> max_{c}" for c in parts)).isEmpty()):
+    if not (words.groupBy("w").count().where("count > 1").isEmpty() and often.where("least <> most").isEmpty()):
         return discovered(docs, least_df, longest, seed + 1)
-    often = often.where(F.col("df") >= least_df).select("h", "tf", "df", F.array(*[f"min_{c}" for c in parts]).alias("w"))
+    often = often.where(F.col("df") >= least_df).select("h", "tf", "df", F.array(*parts).alias("w"))
     named = often.select("h", F.posexplode("w").alias("k", "w")).where("w <> 0").join(words, "w")
     terms = named.groupBy("h").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ").alias("term"), F.count("*").cast("int").alias("size"), F.min("word_tf").alias("rarest"))
     by_side = written(coded, sieves, longest, True).groupBy("h", "after", "x").agg(F.sum("n").cast("double").alias("c"))
